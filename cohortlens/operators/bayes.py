@@ -4,99 +4,167 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import add_all
-from cohortlens.functions.scalars import sigmoid
+from cohortlens.functions.scalars import double_array, sigmoid
 from cohortlens.operators.preprocess import FULL, fold_moments, join_per_fold, long_form, merge
 
 TWO_PI = 6.283185307179586
 
 
-def gaussian_nb(
-    df: DataFrame, features: Sequence[str], candidates: Mapping[int, float] | None = None,
-    fold: str = "fold", label: str = "label", keys: Sequence[str] = ("entity_id",),
-) -> DataFrame:
-    """Scores of a Gaussian naive Bayes: (keys, fold, label, trial_id, p).
+@dataclass(frozen=True)
+class BayesModel:
+    """Fitted parameters, one row per (left-out fold, candidate), and the per-feature log ratio."""
 
-    Rows with a fold get the out-of-fold score; rows with NULL fold (the target cohort) the
-    score of the model trained on all source rows. ``candidates`` maps trial ids to
-    ``var_smoothing``: that share of the largest feature variance is added to each variance.
-    Features must not be missing.
+    rows: list[tuple]
+    schema: str
+    features: tuple[str, ...]
+    log_ratio: Callable[[str], Column]
+
+    def score(self, df: DataFrame, fold: str = "fold") -> DataFrame:
+        """Add trial_id and p: out-of-fold where the row has a fold, else by the full model."""
+        joined = join_per_fold(df, self.rows, self.schema, fold)
+        p = sigmoid(F.col("_prior") + add_all([self.log_ratio(f) for f in self.features]))
+        return joined.withColumn("p", p).drop("_prior", "_cut", "_c0", "_c1")
+
+
+def fit_gaussian_nb(df: DataFrame, features: Sequence[str], candidates: Mapping[int, float] | None = None,
+                    fold: str = "fold", label: str = "label", standardise: bool = False) -> BayesModel:
+    """``candidates`` map trial ids to ``var_smoothing``: that share of the largest feature
+    variance is added to each variance. Features must not be missing.
+
+    ``standardise`` fits as on features z-scored with the training statistics of each fold.
+    Densities do not change under scaling, so only the smoothing does: it becomes a share of
+    each feature's own variance.
     """
-    fitted = fold_moments(df, features, fold, label)
     rows = []
-    for left_out, stats in fitted.items():
-        largest = max(merge(stats[(y, f)] for y in (0, 1)).variance for f in features)
+    for left_out, stats in fold_moments(df, features, fold, label).items():
+        seen = [stats[(y, features[0])].rows for y in (0, 1)]
+        if not sum(seen):
+            continue  # the only fold there is
+        overall = {f: merge(stats[(y, f)] for y in (0, 1)).variance for f in features}
+        if not standardise:
+            overall = dict.fromkeys(features, max(overall.values()))
         for trial, smoothing in (candidates or {0: 0.0}).items():
-            params = {
-                y: {f: (stats[(y, f)].mean, stats[(y, f)].variance + smoothing * largest) for f in features}
+            params = [
+                {f: (stats[(y, f)].mean, stats[(y, f)].variance + smoothing * overall[f]) for f in features}
                 for y in (0, 1)
-            }
-            rows.append((left_out, trial, _log_odds(stats[(0, features[0])].rows, stats[(1, features[0])].rows),
-                         params[0], params[1]))
-    per_feature = "map<string,struct<mean:double,var:double>>"
-    scored = join_per_fold(df, rows, f"trial_id int, _prior double, _c0 {per_feature}, _c1 {per_feature}", fold)
+            ]
+            rows.append((left_out, trial, _log_odds(*seen), *params))
+
+    def log_ratio(f: str) -> Column:
+        def density(params: Column) -> Column:
+            gap = F.col(f).cast("double") - params["mean"]
+            return F.lit(-0.5) * (F.log(F.lit(TWO_PI) * params["var"]) + gap * gap / params["var"])
+        return density(F.col("_c1")[f]) - density(F.col("_c0")[f])
 
-    def log_density(f: str, params: Column) -> Column:
-        gap = F.col(f).cast("double") - params["mean"]
-        return F.lit(-0.5) * (F.log(F.lit(TWO_PI) * params["var"]) + gap * gap / params["var"])
+    per_feature = "map<string,struct<mean:double,var:double>>"
+    schema = f"trial_id int, _prior double, _c0 {per_feature}, _c1 {per_feature}"
+    return BayesModel(rows, schema, tuple(features), log_ratio)
 
-    return _posterior(scored, features, log_density, fold, label, keys)
 
+def fit_bernoulli_nb(df: DataFrame, features: Sequence[str],
+                     candidates: Mapping[int, tuple[float, float]] | None = None,
+                     fold: str = "fold", label: str = "label", standardise: bool = False) -> BayesModel:
+    """``candidates`` map trial ids to (alpha, binarize cut).
 
-def bernoulli_nb(
-    df: DataFrame, features: Sequence[str], candidates: Mapping[int, tuple[float, float]] | None = None,
-    fold: str = "fold", label: str = "label", keys: Sequence[str] = ("entity_id",),
-) -> DataFrame:
-    """Scores of a Bernoulli naive Bayes; candidates map trial ids to (alpha, binarize cut)."""
+    With ``standardise`` the cut is on z-scores with the training statistics of each fold, so
+    every fold has its own cut on the raw value and its training rows are counted at it.
+    """
     candidates = candidates or {0: (1.0, 0.0)}
-    cuts = F.array(*[F.lit(float(c)) for c in sorted({cut for _, cut in candidates.values()})])
-    # counts per (fold, class, feature, cut): one scan, bounded result
-    counted = (
-        long_form(df.where(F.col(fold).isNotNull()), [fold, label], features)
-        .withColumn("cut", F.explode(cuts)).groupBy(fold, label, "feature", "cut")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > F.col("cut")).alias("ones"))
-        .collect()
-    )
-    total: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
-    own: dict[tuple, tuple[int, int]] = {}
-    for r in counted:
-        key = (r[label], r["feature"], r["cut"])
-        own[(r[fold], *key)] = (r["n"], r["ones"])
-        total[key][0] += r["n"]
-        total[key][1] += r["ones"]
+    cuts = sorted({float(cut) for _, cut in candidates.values()})
+    source = df.where(F.col(fold).isNotNull())
+    if standardise:
+        stats = fold_moments(df, features, fold)
+        raw = {(left_out, f, c): m[(f,)].mean + c * m[(f,)].filled_std
+               for left_out, m in stats.items() for f in features for c in cuts}
+        counts = _counts_per_fold(source, features, raw, fold, label)
+    else:
+        counts = _counts_once(source, features, cuts, fold, label)
+        raw = {(left_out, f, c): c for left_out in counts for f in features for c in cuts}
     rows = []
-    for left_out in {k[0] for k in own} | {FULL}:
+    for left_out, found in counts.items():
         for trial, (alpha, cut) in candidates.items():
-            params, seen = {0: {}, 1: {}}, {}
+            params, seen = [{}, {}], [0, 0]
             for y in (0, 1):
                 for f in features:
-                    n, ones = own.get((left_out, y, f, float(cut)), (0, 0))
-                    n, ones = total[(y, f, float(cut))][0] - n, total[(y, f, float(cut))][1] - ones
+                    n, ones = found.get((y, f, float(cut)), (0, 0))
                     share = (ones + alpha) / (n + 2 * alpha)
-                    params[y][f], seen[y] = (math.log(share), math.log(1 - share)), n
-            rows.append((left_out, trial, _log_odds(seen[0], seen[1]), float(cut), params[0], params[1]))
+                    params[y][f] = (math.log(share), math.log(1 - share))
+                    seen[y] = n
+            if sum(seen):
+                at = {f: raw[(left_out, f, float(cut))] for f in features}
+                rows.append((left_out, trial, _log_odds(*seen), at, *params))
+
+    def log_ratio(f: str) -> Column:
+        above = F.col(f).cast("double") > F.col("_cut")[f]
+        mass = lambda params: F.when(above, params["yes"]).otherwise(params["no"])
+        return mass(F.col("_c1")[f]) - mass(F.col("_c0")[f])
+
     per_feature = "map<string,struct<yes:double,no:double>>"
-    scored = join_per_fold(
-        df, rows, f"trial_id int, _prior double, _cut double, _c0 {per_feature}, _c1 {per_feature}", fold)
+    schema = f"trial_id int, _prior double, _cut map<string,double>, _c0 {per_feature}, _c1 {per_feature}"
+    return BayesModel(rows, schema, tuple(features), log_ratio)
 
-    def log_mass(f: str, params: Column) -> Column:
-        return F.when(F.col(f).cast("double") > F.col("_cut"), params["yes"]).otherwise(params["no"])
 
-    return _posterior(scored, features, log_mass, fold, label, keys)
+def _counts_once(source: DataFrame, features: Sequence[str], cuts: Sequence[float], fold: str, label: str) -> dict:
+    """{left out fold: {(label, feature, cut): (rows, rows above)}} from one count per fold."""
+    counted = (
+        long_form(source, [fold, label], features).withColumn("cut", F.explode(double_array(cuts)))
+        .groupBy(fold, label, "feature", "cut")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > F.col("cut")).alias("ones"))
+        .collect()
+    )
+    own: dict[int, dict] = defaultdict(dict)
+    total: dict[tuple, tuple[int, int]] = defaultdict(lambda: (0, 0))
+    for r in counted:
+        key = (r[label], r["feature"], r["cut"])
+        own[r[fold]][key] = (r["n"], r["ones"])
+        total[key] = (total[key][0] + r["n"], total[key][1] + r["ones"])
+    rest = {
+        f: {k: (n - mine.get(k, (0, 0))[0], ones - mine.get(k, (0, 0))[1]) for k, (n, ones) in total.items()}
+        for f, mine in own.items()
+    }
+    return {**rest, FULL: dict(total)}
+
+
+def _counts_per_fold(source: DataFrame, features: Sequence[str], raw: Mapping, fold: str, label: str) -> dict:
+    """The same where each left-out fold has its own raw cut; folds x features x cuts entries are broadcast."""
+    table = source.sparkSession.createDataFrame(
+        [(f, left_out, c, at) for (left_out, f, c), at in raw.items()],
+        "feature string, left_out int, cut double, at double")
+    counted = (
+        long_form(source, [fold, label], features).join(F.broadcast(table), "feature")
+        .where(F.col(fold) != F.col("left_out")).groupBy("left_out", label, "feature", "cut")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > F.col("at")).alias("ones"))
+        .collect()
+    )
+    out: dict[int, dict] = defaultdict(dict)
+    for r in counted:
+        out[r["left_out"]][(r[label], r["feature"], r["cut"])] = (r["n"], r["ones"])
+    return out
+
+
+def gaussian_nb(df: DataFrame, features: Sequence[str], candidates: Mapping[int, float] | None = None,
+                fold: str = "fold", label: str = "label", keys: Sequence[str] = ("entity_id",)) -> DataFrame:
+    """Scores (keys, fold, label, trial_id, p): out-of-fold for folded rows, full model for the rest."""
+    scored = fit_gaussian_nb(df, features, candidates, fold, label).score(df, fold)
+    return scored.select(*keys, fold, label, "trial_id", "p")
+
+
+def bernoulli_nb(df: DataFrame, features: Sequence[str],
+                 candidates: Mapping[int, tuple[float, float]] | None = None, fold: str = "fold",
+                 label: str = "label", keys: Sequence[str] = ("entity_id",)) -> DataFrame:
+    """As ``gaussian_nb``, on features cut to 0/1."""
+    scored = fit_bernoulli_nb(df, features, candidates, fold, label).score(df, fold)
+    return scored.select(*keys, fold, label, "trial_id", "p")
 
 
 def _log_odds(negatives: int, positives: int) -> float:
     if not negatives or not positives:
         raise ValueError("a training part holds one class only")
     return math.log(positives) - math.log(negatives)
-
-
-def _posterior(scored: DataFrame, features: Sequence[str], log_term, fold: str, label: str,
-               keys: Sequence[str]) -> DataFrame:
-    gain = [log_term(f, F.col("_c1")[f]) - log_term(f, F.col("_c0")[f]) for f in features]
-    return scored.select(*keys, fold, label, "trial_id", sigmoid(F.col("_prior") + add_all(gain)).alias("p"))

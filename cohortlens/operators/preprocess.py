@@ -91,9 +91,9 @@ def join_per_fold(df: DataFrame, rows: list[tuple], schema: str, fold: str = "fo
 
     The right side holds one entry per fold (and candidate), never per data row.
     """
-    table = df.sparkSession.createDataFrame(rows, f"_fold int, {schema}")
+    table = df.sparkSession.createDataFrame(rows, f"_left_out int, {schema}")
     use = F.lit(FULL) if leaky else F.coalesce(F.col(fold), F.lit(FULL))
-    return df.withColumn("_use", use).join(F.broadcast(table), F.col("_use") == F.col("_fold")).drop("_use", "_fold")
+    return df.withColumn("_use", use).join(F.broadcast(table), F.col("_use") == F.col("_left_out")).drop("_use", "_left_out")
 
 
 def fold_standardise(df: DataFrame, features: Sequence[str], fold: str = "fold",
@@ -116,6 +116,17 @@ def _zscore(feature: str, scale: Column) -> Column:
     return (F.coalesce(F.col(feature).cast("double"), scale["mean"]) - scale["mean"]) / scale["std"]
 
 
+def scale_by(df: DataFrame, stats: dict[tuple, Moments], features: Sequence[str]) -> DataFrame:
+    """Mean-impute and z-score every row with one set of training statistics, put in as literals."""
+    kept = [f for f in features if stats[(f,)].vals]
+    scaled = {
+        f: (F.coalesce(F.col(f).cast("double"), F.lit(stats[(f,)].mean)) - F.lit(stats[(f,)].mean))
+        / F.lit(stats[(f,)].filled_std)
+        for f in kept
+    }
+    return df.withColumns(scaled).drop(*[f for f in features if f not in kept])
+
+
 def fit_standardiser(df: DataFrame, features: Sequence[str], strategy: str = "mean") -> DataFrame:
     """Per feature: fill value (mean or exact median), then mean and deviation after filling."""
     stats = moments(df, [], features)

@@ -28,10 +28,16 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rank_trials(trials: DataFrame, by: Sequence[str] = ("model_type",), value: str = "value",
-                tie: str = "trial_id") -> DataFrame:
-    """0-based rank by objective value among the trials that finished."""
+                tie: str = "trial_id", top: int | None = None) -> DataFrame:
+    """0-based rank by objective value among the trials that finished; with ``top``, only the best.
+
+    A search has a few hundred trials. A larger table should be ranked with ``top``, which
+    Spark applies before the shuffle.
+    """
     best_first = Window.partitionBy(*by).orderBy(F.col(value).desc(), F.col(tie))
-    return valid_trials(trials, value).withColumn("rank", F.row_number().over(best_first) - 1)
+    position = valid_trials(trials, value).withColumn("rank", F.row_number().over(best_first))
+    kept = position if top is None else position.where(F.col("rank") <= top)
+    return kept.withColumn("rank", F.col("rank") - 1)
 
 
 def valid_trials(trials: DataFrame, value: str = "value", above: float | None = None) -> DataFrame:
