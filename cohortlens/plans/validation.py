@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.operators.bayes import fit_bernoulli_nb, fit_gaussian_nb
@@ -61,13 +61,13 @@ class FoldedData:
         return [self.key, self.label, self.fold]
 
 
-def in_parallel(job: Callable, items: Iterable, workers: int = 4) -> list:
+def in_parallel(spark: SparkSession, job: Callable, items: Iterable, workers: int = 4) -> list:
     """Run independent Spark jobs from a few driver threads; the cluster shares its slots."""
     items = list(items)
     if workers <= 1 or len(items) <= 1:
         return [job(i) for i in items]
     with ThreadPoolExecutor(workers) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job), i) for i in items]]
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(job), i) for i in items]]
 
 
 def oof_scores(data: FoldedData, learner: Learner, target: bool = False, workers: int = 4) -> DataFrame:
@@ -77,10 +77,10 @@ def oof_scores(data: FoldedData, learner: Learner, target: bool = False, workers
         train, valid = data.split(left_out)
         return learner.fit(train).score(valid).select(*data.keys(), "p")
 
-    return union_by_name(in_parallel(one, [*data.folds, *([FULL] if target else [])], workers))
+    return union_by_name(in_parallel(data.df.sparkSession, one, [*data.folds, *([FULL] if target else [])], workers))
 
 
-def oof_one_pass(data: FoldedData, family: str, candidates: Mapping[int, Mapping]) -> DataFrame:
+def oof_one_pass(data: FoldedData, family: str, candidates: Mapping[int, Mapping], workers: int = 4) -> DataFrame:
     """Out-of-fold scores of all candidates of a closed-form family, with their trial_id."""
     columns = [*data.keys(), "trial_id", "p"]
     source = data.df.where(F.col(data.fold).isNotNull())
@@ -92,16 +92,19 @@ def oof_one_pass(data: FoldedData, family: str, candidates: Mapping[int, Mapping
         settings = {t: (float(p.get("alpha", 1.0)), float(p.get("binarize", 0.0))) for t, p in candidates.items()}
         return fit_bernoulli_nb(source, data.features, settings, data.fold, data.label, data.scale).score(
             source, data.fold).select(*columns)
-    votes = []
-    for left_out in data.folds:
+    powers = sorted({int(p.get("p", 2)) for p in candidates.values()})
+
+    def vote(task: tuple[int, int]) -> DataFrame:
+        left_out, power = task
         train, valid = data.split(left_out)
-        for power in sorted({int(p.get("p", 2)) for p in candidates.values()}):
-            mine = {t: p for t, p in candidates.items() if int(p.get("p", 2)) == power}
-            k = max(int(p["n_neighbors"]) for p in mine.values())
-            near = stage(knn_join(valid, train, data.features, k, data.key, None, power, [data.label]))
-            for t, p in mine.items():
-                vote = neighbor_vote(near, int(p["n_neighbors"]), p.get("weights", "uniform"), data.key, data.label)
-                votes.append(vote.withColumn("trial_id", F.lit(t)))
+        mine = {t: p for t, p in candidates.items() if int(p.get("p", 2)) == power}
+        k = max(int(p["n_neighbors"]) for p in mine.values())
+        near = stage(knn_join(valid, train, data.features, k, data.key, None, power, [data.label]))
+        return union_by_name([
+            neighbor_vote(near, int(p["n_neighbors"]), p.get("weights", "uniform"), data.key, data.label)
+            .withColumn("trial_id", F.lit(t)) for t, p in mine.items()])
+
+    votes = in_parallel(data.df.sparkSession, vote, [(f, p) for f in data.folds for p in powers], workers)
     return source.select(*data.keys()).join(union_by_name(votes), data.key).select(*columns)
 
 
@@ -109,7 +112,7 @@ def oof_candidates(data: FoldedData, family: str, candidates: Mapping[int, Mappi
                    workers: int = 4) -> tuple[DataFrame | None, dict[int, str]]:
     """Scores of many candidates with trial_id, and the errors of those that failed."""
     if family in ONE_PASS and not data.past_only and not data.resample and not data.leaky:
-        return oof_one_pass(data, family, candidates), {}
+        return oof_one_pass(data, family, candidates, workers), {}
     parts, failed = [], {}
     for trial, params in candidates.items():
         learner = make_learner(family, params, data.features, label=data.label, key=data.key,
