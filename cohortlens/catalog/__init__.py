@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("cohort_queries", "threshold_queries", "learner_queries", "dynamics_queries", "trial_queries")
+MODULES = (
+    "cohort_queries", "threshold_queries", "learner_queries", "dynamics_queries", "fusion_queries", "trial_queries",
+)
 
 
 def query(sql: str | None = None, name: str | None = None):

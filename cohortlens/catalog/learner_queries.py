@@ -21,7 +21,8 @@ from cohortlens.plans.validation import FoldedData, oof_one_pass, oof_scores
 
 # --- naive Bayes ------------------------------------------------------------------------
 
-def gnb_sql(rows: str, train: str, trials: str = "(0, 0.0)", own: bool = False, name: str = "gnb") -> str:
+def gnb_sql(rows: str, train: str, trials: str = "(0, 0.0)", own: bool = False, name: str = "gnb",
+            per_fold: bool = True) -> str:
     """Gaussian naive Bayes as CTEs: ``rows`` are scored by statistics of ``train`` (aliases f, b).
 
     ``own``: smoothing is a share of each feature's own variance, else of the largest one.
@@ -35,11 +36,12 @@ def gnb_sql(rows: str, train: str, trials: str = "(0, 0.0)", own: bool = False,
 {name} as (select trial_id, entity_id, cohort, label, fold, 1 / (1 + exp(max(case when y = 0 then l end) - max(case when y = 1 then l end))) p
   from (select st.trial_id, f.entity_id, f.cohort, f.label, f.fold, st.label y, ln(n) - 0.5 * (ln(6.283185307179586 * v1) + (f.qty - m1) * (f.qty - m1) / v1)
         - 0.5 * (ln(6.283185307179586 * v2) + (f.n_lines - m2) * (f.n_lines - m2) / v2) l
-    from {rows} f join {name}_st st on {'f.fold = st.fold' if rows == 'fold' else 'true'})
+    from {rows} f join {name}_st st on {'f.fold = st.fold' if per_fold else 'true'})
   group by trial_id, entity_id, cohort, label, fold)"""
 
 
 OUT_OF_FOLD = "select b.fold, {cols} from fold f join (select distinct fold from fold) b on f.fold <> b.fold group by b.fold{more}"
+WHOLE_SOURCE = "select 0 fold, {cols} from fold f group by 1{more}"
 GNB = gnb_sql("fold", OUT_OF_FOLD)
 
 
@@ -49,7 +51,7 @@ def gnb_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {FOLD}, tgt as (select *, cast(null as int) fold from feat where cohort = 2001),
-{gnb_sql('tgt', 'select 0 fold, {cols} from fold f group by 1{more}')} select entity_id, label, {r('p')} p from gnb""")
+{gnb_sql('tgt', WHOLE_SOURCE, per_fold=False)} select entity_id, label, {r('p')} p from gnb""")
 def gnb_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The model of all source cohorts on the target cohort."""
     rows = source_folds(spark, sf_dir, target=True)

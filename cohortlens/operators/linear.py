@@ -72,7 +72,7 @@ def fit_discriminant(df: DataFrame, features: Sequence[str], label: str = "label
     pooled = within / (n[0] + n[1] - 2)
     direction = np.linalg.lstsq(pooled, mean[1] - mean[0], rcond=None)[0]
     offset = -0.5 * (mean[1] + mean[0]) @ direction + np.log(n[1] / n[0])
-    return LinearScore(dict(zip(features, direction)), float(offset))
+    return LinearScore(dict(zip(features, map(float, direction))), float(offset))
 
 
 def solve_ridge(cross: np.ndarray, alpha: float) -> tuple[np.ndarray, float]:

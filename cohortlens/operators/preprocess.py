@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.ranking import exact_median
 
-FULL = -1  # the "fold" that leaves nothing out: statistics of every source row
+FULL = -999  # the "fold" that leaves nothing out: statistics of every source row
 
 
 @dataclass(frozen=True)
@@ -67,8 +67,15 @@ def moments(df: DataFrame, by: Sequence[str], features: Sequence[str]) -> DataFr
     )
 
 
-def fold_moments(df: DataFrame, features: Sequence[str], fold: str = "fold",
-                 label: str | None = None) -> dict[int, dict[tuple, Moments]]:
+def trains(fold: int, left_out: int, past_only: bool = False, parts: int = 2) -> bool:
+    """Whether rows of ``fold`` are training rows when ``left_out`` validates."""
+    if left_out == FULL:
+        return True
+    return fold // parts < left_out // parts if past_only else fold != left_out
+
+
+def fold_moments(df: DataFrame, features: Sequence[str], fold: str = "fold", label: str | None = None,
+                 past_only: bool = False, parts: int = 2) -> dict[int, dict[tuple, Moments]]:
     """Training statistics per left-out fold: {fold: {(label, feature): Moments}}; FULL leaves out none.
 
     Without a label the inner key is (feature,).
@@ -78,9 +85,12 @@ def fold_moments(df: DataFrame, features: Sequence[str], fold: str = "fold",
     for r in moments(df.where(F.col(fold).isNotNull()), by, features).collect():
         key = (r[label], r["feature"]) if label else (r["feature"],)
         own[key][r[fold]] = Moments(r["rows"], r["vals"], r["mean"], r["m2"])
-    folds = {f for parts in own.values() for f in parts} | {FULL}
+    folds = {f for found in own.values() for f in found} | {FULL}
     return {
-        left_out: {key: merge(m for f, m in parts.items() if f != left_out) for key, parts in own.items()}
+        left_out: {
+            key: merge(m for f, m in found.items() if trains(f, left_out, past_only, parts))
+            for key, found in own.items()
+        }
         for left_out in folds
     }
 

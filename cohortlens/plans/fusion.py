@@ -16,21 +16,26 @@ from cohortlens.operators.preprocess import FULL
 from cohortlens.operators.threshold import carry_threshold, threshold_sweep
 from cohortlens.plans.candidates import fusion_space
 from cohortlens.plans.search import FUSION_GOAL, Goal, constrained_search, evaluate_on_target, sort_report
-from cohortlens.plans.validation import FoldedData, oof_scores
+from cohortlens.plans.validation import FoldedData, oof_scores, score_closed_form
 from cohortlens.session import stage
 from cohortlens.sources.cohorts import union_by_name
 from cohortlens.sources.trials import rank_trials, valid_trials
 
 
-def meta_scores(data: FoldedData, models: Mapping[str, tuple[str, Mapping]], workers: int = 4) -> DataFrame:
+def meta_scores(data: FoldedData, models: Mapping[str, tuple], workers: int = 4) -> DataFrame:
     """Long scores (key, label, fold, model_id, p): out-of-fold for the source, full refit for the target.
 
-    ``models``: {model id: (family, parameters)}.
+    ``models``: {model id: (family, parameters)} or (family, parameters, features). Naive Bayes
+    scores source and target rows in one pass; other families are fitted per fold.
     """
     parts = []
-    for model_id, (family, params) in models.items():
-        learner = make_learner(family, params, data.features, label=data.label, key=data.key)
-        parts.append(oof_scores(data, learner, target=True, workers=workers).withColumn("model_id", F.lit(model_id)))
+    for model_id, (family, params, *own) in models.items():
+        mine = data.on(own[0]) if own else data
+        scored = score_closed_form(mine, family, params)
+        if scored is None:
+            learner = make_learner(family, params, mine.features, label=data.label, key=data.key)
+            scored = oof_scores(mine, learner, target=True, workers=workers)
+        parts.append(scored.select(*data.keys(), "p", F.lit(model_id).alias("model_id")))
     return stage(union_by_name(parts))
 
 
@@ -89,7 +94,7 @@ def stack(meta: FoldedData, method: str, goal: Goal = FUSION_GOAL, n_trials: int
     return report.join(F.broadcast(tops), "model_id", "left")  # one row
 
 
-def run_fusion(data: FoldedData, models: Mapping[str, tuple[str, Mapping]], strategy: str = "stacking",
+def run_fusion(data: FoldedData, models: Mapping[str, tuple], strategy: str = "stacking",
                methods: Sequence[str] = K.FUSION_METHODS, goal: Goal = FUSION_GOAL, passthrough: bool = False,
                n_trials: int = K.FUSION_TRIALS, n_random: int = K.FUSION_RANDOM_TRIALS, top: int = K.FUSION_TOP,
                spaces: Mapping | None = None, workers: int = 4) -> DataFrame:

@@ -135,8 +135,5 @@ def run_search(data: FoldedData, families: Sequence[str] = K.BASE_METHODS, space
 
 def search_selected(data: FoldedData, importance: DataFrame, n: int = K.SELECT_FEATURES) -> FoldedData:
     """The same folds on the n most important features, for a second search."""
-    chosen = set(top_features(importance, n))
-    kept = [f for f in data.features if f in chosen]
-    if not kept:
-        return data
-    return FoldedData(data.df, kept, data.label, data.key, data.fold, data.scale, data.leaky, data.past_only, data.resample)
+    part = data.on(top_features(importance, n))
+    return part if part.features else data

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from copy import copy
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators.bayes import fit_bernoulli_nb, fit_gaussian_nb
+from cohortlens.operators.bayes import BayesModel, fit_bernoulli_nb, fit_gaussian_nb
 from cohortlens.operators.folds import train_rows, valid_rows
 from cohortlens.operators.learners import Learner, make_learner
 from cohortlens.operators.neighbors import knn_join, neighbor_vote
-from cohortlens.operators.preprocess import FULL, Moments, fold_moments, scale_by
+from cohortlens.operators.preprocess import FULL, Moments, fold_moments, scale_by, trains
 from cohortlens.operators.resample import borderline_smote, smote, with_synthetic
 from cohortlens.session import stage
 from cohortlens.sources.cohorts import union_by_name
@@ -25,19 +26,21 @@ RESAMPLERS = {"regular": smote, "borderline": borderline_smote}
 class FoldedData:
     """Source rows with folds (and target rows without) plus training statistics per fold.
 
+    A negative fold never validates but always trains. ``past_only`` trains on earlier cohorts
+    (``parts`` folds each) only; ``leaky`` scales by all source rows; ``resample`` oversamples
+    the training rows.
     The rows should be a staged table: every fold and every trial reads them again.
     """
 
     def __init__(self, df: DataFrame, features: Sequence[str], label: str = "label", key: str = "entity_id",
                  fold: str = "fold", scale: bool = True, leaky: bool = False, past_only: bool = False,
-                 resample: str | None = None):
+                 parts: int = 2, resample: str | None = None):
         self.df, self.features, self.label, self.key, self.fold = df, list(features), label, key, fold
-        self.scale, self.leaky, self.past_only, self.resample = scale, leaky, past_only, resample
-        self.stats: Mapping[int, dict[tuple, Moments]] = fold_moments(df, features, fold) if scale else {}
-        folds = df.where(F.col(fold) >= 0).select(fold).distinct().collect()  # a few dozen at most
-        self.folds = sorted(r[fold] for r in folds)
-        if past_only:
-            self.folds = [f for f in self.folds if f >= 2]
+        self.scale, self.leaky, self.past_only, self.parts, self.resample = scale, leaky, past_only, parts, resample
+        self.stats: Mapping[int, dict[tuple, Moments]] = (
+            fold_moments(df, features, fold, past_only=past_only, parts=parts) if scale else {})
+        known = [r[fold] for r in df.where(F.col(fold).isNotNull()).select(fold).distinct().collect()]  # a few dozen
+        self.folds = sorted(f for f in known if f >= 0 and any(trains(g, f, past_only, parts) for g in known))
 
     def scaled(self, left_out: int) -> DataFrame:
         if not self.scale:
@@ -51,7 +54,7 @@ class FoldedData:
         if left_out == FULL:
             train, valid = source, rows.where(F.col(self.fold).isNull())
         else:
-            train, valid = train_rows(source, left_out, self.past_only), valid_rows(source, left_out)
+            train, valid = train_rows(source, left_out, self.past_only, self.parts), valid_rows(source, left_out)
         if self.resample:
             made = RESAMPLERS[self.resample](train, self.features, self.label, self.key)
             train = with_synthetic(train, made, self.key)
@@ -60,6 +63,17 @@ class FoldedData:
     def keys(self) -> list[str]:
         return [self.key, self.label, self.fold]
 
+    def on(self, features: Sequence[str]) -> FoldedData:
+        """The same rows and folds on some of the features; their statistics are kept."""
+        part = copy(self)
+        part.features = [f for f in self.features if f in set(features)]
+        return part
+
+    @property
+    def plain(self) -> bool:
+        """Every fold trains on all other source rows as they are."""
+        return not (self.past_only or self.resample or self.leaky)
+
 
 def in_parallel(spark: SparkSession, job: Callable, items: Iterable, workers: int = 4) -> list:
     """Run independent Spark jobs from a few driver threads; the cluster shares its slots."""
@@ -80,18 +94,28 @@ def oof_scores(data: FoldedData, learner: Learner, target: bool = False, workers
     return union_by_name(in_parallel(data.df.sparkSession, one, [*data.folds, *([FULL] if target else [])], workers))
 
 
+def _fit_bayes(data: FoldedData, family: str, candidates: Mapping[int, Mapping]) -> BayesModel:
+    if family == "GNB":
+        smoothing = {t: float(p.get("var_smoothing", 1e-9)) for t, p in candidates.items()}
+        return fit_gaussian_nb(data.df, data.features, smoothing, data.fold, data.label, data.scale)
+    settings = {t: (float(p.get("alpha", 1.0)), float(p.get("binarize", 0.0))) for t, p in candidates.items()}
+    return fit_bernoulli_nb(data.df, data.features, settings, data.fold, data.label, data.scale)
+
+
+def score_closed_form(data: FoldedData, family: str, params: Mapping) -> DataFrame | None:
+    """Naive Bayes scores of all rows at once, out-of-fold and target; None for other families."""
+    if family not in ("GNB", "BNB") or not data.plain:
+        return None
+    rows = data.df.where(F.col(data.fold).isNull() | (F.col(data.fold) >= 0))
+    return _fit_bayes(data, family, {0: params}).score(rows, data.fold)
+
+
 def oof_one_pass(data: FoldedData, family: str, candidates: Mapping[int, Mapping], workers: int = 4) -> DataFrame:
     """Out-of-fold scores of all candidates of a closed-form family, with their trial_id."""
     columns = [*data.keys(), "trial_id", "p"]
-    source = data.df.where(F.col(data.fold).isNotNull())
-    if family == "GNB":
-        smoothing = {t: float(p.get("var_smoothing", 1e-9)) for t, p in candidates.items()}
-        return fit_gaussian_nb(source, data.features, smoothing, data.fold, data.label, data.scale).score(
-            source, data.fold).select(*columns)
-    if family == "BNB":
-        settings = {t: (float(p.get("alpha", 1.0)), float(p.get("binarize", 0.0))) for t, p in candidates.items()}
-        return fit_bernoulli_nb(source, data.features, settings, data.fold, data.label, data.scale).score(
-            source, data.fold).select(*columns)
+    source = data.df.where(F.col(data.fold) >= 0)
+    if family != "KNN":
+        return _fit_bayes(data, family, candidates).score(source, data.fold).select(*columns)
     powers = sorted({int(p.get("p", 2)) for p in candidates.values()})
 
     def vote(task: tuple[int, int]) -> DataFrame:
@@ -111,7 +135,7 @@ def oof_one_pass(data: FoldedData, family: str, candidates: Mapping[int, Mapping
 def oof_candidates(data: FoldedData, family: str, candidates: Mapping[int, Mapping],
                    workers: int = 4) -> tuple[DataFrame | None, dict[int, str]]:
     """Scores of many candidates with trial_id, and the errors of those that failed."""
-    if family in ONE_PASS and not data.past_only and not data.resample and not data.leaky:
+    if family in ONE_PASS and data.plain:
         return oof_one_pass(data, family, candidates, workers), {}
     parts, failed = [], {}
     for trial, params in candidates.items():
