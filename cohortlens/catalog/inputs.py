@@ -51,7 +51,7 @@ FEAT = """feat as (
 
 def source_folds(spark: SparkSession, sf_dir: str, target: bool = False) -> DataFrame:
     """Folded source orders as a staged table; with ``target``, also the target's, fold NULL."""
-    feat = orders_with_features(spark, sf_dir)
+    feat = stage(orders_with_features(spark, sf_dir))
     folded = assign_folds(feat.where(F.col("cohort") < TARGET_YEAR), SOURCE_YEARS)
     if target:
         folded = folded.unionByName(

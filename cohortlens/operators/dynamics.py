@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.joins import attach
-from cohortlens.operators.ranking import exact_median, prefix_totals, range_cuts
+from cohortlens.operators.ranking import exact_median, range_cuts, ranks_within
 from cohortlens.session import stage
 
 MAD_SCALE = 1.4826
@@ -74,17 +74,14 @@ def acceleration_features(series: DataFrame, entity: str, period: str = "period"
 def procrastination_rank(events: DataFrame, entity: str, task: Sequence[str], time: str) -> DataFrame:
     """Mean percent rank of completion within each task, per entity.
 
-    Completions are counted per (task, time); ranks are prefix sums over ranges of time, so a
-    task that holds most of the data is still ranked by many tasks.
+    Ranks are taken inside ranges of time and shifted by the counts of earlier ranges, so a
+    task, or a moment, that holds most of the data is still ranked by many tasks.
     """
     task = list(task)
-    counted = events.groupBy(*task, time, entity).agg(F.count(F.lit(1)).alias("m"))
-    counted = stage(counted)
-    times = counted.groupBy(*task, time).agg(F.sum("m").alias("n"))
-    placed = prefix_totals(times, task, time, ["n"], range_cuts(counted, time))
-    rank = F.coalesce(F.try_divide(F.col("n_before"), (F.col("n_all") - 1).cast("double")), F.lit(0.0))
-    ranked = attach(counted, placed.select(*task, time, rank.alias("pr")), [*task, time], [entity])
-    return ranked.groupBy(entity).agg((F.sum(F.col("m") * F.col("pr")) / F.sum("m")).alias("rpi"))
+    counted = stage(events.groupBy(*task, time, entity).agg(F.count(F.lit(1)).alias("m")))
+    ranked = ranks_within(counted, task, time, "m", entity, range_cuts(counted, time))
+    rank = F.coalesce(F.try_divide(F.col("before"), (F.col("all") - 1).cast("double")), F.lit(0.0))
+    return ranked.groupBy(entity).agg((F.sum(F.col("m") * rank) / F.sum("m")).alias("rpi"))
 
 
 def procrastination_robust(events: DataFrame, entity: str, task: Sequence[str], delay: str) -> DataFrame:

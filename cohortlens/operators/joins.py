@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+HOT_SHARE = 1000
 SALTS = 64
 
 
@@ -16,14 +17,27 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], salt: Sequenc
     """Inner join of ``rows`` with a table unique in ``keys``.
 
     Up to ``max_rows`` entries (fetched with that limit, so counted) the table is broadcast.
-    Beyond it both sides are shuffled: rows are spread by a hash of the ``salt`` columns and
-    each table entry is repeated per salt, so a key with a third of all rows is split evenly.
+    Beyond it both sides are shuffled. Keys that hold more than a thousandth of all rows, of
+    which there are fewer than a thousand, are spread by a hash of the ``salt`` columns and
+    their table entries repeated; all other keys are joined as they are.
     """
     keys = list(keys)
     found = table.limit(max_rows + 1).collect()
     if len(found) <= max_rows:
         small = rows.sparkSession.createDataFrame(found, table.schema)
         return rows.join(F.broadcast(small), keys)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    return _salted(rows, table, keys, salt)
+
+
+def _salted(rows: DataFrame, table: DataFrame, keys: list[str], salt: Sequence[str]) -> DataFrame:
+    total = rows.count()
+    crowded = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT_SHARE > total)
+    found = crowded.collect()  # fewer than HOT_SHARE rows, by their definition
+    if not found:
+        return rows.join(table, keys)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, crowded.schema).withColumnRenamed("_n", "_hot"))
+    part = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = rows.join(hot, keys, "left").withColumn("_salt", part).drop("_hot")
+    repeated = table.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return spread.join(repeated, [*keys, "_salt"]).drop("_salt")

@@ -12,6 +12,7 @@ into chunks by a hash of their key.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -26,9 +27,9 @@ from cohortlens.session import stage
 
 CELL_ROWS = 4096
 CHUNK_ROWS = 16384
-MAX_CELLS = 4096
-SAMPLE_PER_CELL = 16
-BLOCK = 512
+MAX_CELLS = 65536
+SAMPLE_PER_CELL = 8
+BLOCK_PAIRS = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -54,30 +55,33 @@ class CellTree:
 def grow_cells(sample: np.ndarray, cells: int) -> CellTree:
     """Split the largest cell at the median of its widest feature until there are enough cells."""
     feature, value, child, members = [0], [0.0], [-1], {0: np.arange(len(sample))}
-    leaves, closed = [0], set()
-    while len(leaves) < cells:
-        open_leaves = [n for n in leaves if n not in closed and len(members[n]) > 1]
-        if not open_leaves:
-            break
-        node = max(open_leaves, key=lambda n: len(members[n]))
+    queue = [(-len(sample), 0)]  # cells that can still be split, largest first
+    leaves = 1
+    while queue and leaves < cells:
+        _, node = heapq.heappop(queue)
         rows = sample[members[node]]
-        widest = int(np.argmax(rows.max(axis=0) - rows.min(axis=0)))
-        cut = float(np.median(rows[:, widest]))
+        widest = int(np.argmax(rows.max(axis=0) - rows.min(axis=0))) if len(rows) > 1 else 0
+        cut = float(np.median(rows[:, widest])) if len(rows) > 1 else 0.0
         right = rows[:, widest] > cut
         if not right.any():  # more than half share the largest value: cut just below it
             cut = float(np.max(rows[:, widest][rows[:, widest] < cut], initial=-np.inf))
             right = rows[:, widest] > cut
         if right.all() or not right.any():
-            closed.add(node)
             continue
         feature[node], value[node], child[node] = widest, cut, len(feature)
         for part in (~right, right):
             members[len(feature)] = members[node][part]
-            leaves.append(len(feature))
+            heapq.heappush(queue, (-int(part.sum()), len(feature)))
             feature.append(0), value.append(0.0), child.append(-1)
-        leaves.remove(node)
-    cell = np.full(len(feature), -1)
-    cell[leaves] = np.arange(len(leaves))
+        del members[node]
+        leaves += 1
+    cell, order, seen = np.full(len(feature), -1), [0], 0
+    while order:  # number the leaves depth first, so that neighbours in number are close in space
+        node = order.pop()
+        if child[node] < 0:
+            cell[node], seen = seen, seen + 1
+        else:
+            order += [child[node] + 1, child[node]]
     return CellTree(np.array(feature), np.array(value), np.array(child), cell)
 
 
@@ -187,18 +191,32 @@ def _boxes(located: DataFrame, d: int) -> list:
 
 
 def _cells_within(boxes: list, k: int, p: int):
-    """Other cells that may hold a point at most as far away as the k-th found so far."""
+    """Other cells that may hold a point at most as far away as the k-th found so far.
+
+    Cells next to each other in number share an outer box, which is tested first.
+    """
+    boxes = sorted(boxes)
     cell = np.array([b[0] for b in boxes])
     low, high = (np.array([b[i] for b in boxes]) for i in (1, 2))
+    width = max(1, int(len(boxes) ** 0.5))
+    starts = np.arange(0, len(boxes), width)
+    outer_low, outer_high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
+
+    def gap_to(point, lo, hi):
+        return _minkowski(np.maximum(np.maximum(lo - point, point - hi), 0.0), p)
 
     @F.pandas_udf("array<int>")
     def within(x: pd.Series, home: pd.Series, raw: pd.Series) -> pd.Series:
         out = []
         for point, own, found in zip(x, home, raw):
             bound = found[k - 1] if len(found) >= k else np.inf
-            gap = np.maximum(np.maximum(low - point, point - high), 0.0)
-            near = _minkowski(gap, p) <= bound
-            out.append(cell[near & (cell != own)].astype("int32"))
+            groups = starts[gap_to(point, outer_low, outer_high) <= bound]
+            some = np.concatenate([np.arange(g, min(g + width, len(cell))) for g in groups]) if len(groups) else []
+            near = [i for i in some if cell[i] != own]
+            if near:
+                near = np.array(near)
+                near = near[gap_to(point, low[near], high[near]) <= bound]
+            out.append([int(cell[i]) for i in near])
         return pd.Series(out)
     return within
 
@@ -214,7 +232,7 @@ def _minkowski(gap: np.ndarray, p: int) -> np.ndarray:
 def _search(asked: DataFrame, located: DataFrame, k: int, p: int, key: str, payload: Sequence[str],
             chunk_rows: int, schema: T.StructType, carry: bool = False) -> DataFrame:
     """Nearest k within the cell each query asks for, chunk by chunk."""
-    sizes = {r["_cell"]: r["count"] for r in asked.groupBy("_cell").count().collect()}  # <= MAX_CELLS
+    sizes = {r["_cell"]: r["count"] for r in asked.groupBy("_cell").count().collect()}  # one row per cell
     chunks = {c: -(-n // chunk_rows) for c, n in sizes.items()}
     parts = _chunks_of(chunks)
     chunked = asked.withColumn("_part", F.pmod(F.xxhash64(key), parts).cast("int"))
@@ -229,10 +247,11 @@ def _search(asked: DataFrame, located: DataFrame, k: int, p: int, key: str, payl
             x, y = np.stack(q["_x"].to_numpy()), np.stack(c["_x"].to_numpy())
             columns = {n: c[n].to_numpy() for n in ("neighbor", *payload)}
             bans = (q["_ban"].to_numpy(), c["_ban"].to_numpy()) if c["_ban"].notna().any() else None
-            for start in range(0, len(x), BLOCK):
-                raw = _minkowski(x[start:start + BLOCK, None, :] - y[None, :, :], p)
+            block = max(1, BLOCK_PAIRS // (len(y) * x.shape[1]))
+            for start in range(0, len(x), block):
+                raw = _minkowski(x[start:start + block, None, :] - y[None, :, :], p)
                 if bans is not None:
-                    raw[bans[0][start:start + BLOCK, None] == bans[1][None, :]] = np.inf
+                    raw[bans[0][start:start + block, None] == bans[1][None, :]] = np.inf
                 order = np.argsort(raw, axis=1, kind="stable")[:, :k]  # equal distances stay in key order
                 for row, chosen in zip(raw, order):
                     chosen = chosen[np.isfinite(row[chosen])]

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.scalars import double_array
 
-BUCKETS = 256
+BUCKETS = 1024
+SPREAD = 64
 
 
 def hash_order(key: str | Column, seed: int = 42) -> Column:
@@ -94,6 +95,38 @@ def prefix_totals(
     return joined.drop("_bucket")
 
 
+def ranks_within(rows: DataFrame, by: Sequence[str], value: str, weight: str, salt: str,
+                 cuts: Sequence[float]) -> DataFrame:
+    """Add to each row the weight of strictly smaller values in its group, and of the whole group.
+
+    Rows need not be unique in the value: one that is itself a cut may be held by many rows,
+    so it has a bucket of its own, spread by a hash of ``salt``; its rows are all peers and
+    have nothing below them inside the bucket. Adds ``before`` and ``all``.
+    """
+    by = list(by)
+    placed = _heavy_apart(rows, value, cuts)
+    spread = F.pmod(F.xxhash64(salt), F.lit(SPREAD)).cast("int")
+    placed = placed.withColumn("_s", F.when(F.col("_heavy"), spread).otherwise(0))
+    peers = Window.partitionBy(*by, "_b", "_s").orderBy(value)
+    up_to = F.sum(weight).over(peers.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    equal = F.sum(weight).over(peers.rangeBetween(Window.currentRow, Window.currentRow))
+    local = placed.withColumn("_in", F.when(F.col("_heavy"), 0).otherwise(up_to - equal))
+    totals = placed.groupBy(*by, "_b", "_heavy").agg(F.sum(weight).alias("_w"))
+    parts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    offsets = _offsets(totals, by, "_b", ["_w"]).withColumn("_s", F.explode(parts)).select(
+        *by, "_b", "_s", "_w_before", "_w_all")
+    joined = _join_null_safe(local, offsets, [*by, "_b", "_s"])
+    return joined.withColumns({"before": F.col("_w_before") + F.col("_in"), "all": F.col("_w_all")}).drop(
+        "_b", "_s", "_heavy", "_in", "_w_before", "_w_all")
+
+
+def _heavy_apart(rows: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
+    """Number the ranges in ``_b`` so that a value that is a cut is alone in its bucket (``_heavy``)."""
+    heavy = F.array_contains(double_array(cuts), F.col(value).cast("double")) if cuts else F.lit(False)
+    numbered = with_bucket(rows, value, cuts, "_b").withColumn("_heavy", heavy)
+    return numbered.withColumn("_b", F.col("_b") * 2 + F.when(F.col("_heavy"), 0).otherwise(1))
+
+
 def exact_median(df: DataFrame, by: Sequence[str], value: str, out: str = "median",
                  cuts: Sequence[float] | None = None) -> DataFrame:
     """Exact median per group, found by position among counted values."""
@@ -117,13 +150,8 @@ def order_positions(df: DataFrame, order: str, key: str, seed: int = 42,
     own that the hash digits split further. Every other bucket lies between two cuts.
     """
     cuts = range_cuts(df, order) if cuts is None else list(cuts)
-    value = F.col(order).cast("double")
-    heavy = F.array_contains(double_array(cuts), value) if cuts else F.lit(False)
-    placed = with_bucket(df, order, cuts, "_b").withColumn("_h", hash_order(key, seed))
-    placed = (
-        placed.withColumn("_b", F.col("_b") * 2 + F.when(heavy, 0).otherwise(1))
-        .withColumn("_s", F.when(heavy, F.substring("_h", 1, 3)).otherwise(F.lit("")))
-    )
+    placed = _heavy_apart(df, order, cuts).withColumn("_h", hash_order(key, seed))
+    placed = placed.withColumn("_s", F.when(F.col("_heavy"), F.substring("_h", 1, 3)).otherwise(F.lit("")))
     counts = placed.groupBy("_b", "_s").agg(F.count(F.lit(1)).alias("_n"))
     # at most 2 * BUCKETS * 4096 rows, whatever the size of df
     running = Window.orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,7 +164,7 @@ def order_positions(df: DataFrame, order: str, key: str, seed: int = 42,
         placed.withColumn("_r", F.row_number().over(inside) - 1)
         .join(offsets, ["_b", "_s"])
         .withColumn(position, F.col("_r") + F.col("_before"))
-        .drop("_b", "_s", "_h", "_r", "_before")
+        .drop("_b", "_s", "_h", "_r", "_before", "_heavy")
     )
 
 
