@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import add_all
 from cohortlens.functions.scalars import double_array, sigmoid
-from cohortlens.operators.preprocess import FULL, fold_moments, join_per_fold, long_form, merge
+from cohortlens.operators.preprocess import FULL, Moments, fold_moments, join_per_fold, long_form, merge
 
 TWO_PI = 6.283185307179586
 
@@ -30,13 +30,13 @@ class BayesModel:
         """Add trial_id and p: out-of-fold where the row has a fold, else by the full model."""
         joined = join_per_fold(df, self.rows, self.schema, fold)
         p = sigmoid(F.col("_prior") + add_all([self.log_ratio(f) for f in self.features]))
-        return joined.withColumn("p", p).drop("_prior", "_cut", "_c0", "_c1")
+        return joined.withColumn("p", p).drop("_prior", "_fill", "_cut", "_c0", "_c1")
 
 
 def fit_gaussian_nb(df: DataFrame, features: Sequence[str], candidates: Mapping[int, float] | None = None,
                     fold: str = "fold", label: str = "label", standardise: bool = False) -> BayesModel:
     """``candidates`` map trial ids to ``var_smoothing``: that share of the largest feature
-    variance is added to each variance. Features must not be missing.
+    variance is added to each variance. Missing values count as the training mean.
 
     ``standardise`` fits as on features z-scored with the training statistics of each fold.
     Densities do not change under scaling, so only the smoothing does: it becomes a share of
@@ -44,27 +44,32 @@ def fit_gaussian_nb(df: DataFrame, features: Sequence[str], candidates: Mapping[
     """
     rows = []
     for left_out, stats in fold_moments(df, features, fold, label).items():
-        seen = [stats[(y, features[0])].rows for y in (0, 1)]
+        own = {(y, f): stats.get((y, f), Moments()) for y in (0, 1) for f in features}
+        seen = [own[(y, features[0])].rows for y in (0, 1)]
         if not sum(seen):
             continue  # the only fold there is
-        overall = {f: merge(stats[(y, f)] for y in (0, 1)).variance for f in features}
+        fill = {f: merge(own[(y, f)] for y in (0, 1)).mean for f in features}
+        whole = {key: m.filled(fill[key[1]]) for key, m in own.items()}
+        overall = {f: merge(whole[(y, f)] for y in (0, 1)).variance for f in features}
         if not standardise:
             overall = dict.fromkeys(features, max(overall.values()))
         for trial, smoothing in (candidates or {0: 0.0}).items():
             params = [
-                {f: (stats[(y, f)].mean, stats[(y, f)].variance + smoothing * overall[f]) for f in features}
+                {f: (whole[(y, f)].mean, whole[(y, f)].variance + smoothing * overall[f]) for f in features}
                 for y in (0, 1)
             ]
-            rows.append((left_out, trial, _log_odds(*seen), *params))
+            rows.append((left_out, trial, _log_odds(*seen), fill, *params))
 
     def log_ratio(f: str) -> Column:
+        x = F.coalesce(F.col(f).cast("double"), F.col("_fill")[f])
+
         def density(params: Column) -> Column:
-            gap = F.col(f).cast("double") - params["mean"]
+            gap = x - params["mean"]
             return F.lit(-0.5) * (F.log(F.lit(TWO_PI) * params["var"]) + gap * gap / params["var"])
         return density(F.col("_c1")[f]) - density(F.col("_c0")[f])
 
     per_feature = "map<string,struct<mean:double,var:double>>"
-    schema = f"trial_id int, _prior double, _c0 {per_feature}, _c1 {per_feature}"
+    schema = f"trial_id int, _prior double, _fill map<string,double>, _c0 {per_feature}, _c1 {per_feature}"
     return BayesModel(rows, schema, tuple(features), log_ratio)
 
 
@@ -74,7 +79,8 @@ def fit_bernoulli_nb(df: DataFrame, features: Sequence[str],
     """``candidates`` map trial ids to (alpha, binarize cut).
 
     With ``standardise`` the cut is on z-scores with the training statistics of each fold, so
-    every fold has its own cut on the raw value and its training rows are counted at it.
+    every fold has its own cut on the raw value and its training rows are counted at it;
+    missing values count as the training mean.
     """
     candidates = candidates or {0: (1.0, 0.0)}
     cuts = sorted({float(cut) for _, cut in candidates.values()})
@@ -83,8 +89,10 @@ def fit_bernoulli_nb(df: DataFrame, features: Sequence[str],
         stats = fold_moments(df, features, fold)
         raw = {(left_out, f, c): m[(f,)].mean + c * m[(f,)].filled_std
                for left_out, m in stats.items() for f in features for c in cuts}
-        counts = _counts_per_fold(source, features, raw, fold, label)
+        fill = {left_out: {f: m[(f,)].mean for f in features} for left_out, m in stats.items()}
+        counts = _counts_per_fold(source, features, raw, fill, fold, label)
     else:
+        fill = None
         counts = _counts_once(source, features, cuts, fold, label)
         raw = {(left_out, f, c): c for left_out in counts for f in features for c in cuts}
     rows = []
@@ -99,15 +107,15 @@ def fit_bernoulli_nb(df: DataFrame, features: Sequence[str],
                     seen[y] = n
             if sum(seen):
                 at = {f: raw[(left_out, f, float(cut))] for f in features}
-                rows.append((left_out, trial, _log_odds(*seen), at, *params))
+                rows.append((left_out, trial, _log_odds(*seen), fill and fill[left_out], at, *params))
 
     def log_ratio(f: str) -> Column:
-        above = F.col(f).cast("double") > F.col("_cut")[f]
+        above = F.coalesce(F.col(f).cast("double"), F.col("_fill")[f]) > F.col("_cut")[f]
         mass = lambda params: F.when(above, params["yes"]).otherwise(params["no"])
         return mass(F.col("_c1")[f]) - mass(F.col("_c0")[f])
 
     per_feature = "map<string,struct<yes:double,no:double>>"
-    schema = f"trial_id int, _prior double, _cut map<string,double>, _c0 {per_feature}, _c1 {per_feature}"
+    schema = f"trial_id int, _prior double, _fill map<string,double>, _cut map<string,double>, _c0 {per_feature}, _c1 {per_feature}"
     return BayesModel(rows, schema, tuple(features), log_ratio)
 
 
@@ -132,15 +140,16 @@ def _counts_once(source: DataFrame, features: Sequence[str], cuts: Sequence[floa
     return {**rest, FULL: dict(total)}
 
 
-def _counts_per_fold(source: DataFrame, features: Sequence[str], raw: Mapping, fold: str, label: str) -> dict:
+def _counts_per_fold(source: DataFrame, features: Sequence[str], raw: Mapping, fill: Mapping, fold: str,
+                     label: str) -> dict:
     """The same where each left-out fold has its own raw cut; folds x features x cuts entries are broadcast."""
     table = source.sparkSession.createDataFrame(
-        [(f, left_out, c, at) for (left_out, f, c), at in raw.items()],
-        "feature string, left_out int, cut double, at double")
+        [(f, left_out, c, at, fill[left_out][f]) for (left_out, f, c), at in raw.items()],
+        "feature string, left_out int, cut double, at double, fill double")
     counted = (
         long_form(source, [fold, label], features).join(F.broadcast(table), "feature")
         .where(F.col(fold) != F.col("left_out")).groupBy("left_out", label, "feature", "cut")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > F.col("at")).alias("ones"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("value", "fill") > F.col("at")).alias("ones"))
         .collect()
     )
     out: dict[int, dict] = defaultdict(dict)

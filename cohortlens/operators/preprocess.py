@@ -40,6 +40,16 @@ class Moments:
         return std if std > 0 else 1.0
 
 
+    def filled(self, value: float) -> Moments:
+        """Moments after every gap was filled with one value."""
+        gaps = self.rows - self.vals
+        if not gaps:
+            return self
+        mean = (self.vals * self.mean + gaps * value) / self.rows
+        m2 = self.m2 + self.vals * gaps / self.rows * (self.mean - value) ** 2
+        return Moments(self.rows, self.rows, mean, m2)
+
+
 def merge(parts: Iterable[Moments]) -> Moments:
     parts = [p for p in parts if p.rows]
     vals = sum(p.vals for p in parts)

@@ -76,7 +76,8 @@ def _value(name: str, values: Sequence, u: float, rules: str):
         if log:
             return min(high, int(math.exp(math.log(low) + u * (math.log(high + 1) - math.log(low)))))
         return min(high, low + int(u * (high - low + 1)))
-    return math.exp(math.log(low) + u * (math.log(high) - math.log(low))) if log else low + u * (high - low)
+    value = math.exp(math.log(low) + u * (math.log(high) - math.log(low))) if log else low + u * (high - low)
+    return min(max(value, low), high)
 
 
 def _position(value: float, low: float, high: float, log: bool) -> float:
