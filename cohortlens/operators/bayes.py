@@ -24,12 +24,12 @@ class BayesModel:
     rows: list[tuple]
     schema: str
     features: tuple[str, ...]
-    log_ratio: Callable[[str], Column]
+    log_ratio: Callable[[str, int], Column]
 
     def score(self, df: DataFrame, fold: str = "fold") -> DataFrame:
         """Add trial_id and p: out-of-fold where the row has a fold, else by the full model."""
         joined = join_per_fold(df, self.rows, self.schema, fold)
-        p = sigmoid(F.col("_prior") + add_all([self.log_ratio(f) for f in self.features]))
+        p = sigmoid(F.col("_prior") + add_all([self.log_ratio(f, i) for i, f in enumerate(self.features)]))
         return joined.withColumn("p", p).drop("_prior", "_fill", "_cut", "_c0", "_c1")
 
 
@@ -55,21 +55,21 @@ def fit_gaussian_nb(df: DataFrame, features: Sequence[str], candidates: Mapping[
             overall = dict.fromkeys(features, max(overall.values()))
         for trial, smoothing in (candidates or {0: 0.0}).items():
             params = [
-                {f: (whole[(y, f)].mean, whole[(y, f)].variance + smoothing * overall[f]) for f in features}
+                [(whole[(y, f)].mean, whole[(y, f)].variance + smoothing * overall[f]) for f in features]
                 for y in (0, 1)
             ]
-            rows.append((left_out, trial, _log_odds(*seen), fill, *params))
+            rows.append((left_out, trial, _log_odds(*seen), [fill[f] for f in features], *params))
 
-    def log_ratio(f: str) -> Column:
-        x = F.coalesce(F.col(f).cast("double"), F.col("_fill")[f])
+    def log_ratio(f: str, i: int) -> Column:
+        x = F.coalesce(F.col(f).cast("double"), F.col("_fill")[i])
 
         def density(params: Column) -> Column:
             gap = x - params["mean"]
             return F.lit(-0.5) * (F.log(F.lit(TWO_PI) * params["var"]) + gap * gap / params["var"])
-        return density(F.col("_c1")[f]) - density(F.col("_c0")[f])
+        return density(F.col("_c1")[i]) - density(F.col("_c0")[i])
 
-    per_feature = "map<string,struct<mean:double,var:double>>"
-    schema = f"trial_id int, _prior double, _fill map<string,double>, _c0 {per_feature}, _c1 {per_feature}"
+    per_feature = "array<struct<mean:double,var:double>>"
+    schema = f"trial_id int, _prior double, _fill array<double>, _c0 {per_feature}, _c1 {per_feature}"
     return BayesModel(rows, schema, tuple(features), log_ratio)
 
 
@@ -98,24 +98,25 @@ def fit_bernoulli_nb(df: DataFrame, features: Sequence[str],
     rows = []
     for left_out, found in counts.items():
         for trial, (alpha, cut) in candidates.items():
-            params, seen = [{}, {}], [0, 0]
+            params, seen = [[], []], [0, 0]
             for y in (0, 1):
                 for f in features:
                     n, ones = found.get((y, f, float(cut)), (0, 0))
                     share = (ones + alpha) / (n + 2 * alpha)
-                    params[y][f] = (math.log(share), math.log(1 - share))
+                    params[y].append((math.log(share), math.log(1 - share)))
                     seen[y] = n
             if sum(seen):
-                at = {f: raw[(left_out, f, float(cut))] for f in features}
-                rows.append((left_out, trial, _log_odds(*seen), fill and fill[left_out], at, *params))
+                at = [raw[(left_out, f, float(cut))] for f in features]
+                filled = fill and [fill[left_out][f] for f in features]
+                rows.append((left_out, trial, _log_odds(*seen), filled, at, *params))
 
-    def log_ratio(f: str) -> Column:
-        above = F.coalesce(F.col(f).cast("double"), F.col("_fill")[f]) > F.col("_cut")[f]
+    def log_ratio(f: str, i: int) -> Column:
+        above = F.coalesce(F.col(f).cast("double"), F.col("_fill")[i]) > F.col("_cut")[i]
         mass = lambda params: F.when(above, params["yes"]).otherwise(params["no"])
-        return mass(F.col("_c1")[f]) - mass(F.col("_c0")[f])
+        return mass(F.col("_c1")[i]) - mass(F.col("_c0")[i])
 
-    per_feature = "map<string,struct<yes:double,no:double>>"
-    schema = f"trial_id int, _prior double, _fill map<string,double>, _cut map<string,double>, _c0 {per_feature}, _c1 {per_feature}"
+    per_feature = "array<struct<yes:double,no:double>>"
+    schema = f"trial_id int, _prior double, _fill array<double>, _cut array<double>, _c0 {per_feature}, _c1 {per_feature}"
     return BayesModel(rows, schema, tuple(features), log_ratio)
 
 

@@ -126,10 +126,10 @@ def fold_standardise(df: DataFrame, features: Sequence[str], fold: str = "fold",
     """
     fitted = fold_moments(df, features, fold)
     kept = [f for f in features if fitted[FULL][(f,)].vals]
-    rows = [(k, {f: (m[(f,)].mean, m[(f,)].filled_std) for f in kept}) for k, m in fitted.items()]
-    joined = join_per_fold(df, rows, "_scale map<string,struct<mean:double,std:double>>", fold, leaky)
+    rows = [(k, [(m[(f,)].mean, m[(f,)].filled_std) for f in kept]) for k, m in fitted.items()]
+    joined = join_per_fold(df, rows, "_scale array<struct<mean:double,std:double>>", fold, leaky)
     dropped = [f for f in features if f not in kept]
-    return joined.withColumns({f: _zscore(f, F.col("_scale")[f]) for f in kept}).drop("_scale", *dropped)
+    return joined.withColumns({f: _zscore(f, F.col("_scale")[i]) for i, f in enumerate(kept)}).drop("_scale", *dropped)
 
 
 def _zscore(feature: str, scale: Column) -> Column:
