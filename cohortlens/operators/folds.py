@@ -18,16 +18,20 @@ def cohort_index(cohort: str | Column, cohorts: Sequence) -> Column:
 
 def assign_folds(df: DataFrame, cohorts: Sequence, cohort: str = "cohort", label: str = "label",
                  key: str = "entity_id", parts: int = 2, seed: int = 42) -> DataFrame:
-    """Split each cohort into label-stratified parts; fold = parts * cohort index + part."""
-    ranked = hash_rank(df, [cohort, label], key, seed)
-    fold = cohort_index(cohort, cohorts) * parts + F.col("rank") % parts
+    """Split each cohort into label-stratified parts; fold = parts * cohort index + part.
+
+    A cohort that is not listed gets no fold.
+    """
+    ranked = hash_rank(df, [cohort, label], key, seed, groups=3 * (len(cohorts) + 1))
+    index = cohort_index(cohort, cohorts)
+    fold = F.when(index >= 0, index * parts + F.col("rank") % parts)
     return ranked.withColumn("fold", fold.cast("int")).drop("rank", "group_rows")
 
 
 def stratified_folds(df: DataFrame, k: int = 10, label: str = "label", key: str = "entity_id",
                      seed: int = 42) -> DataFrame:
     """Plain stratified k-fold: class counts of two folds differ by one at most."""
-    ranked = hash_rank(df, [label], key, seed)
+    ranked = hash_rank(df, [label], key, seed, groups=3)
     return ranked.withColumn("fold", (F.col("rank") % k).cast("int")).drop("rank", "group_rows")
 
 
@@ -48,7 +52,7 @@ def time_series_folds(df: DataFrame, order: str, n: int = 10, key: str = "entity
 def holdout_split(df: DataFrame, fraction: float = 0.2, label: str = "label", key: str = "entity_id",
                   seed: int = 42) -> DataFrame:
     """Stratified hold-out: ``part`` is 'valid' for the first fraction of each class in hash order."""
-    ranked = hash_rank(df, [label], key, seed)
+    ranked = hash_rank(df, [label], key, seed, groups=3)
     limit = F.floor(F.col("group_rows") * fraction + 0.5)
     part = F.when(F.col("rank") < limit, "valid").otherwise("train")
     return ranked.withColumn("part", part).drop("rank", "group_rows")

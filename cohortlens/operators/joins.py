@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.session import stage
+
 BROADCAST_ROWS = 100_000
 HOT_SHARE = 1000
 SALTS = 64
@@ -16,16 +18,14 @@ def attach(rows: DataFrame, table: DataFrame, keys: Sequence[str], salt: Sequenc
            max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Inner join of ``rows`` with a table unique in ``keys``.
 
-    Up to ``max_rows`` entries (fetched with that limit, so counted) the table is broadcast.
-    Beyond it both sides are shuffled. Keys that hold more than a thousandth of all rows, of
-    which there are fewer than a thousand, are spread by a hash of the ``salt`` columns and
-    their table entries repeated; all other keys are joined as they are.
+    The table is staged and counted: up to ``max_rows`` entries it is broadcast. Beyond that
+    both sides are shuffled. Keys that hold more than a thousandth of all rows, of which there
+    are fewer than a thousand, are spread by a hash of the ``salt`` columns and their table
+    entries repeated; all other keys are joined as they are.
     """
-    keys = list(keys)
-    found = table.limit(max_rows + 1).collect()
-    if len(found) <= max_rows:
-        small = rows.sparkSession.createDataFrame(found, table.schema)
-        return rows.join(F.broadcast(small), keys)
+    keys, table = list(keys), stage(table)
+    if table.count() <= max_rows:
+        return rows.join(F.broadcast(table), keys)
     return _salted(rows, table, keys, salt)
 
 

@@ -106,7 +106,7 @@ def fit_calibrated_ridge(df: DataFrame, features: Sequence[str], label: str = "l
                          seed: int = 42) -> CalibratedScore:
     """Ridge on targets -1/+1, calibrated by a sigmoid on held-out inner folds, then averaged."""
     kept = [key, label, *features] + ([weight] if weight else [])
-    folded = hash_rank(df.select(*kept), [label], key, seed)
+    folded = hash_rank(df.select(*kept), [label], key, seed, groups=3)
     rows = stage(folded.select(
         label, *features, *([weight] if weight else []), (F.col("rank") % inner).cast("int").alias("_inner"),
         F.when(F.col(label) == 1, 1.0).otherwise(-1.0).alias("_y")))

@@ -21,6 +21,7 @@ from cohortlens.functions.scalars import double_array
 
 BUCKETS = 1024
 SPREAD = 64
+BROADCAST_OFFSETS = 1_000_000  # rows
 
 
 def hash_order(key: str | Column, seed: int = 42) -> Column:
@@ -37,21 +38,23 @@ def hash_uniform(*parts: Column | str) -> Column:
 
 def hash_rank(
     df: DataFrame, by: Sequence[str], key: str, seed: int = 42, digits: int = 3,
-    rank: str = "rank", total: str = "group_rows",
+    groups: int | None = None, rank: str = "rank", total: str = "group_rows",
 ) -> DataFrame:
     """Add the 0-based position of each row in its group's hash order, and the group's size.
 
     Equal to ``row_number() OVER (PARTITION BY by ORDER BY md5(seed:key), key) - 1``. The
     window runs inside (group, first hex digits); 16**digits counts per group give offsets.
+    Where the caller knows how many ``groups`` there can be, that bounds the offsets, and they
+    are broadcast; otherwise they are joined on the window's own partitioning.
     """
-    by = list(by)
-    hashed = df.withColumn("_h", hash_order(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
-    offsets = _offsets(hashed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")), by, "_b", ["_n"])
-    offsets = offsets.select(*by, "_b", "_n_before", F.col("_n_all").alias(total))
-    inside = Window.partitionBy(*by, "_b").orderBy("_h", key)
-    ranked = hashed.withColumn("_r", F.row_number().over(inside) - 1)
-    joined = _join_null_safe(ranked, offsets, [*by, "_b"])
-    return joined.withColumn(rank, F.col("_r") + F.col("_n_before")).drop("_h", "_b", "_r", "_n_before")
+    hashed = df.withColumns({"_g": _group(by), "_h": hash_order(key, seed)}).withColumn("_b", F.substring("_h", 1, digits))
+    offsets = _offsets(hashed.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_n")), "_b", ["_n"])
+    offsets = offsets.select("_g", "_b", "_n_before", F.col("_n_all").alias(total))
+    if groups is not None and groups * 16**digits <= BROADCAST_OFFSETS:
+        offsets = F.broadcast(offsets)
+    inside = Window.partitionBy("_g", "_b").orderBy("_h", key)
+    joined = hashed.withColumn("_r", F.row_number().over(inside) - 1).join(offsets, ["_g", "_b"])
+    return joined.withColumn(rank, F.col("_r") + F.col("_n_before")).drop("_g", "_h", "_b", "_r", "_n_before")
 
 
 def range_cuts(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
@@ -81,18 +84,14 @@ def prefix_totals(
 
     Adds ``<measure>_before`` (strictly smaller values) and ``<measure>_all``.
     """
-    by, measures = list(by), list(measures)
-    cut = with_bucket(groups, value, cuts).repartition(*by, "_bucket")
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = cut
-    for m in measures:
-        local = local.withColumn(f"_{m}_in", F.coalesce(F.sum(m).over(inside), F.lit(0)))
-    totals = cut.groupBy(*by, "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
-    offsets = _offsets(totals, by, "_bucket", measures).drop(*measures)
-    joined = _join_null_safe(local, offsets, [*by, "_bucket"])
-    for m in measures:
-        joined = joined.withColumn(f"{m}_before", F.col(f"{m}_before") + F.col(f"_{m}_in")).drop(f"_{m}_in")
-    return joined.drop("_bucket")
+    measures = list(measures)
+    cut = with_bucket(groups.withColumn("_g", _group(by)), value, cuts)
+    inside = Window.partitionBy("_g", "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.withColumns({f"_{m}_in": F.coalesce(F.sum(m).over(inside), F.lit(0)) for m in measures})
+    totals = cut.groupBy("_g", "_bucket").agg(*[F.sum(m).alias(m) for m in measures])
+    joined = local.join(_offsets(totals, "_bucket", measures).drop(*measures), ["_g", "_bucket"])
+    before = {f"{m}_before": F.col(f"{m}_before") + F.col(f"_{m}_in") for m in measures}
+    return joined.withColumns(before).drop("_g", "_bucket", *[f"_{m}_in" for m in measures])
 
 
 def ranks_within(rows: DataFrame, by: Sequence[str], value: str, weight: str, salt: str,
@@ -103,21 +102,19 @@ def ranks_within(rows: DataFrame, by: Sequence[str], value: str, weight: str, sa
     so it has a bucket of its own, spread by a hash of ``salt``; its rows are all peers and
     have nothing below them inside the bucket. Adds ``before`` and ``all``.
     """
-    by = list(by)
-    placed = _heavy_apart(rows, value, cuts)
+    placed = _heavy_apart(rows.withColumn("_g", _group(by)), value, cuts)
     spread = F.pmod(F.xxhash64(salt), F.lit(SPREAD)).cast("int")
     placed = placed.withColumn("_s", F.when(F.col("_heavy"), spread).otherwise(0))
-    peers = Window.partitionBy(*by, "_b", "_s").orderBy(value)
+    peers = Window.partitionBy("_g", "_b", "_s").orderBy(value)
     up_to = F.sum(weight).over(peers.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     equal = F.sum(weight).over(peers.rangeBetween(Window.currentRow, Window.currentRow))
     local = placed.withColumn("_in", F.when(F.col("_heavy"), 0).otherwise(up_to - equal))
-    totals = placed.groupBy(*by, "_b", "_heavy").agg(F.sum(weight).alias("_w"))
+    totals = placed.groupBy("_g", "_b", "_heavy").agg(F.sum(weight).alias("_w"))
     parts = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    offsets = _offsets(totals, by, "_b", ["_w"]).withColumn("_s", F.explode(parts)).select(
-        *by, "_b", "_s", "_w_before", "_w_all")
-    joined = _join_null_safe(local, offsets, [*by, "_b", "_s"])
+    offsets = _offsets(totals, "_b", ["_w"]).select("_g", "_b", F.explode(parts).alias("_s"), "_w_before", "_w_all")
+    joined = local.join(offsets, ["_g", "_b", "_s"])
     return joined.withColumns({"before": F.col("_w_before") + F.col("_in"), "all": F.col("_w_all")}).drop(
-        "_b", "_s", "_heavy", "_in", "_w_before", "_w_all")
+        "_g", "_b", "_s", "_heavy", "_in", "_w_before", "_w_all")
 
 
 def _heavy_apart(rows: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
@@ -168,22 +165,16 @@ def order_positions(df: DataFrame, order: str, key: str, seed: int = 42,
     )
 
 
-def _offsets(totals: DataFrame, by: list[str], bucket: str, measures: Sequence[str]) -> DataFrame:
+def _group(by: Sequence[str]) -> Column:
+    """The group as one struct: NULL members are ordinary values in it, also in a join."""
+    return F.struct(*by) if by else F.struct(F.lit(0))
+
+
+def _offsets(totals: DataFrame, bucket: str, measures: Sequence[str]) -> DataFrame:
     """Sums over earlier buckets and over all buckets; a group has few buckets, so a window is safe."""
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    group = Window.partitionBy("_g")
     earlier = group.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    out = totals
-    for m in measures:
-        out = out.withColumn(f"{m}_before", F.coalesce(F.sum(m).over(earlier), F.lit(0)))
-        out = out.withColumn(f"{m}_all", F.sum(m).over(group))
-    return out
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join that also matches NULL group keys, keeping the left key columns."""
-    renamed = right.select(*[F.col(k).alias(f"_k_{k}") if k in keys else F.col(k) for k in right.columns])
-    cond = None
-    for k in keys:
-        eq = left[k].eqNullSafe(renamed[f"_k_{k}"])
-        cond = eq if cond is None else cond & eq
-    return left.join(renamed, cond).drop(*[f"_k_{k}" for k in keys])
+    return totals.withColumns({
+        **{f"{m}_before": F.coalesce(F.sum(m).over(earlier), F.lit(0)) for m in measures},
+        **{f"{m}_all": F.sum(m).over(group) for m in measures},
+    })

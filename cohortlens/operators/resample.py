@@ -30,7 +30,7 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "label", key: str
     if missing <= 0 or near < 1:
         return positives.select(key, F.lit(0).alias("copy"), F.lit(1).alias(label), *features).limit(0)
     base = positives if bases is None else positives.join(bases.select(key), key, "left_semi")
-    ranked = hash_rank(base, [], key, seed)
+    ranked = hash_rank(base, [], key, seed, groups=1)
     share = F.floor(F.lit(missing) / F.col("group_rows"))
     copies = share + (F.col("rank") < F.lit(missing) - share * F.col("group_rows")).cast("long")
     spec = (

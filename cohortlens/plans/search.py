@@ -16,7 +16,7 @@ from cohortlens.operators.metrics import auc, metric_record
 from cohortlens.operators.preprocess import FULL
 from cohortlens.operators.threshold import carry_threshold, penalised, threshold_sweep
 from cohortlens.plans.candidates import draw, draw_near
-from cohortlens.plans.validation import FoldedData, oof_candidates
+from cohortlens.plans.validation import ONE_PASS, FoldedData, oof_candidates
 from cohortlens.session import stage
 from cohortlens.sources.cohorts import union_by_name
 from cohortlens.sources.trials import TRIALS_SCHEMA, rank_trials, select_trials
@@ -45,12 +45,17 @@ def rate_candidates(data: FoldedData, family: str, candidates: Mapping[int, Mapp
                     workers: int = 4) -> DataFrame:
     """The trials table of a batch: value and threshold from pooled out-of-fold scores.
 
-    All trials go through one sweep. A failed trial has a NULL value and its error as status.
+    Closed-form families rate the whole batch in one sweep; others trial by trial, so that a
+    plan holds the folds of one trial only. A failed trial has a NULL value and its error as
+    status.
     """
-    scores, failed = oof_candidates(data, family, candidates, workers)
-    rated = {}
-    if scores is not None:
-        rated = {r["trial_id"]: r for r in goal.rate(scores, ["trial_id"]).collect()}  # one row per trial
+    rated, failed = {}, {}
+    for some in [candidates] if family in ONE_PASS and data.plain else [{t: p} for t, p in candidates.items()]:
+        try:
+            scores = oof_candidates(data, family, some, workers)
+            rated |= {r["trial_id"]: r for r in goal.rate(scores, ["trial_id"]).collect()}  # one row per trial
+        except Exception as problem:  # a trial that cannot be fitted is recorded, not rated as 0
+            failed |= {t: f"{type(problem).__name__}: {problem}"[:500] for t in some}
     rows = []
     for trial, params in candidates.items():
         r = rated.get(trial)

@@ -132,17 +132,13 @@ def oof_one_pass(data: FoldedData, family: str, candidates: Mapping[int, Mapping
     return source.select(*data.keys()).join(union_by_name(votes), data.key).select(*columns)
 
 
-def oof_candidates(data: FoldedData, family: str, candidates: Mapping[int, Mapping],
-                   workers: int = 4) -> tuple[DataFrame | None, dict[int, str]]:
-    """Scores of many candidates with trial_id, and the errors of those that failed."""
+def oof_candidates(data: FoldedData, family: str, candidates: Mapping[int, Mapping], workers: int = 4) -> DataFrame:
+    """Out-of-fold scores of some candidates, with their trial_id."""
     if family in ONE_PASS and data.plain:
-        return oof_one_pass(data, family, candidates, workers), {}
-    parts, failed = [], {}
+        return oof_one_pass(data, family, candidates, workers)
+    parts = []
     for trial, params in candidates.items():
         learner = make_learner(family, params, data.features, label=data.label, key=data.key,
                                cost_sensitive=params.get("class_weight", "balanced") is not None)
-        try:
-            parts.append(oof_scores(data, learner, workers=workers).withColumn("trial_id", F.lit(trial)))
-        except Exception as problem:  # a trial that cannot be fitted is recorded, not scored as 0
-            failed[trial] = f"{type(problem).__name__}: {problem}"[:500]
-    return (union_by_name(parts) if parts else None), failed
+        parts.append(oof_scores(data, learner, workers=workers).withColumn("trial_id", F.lit(trial)))
+    return union_by_name(parts)
