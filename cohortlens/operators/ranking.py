@@ -71,10 +71,11 @@ def range_cuts(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]
 def with_bucket(df: DataFrame, value: str, cuts: Sequence[float], out: str = "_bucket") -> DataFrame:
     """Number the range between two cuts that a value falls in."""
     if not cuts:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
     numbered = df.withColumn("_v", F.col(value).cast("double"))
-    return Bucketizer(splits=splits, inputCol="_v", outputCol=out, handleInvalid="keep").transform(numbered).drop("_v")
+    cut = Bucketizer(splits=splits, inputCol="_v", outputCol=out, handleInvalid="keep").transform(numbered)
+    return cut.withColumn(out, F.col(out).cast("int")).drop("_v")
 
 
 def prefix_totals(
@@ -119,8 +120,11 @@ def ranks_within(rows: DataFrame, by: Sequence[str], value: str, weight: str, sa
 
 def _heavy_apart(rows: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
     """Number the ranges in ``_b`` so that a value that is a cut is alone in its bucket (``_heavy``)."""
-    heavy = F.array_contains(double_array(cuts), F.col(value).cast("double")) if cuts else F.lit(False)
-    numbered = with_bucket(rows, value, cuts, "_b").withColumn("_heavy", heavy)
+    numbered = with_bucket(rows, value, cuts, "_b")
+    # bucket b starts at cut b - 1, so a value that is a cut equals the start of its bucket
+    start = F.try_element_at(double_array(cuts), F.col("_b")) if cuts else F.lit(None)
+    heavy = F.when(F.col("_b") > 0, F.coalesce(F.col(value).cast("double") == start, F.lit(False))).otherwise(False)
+    numbered = numbered.withColumn("_heavy", heavy)
     return numbered.withColumn("_b", F.col("_b") * 2 + F.when(F.col("_heavy"), 0).otherwise(1))
 
 
