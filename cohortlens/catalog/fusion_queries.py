@@ -21,7 +21,7 @@ from cohortlens.operators.learners import make_learner
 from cohortlens.operators.linear import LinearScore
 from cohortlens.operators.preprocess import FULL
 from cohortlens.plans import baseline, explain, fusion, search
-from cohortlens.plans.validation import FoldedData, score_closed_form
+from cohortlens.plans.validation import FoldedData, oof_scores
 from cohortlens.session import stage
 from cohortlens.sources.cohorts import union_by_name
 from cohortlens.sources.trials import rank_trials
@@ -89,7 +89,7 @@ def stacked_gnb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A naive Bayes on the out-of-fold scores, with the same folds."""
     wide = stage(fusion.meta_features(_meta(spark, sf_dir), list(BASE)).where("fold IS NOT NULL"))
     meta = FoldedData(wide, list(BASE), scale=False)
-    return fixed_columns(score_closed_form(meta, "GNB", {"var_smoothing": 0.0}).select("entity_id", "label", "fold", "p"))
+    return fixed_columns(oof_scores(meta, make_learner("GNB", {"var_smoothing": 0.0}, list(BASE))))
 
 
 @query(f"""with {SCORES}, every as (select model_id, p, cohort from scores union all select 'dead', 0.0::double, cohort from scores where model_id = 'a')

@@ -16,7 +16,7 @@ from cohortlens.operators.preprocess import FULL
 from cohortlens.operators.threshold import carry_threshold, threshold_sweep
 from cohortlens.plans.candidates import fusion_space
 from cohortlens.plans.search import FUSION_GOAL, Goal, constrained_search, evaluate_on_target, sort_report
-from cohortlens.plans.validation import FoldedData, oof_scores, score_closed_form
+from cohortlens.plans.validation import FoldedData, oof_scores
 from cohortlens.session import stage
 from cohortlens.sources.cohorts import union_by_name
 from cohortlens.sources.trials import rank_trials, valid_trials
@@ -25,17 +25,14 @@ from cohortlens.sources.trials import rank_trials, valid_trials
 def meta_scores(data: FoldedData, models: Mapping[str, tuple], workers: int = 4) -> DataFrame:
     """Long scores (key, label, fold, model_id, p): out-of-fold for the source, full refit for the target.
 
-    ``models``: {model id: (family, parameters)} or (family, parameters, features). Naive Bayes
-    scores source and target rows in one pass; other families are fitted per fold.
+    ``models``: {model id: (family, parameters)} or (family, parameters, features).
     """
     parts = []
     for model_id, (family, params, *own) in models.items():
         mine = data.on(own[0]) if own else data
-        scored = score_closed_form(mine, family, params)
-        if scored is None:
-            learner = make_learner(family, params, mine.features, label=data.label, key=data.key)
-            scored = oof_scores(mine, learner, target=True, workers=workers)
-        parts.append(scored.select(*data.keys(), "p", F.lit(model_id).alias("model_id")))
+        learner = make_learner(family, params, mine.features, label=data.label, key=data.key)
+        scored = oof_scores(mine, learner, target=True, workers=workers)
+        parts.append(scored.withColumn("model_id", F.lit(model_id)))
     return stage(union_by_name(parts))
 
 

@@ -10,11 +10,14 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions.columns import add_all
+from cohortlens.functions.scalars import sigmoid
 from cohortlens.operators.bayes import BayesModel, fit_bernoulli_nb, fit_gaussian_nb
 from cohortlens.operators.folds import train_rows, valid_rows
 from cohortlens.operators.learners import Learner, make_learner
+from cohortlens.operators.linear import fit_discriminants
 from cohortlens.operators.neighbors import knn_join, neighbor_vote
-from cohortlens.operators.preprocess import FULL, Moments, fold_moments, scale_by, trains
+from cohortlens.operators.preprocess import FULL, Moments, fold_moments, join_per_fold, scale_by, trains
 from cohortlens.operators.resample import borderline_smote, smote, with_synthetic
 from cohortlens.session import stage
 from cohortlens.sources.cohorts import union_by_name
@@ -37,8 +40,8 @@ class FoldedData:
                  parts: int = 2, resample: str | None = None):
         self.df, self.features, self.label, self.key, self.fold = df, list(features), label, key, fold
         self.scale, self.leaky, self.past_only, self.parts, self.resample = scale, leaky, past_only, parts, resample
-        self.stats: Mapping[int, dict[tuple, Moments]] = (
-            fold_moments(df, features, fold, past_only=past_only, parts=parts) if scale else {})
+        self.stats: Mapping[int, dict[tuple, Moments]] = fold_moments(
+            df, features, fold, past_only=past_only, parts=parts)
         known = [r[fold] for r in df.where(F.col(fold).isNotNull()).select(fold).distinct().collect()]  # a few dozen
         self.folds = sorted(f for f in known if f >= 0 and any(trains(g, f, past_only, parts) for g in known))
 
@@ -86,12 +89,22 @@ def in_parallel(spark: SparkSession, job: Callable, items: Iterable, workers: in
 
 def oof_scores(data: FoldedData, learner: Learner, target: bool = False, workers: int = 4) -> DataFrame:
     """Scores of every folded row by the model that did not see it; with ``target``, also the
-    target rows by the model of all source rows (their fold is NULL)."""
+    target rows by the model of all source rows (their fold is NULL).
+
+    Naive Bayes and discriminant analysis do it in one scan of statistics and one scoring
+    pass, other families fit once per fold.
+    """
+    columns = [*data.keys(), "p"]
+    scored = score_closed_form(data, learner.family, learner.params)
+    if scored is not None:
+        return (scored if target else scored.where(F.col(data.fold).isNotNull())).select(*columns)
+
     def one(left_out: int) -> DataFrame:
         train, valid = data.split(left_out)
-        return learner.fit(train).score(valid).select(*data.keys(), "p")
+        return learner.fit(train).score(valid).select(*columns)
 
-    return union_by_name(in_parallel(data.df.sparkSession, one, [*data.folds, *([FULL] if target else [])], workers))
+    left_out = [*data.folds, *([FULL] if target else [])]
+    return union_by_name(in_parallel(data.df.sparkSession, one, left_out, workers))
 
 
 def _fit_bayes(data: FoldedData, family: str, candidates: Mapping[int, Mapping]) -> BayesModel:
@@ -103,11 +116,22 @@ def _fit_bayes(data: FoldedData, family: str, candidates: Mapping[int, Mapping])
 
 
 def score_closed_form(data: FoldedData, family: str, params: Mapping) -> DataFrame | None:
-    """Naive Bayes scores of all rows at once, out-of-fold and target; None for other families."""
-    if family not in ("GNB", "BNB") or not data.plain:
+    """Scores of all rows at once, out-of-fold and target; None where a fit per fold is needed."""
+    if not data.plain:
         return None
     rows = data.df.where(F.col(data.fold).isNull() | (F.col(data.fold) >= 0))
-    return _fit_bayes(data, family, {0: params}).score(rows, data.fold)
+    if family in ("GNB", "BNB"):
+        return _fit_bayes(data, family, {0: params}).score(rows, data.fold)
+    complete = all(m.vals == m.rows for m in data.stats[FULL].values())
+    if family != "LDA" or not complete:
+        return None
+    centred = scale_by(data.df, data.stats[FULL], data.features)
+    models = fit_discriminants(centred, data.features, data.fold, data.label)
+    fitted = [(f, [m.coefficients[c] for c in data.features], m.intercept) for f, m in models.items()]
+    joined = join_per_fold(
+        scale_by(rows, data.stats[FULL], data.features), fitted, "_w array<double>, _b double", data.fold)
+    margin = F.col("_b") + add_all([F.col("_w")[i] * F.col(c) for i, c in enumerate(data.features)])
+    return joined.withColumn("p", sigmoid(margin)).drop("_w", "_b")
 
 
 def oof_one_pass(data: FoldedData, family: str, candidates: Mapping[int, Mapping], workers: int = 4) -> DataFrame:

@@ -141,6 +141,17 @@ def test_oof_pools_every_source_row_once(data):
     assert scores.entity_id.is_unique and len(scores) == 800 and scores.fold.isna().sum() == 200
 
 
+def test_one_pass_discriminants_equal_a_fit_per_fold(data, folded):
+    learner = make_learner("LDA", {}, FEATURES)
+    once = {r["entity_id"]: r["p"] for r in oof_scores(data, learner, target=True).collect()}
+    for left_out in (3, FULL):
+        train, valid = data.split(left_out)
+        slow = {r["entity_id"]: r["p"] for r in learner.fit(train).score(valid).collect()}
+        assert {k: once[k] for k in slow} == pytest.approx(slow)
+    gaps = FoldedData(folded.withColumn("b", F.when(F.col("entity_id") % 7 != 0, F.col("b"))), FEATURES)
+    assert oof_scores(gaps, learner).where("p IS NOT NULL").count() == 600
+
+
 def test_past_only_and_resampled_folds(folded):
     past = FoldedData(folded.where("fold IS NOT NULL"), FEATURES, past_only=True)
     assert past.folds == [2, 3, 4, 5]
