@@ -93,6 +93,11 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
+def ranges(lo: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """lo[i], lo[i] + 1, ... (``count[i]`` numbers) for each i, one after the other."""
+    return np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
 def slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` bytes of text each, or of one longer text."""
     _, bounds = text_bytes(texts)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
-from cohortlens.llm.arrays import ALNUM, Words, lists, map_texts
+from cohortlens.llm.arrays import ALNUM, Words, lists, map_texts, ranges
 from cohortlens.session import stage
 
 WINDOW = 13
@@ -141,21 +141,16 @@ def longest_matches(order: np.ndarray, train: np.ndarray, test: np.ndarray, star
     return np.maximum(a, b), np.where(a >= b, below, above)
 
 
-def _ranges(lo: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """lo[i], lo[i] + 1, ... for each i, one after the other."""
-    return np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-
-
 def _same_bytes(a: Words, at: np.ndarray, b: Block, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether the hashed matches are equal byte for byte."""
-    left, right = _ranges(at, length), _ranges(start, length)
+    left, right = ranges(at, length), ranges(start, length)
     owner = np.repeat(np.arange(len(at)), length)
     size, other = a.ends[left] - a.starts[left], b.ends[right] - b.starts[right]
     same = np.ones(len(at), bool)
     same[owner[size != other]] = False
     ok = size == other
     size, owner = size[ok], owner[ok]
-    differ = a.data[_ranges(a.starts[left[ok]], size)] != b.data[_ranges(b.starts[right[ok]], size)]
+    differ = a.data[ranges(a.starts[left[ok]], size)] != b.data[ranges(b.starts[right[ok]], size)]
     same[np.repeat(owner, size)[differ]] = False
     return same
 
@@ -180,7 +175,7 @@ def search_shard(texts: pa.Array, block: Block) -> list[pa.Array]:
         hit = np.flatnonzero(found[block.window] >= block.length)
         lo = _bound(order, train, test, block.window[hit], block.length[hit], upper=False)
         hi = _bound(order, train, test, block.window[hit], block.length[hit], upper=True)
-        doc_at = back[order[_ranges(lo, hi - lo)]]
+        doc_at = back[order[ranges(lo, hi - lo)]]
         window = np.repeat(hit, hi - lo)
         same = _same_bytes(words, doc_at, block, block.window[window], block.length[window])
         doc_at, window = doc_at[same], window[same]

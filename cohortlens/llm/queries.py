@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.llm.byte_bpe import encode_digest
 from cohortlens.llm.decontaminate import decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +24,11 @@ def query(sql: str | None = None):
     return register
 
 
+def vocabulary_path() -> str:
+    """The vocabulary of the BPE queries; every executor has the file in its Python installation."""
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -52,3 +59,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query()
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_digest(table(spark, sf_dir, "documents"), vocabulary_path(), public_tokenizers.PATTERN, keep=["doc_id"])
+    return coded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
