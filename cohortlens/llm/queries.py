@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.byte_bpe import encode_digest
 from cohortlens.llm.decontaminate import decontaminate
+from cohortlens.llm.secrets import BASE, RULES, new_ledger, scan_versions, spans_of
+from cohortlens.llm.shuffle import shuffle_rows, sized
+from cohortlens.llm.warc import archive_folder, chunks, page_of, read_archives, records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,3 +68,39 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_digest(table(spark, sf_dir, "documents"), vocabulary_path(), public_tokenizers.PATTERN, keep=["doc_id"])
     return coded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+_OP5 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+f AS (SELECT h, max(page_id) AS response FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN response <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN response <> page_id THEN response END AS refers_to
+FROM p LEFT JOIN f USING (h)
+"""
+
+
+@query(_OP5)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    manifest = write_archives(chunks(records(pages)), archive_folder(spark))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return read_archives(manifest, data=False).select(
+        page_of("record_id", kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page_of("refers_to", kind).alias("refers_to"))
+
+
+@query()
+def op8_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shuffle_rows(sized(table(spark, sf_dir, "documents")))
+    return dealt.select("row.doc_id", "row.size", "row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_versions(table(spark, sf_dir, "documents"), new_ledger(spark), keep=["doc_id"])
+    count = [F.size(F.filter("findings", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{RULES[k].name}")
+             for k in range(BASE)]
+    return found.select("row.doc_id", *count, F.sha2(spans_of(F.col("findings"), RULES[:BASE]), 256).alias("base_sha256"),
+                        spans_of(F.col("findings")).alias("spans"))
