@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.byte_bpe import encode_digest
 from cohortlens.llm.decontaminate import decontaminate
+from cohortlens.llm.quality import judge
 from cohortlens.llm.secrets import BASE, RULES, new_ledger, scan_versions, spans_of
 from cohortlens.llm.shuffle import shuffle_rows, sized
 from cohortlens.llm.warc import archive_folder, chunks, page_of, read_archives, records, write_archives
@@ -104,3 +105,38 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
              for k in range(BASE)]
     return found.select("row.doc_id", *count, F.sha2(spans_of(F.col("findings"), RULES[:BASE]), 256).alias("base_sha256"),
                         spans_of(F.col("findings")).alias("spans"))
+
+
+_OP4 = r"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, [y FOR y IN string_split_regex(x, '[\x20\x09-\x0D]+') IF y <> ''] AS w,
+      [y FOR y IN string_split(x, chr(10)) IF regexp_matches(y, '[^\x20\x09-\x0D]')] AS l FROM t),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p
+      FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c >= 2) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+      CAST(length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(length(x) - length(regexp_replace(x, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
+      CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+      coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+s AS (SELECT *, n_symbols / greatest(word_chars, 1) AS a, n_dup_lines / greatest(n_lines, 1) AS b,
+      n_repeat_words / greatest(n_words, 1) AS c, n_capitals / greatest(word_chars, 1) AS d,
+      word_chars / greatest(n_words, 1) AS e, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+q AS (SELECT lang, source, quantile_disc(a, 0.25) AS a1, quantile_disc(a, 0.75) AS a3, quantile_disc(b, 0.25) AS b1,
+      quantile_disc(b, 0.75) AS b3, quantile_disc(c, 0.25) AS c1, quantile_disc(c, 0.75) AS c3, quantile_disc(d, 0.25) AS d1,
+      quantile_disc(d, 0.75) AS d3, quantile_disc(e, 0.25) AS e1, quantile_disc(e, 0.75) AS e3 FROM s GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND a <= a3 + 6 * (a3 - a1) + 0.03::DOUBLE AND b <= b3 + 6 * (b3 - b1) + 0.35::DOUBLE
+       AND c <= c3 + 6 * (c3 - c1) + 0.3::DOUBLE AND d <= d3 + 6 * (d3 - d1) + 0.15::DOUBLE
+       AND e <= e3 + 6 * (e3 - e1) + 1 AND e >= e1 - 6 * (e3 - e1) - 1 AS kept
+FROM s JOIN q ON s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source
+"""
+
+
+@query(_OP4)
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
