@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.byte_bpe import encode_digest
 from cohortlens.llm.decontaminate import decontaminate
+from cohortlens.llm.html_text import extract
 from cohortlens.llm.quality import judge
 from cohortlens.llm.secrets import BASE, RULES, new_ledger, scan_versions, spans_of
 from cohortlens.llm.shuffle import shuffle_rows, sized
@@ -140,3 +141,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept")
+
+
+@query()
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return found.select("row.page_id", "row.url", "text", "n_chars")
