@@ -14,6 +14,7 @@ from cohortlens.llm.html_text import extract
 from cohortlens.llm.quality import judge
 from cohortlens.llm.secrets import BASE, RULES, new_ledger, scan_versions, spans_of
 from cohortlens.llm.shuffle import shuffle_rows, sized
+from cohortlens.llm.suffix_dedup import remove_repeats
 from cohortlens.llm.warc import archive_folder, chunks, page_of, read_archives, records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +148,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return found.select("row.page_id", "row.url", "text", "n_chars")
+
+
+@query()
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return cut.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
