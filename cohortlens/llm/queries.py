@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortlens.llm.byte_bpe import encode_digest
 from cohortlens.llm.decontaminate import decontaminate
 from cohortlens.llm.html_text import extract
+from cohortlens.llm.jaccard_join import join_sets
 from cohortlens.llm.quality import judge
 from cohortlens.llm.secrets import BASE, RULES, new_ledger, scan_versions, spans_of
 from cohortlens.llm.shuffle import shuffle_rows, sized
@@ -154,3 +155,9 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return cut.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query()
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = join_sets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return joined.select("row.doc_id", "n_shingles", "component_id")
