@@ -405,18 +405,15 @@ def _split(classes: DataFrame, sets: DataFrame) -> DataFrame:
     return components(met).select("id", F.col("root").alias("class"))
 
 
-def join_sets(documents: DataFrame, id: str = "doc_id", text: str = "text", keep: list[str] | None = None,
-              block_sets: int = BLOCK_SETS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
-    """``row`` (the ``keep`` columns), ``n_shingles``, ``component`` (identity of the component's set, NULL
-    for empty sets) and ``component_id`` (its smallest document id)."""
+def _linked(documents: DataFrame, id: str, text: str, keep: list[str], block_sets: int, block_grams: int):
+    """Staged rows (``row``, ``doc``, ``uid``, ``n_shingles``, ``id``), and ``id``, ``root`` of linked sets."""
     spark = documents.sparkSession
-    keep = list(documents.columns) if keep is None else keep
     fields = StructType().add("n_shingles", LongType()).add("id", BinaryType())
     packed = documents.select(
         F.struct(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{id}`").alias("doc"),
                  F.unhex(F.md5(F.col(f"`{text}`"))).alias("content")).alias("out"), F.col(f"`{text}`").alias("text"))
     rows = stage(map_texts(packed, "text", fields, lambda: _identify, keep=["out"])
-                 .select("row.out.*", "n_shingles", "id"))
+                 .select("row.out.*", "n_shingles", "id", F.monotonically_increasing_id().alias("uid")))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 << 20))
     classes = components(_meetings(_blocks(documents, text, buckets))).withColumnRenamed("root", "class")
@@ -449,11 +446,30 @@ def join_sets(documents: DataFrame, id: str = "doc_id", text: str = "text", keep
              .select("id", F.struct("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("key")))
     task = F.concat_ws(":", F.hex("key.class"), "key.i", "key.j")
     links = _link_groups(dealt.join(sets, "id").select(task.alias("task"), "id", "grams"))
-    linked = components(links)
+    return rows, components(links)
+
 
+def join_sets(documents: DataFrame, id: str = "doc_id", text: str = "text", keep: list[str] | None = None,
+              block_sets: int = BLOCK_SETS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """``row`` (the ``keep`` columns), ``n_shingles``, ``component`` (identity of the component's set, NULL
+    for empty sets) and ``component_id`` (its smallest document id)."""
+    keep = list(documents.columns) if keep is None else keep
+    rows, linked = _linked(documents, id, text, keep, block_sets, block_grams)
     named = stage(rows.join(linked, "id", "left")
                   .select("row", "doc", "n_shingles", F.coalesce("root", "id").alias("component")))
     smallest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("doc").alias("smallest"))
     return named.join(smallest, "component", "left").select(
         "row", "n_shingles", "component",
         F.when(F.col("component").isNull(), F.col("doc")).otherwise(F.col("smallest")).alias("component_id"))
+
+
+def first_of_components(documents: DataFrame, id: str = "doc_id", text: str = "text",
+                        block_sets: int = BLOCK_SETS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+    """The documents without those that link with one that stays: one row per component, the smallest
+    non-NULL id, and of equal ids any one row. Documents with empty sets stay."""
+    rows, linked = _linked(documents, id, text, list(documents.columns), block_sets, block_grams)
+    held = rows.where("id IS NOT NULL").select("id", F.struct(F.col("doc").isNull(), "doc", "uid").alias("first"))
+    held = stage(held.join(linked, "id", "left").select("first", F.coalesce("root", "id").alias("component")))
+    kept = held.groupBy("component").agg(F.min("first").alias("kept"), F.count("*").alias("n")).where("n > 1")
+    gone = held.join(kept, "component").where("first <> kept").select("first.uid")
+    return rows.join(gone, "uid", "left_anti").select("row.*")

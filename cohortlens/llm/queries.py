@@ -12,6 +12,7 @@ from cohortlens.llm.byte_bpe import encode_digest
 from cohortlens.llm.decontaminate import decontaminate
 from cohortlens.llm.html_text import extract
 from cohortlens.llm.jaccard_join import join_sets
+from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.quality import judge
 from cohortlens.llm.secrets import BASE, RULES, new_ledger, scan_versions, spans_of
 from cohortlens.llm.shuffle import shuffle_rows, sized
@@ -161,3 +162,9 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = join_sets(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return joined.select("row.doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
