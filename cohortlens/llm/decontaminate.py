@@ -196,20 +196,19 @@ def search_shard(texts: pa.Array, block: Block) -> list[pa.Array]:
     hits = np.bincount(doc[heads], weights=ends - start[heads], minlength=n_docs).astype(np.int64)
     spans = lists(pa.StructArray.from_arrays([pa.array(start[heads], pa.int32()), pa.array(ends, pa.int32())], ["start", "stop"]),
                   np.bincount(doc[heads], minlength=n_docs))
-    # a run of windows that move on together in text and item is one longer verbatim match
-    item_word = block.window[window] - block.first[block.item[block.window[window]]] if len(window) else window
-    joined = np.zeros(len(doc), bool)
-    if len(doc) > 1:
-        joined[1:] = ((doc[1:] == doc[:-1]) & (start[1:] == start[:-1] + 1)
-                      & (block.window[window[1:]] == block.window[window[:-1]] + 1)
-                      & (block.item[block.window[window[1:]]] == block.item[block.window[window[:-1]]]))
-    heads, ends = runs(joined, stop)
-    names = np.array(block.ids, dtype=object)
+    # windows that move on together in text and item are one longer verbatim match
+    word = block.window[window]
+    by = np.lexsort((start, start - word, doc)) if len(doc) else np.zeros(0, np.int64)
+    d, s, e, w = doc[by], start[by], stop[by], word[by]
+    joined = np.zeros(len(by), bool)
+    joined[1:] = (d[1:] == d[:-1]) & (s[1:] == s[:-1] + 1) & (w[1:] == w[:-1] + 1) & (block.item[w[1:]] == block.item[w[:-1]])
+    heads, ends = runs(joined, e)
+    d, s, w = d[heads], s[heads], w[heads]
+    item = block.item[w]
     matches = lists(pa.StructArray.from_arrays([
-        pa.array(list(names[block.item[block.window[window[heads]]]]) if len(heads) else [], pa.string()),
-        pa.array(item_word[heads], pa.int32()), pa.array(start[heads], pa.int32()),
-        pa.array(ends - start[heads], pa.int32())], ["item_id", "item_word", "word", "n_words"]),
-        np.bincount(doc[heads], minlength=n_docs))
+        pa.array([block.ids[k] for k in item.tolist()], pa.string()), pa.array(w - block.first[item], pa.int32()),
+        pa.array(s, pa.int32()), pa.array(ends - s, pa.int32())], ["item_id", "item_word", "word", "n_words"]),
+        np.bincount(d, minlength=n_docs))
     pairs = np.unique(np.concatenate([doc[:, None], window[:, None]], 1), axis=0) if len(doc) else np.zeros((0, 2), np.int64)
     held: list[set] = [set() for _ in range(n_docs)]
     for d, w in pairs.tolist():

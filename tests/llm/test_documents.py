@@ -1,0 +1,288 @@
+"""The operators on documents against brute force, over odd rows and empty tables."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortlens.llm.decontaminate import decontaminate
+from cohortlens.llm.jaccard_join import first_of_components, join_sets
+from cohortlens.llm.licenses import TEMPLATES, scan_licenses
+from cohortlens.llm.quality import judge, merged, sketches, measured
+from cohortlens.llm.secrets import BASE, RULES, Rule, new_ledger, read_ledger, redact, scan_versions, spans_of
+from cohortlens.llm.shuffle import communication_matrix, hypergeometric, shuffle_rows, sized
+from cohortlens.llm.suffix_dedup import remove_repeats
+
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+# ---- benchmark decontamination ------------------------------------------------------------------------
+
+def brute_hits(text, items):
+    words = ALNUM.findall(lower(text))
+    covered, held = set(), set()
+    for item, value in items:
+        own = ALNUM.findall(lower(value))
+        m = min(13, len(own))
+        for s in range(max(len(own) - 12, 1) if own else 0):
+            for i in range(len(words) - m + 1):
+                if words[i:i + m] == own[s:s + m]:
+                    covered.update(range(i, i + m))
+                    held.add(str(item))
+    return len(words), len(covered), sorted(held)
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark, texts):
+    passage = texts[14].split(" ")[80:140]
+    return spark.createDataFrame([
+        (1, " ".join(passage[:40])), (2, " ".join(passage[5:17])), (10, " ".join(passage[30:60]).upper()), (3, None), (4, "..."),
+        (5, "nd nd nd nd nd nd nd nd nd nd nd nd nd nd"), (6, "hunter2secret"), (7, "never in any of these texts at all")],
+        "item_id long, text string")
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 100])
+def test_decontaminate_equals_brute_force(docs, benchmark, block_bytes):
+    items = [tuple(r) for r in benchmark.collect()]
+    short = docs.where("text IS NULL OR length(text) < 20000")
+    found = decontaminate(short, benchmark, block_bytes=block_bytes).collect()
+    assert len(found) == short.count()
+    for r in found:
+        n, hit, held = brute_hits(r["row"]["text"], items)
+        assert (r["n_words"], r["n_hit"], sorted(r["items"])) == (n, hit, held)
+        assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
+    whole = [r for r in found if r["row"]["doc_id"] == 14][0]
+    assert max(m["n_words"] for m in whole["matches"]) == 40
+
+
+def test_decontaminate_without_items_or_rows(docs, empty, benchmark):
+    assert decontaminate(docs, benchmark.limit(0)).where("contaminated OR n_hit > 0").isEmpty()
+    assert decontaminate(empty, benchmark).isEmpty()
+
+
+# ---- n-gram Jaccard join ------------------------------------------------------------------------------
+
+def gram_set(text):
+    w = SPACED.findall(lower(text))
+    return frozenset([tuple(w)] if 0 < len(w) < 4 else [tuple(w[i:i + 4]) for i in range(len(w) - 3)])
+
+
+def brute_components(rows):
+    sets = [gram_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+                root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i, (one, _) in enumerate(rows):
+        if one is not None:
+            groups[find(i)].append(one)
+    return Counter((one, len(s), one if not s else min(groups[find(i)], default=None))
+                   for i, ((one, _), s) in enumerate(zip(rows, sets)))
+
+
+@pytest.mark.parametrize("block_sets", [1 << 13, 2])
+def test_join_equals_brute_force(docs, block_sets):
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = Counter((r["row"]["doc_id"], r["n_shingles"], r["component_id"])
+                  for r in join_sets(docs, block_sets=block_sets).collect())
+    assert got == brute_components(rows)
+
+
+def test_join_of_given_documents(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [tuple(r) for r in table.select("doc_id", "text").collect()]
+    got = Counter((r["row"]["doc_id"], r["n_shingles"], r["component_id"]) for r in join_sets(table, block_sets=4).collect())
+    assert got == brute_components(rows)
+
+
+def test_one_row_of_each_component_stays(docs, empty):
+    kept = first_of_components(docs)
+    assert kept.columns == docs.columns
+    n = len({r["component"] for r in join_sets(docs).collect() if r["component"] is not None})
+    blank = docs.where(F.coalesce(F.trim(F.regexp_replace("text", r"\s", "")), F.lit("")) == "").count()
+    assert kept.count() == n + blank
+    assert first_of_components(empty).isEmpty() and join_sets(empty).isEmpty()
+
+
+# ---- licences -----------------------------------------------------------------------------------------
+
+def test_licenses_equal_exact_containment(docs, empty):
+    def grams(text):
+        w = ALNUM.findall(lower(text))
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    every = [(name, t) for name, notices in TEMPLATES.items() for t in notices]
+    for r in scan_licenses(docs).collect():
+        held = grams(r["row"]["text"])
+        want = {k for k, (_, t) in enumerate(every) if grams(t) <= held}
+        assert {m["template"] for m in r["matches"] if m["n_found"] == m["n_shingles"]} == want
+    assert scan_licenses(empty).isEmpty()
+
+
+def test_licenses_find_long_notices_with_changes(spark):
+    notice = TEMPLATES["mit"][2].split(" ")
+    notice[20] = "changed"
+    df = spark.createDataFrame([(1, "so it begins " * 40 + " ".join(notice) + " and goes on" * 40)], "doc_id long, text string")
+    match = scan_licenses(df).first()["matches"]
+    assert [(m["license"], m["n_shingles"] - m["n_found"]) for m in match] == [("mit", 5)]
+
+
+# ---- quality rules ------------------------------------------------------------------------------------
+
+def test_quality_measures_equal_brute_force(docs, empty):
+    for r in judge(docs).collect():
+        text = r["row"]["text"] or ""
+        w = SPACED.findall(text)
+        lines = [x for x in text.split("\n") if SPACED.search(x)]
+        windows = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+        repeated = {i + k for i in range(len(w) - 2) if windows[tuple(w[i:i + 3])] > 1 for k in range(3)}
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        failed = len(w) < 50 or 100 * len(repeated) > 50 * len(w)
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+    assert judge(docs).count() == docs.count() and judge(empty).isEmpty()
+
+
+def test_quality_sketches_merge(docs):
+    rows = measured(docs)
+    both = merged(sketches(rows.where("n_words % 2 = 0")).unionByName(sketches(rows.where("n_words % 2 = 1"))))
+    q = F.kll_sketch_get_quantile_double("word_length", F.lit(0.5)).alias("q")
+    assert sorted(both.select(F.to_json("grouping"), q).collect()) == sorted(sketches(rows).select(F.to_json("grouping"), q).collect())
+
+
+# ---- suffix-array dedup -------------------------------------------------------------------------------
+
+def brute_repeats(values):
+    data = [(t or "").encode() for t in values]
+    seen = Counter(d[i:i + 200] for d in data for i in range(len(d) - 199))
+    out = []
+    for d in data:
+        spans = []
+        for i in range(len(d) - 199):
+            if seen[d[i:i + 200]] > 1:
+                if spans and i <= spans[-1][1]:
+                    spans[-1][1] = i + 200
+                else:
+                    spans.append([i, i + 200])
+        kept, at = b"", 0
+        for a, b in spans:
+            kept, at = kept + d[at:a], b
+        kept += d[at:]
+        out.append((len(d), tuple(map(tuple, spans)), hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("hot", [1 << 16, 2])
+def test_repeats_equal_brute_force(docs, hot):
+    want = brute_repeats([r["text"] for r in docs.select("text").collect()])
+    rows = remove_repeats(docs, with_bytes=True, hot=hot, bucket=40).collect()
+    assert Counter((r["n_bytes"], tuple(map(tuple, r["spans"])), r["kept_sha256"]) for r in rows) == want
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in rows)
+
+
+def test_repeats_across_segments_and_without_rows(spark, empty, monkeypatch):
+    from cohortlens.llm import suffix_dedup
+    import numpy as np
+    rng = np.random.default_rng(1)
+    raw = rng.integers(97, 123, 5000).astype(np.uint8)
+    whole = suffix_dedup.anchors(raw, np.array([0, 5000]))
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    cut = suffix_dedup.anchors(raw, np.array([0, 5000]))
+
+    def starts(found):
+        return {s: p for _, p, a, b, _ in zip(*found) for s in range(a, b + 1)}
+    assert starts(whole) == starts(cut) and len(starts(cut)) == 4801
+    assert remove_repeats(empty).isEmpty()
+
+
+# ---- sharding -----------------------------------------------------------------------------------------
+
+def test_shuffle_is_exact(docs, empty):
+    rows = shuffle_rows(docs, bucket_rows=3).collect()
+    n = docs.count()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == n and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = [len(slots[s]) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1
+    assert Counter(r["row"]["text"] for r in rows) == Counter(r["text"] for r in docs.collect())
+    assert shuffle_rows(empty).isEmpty()
+
+
+def test_shuffle_sizes(docs):
+    import zlib
+    for (size, crc), text in zip(sized(docs).select("size", "text_crc32").collect(), [r["text"] for r in docs.collect()]):
+        data = (text or "").encode()
+        assert (size, crc) == (len(data) + 1, zlib.crc32(data))
+
+
+def test_hypergeometric_draws():
+    import random
+    rng = random.Random(3)
+    draws = [hypergeometric(30, 70, 20, rng.random()) for _ in range(4000)]
+    assert abs(sum(draws) / 4000 - 6) < 0.15 and min(draws) >= 0 and max(draws) <= 20
+    matrix = communication_matrix([10**10, 7, 0, 13], 8, 1)
+    assert [sum(r) for r in matrix] == [10**10, 7, 0, 13]
+    totals = [sum(c) for c in zip(*matrix)]
+    assert max(totals) - min(totals) <= 1
+
+
+# ---- secrets ------------------------------------------------------------------------------------------
+
+def brute_spans(text):
+    out = []
+    for name, pattern, group, least in (
+            ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]"""
+             r"""|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+            ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)):
+        out += [(m.start(), k, name, m.end()) for k, m in [(("assign", "access", "hex").index(name), m)
+                for m in re.finditer(pattern, text or "")] if len(m[group]) >= least]
+    return ",".join(f"{n}:{a}:{b}" for a, _, n, b in sorted(out))
+
+
+def test_secrets_equal_brute_force(spark, docs, empty):
+    extra = spark.createDataFrame([(900, "secret=token: abcdefg api_key='A1b2c3d4' Passwd : x AKIAAKIA" + "Z9" * 10)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(extra)
+    found = scan_versions(both, new_ledger(spark)).select("row.text", spans_of(F.col("findings"), RULES[:BASE]).alias("s")).collect()
+    assert len(found) == both.count()
+    assert all(r["s"] == brute_spans(r["text"]) for r in found)
+    assert scan_versions(empty, new_ledger(spark)).isEmpty()
+
+
+def test_ledger_scans_only_what_is_new(spark, docs):
+    path = new_ledger(spark)
+    scan_versions(docs, path).collect()
+    before = read_ledger(spark, path).count()
+    assert before == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    scan_versions(docs, path).collect()
+    assert read_ledger(spark, path).count() == before
+    newer = (*RULES, Rule("mail", 1, r"[a-z]+@[a-z]+"))
+    more = spark.createDataFrame([(1, "write to me@home")], "doc_id long, text string")
+    row = scan_versions(more, path, newer).first()
+    assert [f["rule"] for f in row["findings"]] == ["mail"]
+    assert read_ledger(spark, path).count() == before + 1
+    scan_versions(docs, path, newer).collect()  # old blobs, one new rule
+    assert read_ledger(spark, path).where("size(rules) = 1").count() == before
+
+
+def test_redact_masks_each_stretch(spark):
+    df = spark.createDataFrame([(1, "é password=abcdef123 end"), (2, None), (3, "clean")], "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in redact(scan_versions(df, new_ledger(spark))).collect()}
+    assert clean == {1: "é [SECRET] end", 2: None, 3: "clean"}
