@@ -37,7 +37,7 @@ from cohortlens.session import stage
 LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM + 1  # grams in a string
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 LEAD = 24
 #: Suffixes with one lead beyond which their strings are counted instead of sorted together.
 HOT_SUFFIXES = 1 << 16
