@@ -6,14 +6,14 @@ when their Jaccard similarity reaches ``NUMERATOR / DENOMINATOR`` (exact, in who
 1. Candidates: linked sets differ in a bounded number of n-grams. Cut into more parts (ranges of hashes)
    than that, they agree in at least one part; sets that agree in a part meet by its hash. Sets that
    meet, directly or over others, form a class; nothing outside a class can link with it.
-2. Each class orders its n-grams by how many of its sets hold them, rarest first, and stores the sets in a
-   trie. A set descends from the nodes where its own rare n-grams occur, adds up shared n-grams along
-   common paths, and leaves a subtree when the lengths that remain cannot reach the bound any more, or
-   when all sets below already belong to its component.
-3. Components of the links found are joined over all classes.
-
-Classes beyond one task's size are first split again by their rare n-grams (a passage that many documents
-share thus falls apart); what still is large is dealt in blocks, each pair of blocks to one task.
+2. The sets of classes beyond one task's size order their n-grams by how many of them hold each, rarest
+   first. Linked sets share one of their first few in this order, so these classes are split by them: a
+   passage that many otherwise different documents share falls out.
+3. Each class stores its sets in a trie, rarest n-grams of the class first. A set descends from the nodes
+   where its own rare n-grams occur, adds up shared n-grams along common paths, and leaves a subtree when
+   the lengths that remain cannot reach the bound any more, or when all sets below already belong to its
+   component. A class beyond one task's size is dealt in blocks, each pair of blocks to one task.
+4. Components of the links found are joined over all classes.
 
 Defined results: NULL, empty and blank texts have an empty set, link with nothing and keep their own id as
 component; texts of fewer words than ``n`` have one n-gram of all their words; repeated rows and copies
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from cohortlens.llm.arrays import SHARD_BYTES, SPACED, Words, map_texts, mix, ranges, slices
+from cohortlens.llm.arrays import SHARD_BYTES, SPACED, Words, lists, map_texts, mix, ranges, slices
 from cohortlens.llm.components import components
 from cohortlens.session import stage
 
@@ -78,11 +78,17 @@ def set_ids(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view("V16").reshape(-1)
 
 
+def _keys(ids: np.ndarray) -> np.ndarray:
+    """Half of each identity. Candidates go by it: should two sets share it, their classes are one."""
+    return ids.view(np.int64)[::2]
+
+
 def _identify(texts: pa.Array) -> list[pa.Array]:
     grams, bounds = gram_sets(texts)
     size = np.diff(bounds)
     ids = set_ids(grams, bounds)
-    return [pa.array(size, pa.int64()), pa.array([x.tobytes() if n else None for x, n in zip(ids, size.tolist())], pa.binary())]
+    return [pa.array(size, pa.int64()), pa.array([x.tobytes() if n else None for x, n in zip(ids, size.tolist())], pa.binary()),
+            pa.array(_keys(ids), pa.int64())]
 
 
 # ---- candidates ---------------------------------------------------------------------------------------
@@ -132,6 +138,7 @@ def signatures(grams: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate(who), np.concatenate(out)
 
 
+_INDEX = (np.uint16, np.int32)
 _BLOCKS = "bucket int, keys binary, who binary, ids binary"
 
 
@@ -147,7 +154,7 @@ def _stars(keys: np.ndarray, who: np.ndarray, ids: np.ndarray):
 
 
 def _blocks(documents: DataFrame, text: str, buckets: int) -> DataFrame:
-    """Part hashes in blocks by bucket. Sets of one batch that share a hash are paired with the first of
+    """Part hashes in blocks by bucket (``ids``: keys of the sets). Sets of one batch that share a hash are paired with the first of
     them at once (a row without keys), which alone is sent on."""
     names = [x.split()[0] for x in _BLOCKS.split(", ")]
 
@@ -159,7 +166,7 @@ def _blocks(documents: DataFrame, text: str, buckets: int) -> DataFrame:
             for i, j in slices(batch.column(0), SHARD_BYTES):
                 grams, bounds = gram_sets(batch.column(0).slice(i, j - i))
                 a, b = signatures(grams, bounds)
-                ids.append(set_ids(grams, bounds))
+                ids.append(_keys(set_ids(grams, bounds)))
                 who.append(a + n)
                 keys.append(b)
                 n += j - i
@@ -179,7 +186,7 @@ def _blocks(documents: DataFrame, text: str, buckets: int) -> DataFrame:
             for a, b in zip(cuts, np.append(cuts[1:], len(by))):
                 part = by[a:b]
                 used, mine = np.unique(who[part], return_inverse=True)
-                out.append((int(bucket[by[a]]), keys[part].tobytes(), mine.astype(np.int32).tobytes(), ids[used].tobytes()))
+                out.append((int(bucket[by[a]]), keys[part].tobytes(), mine.astype(_INDEX[len(used) > 65535]).tobytes(), ids[used].tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*out), [pa.int32()] + [pa.binary()] * 3)], names)
@@ -188,7 +195,7 @@ def _blocks(documents: DataFrame, text: str, buckets: int) -> DataFrame:
 
 
 def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in pairs[:, k]], pa.binary()) for k in (0, 1)], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
 
 
 def _meetings(blocks: DataFrame) -> DataFrame:
@@ -197,12 +204,12 @@ def _meetings(blocks: DataFrame) -> DataFrame:
         keys, who, ids, n = [], [], [], 0
         for batch in batches:
             for _, key, mine, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                own = np.frombuffer(own, "V16")
+                own = np.frombuffer(own, np.int64)
                 if key is None:
                     yield _pairs(own.reshape(-1, 2))
                     continue
                 keys.append(np.frombuffer(key, np.uint64))
-                who.append(np.frombuffer(mine, np.int32) + n)
+                who.append(np.frombuffer(mine, _INDEX[len(own) > 65535]).astype(np.int64) + n)
                 ids.append(own)
                 n += len(own)
         if keys:
@@ -213,7 +220,7 @@ def _meetings(blocks: DataFrame) -> DataFrame:
             for i in range(0, len(pairs), 1 << 16):
                 yield _pairs(ids[pairs[i:i + (1 << 16)]])
 
-    return blocks.repartition("bucket").mapInArrow(run, "a binary, b binary").distinct()
+    return blocks.repartition("bucket").mapInArrow(run, "a long, b long").distinct()
 
 
 # ---- the trie -----------------------------------------------------------------------------------------
@@ -378,73 +385,137 @@ def _grams(rows: DataFrame) -> DataFrame:
     return map_texts(rows, "text", StructType().add("grams", BinaryType()), make, keep).select("row.*", "grams")
 
 
-def _split(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """``id``, ``class`` of large classes split by their rare n-grams: linked sets share one among the first
-    ``size - needed + 1`` in the order of the class, whatever else they share."""
+#: Holders in one batch that make an n-gram frequent: these come last in the order, by hash.
+FREQUENT = 16
+_OFTEN = 2**31 - 1
+_HELD = "bucket int, grams binary, who binary, ids binary, counts binary"
+
+
+def _held(sets: DataFrame, buckets: int) -> DataFrame:
+    """N-grams of sets (``id``, ``grams``) in blocks by bucket, to be counted. An n-gram that a batch finds
+    frequent is sent once, as such; its holders keep that to themselves (a row without ``grams``)."""
+    names = [x.split()[0] for x in _HELD.split(", ")]
+
     def run(batches):
         for batch in batches:
-            grams = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            if not batch.num_rows:
+                continue
+            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "V16")
+            held = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            grams, who = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
+            by = np.argsort(grams, kind="stable")
+            grams, who = grams[by], who[by]
+            head = np.append(True, grams[1:] != grams[:-1])
+            at = np.flatnonzero(head)
+            count = np.diff(np.append(at, len(grams)))
+            often = np.repeat(count >= FREQUENT, count)
+            out = []
+            rows = np.flatnonzero(often)
+            for part in np.array_split(rows, min(16, len(rows))) if len(rows) else ():
+                out.append((int(grams[part[0]] % np.uint64(buckets)), None, who[part].astype(np.int32).tobytes(),
+                            ids.tobytes(), grams[part].tobytes()))
+            send = np.flatnonzero(~often | head)
+            bucket = (grams[send] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            send, bucket = send[order], bucket[order]
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            for a, b in zip(cuts, np.append(cuts[1:], len(send))):
+                part = send[a:b]
+                used, mine = np.unique(who[part], return_inverse=True)
+                out.append((int(bucket[a]), grams[part].tobytes(), mine.astype(np.int32).tobytes(), ids[used].tobytes(),
+                            often[part].tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(grams, pa.list_(pa.int64()))], ["id", "class", "grams"])
-
-    rows = stage(sets.join(classes, "id").select("id", "class", "grams")
-                 .mapInArrow(run, "id binary, class binary, grams array<long>"))
-    each = rows.select("class", F.explode("grams").alias("gram"))
-    shared = each.groupBy("class", "gram").agg(F.count("*").alias("n")).where("n > 1")
-    held = (rows.select("id", "class", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
-            .join(shared, ["class", "gram"], "left"))
-    # n-grams of this set alone come first in the order; their number is what the shared ones lack
-    listed = held.where("n IS NOT NULL").groupBy("id", "class", "size").agg(
-        F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("shared"))
-    prefix = F.col("size") - F.ceil(F.col("size") * NUMERATOR / F.lit(DENOMINATOR)).cast("int") + 1
-    room = F.greatest(prefix - (F.col("size") - F.size("shared")), F.lit(0))
-    rare = stage(listed.select("id", "class", F.explode(F.slice("shared", F.lit(1), room)).alias("g"))
+                [pa.array(c, k) for c, k in zip(zip(*out), [pa.int32()] + [pa.binary()] * 4)], names)
+
+    return sets.select("id", "grams").mapInArrow(run, _HELD)
+
+
+def _shared(blocks: DataFrame) -> DataFrame:
+    """``id`` and ``shared``: its n-grams that other sets hold, too, each with the number of holders."""
+    def rows(ids, counts, grams):
+        by = np.argsort(ids, kind="stable")
+        ids, counts, grams = ids[by], counts[by], grams[by]
+        cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        pairs = pa.StructArray.from_arrays([pa.array(counts.astype(np.int32)), pa.array(grams.view(np.int64))], ["n", "gram"])
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids[cuts]], pa.binary()),
+                                           lists(pairs, np.diff(np.append(cuts, len(ids))))], ["id", "shared"])
+
+    def run(batches):
+        grams, ids, often = [], [], []
+        for batch in batches:
+            for _, gram, who, own, extra in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                own = np.frombuffer(own, "V16")[np.frombuffer(who, np.int32)]
+                if gram is None:
+                    yield rows(own, np.full(len(own), _OFTEN), np.frombuffer(extra, np.uint64))
+                    continue
+                grams.append(np.frombuffer(gram, np.uint64))
+                ids.append(own)
+                often.append(np.frombuffer(extra, bool))
+        if grams:
+            grams, ids, often = np.concatenate(grams), np.concatenate(ids), np.concatenate(often)
+            by = np.argsort(grams, kind="stable")
+            grams, ids, often = grams[by], ids[by], often[by]
+            at = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+            count = np.diff(np.append(at, len(grams)))
+            flagged = np.logical_or.reduceat(often, at)
+            total = np.repeat(np.where(flagged, _OFTEN, count), count)
+            keep = np.flatnonzero((total > 1) & ~often)  # the holders behind a flag know already
+            if len(keep):
+                yield rows(ids[keep], total[keep], grams[keep])
+
+    return blocks.repartition("bucket").mapInArrow(run, "id binary, shared array<struct<n:int,gram:bigint>>")
+
+
+def _refine(members: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
+    """``id``, ``class`` of the classes (``id``, ``n``, ``class``) split by their rare n-grams: linked sets
+    share one among the first ``n - needed + 1`` in one order of all, whatever else they share. Sets that
+    share none are gone."""
+    listed = (_shared(_held(sets, buckets)).groupBy("id")
+              .agg(F.array_sort(F.flatten(F.collect_list("shared"))).alias("shared")))
+    prefix = F.col("n") - F.ceil(F.col("n") * NUMERATOR / F.lit(DENOMINATOR)) + 1
+    room = F.greatest(prefix - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")  # the others come first
+    rare = stage(listed.join(members, "id").select("id", "class", F.explode(F.slice("shared", F.lit(1), room)).alias("g"))
                  .select("id", "class", "g.gram"))
     lead = rare.groupBy("class", "gram").agg(F.min("id").alias("b"))
     met = rare.join(lead, ["class", "gram"]).select(F.col("id").alias("a"), "b").distinct()
-    return components(met).select("id", F.col("root").alias("class"))
+    return components(met).select("id", F.hex("root").alias("class"))
 
 
 def _linked(documents: DataFrame, id: str, text: str, keep: list[str], block_sets: int, block_grams: int):
     """Staged rows (``row``, ``doc``, ``uid``, ``n_shingles``, ``id``), and ``id``, ``root`` of linked sets."""
     spark = documents.sparkSession
-    fields = StructType().add("n_shingles", LongType()).add("id", BinaryType())
+    fields = StructType().add("n_shingles", LongType()).add("id", BinaryType()).add("key", LongType())
     packed = documents.select(
         F.struct(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{id}`").alias("doc"),
                  F.unhex(F.md5(F.col(f"`{text}`"))).alias("content")).alias("out"), F.col(f"`{text}`").alias("text"))
     rows = stage(map_texts(packed, "text", fields, lambda: _identify, keep=["out"])
-                 .select("row.out.*", "n_shingles", "id", F.monotonically_increasing_id().alias("uid")))
+                 .select("row.out.*", "n_shingles", "id", "key", F.monotonically_increasing_id().alias("uid")))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 << 20))
-    classes = components(_meetings(_blocks(documents, text, buckets))).withColumnRenamed("root", "class")
+    classes = components(_meetings(_blocks(documents, text, buckets))).toDF("key", "class")
 
     one = rows.where("id IS NOT NULL").groupBy("id").agg(
-        F.min("content").alias("content"), F.first("n_shingles").alias("n"))
-    members = stage(classes.join(one, "id"))
+        F.min("content").alias("content"), F.first("n_shingles").alias("n"), F.first("key").alias("key"))
+    blocks = F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_grams)).cast("int").alias("blocks")
+    members = stage(classes.join(one, "key").select("id", "content", "n", "class"))
+    members = stage(members.join(members.groupBy("class").agg(blocks), "class"))
     distinct = documents.select(F.unhex(F.md5(F.col(f"`{text}`"))).alias("content"), F.col(f"`{text}`").alias("text"))
     distinct = distinct.groupBy("content").agg(F.first("text").alias("text"))
-    sets = stage(_grams(distinct.join(members.select("content", "id"), "content").select("id", "text")))
-
-    def sized(assigned: DataFrame) -> DataFrame:
-        return assigned.groupBy("class").agg(F.greatest(
-            F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_grams)).cast("int").alias("blocks"))
-
-    assigned = members.select("id", "n", "class")
-    sizes = stage(sized(assigned))
-    if not sizes.where("blocks > 1").isEmpty():
-        large = assigned.join(sizes.where("blocks > 1").select("class"), "class", "left_semi")
-        split = stage(_split(large.select("id", "class"), sets))
-        small = assigned.join(sizes.where("blocks = 1").select("class"), "class", "left_semi")
-        assigned = stage(small.select("id", "n", "class")
-                         .unionByName(large.select("id", "n").join(split, "id").select("id", "n", "class")))
-        sizes = sized(assigned)
+    wide = (F.col("blocks") > 1).alias("wide")
+    sets = stage(_grams(distinct.join(members.select("content", "id", wide), "content").select("id", "wide", "text")))
+
+    large, small = members.where("blocks > 1"), members.where("blocks = 1").select("id", F.hex("class").alias("class"), "blocks")
+    assigned = small
+    if not large.isEmpty():
+        split = stage(large.select("id", "n").join(_refine(large.select("id", "n", "class"), sets.where("wide"), buckets), "id"))
+        assigned = small.unionByName(split.join(split.groupBy("class").agg(blocks), "class").select("id", "class", "blocks"))
     # a class of more blocks goes to one task per pair of blocks
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     other = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
-    dealt = (assigned.join(sizes, "class").withColumn("block", block)
+    dealt = (assigned.withColumn("block", block)
              .withColumn("other", F.explode(F.coalesce(other, F.array(F.lit(0)))))
              .select("id", F.struct("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("key")))
-    task = F.concat_ws(":", F.hex("key.class"), "key.i", "key.j")
+    task = F.concat_ws(":", "key.class", "key.i", "key.j")
     links = _link_groups(dealt.join(sets, "id").select(task.alias("task"), "id", "grams"))
     return rows, components(links)
 
