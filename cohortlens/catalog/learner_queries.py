@@ -191,36 +191,39 @@ def native_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- neighbours ---------------------------------------------------------------------------
 
+COORDINATES = [f"x{i}" for i in range(64)]
+
+
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("entity_id"), F.col("embedding")[0].cast("double").alias("x"),
-        F.col("embedding")[1].cast("double").alias("y"), (F.col("label") < 3).cast("int").alias("label"))
+        F.col("vec_id").alias("entity_id"), *(F.col("embedding")[i].cast("double").alias(x) for i, x in enumerate(COORDINATES)),
+        (F.col("label") < 3).cast("int").alias("label"))
 
 
-POINTS = """pts as (select vec_id entity_id, embedding[1]::double x, embedding[2]::double y, case when label < 3 then 1 else 0 end as label from embeddings),
+POINTS = f"""pts as (select vec_id entity_id, {", ".join(f"embedding[{i + 1}]::double {x}" for i, x in enumerate(COORDINATES))}, case when label < 3 then 1 else 0 end as label from embeddings),
 near as (select *, row_number() over (partition by entity_id order by raw, neighbor) as rank from (
-  select q.entity_id, p.entity_id neighbor, {raw} raw, p.label from pts q join pts p on q.entity_id <> p.entity_id))"""
-SQUARED = "(q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)"
-ABSOLUTE = "abs(q.x - p.x) + abs(q.y - p.y)"
+  select q.entity_id, p.entity_id neighbor, {{raw}} raw, p.label from pts q join pts p on q.entity_id <> p.entity_id))"""
+SQUARED = " + ".join(f"(q.{x} - p.{x}) * (q.{x} - p.{x})" for x in COORDINATES)
+ABSOLUTE = " + ".join(f"abs(q.{x} - p.{x})" for x in COORDINATES)
 
 
 @query(f"with {POINTS.format(raw=SQUARED)} select entity_id, cast(rank as int) as rank, neighbor, {r('sqrt(raw)')} distance, label from near where rank <= 5")
 def knn_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    return fixed_columns(neighbors.knn_join(points, points, ["x", "y"], 5, exclude="entity_id", payload=["label"]))
+    return fixed_columns(neighbors.knn_join(points, points, COORDINATES, 5, exclude="entity_id", payload=["label"]))
 
 
 @query(f"with {POINTS.format(raw=SQUARED)} select entity_id, {r('avg(label)')} p from near where rank <= 5 group by entity_id")
 def knn_vote_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    near = neighbors.knn_join(points, points, ["x", "y"], 5, exclude="entity_id", payload=["label"])
+    near = neighbors.knn_join(points, points, COORDINATES, 5, exclude="entity_id", payload=["label"])
     return fixed_columns(neighbors.neighbor_vote(near, 5))
 
 
 @query(f"with {POINTS.format(raw=ABSOLUTE)} select entity_id, {r('sum(label / raw) / sum(1 / raw)')} p from near where rank <= 15 group by entity_id")
 def knn_vote_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(spark, sf_dir)
-    near = neighbors.knn_join(points, points, ["x", "y"], 15, exclude="entity_id", p=1, payload=["label"])
+    near = neighbors.knn_join(points, points, COORDINATES, 15, exclude="entity_id", p=1, payload=["label"])
     return fixed_columns(neighbors.neighbor_vote(near, 15, "distance"))
 
 

@@ -49,10 +49,8 @@ SEED = 42
 BASE_TRIALS, BASE_RANDOM_TRIALS, BASE_TOP = 100, 30, 50
 FUSION_TRIALS, FUSION_RANDOM_TRIALS, FUSION_TOP = 50, 12, 30
 FUSION_MIN_VALUE = -0.5
-TOP_FEATURES = 50
 TOP_NATIVE = 20
 SELECT_FEATURES = 180
-EXPLAIN_ROWS, EXPLAIN_ROWS_FUSION, EXPLAIN_ROWS_NOT_TREE = 2000, 300, 5
 BACKGROUND_CENTRES = 20
 
 # --- neural baseline schedule ---------------------------------------------------------
@@ -61,12 +59,9 @@ FOCAL_LEARNING_RATE, FOCAL_WEIGHT_DECAY = 0.002, 1e-4
 FOCAL_EPOCHS, FOCAL_PATIENCE, FOCAL_PLATEAU, FOCAL_CLIP = 80, 20, 5, 1.0
 
 # --- model families -------------------------------------------------------------------
-CLASS_WEIGHT_FAMILIES = ("RF", "ET", "LR", "DT", "Ridge", "HGB", "SVM", "MLP", "ENLR")
 POSITIVE_WEIGHT_FAMILIES = ("XGBoost", "LightGBM")
-SAMPLE_WEIGHT_FAMILIES = ("AdaBoost", "GBC", "CatBoost")
 TREE_FAMILIES = ("LightGBM", "XGBoost", "CatBoost", "RF", "ET", "DT", "GBC", "HGB")
 BASE_METHODS = ("XGBoost", "LightGBM", "DT", "Ridge", "HGB", "ET")
-STACKED_METHODS = ("LightGBM", "HGB", "XGBoost")
 FUSION_METHODS = (
     "XGBoost", "LightGBM", "BNB", "ET", "HGB", "LR", "ENLR", "Ridge", "KNN", "RF", "DT", "LDA",
 )

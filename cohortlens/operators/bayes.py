@@ -33,6 +33,10 @@ class BayesModel:
         return joined.withColumn("p", p).drop("_prior", "_fill", "_cut", "_c0", "_c1")
 
 
+#: Share of the largest variance that a variance of 0 becomes.
+LEAST_SMOOTHING = 1e-9
+
+
 def fit_gaussian_nb(df: DataFrame, features: Sequence[str], candidates: Mapping[int, float] | None = None,
                     fold: str = "fold", label: str = "label", standardise: bool = False) -> BayesModel:
     """``candidates`` map trial ids to ``var_smoothing``: that share of the largest feature
@@ -40,7 +44,7 @@ def fit_gaussian_nb(df: DataFrame, features: Sequence[str], candidates: Mapping[
 
     ``standardise`` fits as on features z-scored with the training statistics of each fold.
     Densities do not change under scaling, so only the smoothing does: it becomes a share of
-    each feature's own variance.
+    each feature's own variance (of 1 for a constant feature, which scaling leaves as it is).
     """
     rows = []
     for left_out, stats in fold_moments(df, features, fold, label).items():
@@ -51,11 +55,14 @@ def fit_gaussian_nb(df: DataFrame, features: Sequence[str], candidates: Mapping[
         fill = {f: merge(own[(y, f)] for y in (0, 1)).mean for f in features}
         whole = {key: m.filled(fill[key[1]]) for key, m in own.items()}
         overall = {f: merge(whole[(y, f)] for y in (0, 1)).variance for f in features}
-        if not standardise:
-            overall = dict.fromkeys(features, max(overall.values()))
+        if standardise:
+            overall = {f: v or 1.0 for f, v in overall.items()}
+        else:
+            overall = dict.fromkeys(features, max(overall.values()) or 1.0)
         for trial, smoothing in (candidates or {0: 0.0}).items():
             params = [
-                [(whole[(y, f)].mean, whole[(y, f)].variance + smoothing * overall[f]) for f in features]
+                [(whole[(y, f)].mean, whole[(y, f)].variance + smoothing * overall[f] or LEAST_SMOOTHING * overall[f])
+                 for f in features]
                 for y in (0, 1)
             ]
             rows.append((left_out, trial, _log_odds(*seen), [fill[f] for f in features], *params))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.joins import attach
 from cohortlens import constants as K
 from cohortlens.functions.scalars import hard_decision, ratio, ratio_or_zero
 from cohortlens.operators.preprocess import moments
@@ -35,7 +36,7 @@ def balanced_weights(df: DataFrame, by: Sequence[str] = (), label: str = "label"
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     weights = counts.select(*keys, (F.sum("_n").over(group) / (2.0 * F.col("_n"))).alias(out))
-    return df.join(F.broadcast(weights), keys)
+    return attach(df, weights, keys, salt=df.columns)
 
 
 def positive_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:

@@ -57,7 +57,7 @@ def params_of(trials: DataFrame, keyword: str, row: int = 0) -> dict | None:
 
 
 def explain_models(data: FoldedData, trials: DataFrame, keywords: Mapping[str, str], row: int = 0,
-                   rows: int | None = K.EXPLAIN_ROWS, top: int | None = None) -> DataFrame:
+                   rows: int | None = None, top: int | None = None) -> DataFrame:
     """Importance table over a {family: keyword} choice. A family without a trial is left out."""
     train, _ = data.split(FULL)
     tables = []

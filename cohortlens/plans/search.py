@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import IllegalArgumentException, SparkRuntimeException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,10 @@ BASE_GOAL = Goal()
 FUSION_GOAL = Goal(lam=K.PENALTY_FUSION, constrained=True)
 
 
+#: What a fit raises for parameters or data that it cannot take; all else (lost executors, say) is passed on.
+FIT_ERRORS = (ValueError, ArithmeticError, IllegalArgumentException, SparkRuntimeException)
+
+
 def rate_candidates(data: FoldedData, family: str, candidates: Mapping[int, Mapping], goal: Goal = BASE_GOAL,
                     workers: int = 4) -> DataFrame:
     """The trials table of a batch: value and threshold from pooled out-of-fold scores.
@@ -50,12 +55,17 @@ def rate_candidates(data: FoldedData, family: str, candidates: Mapping[int, Mapp
     status.
     """
     rated, failed = {}, {}
-    for some in [candidates] if family in ONE_PASS and data.plain else [{t: p} for t, p in candidates.items()]:
+    batches = [candidates] if family in ONE_PASS and data.plain else [{t: p} for t, p in candidates.items()]
+    while batches:
+        some = batches.pop(0)
         try:
             scores = oof_candidates(data, family, some, workers)
             rated |= {r["trial_id"]: r for r in goal.rate(scores, ["trial_id"]).collect()}  # one row per trial
-        except Exception as problem:  # a trial that cannot be fitted is recorded, not rated as 0
-            failed |= {t: f"{type(problem).__name__}: {problem}"[:500] for t in some}
+        except FIT_ERRORS as problem:  # a trial that cannot be fitted is recorded, not rated as 0
+            if len(some) > 1:
+                batches = [{t: p} for t, p in some.items()] + batches  # which of them it was
+            else:
+                failed |= {t: f"{type(problem).__name__}: {problem}"[:500] for t in some}
     rows = []
     for trial, params in candidates.items():
         r = rated.get(trial)
@@ -102,6 +112,8 @@ def evaluate_on_target(data: FoldedData, family: str, trials: DataFrame, candida
         learner = make_learner(family, params, data.features, label=data.label, key=data.key,
                                cost_sensitive=params.get("class_weight", "balanced") is not None)
         scored.append(learner.fit(train).score(target).select(data.label, "p", F.lit(r["trial_id"]).alias("trial_id")))
+    if not scored:
+        scored = [target.select(data.label, F.lit(0.0).alias("p"), F.lit(0).alias("trial_id")).limit(0)]
     scores = stage(union_by_name(scored))
     learned = trials.where(F.col("rank") < top).select("trial_id", "threshold")
     counts = carry_threshold(learned, scores, ["trial_id"], label=data.label)
