@@ -63,12 +63,52 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = ranges(words.first[:-1], size)
     value = np.zeros(len(at), np.uint64)
     for j in range(SHINGLE):
-        value = mix(value + h[at + j] + np.uint64(j + 1))
+        value += h[at + j] * _PLACE[j]
+    value = mix(value)
     return value, np.concatenate([[0], np.cumsum(size)])
 
 
+_RANDOM = np.random.default_rng(5)
+_PLACE = _RANDOM.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
+_FACTORS = _RANDOM.integers(1, 2**32, (1 << 12, 2), dtype=np.uint32) | np.uint32(1)
+_BEYOND = np.uint32(2**32 - 1)
+_LOW = 1 << 16
+
+
+def _short(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(32)).astype(np.uint32)
+
+
+def _hash(values: np.ndarray, i: int) -> np.ndarray:
+    """The ``i``-th order of 32-bit values."""
+    h = (values ^ _FACTORS[i, 0]) * _FACTORS[i, 1]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(12)
+    return h
+
+
+def _key(least: list[np.ndarray]) -> np.ndarray:
+    """A band's key from the smallest values of its rows."""
+    key = np.zeros(len(least[0]), np.uint64)
+    for row, value in enumerate(least):
+        key = mix(key + value + np.uint64(row + 1))
+    return key
+
+
+def _slide(least: np.ndarray, span: int) -> np.ndarray:
+    """Smallest of ``span`` neighbours, each place and those behind it."""
+    reach = 1
+    while reach < span:
+        k = min(reach, span - reach)
+        least = np.concatenate([np.minimum(least[:-k], least[k:]), least[-k:]])
+        reach += k
+    return least
+
+
 class Class:
-    """Templates of similar length: ``block`` shingles to a step, ``span`` steps to a window, and bands."""
+    """Templates of similar length: ``block`` shingles (a power of two) to a step, ``span`` steps to a
+    window, and bands."""
 
     def __init__(self, members: list[tuple[int, np.ndarray]]):
         self.members = members
@@ -76,37 +116,34 @@ class Class:
         if long <= 4:
             self.block, self.span, self.rows, self.bands = 1, long, 1, 1
         else:
-            self.block = max(2, long // 4)
+            self.block = 1 << (max(2, long // 4).bit_length() - 1)
             self.span = -(-long // self.block) + 1
             part = CONTAINMENT / 100
             least = part * short / (self.span * self.block + (1 - part) * short)
             self.rows = ROWS
             self.bands = math.ceil(math.log(1 - CERTAINTY) / math.log(1 - least ** ROWS))
-        keys = {}
+        self.keyed: list[dict[int, list[int]]] = [{} for _ in range(self.bands)]
+        self.maybe = [np.zeros(_LOW, bool) for _ in range(self.bands)]
         for k, (_, own) in enumerate(members):
-            for band, key in enumerate(self.keys([_hash(own, i).min(keepdims=True) for i in range(self.bands * self.rows)])):
-                keys.setdefault((band, int(key[0])), []).append(k)
-        self.keyed = keys
-        self.known = [np.array(sorted(v for b, v in keys if b == band), np.uint64) for band in range(self.bands)]
-        self.maybe = [np.zeros(1 << 16, bool) for _ in range(self.bands)]
-        for table, values in zip(self.maybe, self.known):
-            table[(values & np.uint64(0xFFFF)).astype(np.int64)] = True
-
-    def keys(self, least: list[np.ndarray]):
-        """One key per band from the smallest values of its rows."""
-        for band in range(self.bands):
-            key = np.zeros_like(least[0])
-            for row in range(self.rows):
-                key = mix(key + least[band * self.rows + row] + np.uint64(row + 1))
-            yield key
-
-
-_FACTORS = np.random.default_rng(5).integers(1, 2**63, (1 << 12, 2), dtype=np.uint64) | np.uint64(1)
-
-
-def _hash(values: np.ndarray, i: int) -> np.ndarray:
-    h = (values ^ _FACTORS[i, 1]) * _FACTORS[i, 0]
-    return h ^ (h >> np.uint64(32))
+            for band in range(self.bands):
+                least = [_hash(_short(own), band * ROWS + row).min(keepdims=True) for row in range(self.rows)]
+                self.keyed[band].setdefault(int(_key(least)[0]), []).append(k)
+                self.maybe[band][least[0] % _LOW] = True
+
+    def meet(self, band: int, least: list[dict[int, np.ndarray]]):
+        """Windows and templates that share this band's key. ``least``: per row and block length, the
+        smallest values of all blocks. Only windows whose first row may fit need their other rows."""
+        first = _slide(least[0][self.block], self.span)
+        at = np.flatnonzero(self.maybe[band][first.astype(np.uint16)])
+        if not len(at):
+            return
+        rows = [first[at]]
+        for row in range(1, self.rows):
+            every = least[row][self.block]
+            rows.append(every[np.minimum(at[:, None] + np.arange(self.span), len(every) - 1)].min(axis=1))
+        for window, key in zip(at.tolist(), _key(rows).tolist()):
+            for k in self.keyed[band].get(key, ()):
+                yield window, k
 
 
 class Scanner:
@@ -125,44 +162,46 @@ class Scanner:
             self.classes.append(Class([x for x in rest if len(x[1]) <= limit]))
             rest = [x for x in rest if len(x[1]) > limit]
 
+        self.bands = max(c.bands for c in self.classes)
+        self.largest = max(c.block for c in self.classes)
+        margin = max((c.span - 1) * c.block for c in self.classes)
+        self.margin = -(-margin // self.largest) * self.largest
+
+    def _blocks(self, values: np.ndarray, beyond: np.ndarray, i: int) -> dict[int, np.ndarray]:
+        """Smallest values in the ``i``-th order of blocks of 1, 2, 4, ... places."""
+        least, block = _hash(values, i) | beyond, 1
+        out = {1: least}
+        while block < self.largest:
+            least, block = np.minimum(least[::2], least[1::2]), 2 * block
+            out[block] = least
+        return out
+
     def scan(self, texts: pa.Array) -> list[pa.Array]:
         value, bounds = shingles(texts)
         n_docs = len(texts)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         size = np.diff(bounds)
-        for c in self.classes:
-            steps = -(-size // c.block)
-            doc = np.repeat(np.arange(n_docs), steps)
-            if not len(doc):
-                continue
-            begin = np.repeat(bounds[:-1], steps) + c.block * (np.arange(len(doc)) - np.repeat(np.cumsum(steps) - steps, steps))
-            last = np.repeat(np.cumsum(steps), steps) - np.arange(len(doc)) - 1  # steps behind this one in its text
-            found: set[tuple[int, int]] = set()
-            least = []
-            for i in range(c.bands * c.rows):
-                m = np.minimum.reduceat(_hash(value, i), begin)
-                w = m.copy()
-                for k in range(1, c.span):
-                    w[:-k] = np.where(last[:-k] >= k, np.minimum(w[:-k], m[k:]), w[:-k])
-                least.append(w)
-                if len(least) == c.rows:  # a band is complete
-                    band = i // c.rows
-                    key = np.zeros_like(w)
-                    for row in range(c.rows):
-                        key = mix(key + least[row] + np.uint64(row + 1))
-                    least = []
-                    maybe = np.flatnonzero(c.maybe[band][(key & np.uint64(0xFFFF)).astype(np.int64)])
-                    for at, v in zip(maybe.tolist(), key[maybe].tolist()):
-                        found.update((at, k) for k in c.keyed.get((band, v), ()))
-            for at, k in sorted(found):
+        # texts lie apart by so many empty places that no window reaches two of them
+        place = np.concatenate([[0], np.cumsum(np.where(size, -(-size // self.largest) * self.largest + self.margin, 0))])
+        at = ranges(place[:-1], size)
+        flat, beyond = np.zeros(place[-1], np.uint32), np.full(place[-1], _BEYOND, np.uint32)
+        flat[at], beyond[at] = _short(value), 0
+        met: list[set[tuple[int, int]]] = [set() for _ in self.classes]
+        for band in range(self.bands if len(value) else 0):
+            least = [self._blocks(flat, beyond, band * ROWS + row) for row in range(ROWS)]
+            for c, pairs in zip(self.classes, met):
+                if band < c.bands:
+                    pairs.update(c.meet(band, least))
+        for c, pairs in zip(self.classes, met):
+            for window, k in sorted(pairs):
                 template, own = c.members[k]
-                d = int(doc[at])
-                a = int(begin[at])
-                window = value[a:min(a + c.block * c.span, int(bounds[d + 1]))]
-                hit = np.flatnonzero(np.isin(window, own))
-                count = len(np.unique(window[hit]))
+                d = int(np.searchsorted(place, window * c.block, "right")) - 1
+                first = int(bounds[d])
+                a = first + window * c.block - int(place[d])
+                held = value[a:min(a + c.block * c.span, int(bounds[d + 1]))]
+                hit = np.flatnonzero(np.isin(held, own))
+                count = len(np.unique(held[hit]))
                 if 100 * count >= CONTAINMENT * len(own):
-                    first = int(bounds[d])
                     entry = (count, -(a + int(hit[0]) - first), -(a + int(hit[-1]) - first + SHINGLE))
                     if entry > best.get((d, template), (0, 0, 0)):
                         best[d, template] = entry
