@@ -17,17 +17,18 @@ def components(edges: DataFrame) -> DataFrame:
     kind = edges.schema["a"].dataType
     now = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                 .where("a <> b").distinct())
-    while True:
-        both = now.union(now.select(F.col("b"), F.col("a"))).toDF("u", "v")
+    while not _stars(now):
+        both = now.select(F.expr("inline(array(struct(a AS u, b AS v), struct(b AS u, a AS v)))"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = (small.select(F.col("a"), F.col("m").alias("b"))
-                 .union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct())
-        after = stage(small)
-        if after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty():
-            break
-        now = after
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        ends = F.when(F.col("b") == F.col("m"), F.array("a")).otherwise(F.array("a", "b"))
+        now = stage(small.select(F.explode(ends).alias("a"), F.col("m").alias("b")).distinct())
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").cast(kind).alias("id"), F.col("b").alias("root")).union(roots)
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every ``a`` has one ``b`` and no ``b`` is an ``a``. As ``a > b``, each ``b`` is then a root."""
+    ends = edges.select(F.expr("inline(array(struct(a AS id, 1 AS up, 0 AS down), struct(b AS id, 0 AS up, 1 AS down)))"))
+    return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 AND up > 0").isEmpty()
