@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.columns import add_all
-from cohortlens.functions.scalars import double_array, sigmoid
+from cohortlens.functions.scalars import sigmoid
 from cohortlens.operators.preprocess import FULL, Moments, fold_moments, join_per_fold, long_form, merge
 
 TWO_PI = 6.283185307179586
@@ -129,18 +131,14 @@ def fit_bernoulli_nb(df: DataFrame, features: Sequence[str],
 
 def _counts_once(source: DataFrame, features: Sequence[str], cuts: Sequence[float], fold: str, label: str) -> dict:
     """{left out fold: {(label, feature, cut): (rows, rows above)}} from one count per fold."""
-    counted = (
-        long_form(source, [fold, label], features).withColumn("cut", F.explode(double_array(cuts)))
-        .groupBy(fold, label, "feature", "cut")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > F.col("cut")).alias("ones"))
-        .collect()
-    )
     own: dict[int, dict] = defaultdict(dict)
     total: dict[tuple, tuple[int, int]] = defaultdict(lambda: (0, 0))
-    for r in counted:
-        key = (r[label], r["feature"], r["cut"])
-        own[r[fold]][key] = (r["n"], r["ones"])
-        total[key] = (total[key][0] + r["n"], total[key][1] + r["ones"])
+    for in_fold, found in _histograms(source, dict.fromkeys(features, list(cuts)), fold, label).items():
+        for (y, feature), (above, missing) in found.items():
+            for cut, ones in zip(cuts, above[1:]):
+                key, n = (y, feature, cut), above[0] + missing
+                own[in_fold][key] = (n, ones)
+                total[key] = (total[key][0] + n, total[key][1] + ones)
     rest = {
         f: {k: (n - mine.get(k, (0, 0))[0], ones - mine.get(k, (0, 0))[1]) for k, (n, ones) in total.items()}
         for f, mine in own.items()
@@ -150,20 +148,49 @@ def _counts_once(source: DataFrame, features: Sequence[str], cuts: Sequence[floa
 
 def _counts_per_fold(source: DataFrame, features: Sequence[str], raw: Mapping, fill: Mapping, fold: str,
                      label: str) -> dict:
-    """The same where each left-out fold has its own raw cut; folds x features x cuts entries are broadcast."""
-    table = source.sparkSession.createDataFrame(
-        [(f, left_out, c, at, fill[left_out][f]) for (left_out, f, c), at in raw.items()],
-        "feature string, left_out int, cut double, at double, fill double")
+    """The same where each left-out fold has its own raw cut."""
+    places: dict[str, set[float]] = defaultdict(set)
+    for (_, feature, _), at in raw.items():
+        places[feature].add(at)
+    cuts = {f: sorted(places[f]) for f in features}
+    found = _histograms(source, cuts, fold, label)
+    out: dict[int, dict] = defaultdict(dict)
+    for (left_out, feature, cut), at in raw.items():
+        place = bisect_left(cuts[feature], at) + 1
+        filled_above = fill[left_out][feature] > at
+        for y in (0, 1):
+            trained = [stats[(y, feature)] for f, stats in found.items() if f != left_out and (y, feature) in stats]
+            if trained:
+                out[left_out][(y, feature, cut)] = (
+                    sum(above[0] + missing for above, missing in trained),
+                    sum(above[place] + missing * filled_above for above, missing in trained))
+    return out
+
+
+def _histograms(source: DataFrame, cuts: Mapping[str, list[float]], fold: str, label: str) -> dict:
+    """{fold: {(label, feature): (above, missing)}} for ascending ``cuts`` of each feature: ``above[0]`` rows
+    with a value, ``above[i + 1]`` of them beyond cut ``i``. A value is counted once, for all cuts; features
+    x cuts numbers are broadcast, and one count for each interval between cuts reaches the driver."""
+    table = source.sparkSession.createDataFrame(list(cuts.items()), "feature string, cuts array<double>")
+    passed = _passed(F.col("value"), F.col("cuts"), max(map(len, cuts.values())))
     counted = (
-        long_form(source, [fold, label], features).join(F.broadcast(table), "feature")
-        .where(F.col(fold) != F.col("left_out")).groupBy("left_out", label, "feature", "cut")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("value", "fill") > F.col("at")).alias("ones"))
-        .collect()
+        long_form(source, [fold, label], list(cuts)).join(F.broadcast(table), "feature")
+        .groupBy(fold, label, "feature", F.when(F.col("value").isNotNull(), passed).alias("passed"))
+        .agg(F.count(F.lit(1)).alias("n")).collect()
     )
-    out: dict[int, dict] = defaultdict(dict)
+    own: dict[int, dict] = defaultdict(dict)
     for r in counted:
-        out[r["left_out"]][(r[label], r["feature"], r["cut"])] = (r["n"], r["ones"])
-    return out
+        feature = r["feature"]
+        counts = own[r[fold]].setdefault((r[label], feature), [0] * (len(cuts[feature]) + 2))
+        counts[-1 if r["passed"] is None else r["passed"]] += r["n"]
+    return {f: {key: (list(accumulate(reversed(counts[:-1])))[::-1], counts[-1]) for key, counts in stats.items()}
+            for f, stats in own.items()}
+
+
+def _passed(value: Column, cuts: Column, most: int) -> Column:
+    """How many of the ascending ``cuts``, ``most`` at the most, lie below ``value``: by halved steps."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(most.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at))
 
 
 def gaussian_nb(df: DataFrame, features: Sequence[str], candidates: Mapping[int, float] | None = None,

@@ -1,13 +1,14 @@
 """Linear learners in closed form: discriminant analysis and calibrated ridge.
 
 The training data is read once into cross products (X'WX per group, X with a leading 1): each
-partition adds its rows up in numpy and emits one small matrix per group; Spark sums those
-element by element. What reaches the driver is groups x (d + 1)^2 numbers, where the d x d
-system is solved. Scores are column expressions.
+task adds its rows up in numpy and emits half of one symmetric matrix per group; these are added
+up in two levels, first by groups of tasks, then by group. What reaches the driver is groups x
+(d + 1)^2 / 2 numbers, where the d x d system is solved. Scores are column expressions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,6 +30,8 @@ def cross_products(df: DataFrame, columns: Sequence[str], by: str, weight: str |
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(F.col(by).cast("int").alias("g"), w.alias("w"), *[F.col(c).cast("double") for c in columns])
 
+    half = np.triu_indices(n)
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -36,14 +39,26 @@ def cross_products(df: DataFrame, columns: Sequence[str], by: str, weight: str |
                 x = np.column_stack([np.ones(len(part)), part[list(columns)].to_numpy()])
                 sums[g] = sums.get(g, 0.0) + (x * part["w"].to_numpy()[:, None]).T @ x
         if sums:
-            yield pd.DataFrame({"g": list(sums), "m": [s.ravel() for s in sums.values()]})
+            yield pd.DataFrame({"g": list(sums), "m": [s[half] for s in sums.values()]})
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, m in zip(batch["g"], batch["m"]):
+                sums[g] = sums.get(g, 0.0) + np.asarray(m)
+        if sums:
+            yield pd.DataFrame({"g": list(sums), "m": list(sums.values())})
 
-    parts = rows.mapInPandas(partial, "g int, m array<double>")
-    summed = parts.select("g", F.posexplode("m").alias("i", "v")).groupBy("g", "i").agg(F.sum("v").alias("v"))
+    # as many partial matrices as the session has shuffle partitions, however many the input has
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = "g int, m array<double>"
+    some = rows.coalesce(tasks).mapInPandas(partial, schema).repartition(math.isqrt(tasks)).mapInPandas(total, schema)
     out: dict[int, np.ndarray] = {}
-    for r in summed.collect():
-        out.setdefault(r["g"], np.zeros(n * n))[r["i"]] = r["v"]
-    return {g: m.reshape(n, n) for g, m in out.items()}
+    for r in some.repartition("g").mapInPandas(total, schema).collect():
+        whole = out[r["g"]] = np.zeros((n, n))
+        whole[half] = r["m"]
+        whole.T[half] = r["m"]
+    return out
 
 
 @dataclass(frozen=True)
