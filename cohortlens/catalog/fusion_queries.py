@@ -10,13 +10,12 @@ from cohortlens.catalog.inputs import (
     FEAT, FEATURES, FOLD, MODELS, PAIR, SCORES, fixed_columns, model_scores, orders_with_features, r, source_folds,
 )
 from cohortlens.catalog.learner_queries import (
-    OUT_OF_FOLD, SMALL, SMOOTHING, WHOLE_SOURCE, _SMOOTHED, gnb_sql,
+    DEFAULTS, OUT_OF_FOLD, SMOOTHING, WHOLE_SOURCE, _SMOOTHED, gnb_sql,
 )
 from cohortlens.catalog.threshold_queries import AUC, CONSTRAINED, COUNTS, RECORD, best_sql, counts_sql, curve_sql, rates_sql
 from cohortlens.operators import importance as ranking
 from cohortlens.operators import metrics, preprocess
 from cohortlens.operators.attribution import background, linear_attribution
-from cohortlens.operators.focal import FocalSchedule
 from cohortlens.operators.learners import make_learner
 from cohortlens.operators.linear import LinearScore
 from cohortlens.operators.preprocess import FULL
@@ -198,8 +197,8 @@ def importance_propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _explained(spark: SparkSession, sf_dir: str, family: str, rows: int | None = None) -> DataFrame:
     data = FoldedData(source_folds(spark, sf_dir, target=True), FEATURES)
     train, _ = data.split(FULL)
-    learner = make_learner(family, SMALL.get(family, {}), FEATURES)
-    phi = explain.attribute(learner, learner.fit(train), train, family, rows, permutations=4)
+    learner = make_learner(family, DEFAULTS[family], FEATURES)
+    phi = explain.attribute(learner, learner.fit(train), train, family, rows)
     return fixed_columns(ranking.importance_table(ranking.global_importance(phi)))
 
 
@@ -229,16 +228,15 @@ def background_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 def focal_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Focal-loss scorer: hold-out, median fill, dense-low sweep, metrics of the target cohort."""
     rows = source_folds(spark, sf_dir, target=True)
-    schedule = FocalSchedule(epochs=12, learning_rate=0.1)
     return fixed_columns(baseline.run_baseline(
-        rows.where("fold IS NOT NULL"), rows.where("fold IS NULL"), FEATURES, schedule=schedule))
+        rows.where("fold IS NOT NULL"), rows.where("fold IS NULL"), FEATURES))
 
 
 @query()
 def search_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random start, guided batch, refit and target report for two families."""
     data = FoldedData(source_folds(spark, sf_dir, target=True), FEATURES)
-    _, report = search.run_search(data, ["GNB", "BNB"], n_trials=6, n_random=4, top=1)
+    _, report = search.run_search(data, ["GNB", "BNB"])
     return fixed_columns(report.drop("params"))
 
 
@@ -247,5 +245,5 @@ def fusion_stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two base models stacked by discriminant analysis and naive Bayes, reported on the target."""
     data = FoldedData(source_folds(spark, sf_dir, target=True), FEATURES)
     models = {"nb": ("GNB", {}), "bern": ("BNB", {"binarize": 0.2})}
-    report = fusion.run_fusion(data, models, "stacking", ["BNB", "LDA"], n_trials=1, n_random=1, top=1)
+    report = fusion.run_fusion(data, models, "stacking", ["BNB", "LDA"])
     return fixed_columns(report.select("model_id", "rank", "value", *metrics.RATE_COLUMNS, "auc", "threshold"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens import constants as K
 from cohortlens.catalog import query
 from cohortlens.catalog.inputs import (
     FEATURES, FOLD, PAIR, fixed_columns, orders_with_features, r, source_folds, table,
@@ -137,36 +138,21 @@ def lda_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- learners on the target cohort --------------------------------------------------------
 
-# Budgets small enough for a check, one per family.
-SMALL = {
-    "XGBoost": {"n_estimators": 10, "max_depth": 4, "learning_rate": 0.2, "subsample": 0.9, "colsample_bytree": 1.0, "gamma": 0},
-    "LightGBM": {"n_estimators": 10, "num_leaves": 15, "learning_rate": 0.2, "min_child_samples": 20},
-    "HGB": {"max_iter": 10, "max_depth": 4, "learning_rate": 0.2, "early_stopping": True},
-    "CatBoost": {"iterations": 8, "depth": 4},
-    "GBC": {"n_estimators": 8, "max_depth": 3},
-    "AdaBoost": {"n_estimators": 6, "learning_rate": 0.8},
-    "RF": {"n_estimators": 20, "max_depth": 6, "max_features": "sqrt"},
-    "ET": {"n_estimators": 20, "max_depth": 6, "max_features": "sqrt", "bootstrap": False},
-    "DT": {"max_depth": 6, "min_samples_leaf": 20},
-    "LR": {"C": 1.0, "penalty": "l2"},
-    "ENLR": {"C": 1.0, "l1_ratio": 0.5},
-    "MLP": {"hidden": 8, "max_iter": 40},
-    "Ridge": {"alpha": 1.0},
-}
+DEFAULTS = {**K.BASE_DEFAULTS, **K.LIBRARY_DEFAULTS}
 
 
 def _register_learner(family: str) -> None:
     def fit_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
         data = FoldedData(source_folds(spark, sf_dir, target=True), FEATURES)
         train, target = data.split(FULL)
-        model = make_learner(family, SMALL[family], FEATURES).fit(train)
+        model = make_learner(family, DEFAULTS[family], FEATURES).fit(train)
         return fixed_columns(model.score(target).select("entity_id", "label", "p"))
 
     fit_and_score.__doc__ = f"{family} trained cost-sensitively on all source cohorts, scores of the target cohort."
     query(name=f"learner_{family.lower()}")(fit_and_score)
 
 
-for _family in SMALL:
+for _family in DEFAULTS:
     _register_learner(_family)
 
 
@@ -174,7 +160,7 @@ for _family in SMALL:
 def decision_tree_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of an iterative learner: one fit per fold, pooled."""
     data = FoldedData(source_folds(spark, sf_dir), FEATURES)
-    return fixed_columns(oof_scores(data, make_learner("DT", SMALL["DT"], FEATURES)))
+    return fixed_columns(oof_scores(data, make_learner("DT", DEFAULTS["DT"], FEATURES)))
 
 
 @query()
@@ -184,7 +170,7 @@ def native_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = data.split(FULL)[0]
     rows = None
     for family in ("DT", "LR"):
-        found = native_importance(make_learner(family, SMALL[family], FEATURES).fit(train), train, family)
+        found = native_importance(make_learner(family, DEFAULTS[family], FEATURES).fit(train), train, family)
         rows = found if rows is None else rows.unionByName(found)
     return flatten_top(rows, n=3)
 

@@ -144,3 +144,15 @@ BASE_DEFAULTS = {
     "HGB": {"max_iter": 100, "learning_rate": 0.1},
     "ET": {"n_estimators": 100, "max_depth": 8, "min_samples_leaf": 2},
 }
+
+# families without a configured default take those of the library they stand for; iteration limits of
+# the logistic families as in their search ranges, the mix of the elastic net is the middle of its range
+LIBRARY_DEFAULTS = {
+    "CatBoost": {"iterations": 1000, "depth": 6, "learning_rate": 0.03},
+    "GBC": {"n_estimators": 100, "learning_rate": 0.1, "max_depth": 3},
+    "AdaBoost": {"n_estimators": 50, "learning_rate": 1.0},
+    "RF": {"n_estimators": 100, "max_depth": None, "max_features": "sqrt"},
+    "LR": {"C": 1.0, "penalty": "l2", "max_iter": 1000},
+    "ENLR": {"C": 1.0, "l1_ratio": 0.5, "max_iter": 2000},
+    "MLP": {"hidden": 100, "max_iter": 200},
+}

@@ -17,7 +17,7 @@ from cohortlens.operators.metrics import auc, metric_record
 from cohortlens.operators.preprocess import FULL
 from cohortlens.operators.threshold import carry_threshold, penalised, threshold_sweep
 from cohortlens.plans.candidates import draw, draw_near
-from cohortlens.plans.validation import ONE_PASS, FoldedData, oof_candidates
+from cohortlens.plans.validation import ONE_PASS, FoldedData, oof_candidates, target_one_pass
 from cohortlens.session import stage
 from cohortlens.sources.cohorts import union_by_name
 from cohortlens.sources.trials import TRIALS_SCHEMA, rank_trials, select_trials
@@ -46,16 +46,33 @@ FUSION_GOAL = Goal(lam=K.PENALTY_FUSION, constrained=True)
 FIT_ERRORS = (ValueError, ArithmeticError, IllegalArgumentException, SparkRuntimeException)
 
 
+def _learner(data: FoldedData, family: str, params: Mapping):
+    return make_learner(family, params, data.features, label=data.label, key=data.key,
+                        cost_sensitive=params.get("class_weight", "balanced") is not None)
+
+
+def _alike(data: FoldedData, family: str, candidates: Mapping[int, Mapping]) -> dict[int, int]:
+    """{trial: first trial whose learner is the same}."""
+    first: dict[str, int] = {}
+    out = {}
+    for trial, params in candidates.items():
+        learner = _learner(data, family, params)
+        out[trial] = first.setdefault(repr((sorted(learner.params.items()), learner.cost_sensitive)), trial)
+    return out
+
+
 def rate_candidates(data: FoldedData, family: str, candidates: Mapping[int, Mapping], goal: Goal = BASE_GOAL,
                     workers: int = 4) -> DataFrame:
     """The trials table of a batch: value and threshold from pooled out-of-fold scores.
 
     Closed-form families rate the whole batch in one sweep; others trial by trial, so that a
-    plan holds the folds of one trial only. A failed trial has a NULL value and its error as
+    plan holds the folds of one trial only. Trials that differ in nothing the learner uses are fitted once. A failed trial has a NULL value and its error as
     status.
     """
     rated, failed = {}, {}
-    batches = [candidates] if family in ONE_PASS and data.plain else [{t: p} for t, p in candidates.items()]
+    alike = _alike(data, family, candidates)
+    first = {t: candidates[t] for t in dict.fromkeys(alike.values())}
+    batches = [first] if family in ONE_PASS and data.plain else [{t: p} for t, p in first.items()]
     while batches:
         some = batches.pop(0)
         try:
@@ -68,9 +85,9 @@ def rate_candidates(data: FoldedData, family: str, candidates: Mapping[int, Mapp
                 failed |= {t: f"{type(problem).__name__}: {problem}"[:500] for t in some}
     rows = []
     for trial, params in candidates.items():
-        r = rated.get(trial)
+        r = rated.get(alike[trial])
         cells = {k: str(v) for k, v in params.items()}
-        status = "ok" if r else failed.get(trial, "failed: no scores")
+        status = "ok" if r else failed.get(alike[trial], "failed: no scores")
         rows.append((family, trial, cells, r and float(r["value"]), r and float(r["threshold"]), status, None))
     return data.df.sparkSession.createDataFrame(rows, TRIALS_SCHEMA)
 
@@ -104,17 +121,20 @@ def evaluate_on_target(data: FoldedData, family: str, trials: DataFrame, candida
     Order is by out-of-fold value; the target's metrics are a report, never a criterion.
     """
     chosen = select_trials(trials, range(top)).orderBy("rank").collect()  # at most ``top`` rows
+    alike = _alike(data, family, {r["trial_id"]: candidates[r["trial_id"]] for r in chosen})
+    first = {t: candidates[t] for t in dict.fromkeys(alike.values())}
     train, target = data.split(FULL)
     train = stage(train) if data.resample else train
-    scored = []
-    for r in chosen:
-        params = candidates[r["trial_id"]]
-        learner = make_learner(family, params, data.features, label=data.label, key=data.key,
-                               cost_sensitive=params.get("class_weight", "balanced") is not None)
-        scored.append(learner.fit(train).score(target).select(data.label, "p", F.lit(r["trial_id"]).alias("trial_id")))
-    if not scored:
+    if not first:
         scored = [target.select(data.label, F.lit(0.0).alias("p"), F.lit(0).alias("trial_id")).limit(0)]
-    scores = stage(union_by_name(scored))
+    elif family in ("GNB", "BNB") and data.plain:  # one scan of statistics, one scoring pass
+        scored = [target_one_pass(data, family, first).select(data.label, "p", "trial_id")]
+    else:
+        scored = [_learner(data, family, p).fit(train).score(target).select(data.label, "p", F.lit(t).alias("trial_id"))
+                  for t, p in first.items()]
+    fitted = stage(union_by_name(scored)).withColumnRenamed("trial_id", "_fit")
+    of = data.df.sparkSession.createDataFrame([(f, t) for t, f in alike.items()], "_fit int, trial_id int")
+    scores = fitted.join(F.broadcast(of), "_fit").drop("_fit")  # at most ``top`` rows
     learned = trials.where(F.col("rank") < top).select("trial_id", "threshold")
     counts = carry_threshold(learned, scores, ["trial_id"], label=data.label)
     record = metric_record(counts, auc(scores, ["trial_id"], label=data.label), ["trial_id"], extra=["threshold"])

@@ -134,6 +134,12 @@ def score_closed_form(data: FoldedData, family: str, params: Mapping) -> DataFra
     return joined.withColumn("p", sigmoid(margin)).drop("_w", "_b")
 
 
+def target_one_pass(data: FoldedData, family: str, candidates: Mapping[int, Mapping]) -> DataFrame:
+    """Scores of the target rows by naive Bayes models of all source rows, with their trial_id."""
+    target = data.df.where(F.col(data.fold).isNull())
+    return _fit_bayes(data, family, candidates).score(target, data.fold).select(*data.keys(), "trial_id", "p")
+
+
 def oof_one_pass(data: FoldedData, family: str, candidates: Mapping[int, Mapping], workers: int = 4) -> DataFrame:
     """Out-of-fold scores of all candidates of a closed-form family, with their trial_id."""
     columns = [*data.keys(), "trial_id", "p"]
