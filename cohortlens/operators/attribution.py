@@ -176,12 +176,14 @@ def sampled_attribution(df: DataFrame, score, features: Sequence[str],
         F.when(F.array_position("order", F.lit(i)) <= F.col("_step"), F.col("_own")[i]).otherwise(F.col("_from")[i]).alias(f)
         for i, f in enumerate(features)
     ]
-    scored = score.score(steps.select(key, "perm", "order", "_step", *mixed), "_p")
+    # a variant is a row of its own: scorers that join by the key must not mix those of one entity
+    variant = F.concat_ws(":", F.col(key).cast("string"), "perm", "_step").alias(key)
+    scored = score.score(steps.select(F.col(key).alias("_entity"), variant, "perm", "order", "_step", *mixed), "_p")
     names = F.array(*[F.lit(f) for f in features])
     gains = F.explode(F.array(
         F.struct(F.when(F.col("_step") > 0, F.col("order")[F.greatest(F.col("_step") - 1, F.lit(0))]).alias("f"), F.col("_p").alias("g")),
         F.struct(F.when(F.col("_step") < d, F.col("order")[F.least(F.col("_step"), F.lit(d - 1))]).alias("f"), (-F.col("_p")).alias("g")),
     ))
-    changes = scored.select(key, gains.alias("c")).select(key, "c.*").where(F.col("f").isNotNull())
+    changes = scored.select(F.col("_entity").alias(key), gains.alias("c")).select(key, "c.*").where(F.col("f").isNotNull())
     return changes.groupBy(key, F.element_at(names, F.col("f") + 1).alias("feature")).agg(
         (F.sum("g") / len(orders)).alias("phi")).withColumn("model_id", F.lit(model_id))

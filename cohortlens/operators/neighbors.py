@@ -94,7 +94,8 @@ def knn_join(
 
     Distances are Minkowski with p of 1 or 2; equal distances are ordered by the point's key.
     ``exclude`` names a column of both sides: pairs that agree in it are not neighbours (the
-    key itself to leave a row out, the fold to search other folds only).
+    key itself to leave a row out, the fold to search other folds only). A row with a missing or
+    infinite feature has no distance to any other: it raises a ValueError; impute first.
     """
     if p not in (1, 2):
         raise ValueError("p must be 1 or 2")
@@ -103,13 +104,14 @@ def knn_join(
     ban = F.col(exclude).cast("string") if exclude else F.lit(None).cast("string")
     kept = stage(_first_copies(points, features, k, key, exclude).select(
         F.col(key).alias("neighbor"), vector, ban.alias("_ban"), *payload))
-    total = kept.count()
+    total = _refuse_missing(kept, features, "points")
     cells = max(1, min(MAX_CELLS, -(-total // cell_rows)))
     sample = kept.select("_x").orderBy(hash_order("neighbor")).limit(cells * SAMPLE_PER_CELL)
     drawn = np.array([r["_x"] for r in sample.collect()]).reshape(-1, len(features))
     tree = grow_cells(drawn, cells)
     located = kept.withColumn("_cell", _cell_of(tree)("_x"))
     asked = stage(queries.select(F.col(key), vector, ban.alias("_ban")).withColumn("_cell", _cell_of(tree)("_x")))
+    _refuse_missing(asked, features, "queries")
     boxes = _boxes(located, len(features)) if cells > 1 else None
 
     types = {f.name: f.dataType for f in kept.schema.fields}
@@ -166,6 +168,15 @@ def knn_candidates(df: DataFrame, features: Sequence[str], candidates: Mapping[i
     return out.join(df.select(key, fold, label), key)
 
 
+def _refuse_missing(rows: DataFrame, features: Sequence[str], what: str) -> int:
+    """The number of rows; a ValueError where a feature of one has no finite value."""
+    gap = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.exists("_x", gap)).alias("bad")).first()
+    if got["bad"]:
+        raise ValueError(f"{got['bad']} {what} miss a finite value of {', '.join(features)}; impute them first")
+    return got["n"]
+
+
 def _first_copies(points: DataFrame, features: Sequence[str], k: int, key: str, exclude: str | None) -> DataFrame:
     """Of identical points, those that can be among k nearest: the first k by key, per excluded value."""
     by_value = [c for c in [exclude] if c and c != key]

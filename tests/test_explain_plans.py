@@ -232,3 +232,19 @@ def test_baseline_report(folded):
     source, target = folded.where("fold IS NOT NULL"), folded.where("fold IS NULL")
     row = baseline.run_baseline(source, target, FEATURES, schedule=FocalSchedule(epochs=8, learning_rate=0.2)).first()
     assert row["auc"] > 0.7 and row["tp"] + row["fp"] + row["tn"] + row["fn"] == 200
+
+
+def test_knn_attribution_sees_the_feature_that_carries_the_label(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=120), rng.normal(size=120)
+    df = spark.createDataFrame([(i, int(x > 0), float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))],
+                               "entity_id int, label int, a double, b double")
+    learner = make_learner("KNN", {"n_neighbors": 5}, ["a", "b"])
+    model = learner.fit(df)
+    centres = [(1.0, {"a": -1.0, "b": 0.0})]
+    phi = attribution.sampled_attribution(df, model, ["a", "b"], centres, 2)
+    mean = {r["feature"]: r["m"] for r in phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("m")).collect()}
+    assert mean["a"] > 0.3 > 0.1 > mean["b"]
+    total = {r["entity_id"]: r["t"] for r in phi.groupBy("entity_id").agg(F.sum("phi").alias("t")).collect()}
+    at_centre = model.score(spark.createDataFrame([(-1, -1.0, 0.0)], "entity_id int, a double, b double")).first()["p"]
+    assert total == pytest.approx({r["entity_id"]: r["p"] - at_centre for r in model.score(df).collect()})

@@ -103,3 +103,12 @@ def test_borderline_bases_are_in_danger(folded):
 def test_nothing_to_add(spark):
     df = spark.createDataFrame([(1, 1, 0.0), (2, 1, 1.0), (3, 0, 2.0)], "entity_id int, label int, a double")
     assert resample.smote(df, ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+def test_missing_features_raise(spark, bad):
+    whole = spark.createDataFrame([(1, 0.0, 1.0), (2, 1.0, 1.0), (3, 2.0, 0.0)], "entity_id int, x double, y double")
+    holed = spark.createDataFrame([(1, 0.0, 1.0), (2, bad, 1.0), (3, 2.0, 0.0)], "entity_id int, x double, y double")
+    for queries, points, what in ((holed, whole, "queries"), (whole, holed, "points")):
+        with pytest.raises(ValueError, match=f"1 {what}"):
+            neighbors.knn_join(queries, points, ["x", "y"], 1)
