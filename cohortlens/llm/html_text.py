@@ -1,8 +1,8 @@
 """Main text of HTML pages by tree scoring.
 
 A page becomes a tree of block elements. Paragraphs pass points for length and commas on to their
-ancestors, a link's share of the text discounts them; the container with the most points and those of its
-siblings that look alike make the article. Menus, forms, adverts, comments and the like are cut off first.
+ancestors, a link's share of the text discounts them; the marked article or main element around the container
+with the most points is the article, else the container and those of its siblings that are not mostly links. Menus, forms, adverts, comments and the like are cut off first.
 
 Defined results: NULL and empty pages, and pages without text, give the empty text; broken markup is read
 as browsers do (implied and missing end tags); pages of any length are read whole; repeated rows are read
@@ -26,7 +26,8 @@ _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*>|([^<]+)|<",
     re.IGNORECASE | re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+#: One name with its value, if any; read in order, so nothing is found inside of names and values.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby
@@ -201,27 +202,29 @@ def main_text(html: str) -> str:
         return n.points * (1 - n.links / max(n.size, 1))
 
     best = max(scored.values(), key=lambda n: (score(n), n.depth))
-    # the article that holds the best container, where the page marks one
+    # the article, else the main element, that holds the best container, where the page marks one
     at = best
     while at is not None and at.tag != "article":
         at = at.parent
+    if at is None:
+        at = best
+        while at is not None and at.tag != "main":
+            at = at.parent
     if at is not None:
-        kept, within = {id(at)}, at
+        kept = {id(at)}
     else:
         while best.tag in ("ul", "ol", "dl", "table", "tbody", "tr") and best.parent is not None:
             best = best.parent  # a list or table is no article of its own
+        while best.parent is not None and best.parent.size == best.size:
+            best = best.parent  # wrappers of nothing else
         kept, within = {id(best)}, best.parent
-        limit = max(10.0, 0.2 * score(best))
         if within is not None:
-            for node, value in found:
+            for node, _ in found:
                 child = node
                 while child.depth > within.depth + 1:
                     child = child.parent
-                if child.parent is within and id(child) not in kept:
-                    density = child.links / max(child.size, 1)
-                    if (score(child) >= limit or child.tag in HEADINGS and density < 0.5
-                            or child.tag == "p" and density < 0.25 and (len(value) > 80 or value[-1] in ".!?")):
-                        kept.add(id(child))
+                if child.parent is within and 2 * child.links < child.size:
+                    kept.add(id(child))
     out = []
     inside: dict[int, bool] = {}
     for node, value in found:

@@ -97,6 +97,27 @@ def test_main_text(html, text):
     assert (main_text(html) if html else "") == text
 
 
+@pytest.mark.parametrize("attributes", [
+    'data-hidden="false"', 'title="The hidden cost"', 'data-id="comments"', "title='id=comments class=ad'", 'aria-hidden-x="true"'])
+def test_names_inside_other_attributes_do_not_cut(attributes):
+    assert main_text(f"<article><p>{LONG}</p><section {attributes}><p>Kept.</p></section></article>") == f"{LONG}\nKept."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "data-x=1 hidden", 'title="a b" id = "comments"', "aria-hidden=true"])
+def test_hidden_and_boilerplate_attributes_cut(attributes):
+    assert main_text(f"<article><p>{LONG}</p><section {attributes}><p>Cut.</p></section></article>") == LONG
+
+
+@pytest.mark.parametrize("around", ["<main>{}</main>", "<div>{}</div>", "<body>{}"])
+def test_short_sections_stay_beside_a_long_one(around):
+    page = f"<section>{f'<p>{LONG}</p>' * 30}</section><section><p>Short one.</p><p>And two</p></section>"
+    assert main_text(around.format(page)).split("\n") == [LONG] * 30 + ["Short one.", "And two"]
+
+
+def test_link_lists_beside_the_text_do_not_stay():
+    assert main_text(f"<div><section><p>{LONG}</p></section><section><a href=/>Other</a> <a href=/>pages</a></section></div>") == LONG
+
+
 def test_extract_reads_every_page(spark, pages):
     rows = extract(pages.withColumn("text", F.lit("clash"))).collect()
     assert len(rows) == pages.count() and all(r["n_chars"] == len(r["text"]) for r in rows)
