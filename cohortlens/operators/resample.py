@@ -22,12 +22,15 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "label", key: str
 
     Each base row (all positives, or ``bases``) gets an equal share of the missing rows, the
     remainder going to the first in hash order. A new point lies at a + u (b - a), with b one
-    of the k nearest positives of a. Append to the training rows with ``with_synthetic``.
+    of the k nearest positives of a; fewer than k + 1 positives raise a ValueError.
+    Append to the training rows with ``with_synthetic``.
     """
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     positives = df.where(F.col(label) == 1).select(key, *[F.col(f).cast("double").alias(f) for f in features])
-    missing, near = counts.get(0, 0) - counts.get(1, 0), min(k, counts.get(1, 0) - 1)
-    if missing <= 0 or near < 1:
+    missing = counts.get(0, 0) - counts.get(1, 0)
+    if missing > 0 and counts.get(1, 0) <= k:
+        raise ValueError(f"{counts.get(1, 0)} positives have no {k} neighbours each; k + 1 = {k + 1} are needed")
+    if missing <= 0:
         return positives.select(key, F.lit(0).alias("copy"), F.lit(1).alias(label), *features).limit(0)
     base = positives if bases is None else positives.join(bases.select(key), key, "left_semi")
     ranked = hash_rank(base, [], key, seed, groups=1)
@@ -36,11 +39,11 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "label", key: str
     spec = (
         ranked.withColumn("_copies", copies).where(F.col("_copies") > 0)
         .withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("_copies") - 1).cast("int"))))
-        .withColumn("rank", (F.floor(hash_uniform(str(seed), "pick", F.col(key), F.col("copy")) * near) + 1).cast("int"))
+        .withColumn("rank", (F.floor(hash_uniform(str(seed), "pick", F.col(key), F.col("copy")) * k) + 1).cast("int"))
         .withColumn("_u", hash_uniform(str(seed), "step", F.col(key), F.col("copy")))
         .drop("_copies", "group_rows")
     )
-    found = knn_join(base, positives, features, near, key, exclude=key, payload=features)
+    found = knn_join(base, positives, features, k, key, exclude=key, payload=features)
     others = found.select(key, "rank", *[F.col(f).alias(f"_to_{f}") for f in features])
     between = [(F.col(f) + F.col("_u") * (F.col(f"_to_{f}") - F.col(f))).alias(f) for f in features]
     return spec.join(others, [key, "rank"]).select(key, "copy", F.lit(1).alias(label), *between)

@@ -112,3 +112,11 @@ def test_missing_features_raise(spark, bad):
     for queries, points, what in ((holed, whole, "queries"), (whole, holed, "points")):
         with pytest.raises(ValueError, match=f"1 {what}"):
             neighbors.knn_join(queries, points, ["x", "y"], 1)
+
+
+@pytest.mark.parametrize("positives", [0, 1, 5])
+def test_too_few_positives_raise(spark, positives):
+    df = spark.createDataFrame([(i, int(i < positives), float(i)) for i in range(20)], "entity_id int, label int, a double")
+    for make in (resample.smote, resample.borderline_smote):
+        with pytest.raises(ValueError, match=f"{positives} positives have no 5"):
+            make(df, ["a"])
