@@ -17,6 +17,7 @@ from cohortlens.llm.quality import judge
 from cohortlens.llm.secrets import BASE, RULES, new_ledger, scan_versions, spans_of
 from cohortlens.llm.shuffle import shuffle_rows, sized
 from cohortlens.llm.suffix_dedup import remove_repeats
+from cohortlens.llm.token_counts import count_tokens
 from cohortlens.llm.warc import archive_folder, chunks, page_of, read_archives, records, write_archives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,3 +169,14 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("row.doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
+#: Tokens that a training window holds.
+TOKEN_LIMIT = 4096
+
+
+@query()
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT,
+                           keep=["doc_id"])
+    return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
