@@ -14,6 +14,7 @@ from cohortlens.llm.html_text import extract
 from cohortlens.llm.jaccard_join import join_sets
 from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.quality import judge
+from cohortlens.llm.resampling import resample
 from cohortlens.llm.secrets import BASE, RULES, new_ledger, scan_versions, spans_of
 from cohortlens.llm.shuffle import shuffle_rows, sized
 from cohortlens.llm.suffix_dedup import remove_repeats
@@ -180,3 +181,40 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), TOKEN_LIMIT,
                            keep=["doc_id"])
     return counted.select("row.doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+_OP12 = r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+      FROM (SELECT unnest(range(0, 256)) AS i)),
+d AS MATERIALIZED (SELECT doc_id, 'd' AS side, [x FOR x IN string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents
+      UNION ALL SELECT NULL, 'b', [x FOR x IN string_split_regex(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] FROM benchmark),
+f AS MATERIALIZED (SELECT doc_id, side, word, count(*) AS n FROM (SELECT doc_id, side, unnest(w) AS word FROM d) GROUP BY ALL),
+h AS (SELECT word, hex(encode(word)) AS x FROM (SELECT DISTINCT word FROM f)),
+y AS (SELECT word, list_prepend(4294967295, [16 * (instr('0123456789ABCDEF', x[2 * k + 1]) - 1)
+      + instr('0123456789ABCDEF', x[2 * k + 2]) - 1 FOR k IN range(0, length(x) // 2)]) AS y FROM h),
+b AS MATERIALIZED (SELECT word, xor(list_reduce(y, lambda c, v: xor(c >> 8, t[1 + (xor(c, v) & 255)])), 4294967295) % 10000 AS bucket
+      FROM y, crc),
+s AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'd'), 0) AS s, coalesce(sum(n) FILTER (side = 'b'), 0) AS t
+      FROM f JOIN b USING (word) GROUP BY bucket),
+a AS (SELECT coalesce(sum(s), 0) AS S_all, coalesce(sum(t), 0) AS T_all FROM s),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (S_all + 10000) / ((s + 1)::DOUBLE * (T_all + 10000)))) AS BIGINT) AS gain
+      FROM s, a),
+m AS (SELECT doc_id, sum(n * gain)::BIGINT AS total FROM f JOIN b USING (word) JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+z AS (SELECT doc_id, len(w)::BIGINT AS n_features, CASE WHEN len(w) = 0 THEN 0 ELSE
+      CAST(floor(total::DOUBLE / len(w)) AS BIGINT) END AS weight, sha256('2024:' || doc_id) AS x
+      FROM d LEFT JOIN m USING (doc_id) WHERE side = 'd'),
+o AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((list_reduce(list_prepend(0::BIGINT,
+      [instr('0123456789abcdef', x[k]) - 1 FOR k IN range(1, 9)]), lambda c, v: 16 * c + v) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM z),
+k AS (SELECT count(*) * 10 // 100 AS k FROM o WHERE n_features >= 20),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= k THEN rank END AS rank FROM o LEFT JOIN r USING (doc_id), k
+"""
+
+
+@query(_OP12)
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, keep=["doc_id"])
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
