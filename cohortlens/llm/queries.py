@@ -12,6 +12,7 @@ from cohortlens.llm.byte_bpe import encode_digest
 from cohortlens.llm.decontaminate import decontaminate
 from cohortlens.llm.html_text import extract
 from cohortlens.llm.jaccard_join import join_sets
+from cohortlens.llm.lexical import search
 from cohortlens.llm.licenses import scan_licenses
 from cohortlens.llm.quality import judge
 from cohortlens.llm.resampling import resample
@@ -218,3 +219,28 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= k THEN rank END AS r
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, keep=["doc_id"])
     return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+_OP11 = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+b AS (SELECT item_id, unnest([x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') IF x <> '']) AS term FROM benchmark),
+q AS MATERIALIZED (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL),
+st AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+f AS MATERIALIZED (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM df, st),
+i AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total)) AS impact FROM f, st),
+s AS (SELECT item_id, doc_id, CAST(sum(times * w * impact) AS BIGINT) AS score FROM q JOIN i USING (term) JOIN w USING (term)
+      GROUP BY item_id, doc_id),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query(_OP11)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
