@@ -53,6 +53,10 @@ TOP_NATIVE = 20
 SELECT_FEATURES = 180
 BACKGROUND_CENTRES = 20
 
+# rounds without a better loss on held-out training rows after which boosting stops: configured for the first two,
+# the libraries' own for the others
+STOPPING_ROUNDS = {"XGBoost": 300, "LightGBM": 300, "HGB": 10, "CatBoost": 20}
+
 # --- neural baseline schedule ---------------------------------------------------------
 FOCAL_ALPHA, FOCAL_GAMMA = 0.75, 2.0
 FOCAL_LEARNING_RATE, FOCAL_WEIGHT_DECAY = 0.002, 1e-4

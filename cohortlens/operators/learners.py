@@ -1,14 +1,14 @@
 """Registry of learners: a family name and its parameters give something with fit and score.
 
-Boosted-tree families map to MLlib's GBT, forests to its random forest. Parameters without a
-counterpart there (L1/L2 leaf penalties, solvers, tolerance) are dropped and listed in
-``Learner.dropped``. Cost-sensitive training is one weight column for every family that takes
+XGBoost, LightGBM, HGB and CatBoost are the growth rules of ``histogram_trees`` (level-wise, leaf-wise
+and symmetric trees, second order, with penalties and early stopping), extra trees that of
+``extra_trees``; GBC maps to MLlib's GBT, RF and DT to its forest and tree. Parameters without a
+counterpart (solvers, tolerance) are dropped and listed in ``Learner.dropped``. Cost-sensitive training is one weight column for every family that takes
 weights; naive Bayes, KNN, LDA and the perceptron train unweighted.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from cohortlens import constants as K
 from cohortlens.operators.bayes import fit_bernoulli_nb, fit_gaussian_nb
 from cohortlens.operators.boosting import fit_adaboost
+from cohortlens.operators.histogram_trees import Growth, fit_boosted
 from cohortlens.operators.linear import fit_calibrated_ridge, fit_discriminant
 from cohortlens.operators.metrics import balanced_weights, positive_weight
 from cohortlens.operators.neighbors import knn_join, neighbor_vote
-from cohortlens.operators.ranking import hash_uniform
 
 MAX_DEPTH = 30  # the deepest tree MLlib grows
 WEIGHT = "_weight"
@@ -110,31 +110,48 @@ def _vector_fit(learner: Learner, train: DataFrame, weight: str | None, estimato
 def _depth(params: Mapping, default: int) -> int:
     depth = params.get("max_depth", default)
     depth = MAX_DEPTH if depth is None or depth < 0 else depth
-    if "num_leaves" in params:  # a tree of that many leaves, grown level by level
-        depth = min(depth, math.ceil(math.log2(params["num_leaves"])))
     return max(1, min(int(depth), MAX_DEPTH))
 
 
-def _boosted_trees(learner: Learner, train: DataFrame, weight: str | None) -> VectorScore:
+def growth_of(family: str, params: Mapping) -> Growth:
+    """The growth rule that a boosted family and its parameters stand for."""
+    p = params
+    depth = p.get("max_depth", {"XGBoost": 6, "CatBoost": p.get("depth", 6)}.get(family))
+    depth = None if depth is None or depth <= 0 else int(depth)
+    own = {
+        "XGBoost": dict(shape="level", reg_lambda=1.0, min_hessian=float(p.get("min_child_weight", 1.0)), learning_rate=0.3),
+        "LightGBM": dict(shape="leaf", max_leaves=int(p.get("num_leaves", 31)), reg_lambda=0.0, min_hessian=1e-3,
+                         min_rows=int(p.get("min_child_samples", 20))),
+        "HGB": dict(shape="leaf", max_leaves=31, reg_lambda=0.0, min_hessian=1e-3, min_rows=int(p.get("min_samples_leaf", 20)),
+                    tolerance=1e-7),
+        "CatBoost": dict(shape="symmetric", reg_lambda=3.0, learning_rate=0.03),
+    }[family]
+    given = {
+        "learning_rate": p.get("learning_rate"), "min_gain": p.get("gamma"),
+        "reg_lambda": p.get("reg_lambda", p.get("lambda_l2", p.get("l2_regularization", p.get("l2_leaf_reg")))),
+        "reg_alpha": p.get("reg_alpha", p.get("lambda_l1")),
+        "row_share": p.get("subsample", p.get("bagging_fraction")),
+        "feature_share": p.get("colsample_bytree", p.get("feature_fraction")),
+    }
+    patience = p.get("early_stopping_rounds", K.STOPPING_ROUNDS[family])
+    if family == "HGB" and not p.get("early_stopping"):
+        patience = None
+    return Growth(**{**own, **{k: float(v) for k, v in given.items() if v is not None}}, max_depth=depth, patience=patience,
+                  rounds=int(p.get("n_estimators", p.get("max_iter", p.get("iterations", 100)))),
+                  seed=int(p.get("random_state", K.SEED)))
+
+
+def _histogram_trees(learner: Learner, train: DataFrame, weight: str | None):
+    return fit_boosted(train, learner.features, learner.label, learner.key, growth_of(learner.family, learner.params), weight)
+
+
+def _gradient_boosting(learner: Learner, train: DataFrame, weight: str | None) -> VectorScore:
     p = learner.params
     estimator = GBTClassifier(
-        maxIter=int(p.get("n_estimators", p.get("max_iter", p.get("iterations", 100)))),
-        stepSize=float(p.get("learning_rate", 0.1)),
-        maxDepth=_depth(p, p.get("depth", 6)),
-        minInfoGain=float(p.get("gamma", 0.0)),
-        minInstancesPerNode=max(1, int(p.get("min_samples_leaf", p.get("min_child_samples", p.get("min_child_weight", 1))))),
-        subsamplingRate=float(p.get("subsample", p.get("bagging_fraction", 1.0))),
-        featureSubsetStrategy=str(float(p.get("colsample_bytree", p.get("feature_fraction", 1.0))))
-        if ("colsample_bytree" in p or "feature_fraction" in p) else "all",
-        maxBins=255 if learner.family == "HGB" else 64,
-        maxMemoryInMB=512, cacheNodeIds=False, seed=int(p.get("random_state", K.SEED)),
-    )
-    if not p.get("early_stopping"):
-        return _vector_fit(learner, train, weight, estimator)
-    # a tenth of the training rows, by hash, decides when to stop; scored folds stay untouched
-    marked = train.withColumn("_inner_valid", hash_uniform(str(K.SEED), "stop", F.col(learner.key)) < 0.1)
-    estimator = estimator.setValidationIndicatorCol("_inner_valid")
-    return _vector_fit(learner, marked, weight, estimator, ["_inner_valid"])
+        maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)), maxDepth=_depth(p, 3),
+        minInstancesPerNode=max(1, int(p.get("min_samples_leaf", 1))), subsamplingRate=float(p.get("subsample", 1.0)),
+        maxBins=64, maxMemoryInMB=512, cacheNodeIds=False, seed=int(p.get("random_state", K.SEED)))
+    return _vector_fit(learner, train, weight, estimator)
 
 
 def _forest(learner: Learner, train: DataFrame, weight: str | None) -> VectorScore:
@@ -213,8 +230,8 @@ def _neighbors(learner: Learner, train: DataFrame, weight: str | None) -> KeyedS
 
 
 FITTERS: dict[str, Callable] = {
-    "XGBoost": _boosted_trees, "LightGBM": _boosted_trees, "HGB": _boosted_trees,
-    "CatBoost": _boosted_trees, "GBC": _boosted_trees, "AdaBoost": _adaboost, "RF": _forest,
+    "XGBoost": _histogram_trees, "LightGBM": _histogram_trees, "HGB": _histogram_trees,
+    "CatBoost": _histogram_trees, "GBC": _gradient_boosting, "AdaBoost": _adaboost, "RF": _forest,
     "ET": _forest, "DT": _tree, "LR": _logistic, "ENLR": _logistic, "MLP": _perceptron,
     "Ridge": _ridge, "LDA": _discriminant, "GNB": _naive_bayes, "BNB": _naive_bayes, "KNN": _neighbors,
 }
@@ -222,11 +239,12 @@ FITTERS: dict[str, Callable] = {
 # The parameters each family has a counterpart for.
 USED_PARAMS = {
     "XGBoost": ("n_estimators", "learning_rate", "max_depth", "gamma", "subsample", "colsample_bytree",
-                "min_child_weight", "random_state"),
-    "LightGBM": ("n_estimators", "learning_rate", "max_depth", "num_leaves", "min_child_samples",
-                 "feature_fraction", "bagging_fraction", "random_state"),
-    "HGB": ("max_iter", "learning_rate", "max_depth", "min_samples_leaf", "early_stopping", "random_state"),
-    "CatBoost": ("iterations", "learning_rate", "depth", "random_state"),
+                "min_child_weight", "reg_lambda", "reg_alpha", "early_stopping_rounds", "random_state"),
+    "LightGBM": ("n_estimators", "learning_rate", "max_depth", "num_leaves", "min_child_samples", "lambda_l1", "lambda_l2",
+                 "feature_fraction", "bagging_fraction", "early_stopping_rounds", "random_state"),
+    "HGB": ("max_iter", "learning_rate", "max_depth", "min_samples_leaf", "l2_regularization", "early_stopping",
+            "early_stopping_rounds", "random_state"),
+    "CatBoost": ("iterations", "learning_rate", "depth", "l2_leaf_reg", "early_stopping_rounds", "random_state"),
     "GBC": ("n_estimators", "learning_rate", "max_depth", "subsample", "min_samples_leaf", "random_state"),
     "AdaBoost": ("n_estimators", "learning_rate", "random_state"),
     "RF": ("n_estimators", "max_depth", "min_samples_leaf", "max_features", "bootstrap", "random_state"),

@@ -53,3 +53,13 @@ def stage(df: DataFrame) -> DataFrame:
     path = f"{stage_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a table that ``stage`` returned, once nothing will read it any more."""
+    folders = {file.rpartition("/")[0] for file in df.inputFiles()}
+    if len(folders) != 1 or not (folder := folders.pop()).rpartition("/")[2].startswith("staged-"):
+        raise ValueError("not a staged table")
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
