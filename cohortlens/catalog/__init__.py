@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 MODULES = (
-    "cohort_queries", "threshold_queries", "learner_queries", "dynamics_queries", "fusion_queries", "trial_queries",
+    "cohort_queries", "threshold_queries", "learner_queries", "tree_queries", "dynamics_queries", "fusion_queries", "trial_queries",
 )
 
 

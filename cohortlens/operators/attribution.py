@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -76,51 +78,103 @@ def _cover(node, boosted: bool) -> float:
     return node["impurityStats"][0] if boosted else sum(node["impurityStats"])
 
 
-def path_shapley(x: np.ndarray, leaves: Sequence[tuple]) -> np.ndarray:
-    """Path-dependent Shapley values of additive trees for a block of rows.
+#: Paths up to this length have a table of attributions by which of their ranges a row is inside of.
+TABLE_LENGTH = 8
+_CELLS = 1 << 21
 
-    A leaf contributes value x product over its features of (1 if the row is inside the range,
-    else the share that would be). Its Shapley value needs, per feature, the mean over subset
-    sizes of the other features' products, which are the coefficients of a polynomial.
-    """
-    phi = np.zeros_like(x, dtype=float)
+
+@dataclass(frozen=True)
+class PathGroup:
+    """Leaves whose paths use the same number of features, one row per leaf."""
+
+    feature: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    gap: np.ndarray  # whether a missing value follows the path
+    value: np.ndarray
+    table: np.ndarray | None  # (leaf, pattern of ranges that hold the row, feature of the path)
+
+
+def flat_paths(leaves: Sequence[tuple]) -> list[PathGroup]:
+    """Leaves (value, [(feature, low, high, share[, gap])]) as arrays, grouped by the length of their path."""
+    by_length: dict[int, list] = {}
     for value, ranges in leaves:
-        m = len(ranges)
-        if not m:
-            continue
-        inside = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in ranges]).astype(float)
-        share = np.array([s for *_, s in ranges])
-        # weight of a subset of size s out of the m - 1 other features: s! (m - 1 - s)! / m!
-        size_weight = np.array([1.0 / (m * _choose(m - 1, s)) for s in range(m)])
-        for i, (f, *_) in enumerate(ranges):
-            poly = np.zeros((m, len(x)))
-            poly[0] = 1.0
-            for j in range(m):
-                if j != i:
-                    poly[1:] = poly[1:] * share[j] + poly[:-1] * inside[j]
-                    poly[0] = poly[0] * share[j]
-            phi[:, f] += value * (inside[i] - share[i]) * (size_weight @ poly)
+        by_length.setdefault(len(ranges), []).append((value, [(*r, False)[:5] for r in ranges]))
+    out = []
+    for m, some in sorted(by_length.items()):
+        f, low, high, share, gap = (np.array([[r[k] for r in ranges] for _, ranges in some]).reshape(len(some), m) for k in range(5))
+        value = np.array([v for v, _ in some], float)
+        table = None
+        if 0 < m <= TABLE_LENGTH:
+            inside = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(float)
+            table = _shapley(np.broadcast_to(inside, (len(some), 1 << m, m)), share[:, None, :]) * value[:, None, None]
+        out.append(PathGroup(f.astype(int), low.astype(float), high.astype(float), share.astype(float), gap.astype(bool), value, table))
+    return out
+
+
+def _shapley(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley values of the product over the last axis of (1 if inside, else share).
+
+    The value of a feature is the mean over subset sizes of the other features' products, which are the
+    coefficients of a polynomial.
+    """
+    m = inside.shape[-1]
+    share = np.broadcast_to(share, inside.shape)
+    # weight of a subset of size s out of the m - 1 other features: s! (m - 1 - s)! / m!
+    size_weight = np.array([1.0 / (m * math.comb(m - 1, s)) for s in range(m)])
+    phi = np.empty(inside.shape)
+    for i in range(m):
+        poly = np.zeros((m, *inside.shape[:-1]))
+        poly[0] = 1.0
+        for j in range(m):
+            if j != i:
+                poly[1:] = poly[1:] * share[..., j] + poly[:-1] * inside[..., j]
+                poly[0] = poly[0] * share[..., j]
+        phi[..., i] = (inside[..., i] - share[..., i]) * np.tensordot(size_weight, poly, 1)
     return phi
 
 
-def _choose(n: int, k: int) -> float:
-    out = 1.0
-    for i in range(k):
-        out = out * (n - i) / (i + 1)
-    return out
+def expected_value(leaves: Sequence[tuple]) -> float:
+    """What a row with nothing known about it scores."""
+    return sum(value * float(np.prod([r[3] for r in ranges])) for value, ranges in leaves)
+
+
+def path_shapley(x: np.ndarray, groups: Sequence[PathGroup]) -> np.ndarray:
+    """Path-dependent Shapley values of additive trees for a block of rows, many leaves at a time."""
+    phi, missing = np.zeros_like(x, dtype=float), ~np.isfinite(x)
+    for group in groups:
+        m = group.feature.shape[1]
+        if not m:
+            continue
+        size = max(1, _CELLS // (max(len(x), 1) * m))
+        for at in range(0, len(group.value), size):
+            part = slice(at, at + size)
+            f = group.feature[part]
+            v = x[:, f]
+            inside = np.where(missing[:, f], group.gap[part], (v > group.low[part]) & (v <= group.high[part]))  # (row, leaf, i)
+            if group.table is None:
+                found = _shapley(inside.astype(float), group.share[part]) * group.value[part][:, None]
+            else:
+                pattern = (inside << np.arange(m)).sum(axis=2)
+                found = group.table[part][np.arange(len(f)), pattern]
+            for i in np.unique(f):
+                phi[:, i] += found[:, f == i].sum(axis=1)
+    return phi
 
 
 def tree_attribution(df: DataFrame, model, features: Sequence[str], key: str = "entity_id",
                      model_id: str = "tree") -> DataFrame:
-    """Exact path-dependent Shapley values of an MLlib tree model for every row of ``df``."""
+    """Exact path-dependent Shapley values of a tree model (MLlib's or one with ``paths``) for every row of ``df``."""
     features = list(features)
-    leaves = tree_paths(model, df.sparkSession)
+    leaves = model.paths() if hasattr(model, "paths") else tree_paths(model, df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(flat_paths(leaves))  # the size of the model
     rows = df.select(key, *[F.col(f).cast("double").alias(f) for f in features])
     schema = f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"`{f}` double" for f in features)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            phi = path_shapley(batch[features].to_numpy(), leaves)
+            phi = path_shapley(batch[features].to_numpy(), shared.value)
             yield pd.DataFrame({key: batch[key].to_numpy(), **{f: phi[:, i] for i, f in enumerate(features)}})
 
     wide = rows.mapInPandas(explain, schema)

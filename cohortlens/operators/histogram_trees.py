@@ -1,9 +1,11 @@
 """Second-order gradient boosting for binary labels over histograms: level-wise, leaf-wise or symmetric trees.
 
-Rows are binned once, at quantiles of all rows, and written as a table of bytes. A pass over it scores the rows with
-the trees of the last rounds, sorts them into the nodes that are asked for and adds up gradients and hessians per
-(node, feature, bin); partial sums are combined by one DataFrame aggregate (on the driver, where there are few of them),
-and what reaches the driver has the size of nodes x features x bins, whatever the number of rows. The driver picks the splits and asks for the next nodes. A
+Rows are binned once, at quantiles of all rows, and written as a table of blocks of bytes. A pass over it scores the
+rows with the trees of the last rounds, sorts them into the nodes that are asked for and adds up gradients and hessians
+per (node, feature, bin); partial sums are combined in a tree of tasks, and what reaches the driver has the size of
+nodes x features x bins, whatever the number of rows. A fit takes hundreds of passes over the same blocks, each of
+them arithmetic on whole partitions without anything to plan, so they run over the table's RDD, kept in memory or on
+disk and read again from the table where an executor is lost. The driver picks the splits and asks for the next nodes. A
 leaf-wise tree takes about as many passes as it is deep, not one per leaf: all nodes that might be split next are
 counted ahead, and the splits kept are exactly those of best-first growth.
 
@@ -19,14 +21,15 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from cohortlens.session import stage, unstage
 
@@ -36,11 +39,8 @@ STAGE_EVERY = 25
 PASS_CELLS = 1 << 21
 #: Share of the rows that decides when to stop.
 VALIDATION_SHARE = 0.1
-#: Partial sums (partitions x nodes x features x bins) that are collected without a shuffle before.
+#: Partial sums (partitions x nodes x features x bins) that the driver adds up itself.
 DIRECT_CELLS = 1 << 18
-_LOSS_SLOT = -1
-_SUMS = StructType([StructField("f", LongType()), StructField("cell", LongType()),
-                    *(StructField(c, DoubleType()) for c in "ghn")])
 
 
 @dataclass(frozen=True)
@@ -146,6 +146,20 @@ class BoostedTrees:
     def paths(self) -> list[tuple]:
         return [p for tree in self.trees for p in tree.paths()]
 
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """One row per node: tree, path from the root (L and R), split, gain, training rows and value."""
+        rows = []
+        for number, tree in enumerate(self.trees):
+            todo = [(0, "")]
+            while todo:
+                at, path = todo.pop()
+                inner = tree.left[at] != at
+                rows.append((number, path, self.features[tree.feature[at]] if inner else None, float(tree.cut[at]) if inner else None,
+                             float(tree.gain[at]) if inner else None, int(tree.rows[at]), float(tree.value[at])))
+                if inner:
+                    todo += [(int(tree.left[at]), path + "L"), (int(tree.right[at]), path + "R")]
+        return spark.createDataFrame(rows, "tree int, path string, feature string, cut double, gain double, n_rows long, value double")
+
 
 def require_features(df: DataFrame, features: Sequence[str]) -> None:
     """The feature contract of a fitted model: every feature by name, as a number."""
@@ -170,17 +184,27 @@ def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int) -> list[np.
 
 @dataclass
 class _Rows:
-    """The binned rows, staged: ``x`` (a byte or two per feature), ``y``, ``w``, ``u`` (hash of the key), ``held`` (out of
-    the histograms), ``m`` (log odds by the trees up to the last staging)."""
+    """The binned rows in blocks, staged: ``x`` (a byte or two per feature), ``y``, ``w``, ``u`` (hash of the key), ``held``
+    (out of the histograms) and ``m`` (log odds by the trees up to the last staging), each the bytes of an array."""
 
     table: DataFrame
+    blocks: RDD
     cuts: list[np.ndarray]
     kind: type
     missing: int  # the bin of missing values, beyond all others
     step: float
     base: float
-    partitions: int = 1
-    staged: list[DataFrame] = field(default_factory=list)
+
+    def arrays(self, block) -> tuple[np.ndarray, ...]:
+        return (np.frombuffer(block[0], self.kind).reshape(-1, len(self.cuts)), *(np.frombuffer(b, k) for b, k in zip(block[1:], _KINDS)))
+
+
+_KINDS = (np.float64, np.float64, np.int64, np.bool_, np.float64)
+_BLOCKS = StructType([StructField(c, BinaryType()) for c in ("x", "y", "w", "u", "held", "m")])
+
+
+def _kept(table: DataFrame) -> RDD:
+    return table.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _bin_rows(train: DataFrame, features: Sequence[str], label: str, key: str, weight: str | None,
@@ -193,6 +217,13 @@ def _bin_rows(train: DataFrame, features: Sequence[str], label: str, key: str, w
                         F.col(f"`{label}`").cast("double").alias("y"),
                         (F.col(f"`{weight}`").cast("double") if weight else F.lit(1.0)).alias("w"),
                         F.xxhash64(F.lit(growth.seed), F.col(f"`{key}`")).alias("u"))
+    n, total, positive = rows.agg(F.count(F.lit(1)), F.sum("w"), F.sum(F.col("w") * F.col("y"))).first()
+    if not n:
+        raise ValueError("no training rows")
+    if not 0 < positive < total:
+        raise ValueError("training rows hold one class only")
+    p = positive / total if growth.base_score is None else growth.base_score
+    base = math.log(p / (1 - p))
 
     def run(batches):
         for batch in batches:
@@ -200,23 +231,14 @@ def _bin_rows(train: DataFrame, features: Sequence[str], label: str, key: str, w
             for i, c in enumerate(cuts):
                 v = batch.column(i).to_numpy(zero_copy_only=False)
                 x[:, i] = np.where(np.isfinite(v), np.searchsorted(c, v, "left"), missing)
-            u = batch.column("u").to_numpy()
-            width = x.dtype.itemsize * len(cuts)
-            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [data, batch.column("y"), batch.column("w"), batch.column("u"), pa.array((u >> 32) + 2**31 < share)],
-                ["x", "y", "w", "u", "held"])
-
-    table = stage(rows.mapInArrow(run, "x binary, y double, w double, u long, held boolean"))
-    n, total, positive = table.agg(F.count(F.lit(1)), F.sum("w"), F.sum(F.col("w") * F.col("y"))).first()
-    if not n:
-        raise ValueError("no training rows")
-    if not 0 < positive < total:
-        raise ValueError("training rows hold one class only")
-    p = positive / total if growth.base_score is None else growth.base_score
+            y, w, u = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "u"))
+            block = (x, y, w, u, (u >> 32) + 2**31 < share, np.full(len(x), base))
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in block], _BLOCKS.names)
+
+    table = stage(rows.mapInArrow(run, _BLOCKS))
     # |gradient| and hessian are at most the weight: all sums stay below 2 ** 52 steps
     step = 2.0 ** (math.ceil(math.log2(total)) - 51)
-    return _Rows(table, cuts, kind, missing, step, math.log(p / (1 - p)), table.rdd.getNumPartitions(), [table])
+    return _Rows(table, _kept(table), cuts, kind, missing, step, base)
 
 
 def _margin(x: np.ndarray, start: np.ndarray, trees: Sequence[Tree], missing: int) -> np.ndarray:
@@ -226,27 +248,19 @@ def _margin(x: np.ndarray, start: np.ndarray, trees: Sequence[Tree], missing: in
     return total
 
 
-def _matrix(batch: pa.RecordBatch, kind: type, width: int) -> np.ndarray:
-    column = batch.column("x")
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if len(column) else np.zeros(0, np.uint8)
-    return data.view(kind).reshape(len(column), width)
-
-
 def _sums(rows: _Rows, recent: Sequence[Tree], growing: Tree, slots: Mapping[int, int], columns: np.ndarray,
           seed: int, row_share: float, loss: bool) -> tuple[np.ndarray, np.ndarray]:
     """Gradient, hessian and rows by (slot, feature, bin); loss, weight and number of the held-out rows."""
-    kind, missing, step, width, n_slots = rows.kind, rows.missing, rows.step, len(rows.cuts), len(slots)
+    arrays, missing, step, n_slots = replace(rows, table=None, blocks=None).arrays, rows.missing, rows.step, len(slots)
     slot_of = np.full(len(growing.value), -1)
     slot_of[list(slots)] = list(slots.values())
     bins, limit = missing + 1, int(row_share * 2**31)
+    cells = n_slots * bins
 
-    def run(batches):
-        total = np.zeros((len(columns), 3, n_slots * bins))
-        held_loss = np.zeros(3)
-        for batch in batches:
-            x, y, w, u, held = _matrix(batch, kind, width), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "u", "held"))
-            start = batch.column("m").to_numpy()
+    def run(blocks):
+        total, held_loss = np.zeros((len(columns), 3, cells)), np.zeros(3)
+        for block in blocks:
+            x, y, w, u, held, start = arrays(block)
             p = 1 / (1 + np.exp(-_margin(x, start, recent, missing)))
             if loss and held.any():
                 each = -w * np.where(y > 0.5, np.log(np.maximum(p, 1e-15)), np.log(np.maximum(1 - p, 1e-15)))
@@ -259,24 +273,16 @@ def _sums(rows: _Rows, recent: Sequence[Tree], growing: Tree, slots: Mapping[int
             g, h = np.rint(w[keep] * (p[keep] - y[keep]) / step), np.rint(w[keep] * p[keep] * (1 - p[keep]) / step)
             for j, f in enumerate(columns):
                 cell = slot[keep] * bins + x[keep, f]
-                total[j] += [np.bincount(cell, v, n_slots * bins) for v in (g, h)] + [np.bincount(cell, minlength=n_slots * bins)]
-        f, cell = np.nonzero(total[:, 2])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(v) for v in (np.append(f, _LOSS_SLOT), np.append(cell, 0),
-                                   *(np.append(total[f, k, cell], held_loss[k]) for k in range(3)))], ["f", "cell", "g", "h", "n"])
-
-    part = rows.table.mapInArrow(run, _SUMS)
-    if rows.partitions * n_slots * len(columns) * bins > DIRECT_CELLS:
-        part = part.groupBy("f", "cell").agg(*(F.sum(c).alias(c) for c in "ghn"))
-    found = part.toArrow()  # sums are exact: in which order they are added up makes no difference
-    out, held = np.zeros((3, n_slots, len(columns), bins)), np.zeros(3)
-    f, cell = found["f"].to_numpy(), found["cell"].to_numpy()
-    at = cell[f >= 0] // bins, f[f >= 0], cell[f >= 0] % bins
-    for k, name in enumerate("ghn"):
-        values = found[name].to_numpy()
-        np.add.at(out[k], at, values[f >= 0])
-        held[k] = values[f < 0].sum()
-    return out, held
+                total[j] += [np.bincount(cell, v, cells) for v in (g, h)] + [np.bincount(cell, minlength=cells)]
+        yield np.append(total.ravel(), held_loss)
+
+    parts = rows.blocks.mapPartitions(run)
+    # sums are exact: in which order they are added up makes no difference
+    if rows.blocks.getNumPartitions() * len(columns) * cells > DIRECT_CELLS:
+        found = parts.treeReduce(np.add)
+    else:
+        found = sum(parts.collect())
+    return found[:-3].reshape(len(columns), 3, n_slots, bins).transpose(1, 2, 0, 3), found[-3:]
 
 
 # --- splits -------------------------------------------------------------------------------
@@ -397,7 +403,7 @@ class _Grower:
             worth, column, cut, missing_left, _ = self.nodes[i].split
             feature = self.columns[column]
             tree.feature[i], tree.low[i], tree.cut[i] = feature, cut, self.rows.cuts[feature][cut]
-            tree.missing_left[i], tree.gain[i] = missing_left, worth
+            tree.missing_left[i], tree.gain[i] = missing_left, worth * step
             tree.left[i], tree.right[i] = self.nodes[i].children
         return tree
 
@@ -421,8 +427,6 @@ def fit_boosted(train: DataFrame, features: Sequence[str], label: str = "label",
     # the regularisers are stated for sums, so they are counted in steps
     scaled = replace(growth, reg_lambda=growth.reg_lambda / rows.step, reg_alpha=growth.reg_alpha / rows.step,
                      min_gain=growth.min_gain / rows.step, min_hessian=growth.min_hessian / rows.step)
-    first = rows.table
-    rows.table = first.withColumn("m", F.lit(rows.base))
     trees: list[Tree] = []
     recent: list[Tree] = []
     losses: list[float] = []
@@ -468,8 +472,8 @@ def fit_boosted(train: DataFrame, features: Sequence[str], label: str = "label",
             held = _sums(rows, recent, _unscaled(empty, growth).tree(False), {0: 0}, np.arange(1), growth.seed, growth.row_share, True)[1]
             losses.append(64 * held[0] / held[1] if held[1] else 0.0)
             worse()
-    for old in rows.staged:
-        unstage(old)
+    rows.blocks.unpersist()
+    unstage(rows.table)
     if growth.patience is not None:
         trees = trees[:best]
     return BoostedTrees(tuple(trees), tuple(features), rows.base, tuple(losses))
@@ -483,14 +487,17 @@ def _unscaled(grower: _Grower, growth: Growth) -> _Grower:
 
 
 def _write_margins(rows: _Rows, recent: Sequence[Tree]) -> None:
-    kind, missing, width, trees = rows.kind, rows.missing, len(rows.cuts), list(recent)
+    arrays, missing, trees = replace(rows, table=None, blocks=None).arrays, rows.missing, list(recent)
 
     def run(batches):
         for batch in batches:
-            m = _margin(_matrix(batch, kind, width), batch.column("m").to_numpy(), trees, missing)
-            yield batch.set_column(batch.schema.get_field_index("m"), "m", pa.array(m))
-
-    table = stage(rows.table.mapInArrow(run, rows.table.schema))
-    for old in rows.staged:
-        unstage(old)
-    rows.table, rows.staged = table, [table]
+            out = []
+            for block in zip(*(c.to_pylist() for c in batch.columns)):
+                x, *_, start = arrays(block)
+                out.append(_margin(x, start, trees, missing).tobytes())
+            yield batch.set_column(5, "m", pa.array(out, pa.binary()))
+
+    table = stage(rows.table.mapInArrow(run, _BLOCKS))
+    rows.blocks.unpersist()
+    unstage(rows.table)
+    rows.table, rows.blocks = table, _kept(table)

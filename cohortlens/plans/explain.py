@@ -25,8 +25,9 @@ def attribute(learner: Learner, model, df: DataFrame, model_id: str, rows: int |
     Trees and linear models are exact and run over every row; other scorers are sampled, on
     ``rows`` rows drawn by hash where that is given.
     """
-    if learner.family in K.TREE_FAMILIES and isinstance(model, VectorScore):
-        return tree_attribution(df, model.model, learner.features, learner.key, model_id)
+    if learner.family in K.TREE_FAMILIES:
+        trees = model.model if isinstance(model, VectorScore) else model
+        return tree_attribution(df, trees, learner.features, learner.key, model_id)
     linear = _linear(model)
     if linear is not None:
         return linear_attribution(df, linear, learner.key, model_id)

@@ -37,26 +37,29 @@ def shapley(value, d):
     return phi
 
 
-def test_path_attribution_equals_enumeration():
+def test_path_attribution_equals_enumeration(monkeypatch):
     leaves = [  # the second feature is met on every path, ranges of the first one overlap
         (1.0, [(0, -np.inf, 0.5, 0.3), (1, -np.inf, 1.0, 0.6)]), (-2.0, [(0, -np.inf, 0.5, 0.3), (1, 1.0, np.inf, 0.4)]),
         (0.5, [(0, 0.5, np.inf, 0.7), (2, -np.inf, 0.0, 0.2)]), (4.0, [(0, 0.5, np.inf, 0.7), (2, 0.0, np.inf, 0.8)])]
     x = np.array([[0.2, 2.0, 1.0], [0.9, 0.0, -1.0], [0.5, 1.0, 0.0]])
-    got = attribution.path_shapley(x, leaves)
-    for row, phi in zip(x, got):
-        def value(known):
-            return sum(v * np.prod([float(lo < row[f] <= hi) if f in known else s for f, lo, hi, s in ranges]) for v, ranges in leaves)
-        assert np.allclose(phi, shapley(value, 3))
+    for longest in (8, 1):  # with tables of patterns, and without
+        monkeypatch.setattr(attribution, "TABLE_LENGTH", longest)
+        got = attribution.path_shapley(x, attribution.flat_paths(leaves))
+        for row, phi in zip(x, got):
+            def value(known):
+                return sum(v * np.prod([float(lo < row[f] <= hi) if f in known else s for f, lo, hi, s in ranges]) for v, ranges in leaves)
+            assert np.allclose(phi, shapley(value, 3))
 
 
-@pytest.mark.parametrize("family,params", [("DT", {"max_depth": 4}), ("RF", {"n_estimators": 5, "max_depth": 4}), ("XGBoost", {"n_estimators": 3, "max_depth": 3})])
+@pytest.mark.parametrize("family,params", [("DT", {"max_depth": 4}), ("RF", {"n_estimators": 5, "max_depth": 4}), ("GBC", {"n_estimators": 3, "max_depth": 3}), ("XGBoost", {"n_estimators": 3, "max_depth": 3}), ("LightGBM", {"n_estimators": 2})])
 def test_tree_attributions_add_up(data, family, params):
     train, target = data.split(FULL)
     learner = make_learner(family, params, FEATURES)
     model = learner.fit(train)
-    phi = attribution.tree_attribution(target, model.model, FEATURES).groupBy("entity_id").agg(F.sum("phi").alias("s"))
+    trees = getattr(model, "model", model)
+    phi = attribution.tree_attribution(target, trees, FEATURES).groupBy("entity_id").agg(F.sum("phi").alias("s"))
     both = phi.join(model.score(target), "entity_id").toPandas()
-    score = np.log(both.p / (1 - both.p)) / 2 if family == "XGBoost" else both.p
+    score = np.log(both.p / (1 - both.p)) / (2 if family == "GBC" else 1) if family in ("GBC", "XGBoost", "LightGBM") else both.p
     assert len(both) == 200 and np.ptp(score - both.s) < 1e-9  # a constant, the mean score, is left
 
 
