@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,8 @@ def stage(df: DataFrame) -> DataFrame:
     and a lost executor costs a re-read, not a re-computation.
     """
     path = f"{stage_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    for paths in _COLLECTORS:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -60,6 +64,24 @@ def unstage(df: DataFrame) -> None:
     folders = {file.rpartition("/")[0] for file in df.inputFiles()}
     if len(folders) != 1 or not (folder := folders.pop()).rpartition("/")[2].startswith("staged-"):
         raise ValueError("not a staged table")
-    spark = df.sparkSession
+    drop_staged(df.sparkSession, folder)
+
+
+def drop_staged(spark: SparkSession, folder: str) -> None:
+    """Delete one staged table by its path; one that is gone already is no error."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_COLLECTORS: list[list[str]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The paths of all tables staged inside the block, for whoever knows when they are not needed any more."""
+    paths: list[str] = []
+    _COLLECTORS.append(paths)
+    try:
+        yield paths
+    finally:
+        _COLLECTORS[:] = [c for c in _COLLECTORS if c is not paths]
