@@ -1,7 +1,7 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of a file is addressed by the SHA-256 of its content. The ledger holds, for each blob, the
-rules (with their versions) that were run on it and what they found. A scan reads only blobs with rules
+rules (with their versions) that were run on it and what each version found. A scan reads only blobs with rules
 that the ledger lacks, each content once however many paths hold it, appends the new findings and joins
 them back to all paths.
 
@@ -51,7 +51,7 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 20),
     Rule("hex", 1, r"[0-9a-f]+", 24),
     Rule("pem", 1, r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[^-]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?"),
-    Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("repository", 1, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})"),
     Rule("chat", 1, r"\bxox[abeoprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", 1, r"\bAIza[A-Za-z0-9_-]{35}"),
@@ -72,17 +72,17 @@ def _finder(rule: Rule):
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """LEDGER rows of blobs (``blob``, ``text``, ``todo``: the keys of the rules to run)."""
     def run(batches):
-        finders = [(k, r.name, r.key, _finder(r)) for k, r in enumerate(rules)]
+        finders = [(k, r.key, _finder(r)) for k, r in enumerate(rules)]
         for batch in batches:
             starts, kinds, names, stops, counts = [], [], [], [], []
             for text, todo in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 before = len(starts)
-                for k, name, key, find in finders:
+                for k, key, find in finders:
                     if key in todo:
                         for a, b in find(text):
                             starts.append(a)
                             kinds.append(k)
-                            names.append(name)
+                            names.append(key)
                             stops.append(b)
                 counts.append(len(starts) - before)
             found = pa.StructArray.from_arrays(
@@ -126,10 +126,17 @@ def scan_versions(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
                   keep: list[str] | None = None) -> DataFrame:
     """``row`` (the ``keep`` columns of every path and version) and ``findings``, sorted by start and rule."""
     keep = list(versions.columns) if keep is None else keep
-    current = F.array(*(F.lit(r.name) for r in rules))
+    current = F.array(*(F.lit(r.key) for r in rules))
     ledger = update_ledger(versions, path, rules, text)
-    hits = (ledger.where(F.size("findings") > 0)
-            .select("blob", F.filter("findings", lambda f: F.array_contains(current, f["rule"])).alias("findings"))
+
+    def shown(f):
+        """A finding with its rule's place in ``rules`` and plain name, whatever order it was scanned in."""
+        return F.struct(f["start"], (F.array_position(current, f["rule"]) - 1).cast("int").alias("kind"),
+                        F.regexp_replace(f["rule"], "@[0-9]+$", "").alias("rule"), f["stop"])
+
+    # only what the asked versions of the rules found: findings of older versions stay in the ledger, unseen
+    asked = F.filter("findings", lambda f: F.array_contains(current, f["rule"]))
+    hits = (ledger.select("blob", F.transform(asked, shown).alias("findings")).where(F.size("findings") > 0)
             .groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings")))
     blob = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
     rows = versions.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), blob.alias("blob"))
