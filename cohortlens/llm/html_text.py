@@ -1,7 +1,7 @@
 """Main text of HTML pages by tree scoring.
 
 A page becomes a tree of block elements. Paragraphs pass points for length and commas on to their
-ancestors, a link's share of the text discounts them; the marked article or main element around the container
+ancestors, a link's share of the text discounts them; the outermost marked article, else main element, around the container
 with the most points is the article, else the container and those of its siblings that are not mostly links. Menus, forms, adverts, comments and the like are cut off first.
 
 Defined results: NULL and empty pages, and pages without text, give the empty text; broken markup is read
@@ -42,6 +42,9 @@ NAMES = frozenset("""ad ads advert adverts advertisement advertising adsense spo
     comment comments disqus respond replies sidebar sidebars rail widget widgets related recommended recommendations
     nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer share sharing social login
     paywall outbrain taboola""".split())
+#: Last parts of compound names that say no more than that something is a box.
+BOXES = frozenset("""area bar block body box button buttons card container content feed form frame group holder inner item items
+    link links list module outer panel placeholder post posts row section slot stories strip thread unit wrap wrapper zone""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag (key) ends these open elements up to the next one that bounds its scope.
 _P_ENDERS = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer
@@ -64,8 +67,9 @@ def _cut(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element is no part of any article. ``inside``: it lies in an article or main element."""
     if tag in BOILERPLATE or tag == "header" and not inside:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body"):
         return False
+    inside = inside or tag in ("article", "main")
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -75,12 +79,20 @@ def _cut(tag: str, attributes: str, inside: bool) -> bool:
         if name == "role" and value.lower() in ROLES:
             return True
         if name in ("class", "id"):
-            found = {x.lower() for x in _TOKENS.findall(value)}
-            if found & NAMES or found & HEADERS and not inside:
+            if any(_names_boilerplate(word, inside) for word in value.split()):
                 return True
     return False
 
 
+def _names_boilerplate(word: str, inside: bool) -> bool:
+    """Whether a class or id names something beside the article. Within an article only names of such a thing itself
+    or of a box for it count: ``comments``, ``share-buttons``, but not ``notice-period``."""
+    parts = [x.lower() for x in _TOKENS.findall(word)]
+    if not inside:
+        return any(x in NAMES or x in HEADERS for x in parts)
+    return bool(parts) and (parts[-1] in NAMES or parts[-1] in BOXES and any(x in NAMES for x in parts))
+
+
 def blocks_of(html: str) -> list[tuple[_Node, str]]:
     """The page's text blocks outside of cut-off parts, in page order, with the element that holds each."""
     node = _Node("html", None, False, False)
@@ -203,13 +215,10 @@ def main_text(html: str) -> str:
 
     best = max(scored.values(), key=lambda n: (score(n), n.depth))
     # the article, else the main element, that holds the best container, where the page marks one
-    at = best
-    while at is not None and at.tag != "article":
-        at = at.parent
-    if at is None:
-        at = best
-        while at is not None and at.tag != "main":
-            at = at.parent
+    above = [best]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    at = next((n for n in reversed(above) if n.tag == "article"), None) or next((n for n in reversed(above) if n.tag == "main"), None)
     if at is not None:
         kept = {id(at)}
     else:
