@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.operators.joins import attach
 from cohortlens.session import stage
 
 SPACE = " \t\n\x0b\f\r"
@@ -127,7 +128,7 @@ def judge(documents: DataFrame, text: str = "text", groups: tuple[str, ...] = ("
           keep: list[str] | None = None, reach: float = REACH) -> DataFrame:
     """``row``, the measures, ``base_failed`` and ``kept``. The measures are staged once for both readers."""
     rows = stage(measured(documents, text, groups, keep))
-    limits = fences(stage(sketches(rows)), reach)
+    limits = fences(sketches(rows), reach)
 
     def inside(m: str) -> Column:
         below = F.coalesce(F.col(m) >= F.col(f"{m}_fence.low"), F.lit(True))
@@ -136,5 +137,5 @@ def judge(documents: DataFrame, text: str = "text", groups: tuple[str, ...] = ("
     ok = ~F.col("base_failed")
     for m in RULES:
         ok = ok & inside(m)
-    joined = rows.join(limits, rows["grouping"].eqNullSafe(limits["grouping"]), "left")
-    return joined.select(*(rows[c] for c in rows.columns), ok.alias("kept"))
+    # every group has its fences; as many as can be are broadcast after they were counted, the texts stay where they are
+    return attach(rows, limits, ["grouping"], ["n_words", "word_chars", "n_symbols"]).select(*rows.columns, ok.alias("kept"))

@@ -118,6 +118,26 @@ def test_link_lists_beside_the_text_do_not_stay():
     assert main_text(f"<div><section><p>{LONG}</p></section><section><a href=/>Other</a> <a href=/>pages</a></section></div>") == LONG
 
 
+@pytest.mark.parametrize("around", ["<section><h2>Replies</h2>{}</section>", "{}", "<div>{}</div>"])
+@pytest.mark.parametrize("comment", [f"<article class='comment'><p>{LONG * 3}</p></article>", f"<article class='comment-body'><p>{LONG * 3}</p></article>",
+                                     f"<article id=comment-12><p>{LONG * 3}</p></article>", f"<article hidden><p>{LONG * 3}</p></article>"])
+def test_reader_comments_never_win(around, comment):
+    page = around.format(comment * 3)
+    assert main_text(f"<article><p>{LONG}</p><p>End.</p></article>{page}") == f"{LONG}\nEnd."
+    assert main_text(f"<main><article><p>{LONG}</p><p>End.</p></article>{comment}</main>") == f"{LONG}\nEnd."
+    assert main_text(f"<main><p>{LONG}</p><p>End.</p>{comment}</main>") == f"{LONG}\nEnd."
+
+
+@pytest.mark.parametrize("name", ["class='notice-period'", "class='social-history'", "id='related-work'", "class='comment-free menu-planning'"])
+def test_telling_names_in_an_article_do_not_cut(name):
+    assert main_text(f"<article><p>Intro.</p><section {name}><p>{LONG}</p></section></article>") == f"Intro.\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["class='share-buttons'", "class='x ad'", "id='newsletter-signup'", "class='relatedPosts'", "class='cookie-banner'", "class='ad-slot'"])
+def test_boxes_of_boilerplate_in_an_article_are_cut(name):
+    assert main_text(f"<article><p>{LONG}</p><div {name}><p>Buy this.</p></div><p>End.</p></article>") == f"{LONG}\nEnd."
+
+
 def test_extract_reads_every_page(spark, pages):
     rows = extract(pages.withColumn("text", F.lit("clash"))).collect()
     assert len(rows) == pages.count() and all(r["n_chars"] == len(r["text"]) for r in rows)
@@ -205,6 +225,26 @@ def test_stages_keep_the_columns_of_documents(spark, docs, texts):
     assert len(last) == docs.count() and all(r["n_tokens"] == len(r["token_ids"]) for r in last)
 
 
+def test_last_stage_refuses_clashing_columns(spark, docs):
+    for name in ("token_ids", "N_TOKENS"):
+        with pytest.raises(ValueError, match=name.lower()):
+            corpus_pipeline.STAGES[-1][1](spark, docs.withColumn(name, F.lit(1)), SF)
+
+
+def test_later_stages_delete_what_earlier_ones_staged(spark, docs, tmp_path):
+    quality, duplicates = corpus_pipeline.STAGES[0][1], corpus_pipeline.STAGES[1][1]
+    held = lambda: set(corpus_pipeline._LEFT[spark.sparkContext.applicationId][1])
+    first = quality(spark, docs, SF)
+    mine = held()
+    second = duplicates(spark, first, SF)  # reads on from the staged rows, which must stay
+    assert mine <= held() and second.count() <= first.count()
+    first.write.parquet(str(tmp_path / "first"))
+    rows = first.count()
+    quality(spark, docs, SF)
+    assert duplicates(spark, spark.read.parquet(str(tmp_path / "first")), SF).count() <= rows
+    assert not mine & held()
+
+
 def test_pipeline_takes_effect(spark):
     rows = corpus_pipeline.run(spark, SF)
     table = spark.read.parquet(f"{SF}/documents.parquet")
