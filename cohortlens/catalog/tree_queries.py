@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlens.catalog import query
 from cohortlens.catalog.inputs import FEAT, FEATURES, fixed_columns, orders_with_features, r
 from cohortlens.operators.attribution import expected_value, tree_attribution
+from cohortlens.operators.extra_trees import fit_extra_trees
 from cohortlens.operators.histogram_trees import BoostedTrees, Growth, fit_boosted
 
 # The cuts that both sides try.
@@ -104,3 +105,41 @@ def tree_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = expected_value(model.paths()) + model.base
     phi = tree_attribution(rows, model, FEATURES).groupBy("entity_id").agg(F.sum("phi").alias("phi"))
     return fixed_columns(phi.select("entity_id", (F.col("phi") + F.lit(start)).alias("margin")), 5)
+
+
+# --- extremely randomised trees -------------------------------------------------------------
+
+RANDOM = dict(n_trees=3, max_depth=2, min_leaf=20, max_features=0.7, seed=42)
+_VALUE = "case feature when 'qty' then qty when 'disc' then disc else n_lines end"
+
+
+def _drawn(rows: str, name: str) -> str:
+    """The best drawn cut of every node of ``rows``: two of three features, one cut each, by md5."""
+    return f"""{name}_n as (select tree, path, feature, min(v) lo, max(v) hi, count(*) n, sum(label) p
+  from (select tree, path, label, feature, {_VALUE} v from {rows}, (values ('qty'), ('disc'), ('n_lines')) f(feature)) group by tree, path, feature),
+{name}_c as (select *, lo + ('0x' || substr(md5(concat_ws(':', 42, tree, path, feature)), 1, 8))::bigint / 4294967296.0::double * (hi - lo) cut
+  from (select *, row_number() over (partition by tree, path order by md5(concat_ws(':', 42, 'pick', tree, path, feature))) k from {name}_n)
+  where k <= 2 and lo < hi and n >= 40 and p > 0 and p < n),
+{name}_s as (select c.tree, c.path, c.feature, cut, n::double n, p::double p, sum(case when {_VALUE} <= cut then 1 else 0 end)::double nl,
+    sum(case when {_VALUE} <= cut then label else 0 end)::double pl
+  from {name}_c c join {rows} r on c.tree = r.tree and c.path = r.path group by c.tree, c.path, c.feature, cut, n, p),
+{name} as (select tree, path, feature, cut, gain from (select *, (pl * pl + (nl - pl) * (nl - pl)) / nl
+    + ((p - pl) * (p - pl) + (n - nl - p + pl) * (n - nl - p + pl)) / (n - nl) - (p * p + (n - p) * (n - p)) / n gain
+  from {name}_s where least(nl, n - nl) >= 20)
+  qualify row_number() over (partition by tree, path order by round(gain, 9) desc, case feature when 'qty' then 0 when 'disc' then 1 else 2 end) = 1)"""
+
+
+def _dealt(rows: str, best: str, name: str) -> str:
+    return f"""{name} as (select r.* exclude (path), r.path || case when {_VALUE} <= cut then 'L' else 'R' end path
+  from {rows} r join {best} b on r.tree = b.tree and r.path = b.path)"""
+
+
+@query(f"""with {FEAT}, e0 as (select t.tree, '' path, entity_id, qty, disc, n_lines, label from feat, (values (0), (1), (2)) t(tree) where cohort <= 2000),
+{_drawn('e0', 'd0')}, {_dealt('e0', 'd0', 'e1')}, {_drawn('e1', 'd1')}, {_dealt('e1', 'd1', 'e2')}
+select n.tree, n.path, feature, {r('cut')} cut, {r('gain')} gain, n_rows, {r('"value"')} as "value"
+from (select tree, path, count(*) n_rows, avg(label) as "value" from (select tree, path, label from e0 union all select tree, path, label from e1
+  union all select tree, path, label from e2) group by tree, path) n left join (from d0 union all from d1) b on n.tree = b.tree and n.path = b.path""")
+def extra_trees_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three extremely randomised trees, node by node, with the cuts that were drawn."""
+    rows = orders_with_features(spark, sf_dir).where("cohort <= 2000")
+    return fixed_columns(fit_extra_trees(rows, FEATURES, **RANDOM).nodes(spark))

@@ -147,18 +147,22 @@ class BoostedTrees:
         return [p for tree in self.trees for p in tree.paths()]
 
     def nodes(self, spark: SparkSession) -> DataFrame:
-        """One row per node: tree, path from the root (L and R), split, gain, training rows and value."""
-        rows = []
-        for number, tree in enumerate(self.trees):
-            todo = [(0, "")]
-            while todo:
-                at, path = todo.pop()
-                inner = tree.left[at] != at
-                rows.append((number, path, self.features[tree.feature[at]] if inner else None, float(tree.cut[at]) if inner else None,
-                             float(tree.gain[at]) if inner else None, int(tree.rows[at]), float(tree.value[at])))
-                if inner:
-                    todo += [(int(tree.left[at]), path + "L"), (int(tree.right[at]), path + "R")]
-        return spark.createDataFrame(rows, "tree int, path string, feature string, cut double, gain double, n_rows long, value double")
+        return node_table(spark, self.trees, self.features)
+
+
+def node_table(spark: SparkSession, trees: Sequence[Tree], features: Sequence[str]) -> DataFrame:
+    """One row per node: tree, path from the root (L and R), split, gain, training rows and value."""
+    rows = []
+    for number, tree in enumerate(trees):
+        todo = [(0, "")]
+        while todo:
+            at, path = todo.pop()
+            inner = tree.left[at] != at
+            rows.append((number, path, features[tree.feature[at]] if inner else None, float(tree.cut[at]) if inner else None,
+                         float(tree.gain[at]) if inner else None, int(tree.rows[at]), float(tree.value[at])))
+            if inner:
+                todo += [(int(tree.left[at]), path + "L"), (int(tree.right[at]), path + "R")]
+    return spark.createDataFrame(rows, "tree int, path string, feature string, cut double, gain double, n_rows long, value double")
 
 
 def require_features(df: DataFrame, features: Sequence[str]) -> None:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from cohortlens import constants as K
 from cohortlens.operators.bayes import fit_bernoulli_nb, fit_gaussian_nb
 from cohortlens.operators.boosting import fit_adaboost
+from cohortlens.operators.extra_trees import fit_extra_trees
 from cohortlens.operators.histogram_trees import Growth, fit_boosted
 from cohortlens.operators.linear import fit_calibrated_ridge, fit_discriminant
 from cohortlens.operators.metrics import balanced_weights, positive_weight
@@ -160,12 +161,21 @@ def _forest(learner: Learner, train: DataFrame, weight: str | None) -> VectorSco
     estimator = RandomForestClassifier(
         numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p, MAX_DEPTH),
         minInstancesPerNode=max(1, int(p.get("min_samples_leaf", 1))),
-        featureSubsetStrategy=str(subset), bootstrap=bool(p.get("bootstrap", learner.family == "RF")),
+        featureSubsetStrategy=str(subset), bootstrap=bool(p.get("bootstrap", True)),
         maxMemoryInMB=512, seed=int(p.get("random_state", K.SEED)),
     )
     return _vector_fit(learner, train, weight, estimator)
 
 
+def _extra_trees(learner: Learner, train: DataFrame, weight: str | None):
+    p = learner.params
+    depth = p.get("max_depth")
+    return fit_extra_trees(
+        train, learner.features, learner.label, learner.key, int(p.get("n_estimators", 100)), None if depth is None else int(depth),
+        int(p.get("min_samples_leaf", 1)), int(p.get("min_samples_split", 2)), p.get("max_features", "sqrt"),
+        bool(p.get("bootstrap", False)), weight, int(p.get("random_state", K.SEED)))
+
+
 def _tree(learner: Learner, train: DataFrame, weight: str | None) -> VectorScore:
     p = learner.params
     estimator = DecisionTreeClassifier(
@@ -232,7 +242,7 @@ def _neighbors(learner: Learner, train: DataFrame, weight: str | None) -> KeyedS
 FITTERS: dict[str, Callable] = {
     "XGBoost": _histogram_trees, "LightGBM": _histogram_trees, "HGB": _histogram_trees,
     "CatBoost": _histogram_trees, "GBC": _gradient_boosting, "AdaBoost": _adaboost, "RF": _forest,
-    "ET": _forest, "DT": _tree, "LR": _logistic, "ENLR": _logistic, "MLP": _perceptron,
+    "ET": _extra_trees, "DT": _tree, "LR": _logistic, "ENLR": _logistic, "MLP": _perceptron,
     "Ridge": _ridge, "LDA": _discriminant, "GNB": _naive_bayes, "BNB": _naive_bayes, "KNN": _neighbors,
 }
 
@@ -248,7 +258,7 @@ USED_PARAMS = {
     "GBC": ("n_estimators", "learning_rate", "max_depth", "subsample", "min_samples_leaf", "random_state"),
     "AdaBoost": ("n_estimators", "learning_rate", "random_state"),
     "RF": ("n_estimators", "max_depth", "min_samples_leaf", "max_features", "bootstrap", "random_state"),
-    "ET": ("n_estimators", "max_depth", "min_samples_leaf", "max_features", "bootstrap", "random_state"),
+    "ET": ("n_estimators", "max_depth", "min_samples_leaf", "min_samples_split", "max_features", "bootstrap", "random_state"),
     "DT": ("max_depth", "min_samples_leaf", "random_state"),
     "LR": ("C", "penalty", "l1_ratio", "max_iter", "random_state"),
     "ENLR": ("C", "l1_ratio", "max_iter", "random_state"),
