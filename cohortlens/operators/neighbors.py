@@ -1,6 +1,6 @@
-"""Exact k-nearest-neighbour join by cells, and the neighbour vote.
+"""Exact k-nearest-neighbour join, and the neighbour vote.
 
-Points are partitioned into the leaves of a k-d tree whose splits come from a bounded sample.
+In many dimensions the join runs over tiles (``operators.tiles``), else by cells. Points are then partitioned into the leaves of a k-d tree whose splits come from a bounded sample.
 A query first searches its own cell; the k-th distance found there bounds the true one, so
 only cells whose bounding box lies within that bound are searched as well. Pairs are compared
 inside a task (one cell, one chunk of queries) and only k per query leave it.
@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortlens.operators.ranking import hash_order
+from cohortlens.operators.tiles import TILE_QUERIES, minkowski, search_tiles
 from cohortlens.session import stage
 
 CELL_ROWS = 4096
 CHUNK_ROWS = 16384
 MAX_CELLS = 65536
 SAMPLE_PER_CELL = 8
+#: Up to so many features a bounding box can still rule out cells; beyond, tiles move less.
+CELL_FEATURES = 12
 BLOCK_PAIRS = 4_000_000
 
 
@@ -88,23 +91,31 @@ def grow_cells(sample: np.ndarray, cells: int) -> CellTree:
 def knn_join(
     queries: DataFrame, points: DataFrame, features: Sequence[str], k: int, key: str = "entity_id",
     exclude: str | None = None, p: int = 2, payload: Sequence[str] = (), cell_rows: int = CELL_ROWS,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = CHUNK_ROWS, method: str | None = None,
 ) -> DataFrame:
     """The k nearest points of every query: (key, rank, neighbor, distance, payload of the point).
 
     Distances are Minkowski with p of 1 or 2; equal distances are ordered by the point's key.
     ``exclude`` names a column of both sides: pairs that agree in it are not neighbours (the
     key itself to leave a row out, the fold to search other folds only). A row with a missing or
-    infinite feature has no distance to any other: it raises a ValueError; impute first.
+    infinite feature has no distance to any other: it raises a ValueError; impute first. ``method`` ("cells" or
+    "tiles", by the number of features if not given) makes no difference to the result.
     """
     if p not in (1, 2):
         raise ValueError("p must be 1 or 2")
+    method = method or ("cells" if len(features) <= CELL_FEATURES else "tiles")
     payload = [c for c in payload if c != key]
     vector = F.array(*[F.col(f).cast("double") for f in features]).alias("_x")
     ban = F.col(exclude).cast("string") if exclude else F.lit(None).cast("string")
     kept = stage(_first_copies(points, features, k, key, exclude).select(
         F.col(key).alias("neighbor"), vector, ban.alias("_ban"), *payload))
     total = _refuse_missing(kept, features, "points")
+    if method == "tiles":
+        asked = stage(queries.select(F.col(key), vector, ban.alias("_ban")))
+        n_asked = _refuse_missing(asked, features, "queries")
+        hits = search_tiles(asked, kept, n_asked, total, len(features), k, p, key, payload, tile_points=cell_rows if cell_rows != CELL_ROWS else None,
+                            tile_queries=min(chunk_rows, TILE_QUERIES))
+        return _nearest_first(hits, k, p, key, payload)
     cells = max(1, min(MAX_CELLS, -(-total // cell_rows)))
     sample = kept.select("_x").orderBy(hash_order("neighbor")).limit(cells * SAMPLE_PER_CELL)
     drawn = np.array([r["_x"] for r in sample.collect()]).reshape(-1, len(features))
@@ -131,7 +142,12 @@ def knn_join(
         away = _search(visits.select(key, "_x", "_ban", "_cell"), located, k, p, key, payload, chunk_rows, found)
         lists = home.select(*found.names).unionByName(away)
     hits = lists.select(key, F.explode(F.arrays_zip("neighbor", "raw", *payload)).alias("h")).select(key, "h.*")
-    best = Window.partitionBy(key).orderBy("raw", "neighbor")  # at most k rows per searched cell
+    return _nearest_first(hits, k, p, key, payload)
+
+
+def _nearest_first(hits: DataFrame, k: int, p: int, key: str, payload: Sequence[str]) -> DataFrame:
+    """The first k of all hits of a query, ranked."""
+    best = Window.partitionBy(key).orderBy("raw", "neighbor")  # at most k rows per searched cell or tile
     ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     distance = F.sqrt("raw") if p == 2 else F.col("raw")
     return ranked.select(key, "rank", "neighbor", distance.alias("distance"), *payload)
@@ -214,7 +230,7 @@ def _cells_within(boxes: list, k: int, p: int):
     outer_low, outer_high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
 
     def gap_to(point, lo, hi):
-        return _minkowski(np.maximum(np.maximum(lo - point, point - hi), 0.0), p)
+        return minkowski(np.maximum(np.maximum(lo - point, point - hi), 0.0), p)
 
     @F.pandas_udf("array<int>")
     def within(x: pd.Series, home: pd.Series, raw: pd.Series) -> pd.Series:
@@ -232,14 +248,6 @@ def _cells_within(boxes: list, k: int, p: int):
     return within
 
 
-def _minkowski(gap: np.ndarray, p: int) -> np.ndarray:
-    """Sum over features in order, of squares (p=2, not rooted) or absolute values."""
-    total = np.zeros(gap.shape[:-1])
-    for i in range(gap.shape[-1]):
-        total += gap[..., i] * gap[..., i] if p == 2 else np.abs(gap[..., i])
-    return total
-
-
 def _search(asked: DataFrame, located: DataFrame, k: int, p: int, key: str, payload: Sequence[str],
             chunk_rows: int, schema: T.StructType, carry: bool = False) -> DataFrame:
     """Nearest k within the cell each query asks for, chunk by chunk."""
@@ -260,7 +268,7 @@ def _search(asked: DataFrame, located: DataFrame, k: int, p: int, key: str, payl
             bans = (q["_ban"].to_numpy(), c["_ban"].to_numpy()) if c["_ban"].notna().any() else None
             block = max(1, BLOCK_PAIRS // (len(y) * x.shape[1]))
             for start in range(0, len(x), block):
-                raw = _minkowski(x[start:start + block, None, :] - y[None, :, :], p)
+                raw = minkowski(x[start:start + block, None, :] - y[None, :, :], p)
                 if bans is not None:
                     raw[bans[0][start:start + block, None] == bans[1][None, :]] = np.inf
                 order = np.argsort(raw, axis=1, kind="stable")[:, :k]  # equal distances stay in key order

@@ -37,6 +37,33 @@ def test_join_equals_brute_force(spark, points, exclude, p, cell_rows, chunk_row
     assert (got.merge(points, left_on="neighbor", right_on="entity_id")["label_x"] == got.merge(points, left_on="neighbor", right_on="entity_id")["label_y"]).all()
 
 
+@pytest.mark.parametrize("exclude,p,cell_rows,chunk_rows", [("entity_id", 2, 4096, 4096), ("fold", 2, 50, 70), ("entity_id", 1, 40, 30), (None, 2, 60, 50)])
+def test_tiles_equal_brute_force(spark, points, exclude, p, cell_rows, chunk_rows):
+    df = spark.createDataFrame(points)
+    got = neighbors.knn_join(df, df, ["x", "y"], 6, exclude=exclude, p=p, payload=["label"], cell_rows=cell_rows, chunk_rows=chunk_rows, method="tiles").toPandas()
+    lists = got.sort_values(["entity_id", "rank"]).groupby("entity_id")["neighbor"].apply(list).to_dict()
+    assert lists == brute(points, points, ["x", "y"], 6, exclude, p)
+    joined = got.merge(points, left_on="neighbor", right_on="entity_id")
+    assert (joined["label_x"] == joined["label_y"]).all()
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_tiles_of_many_dimensions(spark, offset):
+    """Far from the origin the matrix product loses digits; the exact distances decide."""
+    rng = np.random.default_rng(3)
+    names = [f"x{i}" for i in range(40)]
+    frame = pd.DataFrame(rng.normal(size=(150, 40)).round(3) + offset, columns=names).assign(entity_id=np.arange(150))
+    frame.loc[100:110, names] = frame.loc[20, names].to_numpy()  # copies: ties go by key
+    df = spark.createDataFrame(frame)
+    got = neighbors.knn_join(df, df, names, 7, exclude="entity_id", cell_rows=40, chunk_rows=60).toPandas()
+    lists = got.sort_values(["entity_id", "rank"]).groupby("entity_id")["neighbor"].apply(list).to_dict()
+    x = frame[names].to_numpy()
+    for i in range(150):
+        raw = sum((x[i, j] - x[:, j]) ** 2 for j in range(40))
+        raw[i] = np.inf
+        assert lists[i] == np.lexsort((np.arange(150), raw))[:7].tolist()
+
+
 def test_fewer_points_than_neighbours(spark, points):
     df = spark.createDataFrame(points.head(4))
     assert neighbors.knn_join(df, df, ["x", "y"], 9, exclude="entity_id").count() == 12
