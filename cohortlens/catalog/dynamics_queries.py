@@ -10,7 +10,7 @@ from cohortlens.catalog.inputs import fixed_columns, r, table
 from cohortlens.functions.scalars import focal_loss, hard_decision, sigmoid
 from cohortlens.operators import dynamics
 
-START, DAYS, PERIODS = "2024-01-01", 3, 10
+DAYS = 3
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +19,17 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dynamics.activity_grid(_events(spark, sf_dir), "user_id", dynamics.period_of("ts", START, DAYS), PERIODS, "value")
+    """All events, from the first day to the last."""
+    events = _events(spark, sf_dir)
+    start, periods = dynamics.window_of(events, "ts", DAYS)
+    return dynamics.activity_grid(events, "user_id", dynamics.period_of("ts", start, DAYS), periods, "value")
 
 
-GRID = """w as (select user_id, date_diff('day', date '2024-01-01', cast(ts as date)) // 3 period, count(*) x, sum(value) total
-  from events group by 1, 2),
+GRID = """span as (select min(cast(ts as date)) first_day from events),
+w as (select user_id, date_diff('day', first_day, cast(ts as date)) // 3 period, count(*) x, sum(value) total
+  from events, span group by 1, 2),
 grid as (select u.user_id, cast(p.period as int) period, coalesce(x, 0) x, coalesce(total, 0) total
-  from (select distinct user_id from w where period between 0 and 9) u cross join (select unnest(range(10)) period) p
+  from (select distinct user_id from w) u cross join (select unnest(range((select max(period) + 1 from w))) period) p
   left join w on w.user_id = u.user_id and w.period = p.period),
 moves as (select *, x - lag(x) over s velocity, x - 2 * lag(x) over s + lag(x, 2) over s acceleration
   from grid window s as (partition by user_id order by period))"""
@@ -41,7 +45,7 @@ def acceleration_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dynamics.acceleration(_grid(spark, sf_dir).drop("total"), "user_id")
 
 
-@query(f"""with {GRID} select user_id, max(case when period = 9 then acceleration end) acc_last, {r('avg(acceleration)')} acc_mean,
+@query(f"""with {GRID} select user_id, arg_max(acceleration, period) acc_last, {r('avg(acceleration)')} acc_mean,
   min(acceleration) acc_min, {r('avg(case when acceleration is not null then (case when acceleration < 0 then 1 else 0 end) end)')} slowing_share
 from moves group by user_id""")
 def acceleration_features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,9 @@ from cohortlens.operators.linear import LinearScore
 from cohortlens.operators.preprocess import FULL
 from cohortlens.plans import baseline, explain, fusion, search
 from cohortlens.plans.validation import FoldedData, oof_scores
-from cohortlens.session import stage
+from cohortlens.session import stage, stage_dir
 from cohortlens.sources.cohorts import union_by_name
-from cohortlens.sources.trials import rank_trials
+from cohortlens.sources.trials import rank_trials, read_trials, write_trials
 
 # --- meta-features --------------------------------------------------------------------------
 
@@ -102,11 +104,14 @@ def live_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_columns(kept.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean")))
 
 
-@query(f"""{best_sql('gmean', 'score desc, i', scores='gnb', keys='trial_id', with_=f'{FOLD}, {_SMOOTHED}')},
+_SEARCHED = f"""{best_sql('gmean', 'score desc, i', scores='gnb', keys='trial_id', with_=f'{FOLD}, {_SMOOTHED}')},
 tgt as (select *, cast(null as int) fold from feat where cohort = 2001),
 {gnb_sql('tgt', WHOLE_SOURCE, ", ".join(f"({t}, {s!r}::double)" for t, s in SMOOTHING.items()), own=True, name='full_nb', per_fold=False)},
 placed as (select trial_id, t, score - 6.0 * greatest(0, 0.8 - recall) value,
-  row_number() over (order by score - 6.0 * greatest(0, 0.8 - recall) desc, trial_id) - 1 as rank from best),
+  row_number() over (order by score - 6.0 * greatest(0, 0.8 - recall) desc, trial_id) - 1 as rank from best)"""
+
+
+@query(f"""{_SEARCHED},
 goal as (select trial_id model_id, label, p from full_nb),
 c as (select model_id, t, rank, value, {counts_sql('t')} from goal join placed on model_id = trial_id where rank < 2 group by model_id, t, rank, value)
 select cast(model_id as int) trial_id, 'GNB_Top' || (rank + 1) model_id, cast(rank as int) as rank, {r('value', 5)} as value, {RECORD}, {COUNTS}, {r('t')} threshold
@@ -120,6 +125,19 @@ def search_report_gnb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed_columns(report.drop("model_type", "params"), value=5)
 
 
+@query(f"""{_SEARCHED} select entity_id, label, fold, {r('avg(p)')} p, count(*) n_models from (
+  select trial_id, entity_id, label, fold, p from gnb union all select trial_id, entity_id, label, fold, p from full_nb)
+join placed using (trial_id) where rank in (0, 2) group by entity_id, label, fold""")
+def fusion_from_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials are searched and stored; the fusion reads the table, builds the models of two ranks and votes."""
+    data = FoldedData(source_folds(spark, sf_dir, target=True), PAIR)
+    candidates = {t: {"var_smoothing": s} for t, s in SMOOTHING.items()}
+    path = f"{stage_dir(spark).rstrip('/')}/trials-{uuid.uuid4().hex}"
+    write_trials(rank_trials(search.rate_candidates(data, "GNB", candidates).drop("rank")), path)
+    models = fusion.models_from_trials(read_trials(spark, path), {"GNB": [0, 2]})
+    return fixed_columns(fusion.soft_vote(fusion.meta_scores(data, models)))
+
+
 # --- attribution and importance ---------------------------------------------------------------
 
 # Coefficients of linear scorers over the stand-in features.

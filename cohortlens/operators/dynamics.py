@@ -29,6 +29,13 @@ def period_of(time: str | Column, start: str, days: int) -> Column:
     return F.floor(F.datediff(time.cast("date"), F.lit(start).cast("date")) / days).cast("int")
 
 
+def window_of(events: DataFrame, time: str, days: int) -> tuple[str, int]:
+    """First date of the events and the number of periods of ``days`` days up to the last; no events, no periods."""
+    day = F.col(time).cast("date")
+    first, periods = events.agg(F.min(day).cast("string"), F.floor(F.datediff(F.max(day), F.min(day)) / days) + 1).first()
+    return first or "1970-01-01", int(periods or 0)
+
+
 def activity_grid(events: DataFrame, entity: str, period: Column, periods: int,
                   value: str | None = None) -> DataFrame:
     """Events (and their summed value) per entity and period 0..periods-1, zero where there are none.
@@ -37,6 +44,7 @@ def activity_grid(events: DataFrame, entity: str, period: Column, periods: int,
     the shuffle; the dense grid is then unfolded in place, without a join.
     """
     measures = [F.count(F.lit(1)).alias("x")] + ([F.sum(value).alias("total")] if value else [])
+    steps = F.sequence(F.lit(0), F.lit(max(periods, 1) - 1))
     counted = (
         events.withColumn("period", period).where(F.col("period").between(0, periods - 1))
         .groupBy(entity, "period").agg(*measures)
@@ -44,7 +52,7 @@ def activity_grid(events: DataFrame, entity: str, period: Column, periods: int,
     names = ["x", "total"] if value else ["x"]
     series = counted.groupBy(entity).agg(
         F.map_from_entries(F.collect_list(F.struct("period", F.struct(*names)))).alias("_s"))
-    grid = series.select(entity, "_s", F.explode(F.sequence(F.lit(0), F.lit(periods - 1))).alias("period"))
+    grid = series.select(entity, "_s", F.explode(steps).alias("period"))
     cell = F.try_element_at("_s", F.col("period"))
     zero = {"x": F.lit(0).cast("long"), "total": F.lit(0.0)}
     return grid.select(entity, "period", *[F.coalesce(cell[n], zero[n]).alias(n) for n in names])

@@ -22,10 +22,12 @@ def assign_folds(df: DataFrame, cohorts: Sequence, cohort: str = "cohort", label
 
     A cohort that is not listed gets no fold.
     """
-    ranked = hash_rank(df, [cohort, label], key, seed, groups=3 * (len(cohorts) + 1))
     index = cohort_index(cohort, cohorts)
-    fold = F.when(index >= 0, index * parts + F.col("rank") % parts)
-    return ranked.withColumn("fold", fold.cast("int")).drop("rank", "group_rows")
+    # all cohorts that are not listed are one group, so that there are no more groups than the list says
+    listed = df.withColumn("_listed", F.when(index >= 0, index))
+    ranked = hash_rank(listed, ["_listed", label], key, seed, groups=3 * (len(cohorts) + 1))
+    fold = F.when(F.col("_listed").isNotNull(), F.col("_listed") * parts + F.col("rank") % parts)
+    return ranked.withColumn("fold", fold.cast("int")).drop("rank", "group_rows", "_listed")
 
 
 def stratified_folds(df: DataFrame, k: int = 10, label: str = "label", key: str = "entity_id",

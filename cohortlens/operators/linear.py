@@ -8,7 +8,6 @@ up in two levels, first by groups of tasks, then by group. What reaches the driv
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -49,10 +48,10 @@ def cross_products(df: DataFrame, columns: Sequence[str], by: str, weight: str |
         if sums:
             yield pd.DataFrame({"g": list(sums), "m": list(sums.values())})
 
-    # as many partial matrices as the session has shuffle partitions, however many the input has
+    # one matrix per input partition and group, added up in two levels
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = "g int, m array<double>"
-    some = rows.coalesce(tasks).mapInPandas(partial, schema).repartition(math.isqrt(tasks)).mapInPandas(total, schema)
+    some = rows.mapInPandas(partial, schema).repartition(tasks).mapInPandas(total, schema)
     out: dict[int, np.ndarray] = {}
     for r in some.repartition("g").mapInPandas(total, schema).collect():
         whole = out[r["g"]] = np.zeros((n, n))

@@ -19,7 +19,7 @@ from cohortlens.plans.search import FUSION_GOAL, Goal, constrained_search, evalu
 from cohortlens.plans.validation import FoldedData, oof_scores
 from cohortlens.session import stage
 from cohortlens.sources.cohorts import union_by_name
-from cohortlens.sources.trials import rank_trials, valid_trials
+from cohortlens.sources.trials import decode_params, rank_trials, select_trials, valid_trials
 
 
 def meta_scores(data: FoldedData, models: Mapping[str, tuple], workers: int = 4) -> DataFrame:
@@ -36,6 +36,33 @@ def meta_scores(data: FoldedData, models: Mapping[str, tuple], workers: int = 4)
     return stage(union_by_name(parts))
 
 
+def models_from_trials(trials: DataFrame, ranks: Mapping[str, Sequence[int]], name: str = "{family}_Top{place}") -> dict[str, tuple]:
+    """Base models of a stored trials table: {model id: (family, parameters)} of the asked ranks of each family.
+
+    Parameters are decoded by their names; numbers under other names become numbers again. Ranks without a trial give
+    no model; a family without any raises a ValueError.
+    """
+    models: dict[str, tuple] = {}
+    for family, asked in ranks.items():
+        chosen = select_trials(valid_trials(trials.where(F.col("model_type") == family)), asked).select("rank", "params")
+        held = sorted(r["rank"] for r in chosen.collect())  # at most as many as were asked for
+        if not held:
+            raise ValueError(f"no trial of {family} at ranks {list(asked)}")
+        params: dict[int, dict] = {rank: {} for rank in held}
+        for cell in decode_params(chosen, ["rank"], lenient=True).collect():
+            value = cell[{"int": "i", "float": "d", "bool": "b", "str": "s"}[cell["kind"]]]
+            params[cell["rank"]][cell["param"]] = _number(value) if cell["kind"] == "str" else value
+        models |= {name.format(family=family, place=rank + 1): (family, params[rank]) for rank in held}
+    return models
+
+
+def _number(text: str) -> float | str:
+    try:
+        return float(text)
+    except ValueError:
+        return text
+
+
 def live_models(scores: DataFrame, fold: str = "fold") -> list[str]:
     """Models with a non-zero score on some source row; the others carry nothing."""
     top = scores.where(F.col(fold).isNotNull()).groupBy("model_id").agg(F.max(F.abs("p")).alias("m"))

@@ -61,3 +61,14 @@ def test_penalty(spark):
     df = spark.createDataFrame([(1, "a", 2.0), (2, "a", None), (3, "a", 6.0), (4, "b", None)], "entity_id int, task string, d double")
     rows = {r["entity_id"]: (r["d"], r["was_missing"]) for r in dynamics.penalty_impute(df, ["task"], "d").collect()}
     assert rows == {1: (2.0, 0), 2: (9.0, 1), 3: (6.0, 0), 4: (None, 1)}
+
+
+def test_the_window_covers_all_events(spark):
+    events = spark.createDataFrame([(1, "2023-12-30 10:00:00"), (2, "2024-03-01 00:00:00"), (3, "2025-01-05 23:59:59")], "u int, t string")
+    events = events.selectExpr("u", "CAST(t AS timestamp) AS t")
+    start, periods = dynamics.window_of(events, "t", 7)
+    assert (start, periods) == ("2023-12-30", 54)
+    grid = dynamics.activity_grid(events, "u", dynamics.period_of("t", start, 7), periods)
+    assert grid.count() == 3 * 54 and grid.agg({"x": "sum"}).first()[0] == 3
+    start, periods = dynamics.window_of(events.limit(0), "t", 7)
+    assert periods == 0 and dynamics.activity_grid(events.limit(0), "u", dynamics.period_of("t", start, 7), periods).isEmpty()

@@ -251,3 +251,18 @@ def test_knn_attribution_sees_the_feature_that_carries_the_label(spark):
     total = {r["entity_id"]: r["t"] for r in phi.groupBy("entity_id").agg(F.sum("phi").alias("t")).collect()}
     at_centre = model.score(spark.createDataFrame([(-1, -1.0, 0.0)], "entity_id int, a double, b double")).first()["p"]
     assert total == pytest.approx({r["entity_id"]: r["p"] - at_centre for r in model.score(df).collect()})
+
+
+def test_base_models_come_from_the_stored_trials(spark, tmp_path):
+    from cohortlens.sources.trials import TRIALS_SCHEMA, read_trials, write_trials
+
+    rows = [("GNB", 3, {"var_smoothing": "1e-09"}, 0.7, 0.5, "ok", 0), ("GNB", 1, {"var_smoothing": "0.5"}, 0.6, 0.5, "ok", 1),
+            ("XGBoost", 0, {"max_depth": "4", "learning_rate": "0.2", "ACC": "0.9"}, 0.8, 0.4, "ok", 0),
+            ("ET", 5, {"max_depth": "4"}, None, None, "failed", 0)]
+    write_trials(spark.createDataFrame(rows, TRIALS_SCHEMA), str(tmp_path / "trials"))
+    models = fusion.models_from_trials(read_trials(spark, str(tmp_path / "trials")), {"GNB": [1, 0, 9], "XGBoost": [0]})
+    assert models == {"GNB_Top1": ("GNB", {"var_smoothing": 1e-9}), "GNB_Top2": ("GNB", {"var_smoothing": 0.5}),
+                      "XGBoost_Top1": ("XGBoost", {"max_depth": 4, "learning_rate": 0.2})}
+    for family in ("ET", "LDA"):
+        with pytest.raises(ValueError, match=family):
+            fusion.models_from_trials(read_trials(spark, str(tmp_path / "trials")), {family: [0]})

@@ -103,3 +103,13 @@ def test_time_series_folds(cohort):
     sizes = got.groupby("fold").size()
     assert sizes[0] == 100 and sizes[-1] == 100 and len(sizes) == 8
     assert (np.diff(got.fold) >= 0).all()
+
+
+def test_unlisted_cohorts_are_one_group_without_a_fold(spark):
+    from cohortlens.operators.folds import assign_folds
+
+    rows = spark.range(3000).selectExpr("id AS entity_id", "CAST(id % 1500 AS int) AS cohort", "CAST(id % 3 = 0 AS int) AS label")
+    folded = assign_folds(rows, [7, 8])
+    assert folded.columns == ["entity_id", "cohort", "label", "fold"]
+    assert {(r["cohort"], r["fold"]) for r in folded.where("fold IS NOT NULL").collect()} <= {(7, 0), (7, 1), (8, 2), (8, 3)}
+    assert folded.where("fold IS NOT NULL").count() == 4 and folded.count() == 3000
