@@ -6,9 +6,10 @@ when their Jaccard similarity reaches ``NUMERATOR / DENOMINATOR`` (exact, in who
 1. Candidates: linked sets differ in a bounded number of n-grams. Cut into more parts (ranges of hashes)
    than that, they agree in at least one part; sets that agree in a part meet by its hash. Sets that
    meet, directly or over others, form a class; nothing outside a class can link with it.
-2. The sets of classes beyond one task's size order their n-grams by how many of them hold each, rarest
-   first. Linked sets share one of their first few in this order, so these classes are split by them: a
-   passage that many otherwise different documents share falls out.
+2. The sets of classes beyond one task's size order their n-grams by how many n-grams fall into the same
+   range of hashes, rarest first: one order for all, from counters of a fixed size. Linked sets share one of
+   their first few in this order, so these classes are split by them: a passage that many otherwise different
+   documents share falls out.
 3. Each class stores its sets in a trie, rarest n-grams of the class first. A set descends from the nodes
    where its own rare n-grams occur, adds up shared n-grams along common paths, and leaves a subtree when
    the lengths that remain cannot reach the bound any more, or when all sets below already belong to its
@@ -23,13 +24,16 @@ an empty table gives an empty result; input columns stay in ``row``.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from cohortlens.llm.arrays import SHARD_BYTES, SPACED, Words, lists, map_texts, mix, ranges, slices
+from cohortlens.llm.arrays import SHARD_BYTES, SPACED, Words, map_texts, mix, ranges, slices
+from cohortlens.llm.bits import narrowed, without
 from cohortlens.llm.components import components
 from cohortlens.session import stage
 
@@ -153,24 +157,29 @@ def _stars(keys: np.ndarray, who: np.ndarray, ids: np.ndarray):
     return keys, who, head, np.stack([pairs // max(len(ids), 1), pairs % max(len(ids), 1)], 1)
 
 
-def _blocks(documents: DataFrame, text: str, buckets: int) -> DataFrame:
-    """Part hashes in blocks by bucket (``ids``: keys of the sets). Sets of one batch that share a hash are paired with the first of
-    them at once (a row without keys), which alone is sent on."""
+def _text_parts(batch: pa.RecordBatch):
+    """Keys of a batch's sets (column ``text``), and set and hash of each part."""
+    ids, who, keys, n = [], [], [], 0
+    for i, j in slices(batch.column(0), SHARD_BYTES):
+        grams, bounds = gram_sets(batch.column(0).slice(i, j - i))
+        a, b = signatures(grams, bounds)
+        ids.append(_keys(set_ids(grams, bounds)))
+        who.append(a + n)
+        keys.append(b)
+        n += j - i
+    return np.concatenate(ids), np.concatenate(who), np.concatenate(keys)
+
+
+def _blocks(rows: DataFrame, signed, buckets: int) -> DataFrame:
+    """Hashes that ``signed`` finds in each batch, in blocks by bucket (``ids``: keys of the sets). Sets of one batch that share a
+    hash are paired with the first of them at once (a row without keys), which alone is sent on."""
     names = [x.split()[0] for x in _BLOCKS.split(", ")]
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, who, keys, n = [], [], [], 0
-            for i, j in slices(batch.column(0), SHARD_BYTES):
-                grams, bounds = gram_sets(batch.column(0).slice(i, j - i))
-                a, b = signatures(grams, bounds)
-                ids.append(_keys(set_ids(grams, bounds)))
-                who.append(a + n)
-                keys.append(b)
-                n += j - i
-            ids, who, keys = np.concatenate(ids), np.concatenate(who), np.concatenate(keys)
+            ids, who, keys = signed(batch)
             _, own = np.unique(ids, return_index=True)
             first = np.zeros(len(ids), bool)
             first[own] = True
@@ -191,15 +200,15 @@ def _blocks(documents: DataFrame, text: str, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*out), [pa.int32()] + [pa.binary()] * 3)], names)
 
-    return documents.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL").mapInArrow(run, _BLOCKS)
+    return rows.mapInArrow(run, _BLOCKS)
 
 
 def _pairs(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
 
 
-def _meetings(blocks: DataFrame) -> DataFrame:
-    """Pairs ``a``, ``b`` of sets that meet: each with one holder of a common part."""
+def _meetings(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of sets that meet: each with one holder of a common hash."""
     def run(batches):
         keys, who, ids, n = [], [], [], 0
         for batch in batches:
@@ -220,7 +229,7 @@ def _meetings(blocks: DataFrame) -> DataFrame:
             for i in range(0, len(pairs), 1 << 16):
                 yield _pairs(ids[pairs[i:i + (1 << 16)]])
 
-    return blocks.repartition("bucket").mapInArrow(run, "a long, b long").distinct()
+    return blocks.repartition(buckets, "bucket").mapInArrow(run, "a long, b long").distinct()
 
 
 # ---- the trie -----------------------------------------------------------------------------------------
@@ -385,100 +394,76 @@ def _grams(rows: DataFrame) -> DataFrame:
     return map_texts(rows, "text", StructType().add("grams", BinaryType()), make, keep).select("row.*", "grams")
 
 
-#: Holders in one batch that make an n-gram frequent: these come last in the order, by hash.
-FREQUENT = 16
-_OFTEN = 2**31 - 1
-_HELD = "bucket int, grams binary, who binary, ids binary, counts binary"
-
-
-def _held(sets: DataFrame, buckets: int) -> DataFrame:
-    """N-grams of sets (``id``, ``grams``) in blocks by bucket, to be counted. An n-gram that a batch finds
-    frequent is sent once, as such; its holders keep that to themselves (a row without ``grams``)."""
-    names = [x.split()[0] for x in _HELD.split(", ")]
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "V16")
-            held = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            grams, who = np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held])
-            by = np.argsort(grams, kind="stable")
-            grams, who = grams[by], who[by]
-            head = np.append(True, grams[1:] != grams[:-1])
-            at = np.flatnonzero(head)
-            count = np.diff(np.append(at, len(grams)))
-            often = np.repeat(count >= FREQUENT, count)
-            out = []
-            rows = np.flatnonzero(often)
-            for part in np.array_split(rows, min(16, len(rows))) if len(rows) else ():
-                out.append((int(grams[part[0]] % np.uint64(buckets)), None, who[part].astype(np.int32).tobytes(),
-                            ids.tobytes(), grams[part].tobytes()))
-            send = np.flatnonzero(~often | head)
-            bucket = (grams[send] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            send, bucket = send[order], bucket[order]
-            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            for a, b in zip(cuts, np.append(cuts[1:], len(send))):
-                part = send[a:b]
-                used, mine = np.unique(who[part], return_inverse=True)
-                out.append((int(bucket[a]), grams[part].tobytes(), mine.astype(np.int32).tobytes(), ids[used].tobytes(),
-                            often[part].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*out), [pa.int32()] + [pa.binary()] * 4)], names)
+#: Counters of the one order that all sets of wide classes share: 4 MB in each task and on the driver, at any size.
+BINS = 1 << 20
+_SLICES = 64
+_OFTEN = np.uint64(2**32 - 1)
 
-    return sets.select("id", "grams").mapInArrow(run, _HELD)
 
+def _bin(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(44)).astype(np.int64)
 
-def _shared(blocks: DataFrame) -> DataFrame:
-    """``id`` and ``shared``: its n-grams that other sets hold, too, each with the number of holders."""
-    def rows(ids, counts, grams):
-        by = np.argsort(ids, kind="stable")
-        ids, counts, grams = ids[by], counts[by], grams[by]
-        cuts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-        pairs = pa.StructArray.from_arrays([pa.array(counts.astype(np.int32)), pa.array(grams.view(np.int64))], ["n", "gram"])
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in ids[cuts]], pa.binary()),
-                                           lists(pairs, np.diff(np.append(cuts, len(ids))))], ["id", "shared"])
 
-    def run(batches):
-        grams, ids, often = [], [], []
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """How many ``grams`` of ``sets`` fall into each of ``BINS`` ranges of hashes (saturated): never fewer than the
+    sets that hold any one of them. Tasks send counts, which are added up slice by slice."""
+    def count(batches):
+        total = np.zeros(BINS, np.uint64)
         for batch in batches:
-            for _, gram, who, own, extra in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                own = np.frombuffer(own, "V16")[np.frombuffer(who, np.int32)]
-                if gram is None:
-                    yield rows(own, np.full(len(own), _OFTEN), np.frombuffer(extra, np.uint64))
-                    continue
-                grams.append(np.frombuffer(gram, np.uint64))
-                ids.append(own)
-                often.append(np.frombuffer(extra, bool))
-        if grams:
-            grams, ids, often = np.concatenate(grams), np.concatenate(ids), np.concatenate(often)
-            by = np.argsort(grams, kind="stable")
-            grams, ids, often = grams[by], ids[by], often[by]
-            at = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
-            count = np.diff(np.append(at, len(grams)))
-            flagged = np.logical_or.reduceat(often, at)
-            total = np.repeat(np.where(flagged, _OFTEN, count), count)
-            keep = np.flatnonzero((total > 1) & ~often)  # the holders behind a flag know already
-            if len(keep):
-                yield rows(ids[keep], total[keep], grams[keep])
-
-    return blocks.repartition("bucket").mapInArrow(run, "id binary, shared array<struct<n:int,gram:bigint>>")
-
-
-def _refine(members: DataFrame, sets: DataFrame, buckets: int) -> DataFrame:
-    """``id``, ``class`` of the classes (``id``, ``n``, ``class``) split by their rare n-grams: linked sets
-    share one among the first ``n - needed + 1`` in one order of all, whatever else they share. Sets that
-    share none are gone."""
-    listed = (_shared(_held(sets, buckets)).groupBy("id")
-              .agg(F.array_sort(F.flatten(F.collect_list("shared"))).alias("shared")))
-    prefix = F.col("n") - F.ceil(F.col("n") * NUMERATOR / F.lit(DENOMINATOR)) + 1
-    room = F.greatest(prefix - (F.col("n") - F.size("shared")), F.lit(0)).cast("int")  # the others come first
-    rare = stage(listed.join(members, "id").select("id", "class", F.explode(F.slice("shared", F.lit(1), room)).alias("g"))
-                 .select("id", "class", "g.gram"))
-    lead = rare.groupBy("class", "gram").agg(F.min("id").alias("b"))
-    met = rare.join(lead, ["class", "gram"]).select(F.col("id").alias("a"), "b").distinct()
-    return components(met).select("id", F.hex("root").alias("class"))
+            for k in range(0, batch.num_rows, 256):
+                held = b"".join(batch.column(0).slice(k, 256).to_pylist())
+                total += np.bincount(_bin(np.frombuffer(held, np.uint64)), minlength=BINS).astype(np.uint64)
+        if total.any():
+            packed = [zlib.compress(x.astype(np.uint32).tobytes(), 1) for x in np.split(np.minimum(total, _OFTEN), _SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SLICES), pa.int32()), pa.array(packed, pa.binary())], ["slice", "counts"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                totals[k] = totals.get(k, np.uint64(0)) + np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.uint64)
+        if totals:
+            sums = [np.minimum(x, _OFTEN).astype(np.uint32).tobytes() for x in totals.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(sums, pa.binary())], ["slice", "counts"])
+
+    kind = "slice int, counts binary"
+    parts = sets.select("grams").mapInArrow(count, kind).repartition("slice").mapInArrow(add, kind).collect()
+    out = np.zeros((_SLICES, BINS // _SLICES), np.uint32)
+    for k, counts in parts:
+        out[k] = np.frombuffer(counts, np.uint32)
+    return out.reshape(-1)
+
+
+
+def rare_parts(often: np.ndarray):
+    """For a batch of ``id``, ``class``, ``grams``: keys of the sets, and set and hash (with the class) of each of a set's
+    first ``n - needed + 1`` n-grams, rarest range first, then by hash. Ranges of one count are nobody else's."""
+    def signed(batch: pa.RecordBatch):
+        ids = np.frombuffer(b"".join(batch.column(0).to_pylist()), "V16")
+        label = mix(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ _SALT[1])
+        who, keys = [], []
+        for k in range(0, batch.num_rows, 256):
+            held = [np.frombuffer(x, np.uint64) for x in batch.column(2).slice(k, 256).to_pylist()]
+            size = np.array([len(x) for x in held])
+            grams, own = np.concatenate(held), np.repeat(np.arange(len(held)), size)
+            count = often[_bin(grams)]
+            by = np.lexsort((grams, count, own))
+            prefix = size - -(-size * NUMERATOR // DENOMINATOR) + 1
+            place = np.arange(len(grams)) - np.repeat(np.cumsum(size) - size, size)
+            by = by[place < prefix[own]]
+            by = by[count[by] > 1]
+            who.append(own[by] + k)
+            keys.append(mix(grams[by] + label[own[by] + k]))
+        return _keys(ids), np.concatenate(who), np.concatenate(keys)
+    return signed
+
+
+def _refine(sets: DataFrame, buckets: int) -> DataFrame:
+    """``key``, ``class`` of wide classes (``id``, ``class``, ``grams``) split by their rare n-grams: linked sets share one
+    among the first ``n - needed + 1`` in one order of all, whatever else they share. Sets that share none are gone."""
+    sets = sets.select("id", "class", "grams")
+    met = _meetings(_blocks(sets, rare_parts(frequencies(sets)), buckets), buckets)
+    return components(met).toDF("key", "class")
 
 
 def _linked(documents: DataFrame, id: str, text: str, keep: list[str], block_sets: int, block_grams: int):
@@ -492,31 +477,35 @@ def _linked(documents: DataFrame, id: str, text: str, keep: list[str], block_set
                  .select("row.out.*", "n_shingles", "id", "key", F.monotonically_increasing_id().alias("uid")))
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 << 20))
-    classes = components(_meetings(_blocks(documents, text, buckets))).toDF("key", "class")
+    texts = documents.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
+    classes = stage(components(_meetings(_blocks(texts, _text_parts, buckets), buckets)).toDF("key", "class"))
 
-    one = rows.where("id IS NOT NULL").groupBy("id").agg(
+    # only what meets another set is shuffled: identities first, then one text for each of them
+    one = narrowed(rows.where("id IS NOT NULL"), classes, "key").groupBy("id").agg(
         F.min("content").alias("content"), F.first("n_shingles").alias("n"), F.first("key").alias("key"))
     blocks = F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_grams)).cast("int").alias("blocks")
-    members = stage(classes.join(one, "key").select("id", "content", "n", "class"))
+    members = stage(classes.join(one, "key").select("id", "key", "content", "n", "class"))
     members = stage(members.join(members.groupBy("class").agg(blocks), "class"))
-    distinct = documents.select(F.unhex(F.md5(F.col(f"`{text}`"))).alias("content"), F.col(f"`{text}`").alias("text"))
-    distinct = distinct.groupBy("content").agg(F.first("text").alias("text"))
+    held = documents.select(F.unhex(F.md5(F.col(f"`{text}`"))).alias("content"), F.col(f"`{text}`").alias("text"))
+    distinct = narrowed(held, members, "content").groupBy("content").agg(F.first("text").alias("text"))
     wide = (F.col("blocks") > 1).alias("wide")
-    sets = stage(_grams(distinct.join(members.select("content", "id", wide), "content").select("id", "wide", "text")))
+    sets = stage(_grams(distinct.join(members.select("content", "id", "class", wide), "content")
+                        .select("id", "class", "wide", "text")))
 
-    large, small = members.where("blocks > 1"), members.where("blocks = 1").select("id", F.hex("class").alias("class"), "blocks")
-    assigned = small
+    grouped = sets.where("NOT wide").select(F.hex("class").alias("task"), "id", "grams")
+    large = members.where("blocks > 1")
     if not large.isEmpty():
-        split = stage(large.select("id", "n").join(_refine(large.select("id", "n", "class"), sets.where("wide"), buckets), "id"))
-        assigned = small.unionByName(split.join(split.groupBy("class").agg(blocks), "class").select("id", "class", "blocks"))
-    # a class of more blocks goes to one task per pair of blocks
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    other = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
-    dealt = (assigned.withColumn("block", block)
-             .withColumn("other", F.explode(F.coalesce(other, F.array(F.lit(0)))))
-             .select("id", F.struct("class", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("key")))
-    task = F.concat_ws(":", "key.class", "key.i", "key.j")
-    links = _link_groups(dealt.join(sets, "id").select(task.alias("task"), "id", "grams"))
+        split = stage(large.select("id", "key", "n").join(_refine(sets.where("wide"), buckets), "key"))
+        split = stage(split.join(split.groupBy("class").agg(blocks), "class").select("id", "class", "blocks"))
+        # a class of more blocks goes to one task per pair of blocks
+        block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        other = F.when(F.col("blocks") > 1, F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("block")))
+        dealt = (split.withColumn("block", block)
+                 .withColumn("other", F.explode(F.coalesce(other, F.array(F.lit(0)))))
+                 .select("id", F.concat_ws(":", F.hex("class"), F.least("block", "other"), F.greatest("block", "other")).alias("task")))
+        again = narrowed(sets.where("wide").select("id", "grams"), split, "id")
+        grouped = grouped.unionByName(dealt.join(again, "id").select("task", "id", "grams"))
+    links = _link_groups(grouped)
     return rows, components(links)
 
 
@@ -542,5 +531,5 @@ def first_of_components(documents: DataFrame, id: str = "doc_id", text: str = "t
     held = rows.where("id IS NOT NULL").select("id", F.struct(F.col("doc").isNull(), "doc", "uid").alias("first"))
     held = stage(held.join(linked, "id", "left").select("first", F.coalesce("root", "id").alias("component")))
     kept = held.groupBy("component").agg(F.min("first").alias("kept"), F.count("*").alias("n")).where("n > 1")
-    gone = held.join(kept, "component").where("first <> kept").select("first.uid")
-    return rows.join(gone, "uid", "left_anti").select("row.*")
+    gone = stage(held.join(kept, "component").where("first <> kept").select("first.uid"))
+    return without(rows.select("uid", "row"), gone, "uid").select("row.*")
