@@ -35,7 +35,7 @@ from pyspark.sql.types import BinaryType, LongType, StructType
 from cohortlens.llm.arrays import SHARD_BYTES, SPACED, Words, map_texts, mix, ranges, slices
 from cohortlens.llm.bits import narrowed, without
 from cohortlens.llm.components import components
-from cohortlens.session import stage
+from cohortlens.session import stage, unstage
 
 N = 4
 NUMERATOR, DENOMINATOR = 85, 100
@@ -506,7 +506,10 @@ def _linked(documents: DataFrame, id: str, text: str, keep: list[str], block_set
         again = narrowed(sets.where("wide").select("id", "grams"), split, "id")
         grouped = grouped.unionByName(dealt.join(again, "id").select("task", "id", "grams"))
     links = _link_groups(grouped)
-    return rows, components(links)
+    linked = components(links)  # reads tables of its own
+    for table in (sets, members, classes):
+        unstage(table)
+    return rows, linked
 
 
 def join_sets(documents: DataFrame, id: str = "doc_id", text: str = "text", keep: list[str] | None = None,
