@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortlens.llm.arrays import lists
+from cohortlens.llm.bits import flagged, narrowed
 from cohortlens.session import stage, stage_dir
 
 LEDGER = ("blob binary, rules array<string>, "
@@ -103,21 +104,29 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _once(contents: DataFrame) -> DataFrame:
+    """One row of each ``blob``. Only digests are shuffled, and the texts of those that occur again."""
+    again = stage(contents.groupBy("blob").count().where("count > 1").select("blob"))
+    told = flagged(contents, again, "blob", "again")
+    shared = told.where("again").groupBy("blob").agg(F.first("text").alias("text"))
+    return told.where("NOT again").select("blob", "text").unionByName(shared)
+
+
 def update_ledger(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Scan what the ledger at ``path`` lacks, append it, and return the ledger."""
     spark = versions.sparkSession
     keys = F.array(*(F.lit(r.key) for r in rules))
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    blobs = (versions.select(F.unhex(F.sha2(value, 256)).alias("blob"), value.alias("text"))
-             .groupBy("blob").agg(F.first("text").alias("text")))
+    contents = versions.select(F.unhex(F.sha2(value, 256)).alias("blob"), value.alias("text"))
     known = read_ledger(spark, path)
     if known is None:
-        todo = blobs.withColumn("todo", keys)
+        todo = _once(contents).withColumn("todo", keys)
     else:
         seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        todo = (blobs.join(seen, "blob", "left")
-                .withColumn("todo", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))))
-                .where(F.size("todo") > 0))
+        unseen = stage(contents.select("blob").distinct().join(seen, "blob", "left")
+                       .select("blob", F.array_except(keys, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo"))
+                       .where(F.size("todo") > 0))
+        todo = _once(narrowed(contents, unseen, "blob")).join(unseen, "blob")
     scan_blobs(todo, rules).write.mode("append").parquet(path)
     return read_ledger(spark, path)
 
@@ -141,7 +150,11 @@ def scan_versions(versions: DataFrame, path: str, rules: tuple[Rule, ...] = RULE
     blob = F.unhex(F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")), 256))
     rows = versions.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), blob.alias("blob"))
     none = F.array().cast("array<struct<start:int,kind:int,rule:string,stop:int>>")
-    return rows.join(stage(hits), "blob", "left").select("row", F.coalesce("findings", none).alias("findings"))
+    # rows whose content has no finding stay where they are
+    hits = stage(hits)
+    told = flagged(rows, hits, "blob", "hit")
+    clear = told.where("NOT hit").select("row", none.alias("findings"))
+    return clear.unionByName(told.where("hit").join(hits, "blob", "left").select("row", F.coalesce("findings", none).alias("findings")))
 
 
 def new_ledger(spark: SparkSession) -> str:
