@@ -45,17 +45,18 @@ def stage_dir(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table under the shared folder and read it back.
 
     Used where one result feeds several jobs (cuts and ranks, fits per fold, boosting
     rounds): each job then scans a columnar table instead of running the whole plan again,
-    and a lost executor costs a re-read, not a re-computation.
+    and a lost executor costs a re-read, not a re-computation. Tables that hold texts are
+    smaller with ``zstd``.
     """
     path = f"{stage_dir(df.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
     for paths in _COLLECTORS:
         paths.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
