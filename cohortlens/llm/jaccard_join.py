@@ -474,7 +474,8 @@ def _linked(documents: DataFrame, id: str, text: str, keep: list[str], block_set
         F.struct(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{id}`").alias("doc"),
                  F.unhex(F.md5(F.col(f"`{text}`"))).alias("content")).alias("out"), F.col(f"`{text}`").alias("text"))
     rows = stage(map_texts(packed, "text", fields, lambda: _identify, keep=["out"])
-                 .select("row.out.*", "n_shingles", "id", "key", F.monotonically_increasing_id().alias("uid")))
+                 .select("row.out.*", "n_shingles", "id", "key", F.monotonically_increasing_id().alias("uid")),
+                 compression="zstd")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 << 20))
     texts = documents.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
