@@ -12,6 +12,9 @@ counted ahead, and the splits kept are exactly those of best-first growth.
 Gradients and hessians are rounded to multiples of a step so small that all sums are exact in double precision. A
 tree therefore does not depend on partitions, task order or repeated tasks.
 
+A pass over few rows is all scheduling. Up to ``ONE_TASK_BYTES`` of binned rows the whole fit is therefore one task that
+holds them, asks itself the same questions and returns the trees; since sums are exact, they are the same trees.
+
 With ``patience``, a share of the rows, by a hash of their key, is kept out of the histograms; their loss is summed in
 the first pass of each round, and rounds behind the best one are dropped once the loss has not improved for so long.
 """
@@ -41,6 +44,8 @@ PASS_CELLS = 1 << 21
 VALIDATION_SHARE = 0.1
 #: Partial sums (partitions x nodes x features x bins) that the driver adds up itself.
 DIRECT_CELLS = 1 << 18
+#: Binned rows of up to this size are boosted by one task, more by a pass over all tasks for each set of nodes.
+ONE_TASK_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -191,13 +196,18 @@ class _Rows:
     """The binned rows in blocks, staged: ``x`` (a byte or two per feature), ``y``, ``w``, ``u`` (hash of the key), ``held``
     (out of the histograms) and ``m`` (log odds by the trees up to the last staging), each the bytes of an array."""
 
-    table: DataFrame
-    blocks: RDD
+    table: DataFrame | None
+    blocks: RDD | None
     cuts: list[np.ndarray]
     kind: type
     missing: int  # the bin of missing values, beyond all others
     step: float
     base: float
+    n_rows: int
+
+    @property
+    def size(self) -> int:
+        return self.n_rows * (len(self.cuts) * np.dtype(self.kind).itemsize + sum(np.dtype(k).itemsize for k in _KINDS))
 
     def arrays(self, block) -> tuple[np.ndarray, ...]:
         return (np.frombuffer(block[0], self.kind).reshape(-1, len(self.cuts)), *(np.frombuffer(b, k) for b, k in zip(block[1:], _KINDS)))
@@ -242,7 +252,7 @@ def _bin_rows(train: DataFrame, features: Sequence[str], label: str, key: str, w
     table = stage(rows.mapInArrow(run, _BLOCKS))
     # |gradient| and hessian are at most the weight: all sums stay below 2 ** 52 steps
     step = 2.0 ** (math.ceil(math.log2(total)) - 51)
-    return _Rows(table, _kept(table), cuts, kind, missing, step, base)
+    return _Rows(table, None, cuts, kind, missing, step, base, n)
 
 
 def _margin(x: np.ndarray, start: np.ndarray, trees: Sequence[Tree], missing: int) -> np.ndarray:
@@ -252,41 +262,92 @@ def _margin(x: np.ndarray, start: np.ndarray, trees: Sequence[Tree], missing: in
     return total
 
 
-def _sums(rows: _Rows, recent: Sequence[Tree], growing: Tree, slots: Mapping[int, int], columns: np.ndarray,
-          seed: int, row_share: float, loss: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient, hessian and rows by (slot, feature, bin); loss, weight and number of the held-out rows."""
-    arrays, missing, step, n_slots = replace(rows, table=None, blocks=None).arrays, rows.missing, rows.step, len(slots)
-    slot_of = np.full(len(growing.value), -1)
-    slot_of[list(slots)] = list(slots.values())
-    bins, limit = missing + 1, int(row_share * 2**31)
-    cells = n_slots * bins
-
-    def run(blocks):
-        total, held_loss = np.zeros((len(columns), 3, cells)), np.zeros(3)
-        for block in blocks:
-            x, y, w, u, held, start = arrays(block)
-            p = 1 / (1 + np.exp(-_margin(x, start, recent, missing)))
-            if loss and held.any():
-                each = -w * np.where(y > 0.5, np.log(np.maximum(p, 1e-15)), np.log(np.maximum(1 - p, 1e-15)))
-                held_loss += [np.rint(each[held] / (64 * step)).sum(), np.rint(w[held] / step).sum(), held.sum()]
-            drawn = ~held
-            if limit < 2**31:  # the low half of the hash, scattered anew each round
-                drawn &= ((u ^ (seed * 0x9E3779B1)) * 0x5851F42D & 0xFFFFFFFF) >> 1 < limit
-            slot = np.where(drawn, slot_of[growing.leaf(x, growing.low, x == missing)], -1)
-            keep = np.flatnonzero(slot >= 0)
-            g, h = np.rint(w[keep] * (p[keep] - y[keep]) / step), np.rint(w[keep] * p[keep] * (1 - p[keep]) / step)
-            for j, f in enumerate(columns):
-                cell = slot[keep] * bins + x[keep, f]
-                total[j] += [np.bincount(cell, v, cells) for v in (g, h)] + [np.bincount(cell, minlength=cells)]
-        yield np.append(total.ravel(), held_loss)
-
-    parts = rows.blocks.mapPartitions(run)
-    # sums are exact: in which order they are added up makes no difference
-    if rows.blocks.getNumPartitions() * len(columns) * cells > DIRECT_CELLS:
-        found = parts.treeReduce(np.add)
-    else:
-        found = sum(parts.collect())
-    return found[:-3].reshape(len(columns), 3, n_slots, bins).transpose(1, 2, 0, 3), found[-3:]
+@dataclass(frozen=True)
+class _Question:
+    """What to count: gradient, hessian and rows by (column, bin) in each of ``nodes`` of the tree that grows; with ``loss``
+    also loss, weight and number of the held-out rows."""
+
+    growing: Tree
+    nodes: tuple[int, ...]
+    columns: np.ndarray
+    seed: int
+    row_share: float
+    loss: bool
+
+    def answer(self, rows: _Rows, arrays: Sequence[np.ndarray], p: np.ndarray) -> np.ndarray:
+        """The numbers for one block, flat, those of the held-out rows last."""
+        (x, y, w, u, held, _), step, bins = arrays, rows.step, rows.missing + 1
+        cells, limit, held_loss = len(self.nodes) * bins, int(self.row_share * 2**31), np.zeros(3)
+        if self.loss and held.any():
+            each = -w * np.where(y > 0.5, np.log(np.maximum(p, 1e-15)), np.log(np.maximum(1 - p, 1e-15)))
+            held_loss += [np.rint(each[held] / (64 * step)).sum(), np.rint(w[held] / step).sum(), held.sum()]
+        drawn = ~held
+        if limit < 2**31:  # the low half of the hash, scattered anew each round
+            drawn &= ((u ^ (self.seed * 0x9E3779B1)) * 0x5851F42D & 0xFFFFFFFF) >> 1 < limit
+        slot_of = np.full(len(self.growing.value), -1)
+        slot_of[list(self.nodes)] = np.arange(len(self.nodes))
+        slot = np.where(drawn, slot_of[self.growing.leaf(x, self.growing.low, x == rows.missing)], -1)
+        keep = np.flatnonzero(slot >= 0)
+        g, h = np.rint(w[keep] * (p[keep] - y[keep]) / step), np.rint(w[keep] * p[keep] * (1 - p[keep]) / step)
+        total = np.zeros((len(self.columns), 3, cells))
+        for j, f in enumerate(self.columns):
+            cell = slot[keep] * bins + x[keep, f]
+            total[j] = [*(np.bincount(cell, v, cells) for v in (g, h)), np.bincount(cell, minlength=cells)]
+        return np.append(total.ravel(), held_loss)
+
+    def shaped(self, rows: _Rows, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums by (slot, feature, bin), and those of the held-out rows."""
+        return found[:-3].reshape(len(self.columns), 3, len(self.nodes), rows.missing + 1).transpose(1, 2, 0, 3), found[-3:]
+
+
+def _probability(margin: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-margin))
+
+
+class _Passes:
+    """Questions answered by a pass over the table each; trees since the last staging travel with the pass."""
+
+    def __init__(self, rows: _Rows):
+        self.rows, self.recent = rows, []
+        rows.blocks = _kept(rows.table)
+
+    def ask(self, question: _Question) -> tuple[np.ndarray, np.ndarray]:
+        rows, recent = replace(self.rows, table=None, blocks=None), self.recent
+
+        def run(blocks):
+            total = None
+            for block in blocks:
+                arrays = rows.arrays(block)
+                part = question.answer(rows, arrays, _probability(_margin(arrays[0], arrays[-1], recent, rows.missing)))
+                total = part if total is None else total + part
+            return [] if total is None else [total]
+
+        parts, cells = self.rows.blocks.mapPartitions(run), len(question.columns) * len(question.nodes) * (rows.missing + 1)
+        # sums are exact: in which order they are added up makes no difference
+        spread = self.rows.blocks.getNumPartitions() * cells > DIRECT_CELLS
+        return question.shaped(rows, parts.treeReduce(np.add) if spread else sum(parts.collect()))
+
+    def add(self, tree: Tree, last: bool) -> None:
+        self.recent = [*self.recent, tree]
+        if len(self.recent) == STAGE_EVERY and not last:
+            _write_margins(self.rows, self.recent)
+            self.recent = []
+
+
+class _Held:
+    """Questions answered from rows that this task holds."""
+
+    def __init__(self, rows: _Rows, blocks):
+        self.rows = rows
+        self.arrays = [np.concatenate(parts) for parts in zip(*map(rows.arrays, blocks))]
+        self.p = _probability(self.arrays[-1])
+
+    def ask(self, question: _Question) -> tuple[np.ndarray, np.ndarray]:
+        return question.shaped(self.rows, question.answer(self.rows, self.arrays, self.p))
+
+    def add(self, tree: Tree, last: bool) -> None:
+        self.arrays[-1] = _margin(self.arrays[0], self.arrays[-1], [tree], self.rows.missing)
+        self.p = _probability(self.arrays[-1])
 
 
 # --- splits -------------------------------------------------------------------------------
@@ -428,23 +489,36 @@ def fit_boosted(train: DataFrame, features: Sequence[str], label: str = "label",
     found = dict(zip(missing_cuts, quantile_cuts(train, missing_cuts, growth.bins))) if missing_cuts else {}
     table = [np.asarray(found[f] if f in found else sorted(set(cuts[f])), float) for f in features]
     rows = _bin_rows(train, features, label, key, weight, table, growth)
+    if rows.size <= ONE_TASK_BYTES:
+        held = replace(rows, table=None)
+        blocks = rows.table.rdd.map(tuple).coalesce(1)
+        trees, losses = blocks.mapPartitions(lambda some: [_boost(held, growth, _Held(held, some))]).collect()[0]
+    else:
+        trees, losses = _boost(rows, growth, _Passes(rows))
+        rows.blocks.unpersist()
+    unstage(rows.table)
+    return BoostedTrees(tuple(trees), tuple(features), rows.base, tuple(losses))
+
+
+def _boost(rows: _Rows, growth: Growth, source: _Passes | _Held) -> tuple[list[Tree], list[float]]:
+    """The trees that stay, and the losses of the held-out rows."""
     # the regularisers are stated for sums, so they are counted in steps
     scaled = replace(growth, reg_lambda=growth.reg_lambda / rows.step, reg_alpha=growth.reg_alpha / rows.step,
                      min_gain=growth.min_gain / rows.step, min_hessian=growth.min_hessian / rows.step)
     trees: list[Tree] = []
-    recent: list[Tree] = []
     losses: list[float] = []
     best = 0
 
-    def worse() -> bool:
+    def worse(held: np.ndarray) -> bool:
         """After a new loss: whether the best round lies ``patience`` rounds behind."""
         nonlocal best
+        losses.append(64 * held[0] / held[1] if held[1] else 0.0)
         if losses[-1] < losses[best] - growth.tolerance or len(losses) == 1:
             best = len(losses) - 1
         return len(losses) - 1 - best >= growth.patience
 
     for round_no in range(growth.rounds):
-        columns = _features_of(round_no, len(features), growth)
+        columns = _features_of(round_no, len(rows.cuts), growth)
         grower = _Grower(rows, scaled, columns)
         per_pass = max(1, PASS_CELLS // (len(columns) * (rows.missing + 1)))
         stopped = False
@@ -452,11 +526,10 @@ def fit_boosted(train: DataFrame, features: Sequence[str], label: str = "label",
             for i in range(0, len(asked), per_pass) if growth.shape != "symmetric" else [0]:
                 part = asked[i:i + per_pass] if growth.shape != "symmetric" else asked
                 loss = growth.patience is not None and part[0] == 0
-                sums, held = _sums(rows, recent, _unscaled(grower, growth).tree(False), {node: s for s, node in enumerate(part)}, columns,
-                                   growth.seed + round_no, growth.row_share, loss)
+                sums, held = source.ask(_Question(_unscaled(grower, growth).tree(False), tuple(part), columns,
+                                                  growth.seed + round_no, growth.row_share, loss))
                 if loss:
-                    losses.append(64 * held[0] / held[1] if held[1] else 0.0)
-                    stopped = worse()
+                    stopped = worse(held)
                 grower.take(part, sums)
             if stopped:
                 break
@@ -464,23 +537,14 @@ def fit_boosted(train: DataFrame, features: Sequence[str], label: str = "label",
             break
         tree = _unscaled(grower, growth).tree()
         trees.append(tree)
-        recent.append(tree)
         if tree.depth == 0 and growth.row_share >= 1 and growth.feature_share >= 1:
             break  # no split is worth it, nor will it be in later rounds
-        if len(recent) == STAGE_EVERY and round_no + 1 < growth.rounds:
-            _write_margins(rows, recent)
-            recent = []
+        source.add(tree, round_no + 1 == growth.rounds)
     else:
         if growth.patience is not None:
             empty = _Grower(rows, scaled, np.arange(1))
-            held = _sums(rows, recent, _unscaled(empty, growth).tree(False), {0: 0}, np.arange(1), growth.seed, growth.row_share, True)[1]
-            losses.append(64 * held[0] / held[1] if held[1] else 0.0)
-            worse()
-    rows.blocks.unpersist()
-    unstage(rows.table)
-    if growth.patience is not None:
-        trees = trees[:best]
-    return BoostedTrees(tuple(trees), tuple(features), rows.base, tuple(losses))
+            worse(source.ask(_Question(_unscaled(empty, growth).tree(False), (0,), np.arange(1), growth.seed, growth.row_share, True))[1])
+    return trees[:best] if growth.patience is not None else trees, losses
 
 
 def _unscaled(grower: _Grower, growth: Growth) -> _Grower:

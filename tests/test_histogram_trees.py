@@ -13,6 +13,12 @@ from cohortlens.operators.learners import growth_of, make_learner
 FEATURES = ["a", "b", "c"]
 
 
+@pytest.fixture(autouse=True)
+def by_passes(monkeypatch):
+    """Few rows as they are, the tests hold the passes that a large table takes; one compares both ways."""
+    monkeypatch.setattr(ht, "ONE_TASK_BYTES", 0)
+
+
 def soft(g, alpha):
     return math.copysign(max(abs(g) - alpha, 0.0), g)
 
@@ -131,6 +137,19 @@ def test_partitions_passes_and_stagings_change_nothing(frame, monkeypatch):
     assert not same(model, fit_boosted(df, FEATURES, growth=Growth(rounds=6, max_depth=3, row_share=0.7, feature_share=0.7, patience=50, seed=1)))
 
 
+@pytest.mark.parametrize("shape", ["level", "leaf", "symmetric"])
+@pytest.mark.parametrize("patience", [None, 3])
+def test_one_task_grows_the_same_trees(frame, monkeypatch, shape, patience):
+    df = frame[0]
+    growth = Growth(rounds=12, max_depth=5, max_leaves=9, shape=shape, learning_rate=0.6, row_share=0.8, feature_share=0.7, patience=patience)
+    monkeypatch.setattr(ht, "STAGE_EVERY", 5)
+    model = fit_boosted(df, FEATURES, growth=growth, weight="w")
+    monkeypatch.setattr(ht, "ONE_TASK_BYTES", 1 << 20)
+    one = fit_boosted(df, FEATURES, growth=growth, weight="w")
+    assert same(model, one) and model.losses == one.losses and model.base == one.base
+    assert (len(one.losses) > 0) == (patience is not None) and len(one.trees) > 0
+
+
 @pytest.mark.parametrize("shape", ["level", "leaf", "symmetric"])
 def test_patience_keeps_the_best_round(frame, shape):
     df = frame[0]
