@@ -6,6 +6,11 @@ that it contains to ``CONTAINMENT`` have a known least similarity, and the numbe
 they collide in one with a probability of ``CERTAINTY`` or more. Templates of up to four shingles must be
 contained whole: there the window is as long as the template and one hash decides.
 
+Every place is returned: of the windows that hold a template those with the most of its shingles come first, each is cut
+to the shortest stretch that holds as many, and what overlaps a place already taken is the same place. Notices that differ
+by a version alone contain each other to ``CONTAINMENT``: a place found in part goes if another licence covers more than
+half of it and is found to a larger share. Templates that are found whole always stay.
+
 Defined results: NULL, empty and short texts have no windows and no match; repeated rows are scanned row by
 row; texts of any length are scanned whole; an empty table gives an empty result; columns stay in ``row``.
 """
@@ -13,6 +18,8 @@ row; texts of any length are scanned whole; an empty table gives an empty result
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from cohortlens.llm.arrays import ALNUM, Words, lists, map_texts, mix, ranges
+from cohortlens.llm.license_templates import TEMPLATES
 
 SHINGLE = 5
 #: Share of a template's shingles that a window must hold, in percent.
@@ -29,27 +37,6 @@ ROWS = 2
 #: Longest over shortest template of a class.
 SPREAD = 1.25
 
-#: Well-known notices of public licences.
-TEMPLATES = {
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0",
-                   "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-                   "compliance with the License. You may obtain a copy of the License at"],
-    "mit": ["Released under the MIT License", "Licensed under the MIT License",
-            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-            "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
-            "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-            "Software, and to permit persons to whom the Software is furnished to do so"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3",
-                "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-                "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-                "option) any later version."],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
-            "the following conditions are met"],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0"],
-    "cc-by-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-}
-
 FIELDS = StructType().add("matches", ArrayType(
     StructType().add("license", StringType()).add("template", IntegerType()).add("n_shingles", LongType())
     .add("n_found", LongType()).add("start", IntegerType()).add("stop", IntegerType())))
@@ -146,6 +133,32 @@ class Class:
                 yield window, k
 
 
+def _shortest(ids: list[int], places: list[int], count: int) -> tuple[int, int]:
+    """First and last of the shortest run of ``places``, the first such, whose ``ids`` hold ``count`` different ones."""
+    held: Counter = Counter()
+    best, left = (places[0], places[-1]), 0
+    for right, k in enumerate(ids):
+        held[k] += 1
+        while len(held) == count:
+            if places[right] - places[left] < best[1] - best[0]:
+                best = places[left], places[right]
+            held[ids[left]] -= 1
+            if not held[ids[left]]:
+                del held[ids[left]]
+            left += 1
+    return best
+
+
+def _apart(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of one template's (shingles, start, stop) those that lie apart: most shingles first, then the shortest, then the first."""
+    taken: list[tuple[int, int, int]] = []
+    for count, start, stop in sorted(found, key=lambda e: (-e[0], e[2] - e[1], e[1])):
+        k = bisect_left(taken, (start,))
+        if (k == 0 or taken[k - 1][1] <= start) and (k == len(taken) or taken[k][0] >= stop):
+            insort(taken, (start, stop, count))
+    return taken
+
+
 class Scanner:
     def __init__(self, templates: dict[str, list[str]]):
         named = [(name, text) for name, texts in templates.items() for text in texts]
@@ -179,7 +192,7 @@ class Scanner:
     def scan(self, texts: pa.Array) -> list[pa.Array]:
         value, bounds = shingles(texts)
         n_docs = len(texts)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        found: dict[tuple[int, int], set[tuple[int, int, int]]] = defaultdict(set)
         size = np.diff(bounds)
         # texts lie apart by so many empty places that no window reaches two of them
         place = np.concatenate([[0], np.cumsum(np.where(size, -(-size // self.largest) * self.largest + self.margin, 0))])
@@ -200,23 +213,40 @@ class Scanner:
                 a = first + window * c.block - int(place[d])
                 held = value[a:min(a + c.block * c.span, int(bounds[d + 1]))]
                 hit = np.flatnonzero(np.isin(held, own))
-                count = len(np.unique(held[hit]))
+                ids = np.searchsorted(own, held[hit])
+                count = len(np.unique(ids))
                 if 100 * count >= CONTAINMENT * len(own):
-                    entry = (count, -(a + int(hit[0]) - first), -(a + int(hit[-1]) - first + SHINGLE))
-                    if entry > best.get((d, template), (0, 0, 0)):
-                        best[d, template] = entry
-        rows = sorted(best.items())
+                    start, last = _shortest(ids.tolist(), hit.tolist(), count)
+                    found[d, template].add((count, a + start - first, a + last - first + SHINGLE))
+        places = defaultdict(list)
+        for (d, template), some in found.items():
+            places[d] += [(start, stop, template, count) for start, stop, count in _apart(some)]
+        rows = [(d, *place) for d in sorted(places) for place in self._told_apart(sorted(places[d]))]
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        columns = [[self.names[t] for (_, t), _ in rows], [t for (_, t), _ in rows], [len(self.sets[t]) for (_, t), _ in rows],
-                   [e[0] for _, e in rows], [-e[1] for _, e in rows], [-e[2] for _, e in rows]]
+        columns = [[self.names[t] for _, _, _, t, _ in rows], [t for _, _, _, t, _ in rows], [len(self.sets[t]) for _, _, _, t, _ in rows],
+                   [n for *_, n in rows], [start for _, start, *_ in rows], [stop for _, _, stop, *_ in rows]]
         struct = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], FIELDS[0].dataType.elementType.names)
-        return [lists(struct, np.bincount(np.array([d for (d, _), _ in rows], np.int64), minlength=n_docs))]
+        return [lists(struct, np.bincount(np.array([d for d, *_ in rows], np.int64), minlength=n_docs))]
+
+    def _told_apart(self, places: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Without those that another licence covers for more than half and is found to a larger share."""
+        lost, open_ = set(), []
+        for at in places:
+            open_ = [o for o in open_ if o[1] > at[0]]
+            for other in open_:
+                shared = min(at[1], other[1]) - at[0]
+                for a, b in ((at, other), (other, at)):
+                    if (self.names[a[2]] != self.names[b[2]] and 2 * shared > a[1] - a[0]
+                            and a[3] * len(self.sets[b[2]]) < b[3] * len(self.sets[a[2]])):
+                        lost.add(a)
+            open_.append(at)
+        return [at for at in places if at not in lost]
 
 
 def scan_licenses(documents: DataFrame, templates: dict[str, list[str]] | None = None, text: str = "text",
                   keep: list[str] | None = None) -> DataFrame:
-    """``row`` (the ``keep`` columns) and ``matches``: for each template found its number, how many of its
-    shingles the best window holds and the words from the first to behind the last of them. ``templates``
-    (name to notices, a parameter of bounded size) travel with the task."""
+    """``row`` (the ``keep`` columns) and ``matches``: for each place of a template its licence and number, how many of its
+    shingles were found there and the words from the first to behind the last of them, by start. ``templates`` (name to
+    notices, a parameter of bounded size) travel with the task."""
     held = TEMPLATES if templates is None else templates
     return map_texts(documents, text, FIELDS, lambda: Scanner(held).scan, keep)
