@@ -266,6 +266,24 @@ def test_secrets_equal_brute_force(spark, docs, empty):
     assert scan_versions(empty, new_ledger(spark)).isEmpty()
 
 
+def test_secrets_query_counts_each_base_kind(spark, tmp_path):
+    import hashlib
+
+    from cohortlens.llm.queries import op9_secrets
+    unit = {"assign": "token=abcdef12 ", "access": "AKIA" + "Q" * 16 + " ", "hex": "0123456789abcdef" * 2 + " "}
+    texts = [None, "", "none", *("".join(unit[k] for k in kinds) for kinds in (
+        ["access"], ["hex"], ["hex", "access", "assign"], ["assign"] * 3, ["hex"] * 4 + ["access"] * 2, ["assign", "hex", "hex"]))]
+    rows = [(i, t) for i, t in enumerate(texts * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r for r in op9_secrets(spark, str(tmp_path)).collect()}
+    assert len(found) == len(rows)
+    for i, text in rows:
+        spans = brute_spans(text)
+        want = [spans.count(f"{kind}:") for kind in ("assign", "access", "hex")]
+        assert [found[i][c] for c in ("n_assign", "n_access", "n_hex")] == want
+        assert found[i]["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+
+
 def test_ledger_scans_only_what_is_new(spark, docs):
     path = new_ledger(spark)
     scan_versions(docs, path).collect()
