@@ -4,8 +4,11 @@ A document's set holds the 64-bit hashes of its distinct word n-grams. Equal set
 when their Jaccard similarity reaches ``NUMERATOR / DENOMINATOR`` (exact, in whole numbers).
 
 1. Candidates: linked sets differ in a bounded number of n-grams. Cut into more parts (ranges of hashes)
-   than that, they agree in at least one part; sets that agree in a part meet by its hash. Sets that
-   meet, directly or over others, form a class; nothing outside a class can link with it.
+   than that, they agree in at least one part; sets that agree in a part meet by its hash. All that meet by one
+   hash are compared by sketches, parities of about a bit per n-gram: those of linked sets differ in no more bits
+   than the sets in n-grams. Sets whose sketches allow a link, directly or over others, form a class; nothing
+   outside a class can link with it. Without the sketches chance meetings would join ever more sets into one class
+   as a table grows.
 2. The sets of classes beyond one task's size order their n-grams by how many n-grams fall into the same
    range of hashes, rarest first: one order for all, from counters of a fixed size. Linked sets share one of
    their first few in this order, so these classes are split by them: a passage that many otherwise different
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from cohortlens.llm.arrays import SHARD_BYTES, SPACED, Words, map_texts, mix, ranges, slices
+from cohortlens.llm.arrays import SHARD_BYTES, SPACED, Words, lists, map_texts, mix, ranges, slices
 from cohortlens.llm.bits import narrowed, without
 from cohortlens.llm.components import components
 from cohortlens.session import stage, unstage
@@ -87,12 +90,30 @@ def _keys(ids: np.ndarray) -> np.ndarray:
     return ids.view(np.int64)[::2]
 
 
+#: Least bits of a sketch.
+SKETCH_BITS = 128
+
+
+def sketches(grams: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set, of each place of its sketch (low bits of a hash) whether an odd number of n-grams falls there. A sketch
+    has a power of two of places, at least one for each n-gram; folded in two it is the set's sketch of half the places."""
+    size = np.diff(bounds)
+    bits = np.maximum(SKETCH_BITS, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    own = np.repeat(np.arange(len(size)), size)
+    at = (grams & np.uint64(2**32 - 1)).astype(np.int64) & (bits[own] - 1)
+    odd = np.packbits((np.bincount(at + begin[own], minlength=begin[-1]) & 1).astype(bool), bitorder="little").tobytes()
+    return [odd[a // 8:b // 8] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+
+
 def _identify(texts: pa.Array) -> list[pa.Array]:
     grams, bounds = gram_sets(texts)
     size = np.diff(bounds)
     ids = set_ids(grams, bounds)
-    return [pa.array(size, pa.int64()), pa.array([x.tobytes() if n else None for x, n in zip(ids, size.tolist())], pa.binary()),
-            pa.array(_keys(ids), pa.int64())]
+    full = size.tolist()
+    return [pa.array(size, pa.int64()), pa.array([x.tobytes() if n else None for x, n in zip(ids, full)], pa.binary()),
+            pa.array(_keys(ids), pa.int64()),
+            pa.array([x if n else None for x, n in zip(sketches(grams, bounds), full)], pa.binary())]
 
 
 # ---- candidates ---------------------------------------------------------------------------------------
@@ -170,9 +191,9 @@ def _text_parts(batch: pa.RecordBatch):
     return np.concatenate(ids), np.concatenate(who), np.concatenate(keys)
 
 
-def _blocks(rows: DataFrame, signed, buckets: int) -> DataFrame:
-    """Hashes that ``signed`` finds in each batch, in blocks by bucket (``ids``: keys of the sets). Sets of one batch that share a
-    hash are paired with the first of them at once (a row without keys), which alone is sent on."""
+def _blocks(rows: DataFrame, signed, buckets: int, whole: bool = False) -> DataFrame:
+    """Hashes that ``signed`` finds in each batch, in blocks by bucket (``ids``: keys of the sets). Unless ``whole``, sets of one
+    batch that share a hash are paired with the first of them at once (a row without keys), which alone is sent on."""
     names = [x.split()[0] for x in _BLOCKS.split(", ")]
 
     def run(batches):
@@ -184,11 +205,12 @@ def _blocks(rows: DataFrame, signed, buckets: int) -> DataFrame:
             first = np.zeros(len(ids), bool)
             first[own] = True
             who, keys = who[first[who]], keys[first[who]]
-            keys, who, head, pairs = _stars(keys, who, ids)
             out = []
-            if len(pairs):
-                out.append((int(pairs[0, 0]) % buckets, None, None, ids[pairs.reshape(-1)].tobytes()))
-            keys, who = keys[head], who[head]
+            if not whole:
+                keys, who, head, pairs = _stars(keys, who, ids)
+                if len(pairs):
+                    out.append((int(pairs[0, 0]) % buckets, None, None, ids[pairs.reshape(-1)].tobytes()))
+                keys, who = keys[head], who[head]
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.append(True, bucket[by][1:] != bucket[by][:-1])[:len(by)])
@@ -232,6 +254,106 @@ def _meetings(blocks: DataFrame, buckets: int) -> DataFrame:
     return blocks.repartition(buckets, "bucket").mapInArrow(run, "a long, b long").distinct()
 
 
+def _groups(blocks: DataFrame, buckets: int) -> DataFrame:
+    """``members`` (keys of sets) that have a hash in common, equal groups once, with their identity ``group``."""
+    def run(batches):
+        keys, who, ids, n = [], [], [], 0
+        for batch in batches:
+            for _, key, mine, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                own = np.frombuffer(own, np.int64)
+                keys.append(np.frombuffer(key, np.uint64))
+                who.append(np.frombuffer(mine, _INDEX[len(own) > 65535]).astype(np.int64) + n)
+                ids.append(own)
+                n += len(own)
+        if not keys:
+            return
+        ids, same = np.unique(np.concatenate(ids), return_inverse=True)
+        keys, who = np.concatenate(keys), same[np.concatenate(who)]
+        by = np.lexsort((who, keys))
+        keys, who = keys[by], who[by]
+        fresh = np.append(True, (keys[1:] != keys[:-1]) | (who[1:] != who[:-1]))
+        keys, who = keys[fresh], who[fresh]
+        begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(begin, len(keys)))
+        begin, size = begin[size > 1], size[size > 1]
+        if not len(begin):
+            return
+        members, bounds = ids[who[ranges(begin, size)]], np.concatenate([[0], np.cumsum(size)])
+        names, some = np.unique(set_ids(members.view(np.uint64), bounds), return_index=True)
+        for i in range(0, len(some), 1 << 12):
+            part = some[i:i + (1 << 12)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x.tobytes() for x in names[i:i + (1 << 12)]], pa.binary()),
+                 lists(pa.array(members[ranges(bounds[part], size[part])]), size[part].tolist())], ["group", "members"])
+
+    return (blocks.repartition(buckets, "bucket").mapInArrow(run, "group binary, members array<long>")
+            .groupBy("group").agg(F.first("members").alias("members")))
+
+
+def alike(sizes: np.ndarray, drawn: list[bytes | None]) -> list[tuple[int, int]]:
+    """For sets whose sketches allow links over others of them, each with one set of all that hang together. A set without
+    a sketch may link with all."""
+    n, out = len(sizes), []
+    places = np.array([8 * len(x) if x is not None else 0 for x in drawn])
+    words: dict[int, np.ndarray] = {}  # by number of places, a row for each set; sets with fewer places have none
+    for b in np.unique(places[places > 0]).tolist():
+        words[b] = np.zeros((n, b // 64), np.uint64)
+    for k, x in enumerate(drawn):
+        if x is None:
+            continue
+        row, b = np.frombuffer(x, np.uint64), int(places[k])
+        while True:
+            if b in words:
+                words[b][k] = row
+            if b == SKETCH_BITS:
+                break
+            row, b = row[:len(row) // 2] ^ row[len(row) // 2:], b // 2
+    left = np.arange(n)
+    while len(left):
+        root, queue, left = int(left[0]), [int(left[0])], left[1:]
+        while queue and len(left):
+            k = queue.pop()
+            able = np.maximum(sizes[left], sizes[k]) * NUMERATOR <= np.minimum(sizes[left], sizes[k]) * DENOMINATOR
+            able |= (places[left] == 0) | (places[k] == 0)
+            far = np.zeros(len(left), np.int64)
+            common = np.minimum(places[left], places[k])
+            for b in np.unique(common[able & (common > 0)]).tolist():
+                at = np.flatnonzero(able & (common == b))
+                far[at] = np.bitwise_count(words[b][left[at]] ^ words[b][k]).sum(axis=1)
+            # sets that differ in more n-grams share too few
+            able &= far <= (sizes[left] + sizes[k]) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+            able |= (places[left] == 0) | (places[k] == 0)
+            found = left[able].tolist()
+            out.extend((x, root) for x in found)
+            queue.extend(found)
+            left = left[~able]
+    return out
+
+
+def _allowed(groups: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` that hold together what may link in each group. ``drawn``: ``key``, ``n`` and ``sketch``."""
+    def run(batches):
+        group, keys, sizes, held = None, [], [], []
+
+        def done():
+            pairs = alike(np.array(sizes), held) if len(keys) > 1 else []
+            if pairs:
+                yield _pairs(np.array(keys, np.int64)[np.array(pairs)])
+
+        for batch in batches:
+            for g, key, n, sketch in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if g != group:
+                    yield from done()
+                    group, keys, sizes, held = g, [], [], []
+                keys.append(key)
+                sizes.append(n)
+                held.append(sketch)
+        yield from done()
+
+    rows = groups.select("group", F.explode("members").alias("key")).join(drawn, "key").select("group", "key", "n", "sketch")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long").distinct()
+
+
 # ---- the trie -----------------------------------------------------------------------------------------
 
 def _least_common(a: int, b: int) -> int:
@@ -469,17 +591,23 @@ def _refine(sets: DataFrame, buckets: int) -> DataFrame:
 def _linked(documents: DataFrame, id: str, text: str, keep: list[str], block_sets: int, block_grams: int):
     """Staged rows (``row``, ``doc``, ``uid``, ``n_shingles``, ``id``), and ``id``, ``root`` of linked sets."""
     spark = documents.sparkSession
-    fields = StructType().add("n_shingles", LongType()).add("id", BinaryType()).add("key", LongType())
+    fields = StructType().add("n_shingles", LongType()).add("id", BinaryType()).add("key", LongType()).add("sketch", BinaryType())
     packed = documents.select(
         F.struct(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(f"`{id}`").alias("doc"),
                  F.unhex(F.md5(F.col(f"`{text}`"))).alias("content")).alias("out"), F.col(f"`{text}`").alias("text"))
     rows = stage(map_texts(packed, "text", fields, lambda: _identify, keep=["out"])
-                 .select("row.out.*", "n_shingles", "id", "key", F.monotonically_increasing_id().alias("uid")),
+                 .select("row.out.*", "n_shingles", "id", "key", "sketch", F.monotonically_increasing_id().alias("uid")),
                  compression="zstd")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 << 20))
     texts = documents.select(F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
-    classes = stage(components(_meetings(_blocks(texts, _text_parts, buckets), buckets)).toDF("key", "class"))
+    groups = stage(_groups(_blocks(texts, _text_parts, buckets, whole=True), buckets))
+    # should two sets share a key, it has no sketch, and meets all
+    only = F.when(F.min("sketch") == F.max("sketch"), F.min("sketch")).alias("sketch")
+    drawn = (narrowed(rows.where("id IS NOT NULL"), groups.select(F.explode("members").alias("key")), "key")
+             .groupBy("key").agg(F.min("n_shingles").alias("n"), only))
+    classes = stage(components(_allowed(groups, drawn)).toDF("key", "class"))
+    unstage(groups)
 
     # only what meets another set is shuffled: identities first, then one text for each of them
     one = narrowed(rows.where("id IS NOT NULL"), classes, "key").groupBy("id").agg(

@@ -1,5 +1,7 @@
 """The steps that narrow the Jaccard join's candidates lose no partner."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -82,3 +84,46 @@ def test_a_planted_group_is_found_whole(spark):
         assert all(got[i] == 0 for i in range(60))
         assert all(got[60 + i] == 60 + i for i in range(30))
     assert docs.select(F.col("doc_id")).count() == 90
+
+
+def test_sketches_lose_no_link_and_tell_others_apart():
+    from cohortlens.llm.jaccard_join import alike, sketches
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in (1, 2, 3, 7, 12, 40, 130, 700):
+        for _ in range(4):
+            base = rng.integers(0, 2**63, size, dtype=np.uint64)
+            for change in (0, max(1, size // 16), size // 9, size // 3):
+                new = rng.integers(0, 2**63, rng.integers(0, change + 1), dtype=np.uint64)
+                sets.append(np.unique(np.concatenate([base[:size - int(rng.integers(0, change + 1))], new])))
+    sets = [s for s in sets if len(s)]
+    bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    drawn = sketches(np.concatenate(sets), bounds)
+    assert all(8 * len(x) >= max(128, len(s)) for x, s in zip(drawn, sets))
+    root = dict(alike(np.array([len(s) for s in sets]), drawn))
+    top = [root.get(k, k) for k in range(len(sets))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            common = len(np.intersect1d(a, b))
+            if DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common):
+                assert top[i] == top[j]
+            elif not common and min(len(a), len(b)) >= 40:
+                assert top[i] != top[j]
+    # one without a sketch may link with all
+    assert {r for _, r in alike(np.array([40, 900, 3]), [drawn[0], None, drawn[1]])} == {0}
+
+
+def test_chance_meetings_do_not_join_classes(spark, monkeypatch):
+    from cohortlens.llm import jaccard_join
+    rng, held = random.Random(5), []
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    phrases = [words(8) for _ in range(20)]
+    rows = []
+    for i in range(400):  # every text has phrases of others, none is like another but for its near copy
+        text = words(14) + rng.choice(phrases) + words(14) + rng.choice(phrases)
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text + ["end"]))]
+    join = jaccard_join._link_groups
+    monkeypatch.setattr(jaccard_join, "_link_groups", lambda grouped: held.append(grouped.groupBy("task").count().collect()) or join(grouped))
+    found = join_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["row"]["doc_id"]: r["component_id"] for r in found} == {i: i // 2 * 2 for i, _ in rows}
+    assert max(r["count"] for r in held[0]) <= 4 and sum(r["count"] for r in held[0]) == len(rows)
