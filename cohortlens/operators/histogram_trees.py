@@ -12,8 +12,13 @@ counted ahead, and the splits kept are exactly those of best-first growth.
 Gradients and hessians are rounded to multiples of a step so small that all sums are exact in double precision. A
 tree therefore does not depend on partitions, task order or repeated tasks.
 
+Where the bins of all features have fewer combinations than there are rows, and no rows are drawn, rows that agree in
+bins, label, weight and being held out are one row that counts several times: no split can tell them apart, and sums
+are exact, so the trees are the same.
+
 A pass over few rows is all scheduling. Up to ``ONE_TASK_BYTES`` of binned rows the whole fit is therefore one task that
-holds them, asks itself the same questions and returns the trees; since sums are exact, they are the same trees.
+holds them, asks itself the same questions and returns the trees; since sums are exact, they are the same trees. It keeps
+the node of each row, so that a question moves rows down by the newest level only.
 
 With ``patience``, a share of the rows, by a hash of their key, is kept out of the histograms; their loss is summed in
 the first pass of each round, and rounds behind the best one are dropped once the loss has not improved for so long.
@@ -45,7 +50,7 @@ VALIDATION_SHARE = 0.1
 #: Partial sums (partitions x nodes x features x bins) that the driver adds up itself.
 DIRECT_CELLS = 1 << 18
 #: Binned rows of up to this size are boosted by one task, more by a pass over all tasks for each set of nodes.
-ONE_TASK_BYTES = 8 << 20
+ONE_TASK_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -89,8 +94,17 @@ class Tree:
     rows: np.ndarray
     depth: int
 
-    def leaf(self, x: np.ndarray, cuts: np.ndarray, missing: np.ndarray) -> np.ndarray:
-        """Node of each row of ``x``; ``cuts`` are of the same kind as ``x`` (values or bins)."""
+    def leaf(self, x: np.ndarray, cuts: np.ndarray, missing: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Node of each row of ``x``; ``cuts`` are of the same kind as ``x`` (values or bins). ``at``: nodes of this tree that
+        the rows have reached already."""
+        if at is not None:
+            at = at.copy()
+            while len(rows := np.flatnonzero(self.left[at] != at)):
+                node = at[rows]
+                f = self.feature[node]
+                left = np.where(missing[rows, f], self.missing_left[node], x[rows, f] <= cuts[node])
+                at[rows] = np.where(left, self.left[node], self.right[node])
+            return at
         at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
         for _ in range(self.depth):
             f = self.feature[at]
@@ -194,7 +208,8 @@ def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int) -> list[np.
 @dataclass
 class _Rows:
     """The binned rows in blocks, staged: ``x`` (a byte or two per feature), ``y``, ``w``, ``u`` (hash of the key), ``held``
-    (out of the histograms) and ``m`` (log odds by the trees up to the last staging), each the bytes of an array."""
+    (out of the histograms), ``n`` (how often the row counts) and ``m`` (log odds by the trees up to the last staging), each
+    the bytes of an array."""
 
     table: DataFrame | None
     blocks: RDD | None
@@ -213,8 +228,8 @@ class _Rows:
         return (np.frombuffer(block[0], self.kind).reshape(-1, len(self.cuts)), *(np.frombuffer(b, k) for b, k in zip(block[1:], _KINDS)))
 
 
-_KINDS = (np.float64, np.float64, np.int64, np.bool_, np.float64)
-_BLOCKS = StructType([StructField(c, BinaryType()) for c in ("x", "y", "w", "u", "held", "m")])
+_KINDS = (np.float64, np.float64, np.int64, np.bool_, np.int64, np.float64)
+_BLOCKS = StructType([StructField(c, BinaryType()) for c in ("x", "y", "w", "u", "held", "n", "m")])
 
 
 def _kept(table: DataFrame) -> RDD:
@@ -239,17 +254,39 @@ def _bin_rows(train: DataFrame, features: Sequence[str], label: str, key: str, w
     p = positive / total if growth.base_score is None else growth.base_score
     base = math.log(p / (1 - p))
 
+    def binned(batch):
+        x = np.empty((batch.num_rows, len(cuts)), kind)
+        for i, c in enumerate(cuts):
+            v = batch.column(i).to_numpy(zero_copy_only=False)
+            x[:, i] = np.where(np.isfinite(v), np.searchsorted(c, v, "left"), missing)
+        y, w, u = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "u"))
+        return x, y, w, u, (u >> 32) + 2**31 < share
+
+    def block(x, y, w, u, held, times):
+        arrays = (x, y, w, u, held, times, np.full(len(y), base))
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in arrays], _BLOCKS.names)
+
     def run(batches):
         for batch in batches:
-            x = np.empty((batch.num_rows, len(cuts)), kind)
-            for i, c in enumerate(cuts):
-                v = batch.column(i).to_numpy(zero_copy_only=False)
-                x[:, i] = np.where(np.isfinite(v), np.searchsorted(c, v, "left"), missing)
-            y, w, u = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "u"))
-            block = (x, y, w, u, (u >> 32) + 2**31 < share, np.full(len(x), base))
-            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in block], _BLOCKS.names)
-
-    table = stage(rows.mapInArrow(run, _BLOCKS))
+            yield block(*binned(batch), np.ones(batch.num_rows, np.int64))
+
+    def single(batches):
+        for batch in batches:
+            x, y, w, _, held = binned(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), *map(pa.array, (y, w, held))], ["x", "y", "w", "held"])
+
+    def pack(batches):
+        for batch in batches:
+            y, w, held, times = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "held", "n"))
+            yield block(np.frombuffer(b"".join(batch.column("x").to_pylist()), kind), y, w, np.zeros(len(y), np.int64), held, times)
+
+    if growth.row_share >= 1 and math.prod(len(c) + 2 for c in cuts) < n:
+        merged = (rows.mapInArrow(single, "x binary, y double, w double, held boolean")
+                  .groupBy("x", "y", "w", "held").agg(F.count(F.lit(1)).alias("n")))
+        table = stage(merged.mapInArrow(pack, _BLOCKS))
+        n = table.agg(F.sum(F.length("held"))).first()[0]
+    else:
+        table = stage(rows.mapInArrow(run, _BLOCKS))
     # |gradient| and hessian are at most the weight: all sums stay below 2 ** 52 steps
     step = 2.0 ** (math.ceil(math.log2(total)) - 51)
     return _Rows(table, None, cuts, kind, missing, step, base, n)
@@ -274,25 +311,29 @@ class _Question:
     row_share: float
     loss: bool
 
-    def answer(self, rows: _Rows, arrays: Sequence[np.ndarray], p: np.ndarray) -> np.ndarray:
-        """The numbers for one block, flat, those of the held-out rows last."""
-        (x, y, w, u, held, _), step, bins = arrays, rows.step, rows.missing + 1
+    def answer(self, rows: _Rows, arrays: Sequence[np.ndarray], p: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """The numbers for one block, flat, those of the held-out rows last. ``at``: the node of each row, if known."""
+        (x, y, w, u, held, times, _), step, bins = arrays, rows.step, rows.missing + 1
         cells, limit, held_loss = len(self.nodes) * bins, int(self.row_share * 2**31), np.zeros(3)
         if self.loss and held.any():
             each = -w * np.where(y > 0.5, np.log(np.maximum(p, 1e-15)), np.log(np.maximum(1 - p, 1e-15)))
-            held_loss += [np.rint(each[held] / (64 * step)).sum(), np.rint(w[held] / step).sum(), held.sum()]
+            often = times[held]
+            held_loss += [(np.rint(each[held] / (64 * step)) * often).sum(), (np.rint(w[held] / step) * often).sum(), often.sum()]
         drawn = ~held
         if limit < 2**31:  # the low half of the hash, scattered anew each round
             drawn &= ((u ^ (self.seed * 0x9E3779B1)) * 0x5851F42D & 0xFFFFFFFF) >> 1 < limit
         slot_of = np.full(len(self.growing.value), -1)
         slot_of[list(self.nodes)] = np.arange(len(self.nodes))
-        slot = np.where(drawn, slot_of[self.growing.leaf(x, self.growing.low, x == rows.missing)], -1)
+        if at is None:
+            at = self.growing.leaf(x, self.growing.low, x == rows.missing)
+        slot = np.where(drawn, slot_of[at], -1)
         keep = np.flatnonzero(slot >= 0)
-        g, h = np.rint(w[keep] * (p[keep] - y[keep]) / step), np.rint(w[keep] * p[keep] * (1 - p[keep]) / step)
+        often = times[keep]
+        g, h = np.rint(w[keep] * (p[keep] - y[keep]) / step) * often, np.rint(w[keep] * p[keep] * (1 - p[keep]) / step) * often
         total = np.zeros((len(self.columns), 3, cells))
         for j, f in enumerate(self.columns):
             cell = slot[keep] * bins + x[keep, f]
-            total[j] = [*(np.bincount(cell, v, cells) for v in (g, h)), np.bincount(cell, minlength=cells)]
+            total[j] = [np.bincount(cell, v, cells) for v in (g, h, often)]
         return np.append(total.ravel(), held_loss)
 
     def shaped(self, rows: _Rows, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,13 +381,20 @@ class _Held:
     def __init__(self, rows: _Rows, blocks):
         self.rows = rows
         self.arrays = [np.concatenate(parts) for parts in zip(*map(rows.arrays, blocks))]
+        self.gaps = self.arrays[0] == rows.missing
         self.p = _probability(self.arrays[-1])
+        self.at: np.ndarray | None = None
 
     def ask(self, question: _Question) -> tuple[np.ndarray, np.ndarray]:
-        return question.shaped(self.rows, question.answer(self.rows, self.arrays, self.p))
+        tree = question.growing
+        if len(tree.value) == 1 or self.at is None:  # a new tree; later questions of a tree only add nodes to it
+            self.at = np.zeros(len(self.p), np.int64)
+        self.at = tree.leaf(self.arrays[0], tree.low, self.gaps, self.at)
+        return question.shaped(self.rows, question.answer(self.rows, self.arrays, self.p, self.at))
 
     def add(self, tree: Tree, last: bool) -> None:
-        self.arrays[-1] = _margin(self.arrays[0], self.arrays[-1], [tree], self.rows.missing)
+        at = tree.leaf(self.arrays[0], tree.low, self.gaps, np.zeros(len(self.p), np.int64))
+        self.arrays[-1] = self.arrays[-1] + tree.value[at]
         self.p = _probability(self.arrays[-1])
 
 
@@ -563,7 +611,7 @@ def _write_margins(rows: _Rows, recent: Sequence[Tree]) -> None:
             for block in zip(*(c.to_pylist() for c in batch.columns)):
                 x, *_, start = arrays(block)
                 out.append(_margin(x, start, trees, missing).tobytes())
-            yield batch.set_column(5, "m", pa.array(out, pa.binary()))
+            yield batch.set_column(6, "m", pa.array(out, pa.binary()))
 
     table = stage(rows.table.mapInArrow(run, _BLOCKS))
     rows.blocks.unpersist()

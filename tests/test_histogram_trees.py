@@ -137,6 +137,28 @@ def test_partitions_passes_and_stagings_change_nothing(frame, monkeypatch):
     assert not same(model, fit_boosted(df, FEATURES, growth=Growth(rounds=6, max_depth=3, row_share=0.7, feature_share=0.7, patience=50, seed=1)))
 
 
+@pytest.mark.parametrize("shape", ["level", "leaf", "symmetric"])
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_rows_that_no_split_tells_apart_are_one(spark, monkeypatch, shape, one_task):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (3000, 3)).astype(float)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(x[:, 0] - x[:, 1] * x[:, 2] / 2)))).astype(int)
+    x[rng.random((3000, 3)) < 0.1] = np.nan
+    rows = [(i, *(None if np.isnan(v) else float(v) for v in r), int(t), 1.7 if t else 0.6) for i, (r, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "entity_id long, a double, b double, c double, label int, w double").repartition(3)
+    growth = Growth(rounds=8, max_depth=4, max_leaves=9, shape=shape, learning_rate=0.5, patience=5)
+    packed, bin_rows = [], ht._bin_rows
+    monkeypatch.setattr(ht, "ONE_TASK_BYTES", one_task)
+    monkeypatch.setattr(ht, "_bin_rows", lambda *a: packed.append(bin_rows(*a)) or packed[-1])
+    model = fit_boosted(df, FEATURES, growth=growth, weight="w")
+    assert packed[0].n_rows < 500
+    monkeypatch.setattr(ht.math, "prod", lambda _: 1 << 30)
+    plain = fit_boosted(df, FEATURES, growth=growth, weight="w")
+    assert packed[1].n_rows == 3000
+    assert same(model, plain) and model.losses == plain.losses and model.base == plain.base
+    assert all(np.array_equal(s.rows, t.rows) and np.array_equal(s.hessian, t.hessian) for s, t in zip(model.trees, plain.trees))
+
+
 @pytest.mark.parametrize("shape", ["level", "leaf", "symmetric"])
 @pytest.mark.parametrize("patience", [None, 3])
 def test_one_task_grows_the_same_trees(frame, monkeypatch, shape, patience):
