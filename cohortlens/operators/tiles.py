@@ -3,7 +3,8 @@
 Beyond a dozen dimensions no cell lies out of reach of a query, so all distances have to be computed; what can be kept
 small is what is moved. Queries and points are dealt into tiles by a hash, each pair of tiles is one task, and k
 neighbours per query leave it. Inside, a matrix product gives squared distances up to a rounding error that is bounded;
-only points that could be among the k nearest within that error are computed exactly.
+only points that could be among the k nearest within that error are computed exactly. Absolute differences are added up in
+single precision first, with a bounded error again.
 """
 
 from __future__ import annotations
@@ -21,6 +22,12 @@ TILE_BYTES = 32 << 20
 TILE_QUERIES = 8192
 #: Distances computed at a time.
 BLOCK_PAIRS = 1 << 22
+#: Of these, so many at a time where they are added up feature by feature.
+CACHED_PAIRS = 1 << 16
+#: Coordinates below this are compared in single precision first.
+SINGLE_UP_TO = 1e30
+#: With more than so many times k candidates for a row, double precision tells them apart.
+LOOSE = 16
 
 
 def minkowski(gap: np.ndarray, p: int) -> np.ndarray:
@@ -31,11 +38,43 @@ def minkowski(gap: np.ndarray, p: int) -> np.ndarray:
     return total
 
 
+def _absolute(part: np.ndarray, columns: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of absolute differences between rows and points given by ``columns``, in their precision, a cache's worth at a
+    time; and what rounding can make of a comparison. ``longest``: the largest sum of a point's absolute values."""
+    d, n = columns.shape
+    rows = part.astype(columns.dtype)
+    near = np.zeros((len(part), n), columns.dtype)
+    width = max(1, CACHED_PAIRS // max(1, len(part)))
+    gap = np.empty((len(part), min(width, n)), columns.dtype)
+    for a in range(0, n, width):
+        out = near[:, a:a + width]
+        own = gap[:, :out.shape[1]]
+        for i in range(d):
+            np.subtract(rows[:, i, None], columns[i, a:a + width], out=own)
+            np.abs(own, out=own)
+            out += own
+    info = np.finfo(columns.dtype)
+    return near, 8 * (d + 4) * (float(info.eps) * (np.abs(part).sum(axis=1) + longest) + float(info.tiny))
+
+
+def _within(near: np.ndarray, slack: np.ndarray, banned: np.ndarray | None, k: int) -> np.ndarray:
+    """Which points may be among the k nearest of each row."""
+    if banned is not None:
+        near[banned] = np.inf
+    reach = np.partition(near, k - 1, axis=1)[:, k - 1] + slack if near.shape[1] > k else np.full(len(near), np.inf)
+    return (near <= reach[:, None]) & np.isfinite(near)
+
+
 def nearest(x: np.ndarray, y: np.ndarray, k: int, p: int, x_ban: np.ndarray | None = None,
             y_ban: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, point, raw distance) of the k nearest points of each query; equal distances in the order of the points.
     Pairs with equal bans are none."""
     d, found = x.shape[1], []
+    if p == 1:
+        most = max(np.abs(x).max(initial=0.0), np.abs(y).max(initial=0.0))
+        kinds = [np.float32, float] if most < SINGLE_UP_TO else [float]
+        columns = [np.ascontiguousarray(y.T, kind) for kind in kinds]
+        longest = np.abs(y).sum(axis=1).max(initial=0.0)
     yy = np.einsum("ij,ij->i", y, y)
     size = max(1, BLOCK_PAIRS // max(1, len(y) * (1 if p == 2 else 2)))
     for start in range(0, len(x), size):
@@ -46,14 +85,12 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, p: int, x_ban: np.ndarray | No
             # rounding of the three sums of d products each, on both sides of a comparison
             slack = 8 * (d + 4) * np.finfo(float).eps * (xx + yy.max(initial=0.0))
         else:
-            near = np.zeros((len(part), len(y)))
-            for i in range(d):
-                near += np.abs(part[:, i, None] - y[:, i])
-            slack = np.zeros(len(part))
-        if x_ban is not None:
-            near[x_ban[start:start + size, None] == y_ban] = np.inf
-        reach = np.partition(near, k - 1, axis=1)[:, k - 1] + slack if len(y) > k else np.full(len(part), np.inf)
-        row, col = np.nonzero((near <= reach[:, None]) & np.isfinite(near))
+            near, slack = _absolute(part, columns[0], longest)
+        banned = x_ban[start:start + size, None] == y_ban if x_ban is not None else None
+        able = _within(near, slack, banned, k)
+        if p == 1 and len(columns) > 1 and np.count_nonzero(able) > LOOSE * k * len(part):
+            able = _within(*_absolute(part, columns[1], longest), banned, k)  # too close together for single precision
+        row, col = np.nonzero(able)
         raw = minkowski(part[row] - y[col], p)
         order = np.lexsort((col, raw, row))
         row, col, raw = row[order], col[order], raw[order]

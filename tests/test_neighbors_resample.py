@@ -147,3 +147,24 @@ def test_too_few_positives_raise(spark, positives):
     for make in (resample.smote, resample.borderline_smote):
         with pytest.raises(ValueError, match=f"{positives} positives have no 5"):
             make(df, ["a"])
+
+
+@pytest.mark.parametrize("offset,scale", [(0.0, 1.0), (1e6, 1e-3), (0.0, 1e-42), (0.0, 1e35), (-5.0, 1e200)])
+@pytest.mark.parametrize("p", [1, 2])
+def test_nearest_of_a_tile_equals_brute_force(monkeypatch, offset, scale, p):
+    from cohortlens.operators import tiles
+    rng, asked = np.random.default_rng(4), []
+    if p == 2 and scale > 1e100:
+        return  # squares are beyond the range of doubles
+    y = offset + np.round(rng.normal(size=(150, 16)), 1) * scale
+    ban, absolute = np.arange(150) // 2, tiles._absolute
+    monkeypatch.setattr(tiles, "CACHED_PAIRS", 700)
+    monkeypatch.setattr(tiles, "BLOCK_PAIRS", 4000)
+    monkeypatch.setattr(tiles, "_absolute", lambda part, columns, longest: asked.append(columns.dtype) or absolute(part, columns, longest))
+    row, col, raw = tiles.nearest(y, y, 7, p, ban, ban)
+    exact = tiles.minkowski(y[:, None] - y, p)
+    exact[ban[:, None] == ban] = np.inf
+    want = np.argsort(exact, axis=1, kind="stable")[:, :7]
+    assert np.array_equal(row, np.repeat(np.arange(150), 7)) and np.array_equal(col, want.ravel())
+    assert np.array_equal(raw, np.take_along_axis(exact, want, 1).ravel())
+    assert (np.dtype(np.float32) in asked) == (p == 1 and scale < 1e30)
