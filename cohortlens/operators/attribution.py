@@ -204,7 +204,8 @@ def sampled_attribution(df: DataFrame, score, features: Sequence[str],
     after another; each switch's change of score goes to that feature. Every permutation is
     used with its reverse. Centres are drawn in proportion to their share; all draws are
     hashes. Rows x permutations x (features + 1) scores are computed, none is shuffled
-    before its change is summed per (row, feature).
+    before its change is summed per (row, feature). A scorer with ``in_arrays`` (a function from
+    an array of rows to scores) is asked in the task that holds the row; others score a table of all variants.
     """
     features = list(features)
     d = len(features)
@@ -212,6 +213,9 @@ def sampled_attribution(df: DataFrame, score, features: Sequence[str],
     half = [rng.permutation(d).tolist() for _ in range(max(1, permutations // 2))]
     orders = [o for p in half for o in (p, p[::-1])]
     edges = np.cumsum([share for share, _ in centres])
+    rule = score.in_arrays() if hasattr(score, "in_arrays") else None
+    if rule is not None:
+        return _sampled_in_tasks(df, rule, features, centres, half, edges, key, model_id, seed)
     draws = F.array(*[F.struct(F.lit(i).alias("perm"), F.array(*map(F.lit, o)).alias("order")) for i, o in enumerate(orders)])
     u = hash_uniform(str(seed), "centre", F.col(key), (F.col("perm") / 2).cast("int"))
     pick = F.lit(len(centres) - 1)
@@ -241,3 +245,39 @@ def sampled_attribution(df: DataFrame, score, features: Sequence[str],
     changes = scored.select(F.col("_entity").alias(key), gains.alias("c")).select(key, "c.*").where(F.col("f").isNotNull())
     return changes.groupBy(key, F.element_at(names, F.col("f") + 1).alias("feature")).agg(
         (F.sum("g") / len(orders)).alias("phi")).withColumn("model_id", F.lit(model_id))
+
+
+def _sampled_in_tasks(df: DataFrame, rule, features: Sequence[str], centres: Sequence[tuple[float, dict[str, float]]],
+                      half: Sequence[Sequence[int]], edges: np.ndarray, key: str, model_id: str, seed: int) -> DataFrame:
+    """The same draws and switches, each row's in the task that holds it; only its sums leave."""
+    d, starts = len(features), np.array([[float(c[f]) for f in features] for _, c in centres])
+    names = [f"_phi{i}" for i in range(d)]
+    draws = F.array(*(hash_uniform(str(seed), "centre", F.col(key), F.lit(i)) for i in range(len(half)))).alias("_u")
+    rows = df.select(key, F.array(*(F.col(f).cast("double") for f in features)).alias("_own"), draws)
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
+    shared = df.sparkSession.sparkContext.broadcast((rule, starts, edges, [list(o) for o in half]))
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scored, origins, ends, orders = shared.value
+        at_start = scored(origins)
+        for batch in batches:
+            if not len(batch):
+                continue
+            own, u = (np.stack(batch[c].to_numpy()).astype(float) for c in ("_own", "_u"))
+            if np.isnan(own).any():
+                raise ValueError(f"rows miss a value of {', '.join(features)}; impute them first")
+            phi, whole = np.zeros(own.shape), scored(own)
+            for i, order in enumerate(orders):
+                centre = np.minimum(np.searchsorted(ends, u[:, i], "right"), len(ends) - 1)
+                for way in (order, order[::-1]):
+                    mixed, before = origins[centre], at_start[centre]
+                    for step, f in enumerate(way):
+                        mixed[:, f] = own[:, f]
+                        after = scored(mixed) if step + 1 < d else whole
+                        phi[:, f] += after - before
+                        before = after
+            phi /= 2 * len(orders)
+            yield pd.DataFrame({key: batch[key].to_numpy(), **{n: phi[:, i] for i, n in enumerate(names)}})
+
+    wide = rows.mapInPandas(explain, schema).groupBy(key).agg(*(F.sum(n).alias(f) for n, f in zip(names, features)))
+    return wide.unpivot([key], features, "feature", "phi").withColumn("model_id", F.lit(model_id))

@@ -12,9 +12,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-    RandomForestClassifier,
+    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassificationModel,
+    MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -80,6 +81,12 @@ class VectorScore:
         p = vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction")
         return scored.withColumn(out, p).drop("_x", "prediction", "rawPrediction", "probability")
 
+    def in_arrays(self) -> Callable[[np.ndarray], np.ndarray] | None:
+        """Scores of an array of rows, as a function for tasks; None where the model has none."""
+        if not isinstance(self.model, MultilayerPerceptronClassificationModel):
+            return None
+        return Perceptron(tuple(self.model.getLayers()), np.array(self.model.weights.toArray()))
+
     def importances(self) -> dict[str, float]:
         if hasattr(self.model, "featureImportances"):
             values = self.model.featureImportances.toArray()
@@ -88,6 +95,37 @@ class VectorScore:
         return dict(zip(self.features, map(float, values)))
 
 
+#: Rows that a perceptron scores at a time, so that a layer stays in the cache.
+SCORED_ROWS = 2048
+
+
+@dataclass(frozen=True)
+class Perceptron:
+    """MLlib's perceptron on arrays: sigmoid layers and a softmax on top; the score of class 1."""
+
+    layers: tuple[int, ...]
+    weights: np.ndarray
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([self._scores(x[i:i + SCORED_ROWS]) for i in range(0, len(x), SCORED_ROWS)] or [np.zeros(0)])
+
+    def _scores(self, x: np.ndarray) -> np.ndarray:
+        at, last = 0, len(self.layers) - 2
+        for i, (n_in, n_out) in enumerate(zip(self.layers, self.layers[1:])):
+            end = at + n_in * n_out
+            x = x @ self.weights[at:end].reshape(n_in, n_out) + self.weights[end:end + n_out]
+            at = end + n_out
+            if i < last:
+                x = expit(x)
+        top = np.exp(x - x.max(axis=1, keepdims=True))
+        return top[:, 1] / top.sum(axis=1)
+
+
+def expit(z: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
+        return 1.0 / (1.0 + np.exp(-z))
+
+
 @dataclass(frozen=True)
 class KeyedScore:
     """A learner that scores by a rule over the rows to score (a join with its training rows, say)."""

@@ -63,6 +63,22 @@ def test_tree_attributions_add_up(data, family, params):
     assert len(both) == 200 and np.ptp(score - both.s) < 1e-9  # a constant, the mean score, is left
 
 
+def test_perceptron_is_explained_in_tasks_as_by_a_table_of_variants(data, monkeypatch):
+    rows = data.split(FULL)[1].limit(30)
+    model = make_learner("MLP", {"hidden": 4, "max_iter": 15}, FEATURES).fit(data.split(FULL)[0])
+    centres = attribution.background(data.split(FULL)[0], FEATURES, k=3)
+    explained = lambda: attribution.sampled_attribution(rows, model, FEATURES, centres).toPandas().sort_values(["entity_id", "feature"], ignore_index=True)
+    scored, score = [], type(model).score
+    monkeypatch.setattr(type(model), "score", lambda self, *args: scored.append(1) or score(self, *args))
+    got = explained()
+    assert not scored
+    monkeypatch.setattr(type(model), "in_arrays", lambda self: None)
+    want = explained()
+    assert scored and list(got.feature) == list(want.feature) and len(got) == 90 and np.allclose(got.phi, want.phi, atol=1e-12)
+    twice = attribution.sampled_attribution(rows.unionByName(rows), model, FEATURES, centres)
+    assert twice.count() == 90
+
+
 def test_linear_and_sampled_attribution(data):
     rows = data.df.where("fold IS NULL")
     model = LinearScore({"a": 2.0, "b": -1.0, "c": 0.0}, 0.5)
