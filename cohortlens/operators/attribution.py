@@ -163,6 +163,37 @@ def path_shapley(x: np.ndarray, groups: Sequence[PathGroup]) -> np.ndarray:
     return phi
 
 
+#: Rows whose attributions a task keeps, for those that fall between the same cuts.
+KEPT_ROWS = 1 << 18
+
+
+class RangeCache:
+    """Shapley values by the ranges between cuts that a row's values fall into: all rows in the same ranges follow the same
+    paths, so a task works each combination out once, as long as it keeps no more than ``KEPT_ROWS`` of them."""
+
+    def __init__(self, groups: Sequence[PathGroup], d: int):
+        self.groups, self.known = groups, {}
+        self.edges = []
+        for i in range(d):
+            ends = [e[g.feature == i] for g in groups for e in (g.low, g.high)]
+            self.edges.append(np.unique(np.concatenate([np.zeros(0), *(e[np.isfinite(e)] for e in ends)])))
+
+    def phi(self, x: np.ndarray) -> np.ndarray:
+        at = np.empty(x.shape, np.int32)
+        for i, edges in enumerate(self.edges):
+            at[:, i] = np.where(np.isfinite(x[:, i]), np.searchsorted(edges, x[:, i], "left"), -1)
+        if not at.size:
+            return np.zeros(x.shape)
+        ranges = at.view(np.dtype((np.void, at.itemsize * at.shape[1]))).ravel().tolist()
+        first = {r: i for i, r in reversed(list(enumerate(ranges)))}
+        fresh = [r for r in first if r not in self.known]
+        if fresh:
+            if len(self.known) + len(fresh) > KEPT_ROWS:
+                self.known, fresh = {}, list(first)
+            self.known.update(zip(fresh, path_shapley(x[[first[r] for r in fresh]], self.groups)))
+        return np.array([self.known[r] for r in ranges])
+
+
 def tree_attribution(df: DataFrame, model, features: Sequence[str], key: str = "entity_id",
                      model_id: str = "tree") -> DataFrame:
     """Exact path-dependent Shapley values of a tree model (MLlib's or one with ``paths``) for every row of ``df``."""
@@ -173,8 +204,9 @@ def tree_attribution(df: DataFrame, model, features: Sequence[str], key: str = "
     schema = f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"`{f}` double" for f in features)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = RangeCache(shared.value, len(features))
         for batch in batches:
-            phi = path_shapley(batch[features].to_numpy(), shared.value)
+            phi = kept.phi(batch[features].to_numpy())
             yield pd.DataFrame({key: batch[key].to_numpy(), **{f: phi[:, i] for i, f in enumerate(features)}})
 
     wide = rows.mapInPandas(explain, schema)

@@ -63,6 +63,20 @@ def test_tree_attributions_add_up(data, family, params):
     assert len(both) == 200 and np.ptp(score - both.s) < 1e-9  # a constant, the mean score, is left
 
 
+def test_rows_in_the_same_ranges_are_explained_once(data, monkeypatch):
+    model = make_learner("XGBoost", {"n_estimators": 3, "max_depth": 3}, FEATURES).fit(data.split(FULL)[0])
+    groups = attribution.flat_paths(model.paths())
+    x = np.random.default_rng(1).normal(size=(200, 3))
+    x[::9, 1] = np.nan
+    plain, asked = attribution.path_shapley, []
+    monkeypatch.setattr(attribution, "path_shapley", lambda rows, some: asked.append(len(rows)) or plain(rows, some))
+    kept = attribution.RangeCache(groups, 3)
+    assert np.array_equal(kept.phi(np.concatenate([x, x])), plain(np.concatenate([x, x]), groups)) and asked[0] <= 200
+    assert np.array_equal(kept.phi(x), plain(x, groups)) and len(asked) == 1
+    monkeypatch.setattr(attribution, "KEPT_ROWS", 10)
+    assert np.array_equal(attribution.RangeCache(groups, 3).phi(x), plain(x, groups))
+
+
 def test_perceptron_is_explained_in_tasks_as_by_a_table_of_variants(data, monkeypatch):
     rows = data.split(FULL)[1].limit(30)
     model = make_learner("MLP", {"hidden": 4, "max_iter": 15}, FEATURES).fit(data.split(FULL)[0])
