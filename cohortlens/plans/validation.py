@@ -153,10 +153,16 @@ def oof_one_pass(data: FoldedData, family: str, candidates: Mapping[int, Mapping
         train, valid = data.split(left_out)
         mine = {t: p for t, p in candidates.items() if int(p.get("p", 2)) == power}
         k = max(int(p["n_neighbors"]) for p in mine.values())
-        near = stage(knn_join(valid, train, data.features, k, data.key, None, power, [data.label]))
-        return union_by_name([
+        # rows at the same place have the same neighbours: one of them asks (a key that repeats has several places)
+        place = F.struct(*(F.col(f).cast("double").alias(f) for f in data.features))
+        places = valid.groupBy(data.key).agg(F.sort_array(F.collect_list(place)).alias("_places"))
+        asking = stage(places.groupBy("_places").agg(F.min(data.key).alias("_asks")))
+        queries = asking.select(F.col("_asks").alias(data.key), F.inline("_places"))
+        near = stage(knn_join(queries, train, data.features, k, data.key, None, power, [data.label]))
+        voted = union_by_name([
             neighbor_vote(near, int(p["n_neighbors"]), p.get("weights", "uniform"), data.key, data.label)
-            .withColumn("trial_id", F.lit(t)) for t, p in mine.items()])
+            .withColumn("trial_id", F.lit(t)) for t, p in mine.items()]).withColumnRenamed(data.key, "_asks")
+        return places.join(asking, "_places").select(data.key, "_asks").join(voted, "_asks").drop("_asks")
 
     votes = in_parallel(data.df.sparkSession, vote, [(f, p) for f in data.folds for p in powers], workers)
     return source.select(*data.keys()).join(union_by_name(votes), data.key).select(*columns)

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlens.operators import neighbors, resample
 from cohortlens.plans.validation import FoldedData, oof_one_pass
@@ -168,3 +169,21 @@ def test_nearest_of_a_tile_equals_brute_force(monkeypatch, offset, scale, p):
     assert np.array_equal(row, np.repeat(np.arange(150), 7)) and np.array_equal(col, want.ravel())
     assert np.array_equal(raw, np.take_along_axis(exact, want, 1).ravel())
     assert (np.dtype(np.float32) in asked) == (p == 1 and scale < 1e30)
+
+
+def test_rows_at_the_same_place_ask_for_neighbours_once(folded, monkeypatch):
+    from cohortlens.plans import validation
+    rows = folded.withColumns({c: F.round(c) for c in ("a", "b")})
+    data, asked, join = validation.FoldedData(rows, ["a", "b"]), [], validation.knn_join
+
+    def counted(queries, *args):
+        asked.append((queries.count(), queries.select("a", "b").distinct().count()))
+        return join(queries, *args)
+
+    monkeypatch.setattr(validation, "knn_join", counted)
+    got = {r["entity_id"]: r["p"] for r in validation.oof_one_pass(data, "KNN", {0: {"n_neighbors": 7}}).collect()}
+    assert len(got) == 600 and all(n == places for n, places in asked) and sum(n for n, _ in asked) < 400
+    for fold in (0, 3):
+        train, valid = data.split(fold)
+        slow = neighbors.neighbor_vote(join(valid, train, ["a", "b"], 7, payload=["label"]), 7).collect()
+        assert {r["entity_id"]: got[r["entity_id"]] for r in slow} == pytest.approx({r["entity_id"]: r["p"] for r in slow})
