@@ -134,3 +134,42 @@ def test_calibration_is_at_its_optimum(folded):
 
 def test_spaces_have_a_learner():
     assert set(K.BASE_SPACES) <= set(FITTERS) and set(K.FUSION_METHODS) <= set(FITTERS)
+
+
+def test_adaboost_takes_the_stumps_of_mllib(split):
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from cohortlens.operators.boosting import fit_adaboost
+    train, target = split
+    weighted = train.withColumn("w", F.when(F.col("label") == 1, 3.0).otherwise(0.7))
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(weighted).select("_x", F.col("label").cast("double").alias("_y"), F.col("w").alias("_w"))
+    tree, alphas, votes = DecisionTreeClassifier(featuresCol="_x", labelCol="_y", weightCol="_w", maxDepth=1), [], []
+    for _ in range(4):
+        model = tree.fit(rows)
+        judged = model.transform(rows)
+        miss = F.col("prediction") != F.col("_y")
+        bad, total = judged.agg(F.sum(F.when(miss, F.col("_w")).otherwise(0.0)), F.sum("_w")).first()
+        alphas.append(float(np.log((1 - bad / total) / (bad / total))))
+        scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(target)).toPandas().sort_values("entity_id")
+        votes.append(2 * scored.prediction.to_numpy() - 1)
+        rows = judged.withColumn("_w", F.col("_w") / total * F.when(miss, float(np.exp(alphas[-1]))).otherwise(1.0)).select("_x", "_y", "_w").localCheckpoint()
+    want = 1 / (1 + np.exp(-sum(a * v for a, v in zip(alphas, votes)) / sum(alphas)))
+    model = fit_adaboost(weighted, FEATURES, n_estimators=4, weight="w")
+    assert len(model.stumps) == 4 and np.allclose(model.alphas, alphas)
+    assert np.allclose(model.score(target).toPandas().sort_values("entity_id").p, want)
+    one = fit_adaboost(train.where("label = 1"), FEATURES).score(target).agg(F.min("p"), F.max("p")).first()
+    assert one[0] == one[1] > 0.7
+    with pytest.raises(ValueError, match="miss a value"):
+        fit_adaboost(train.withColumn("a", F.when(F.col("entity_id") > 5, F.col("a"))), FEATURES)
+
+
+def test_cuts_are_bounded_where_a_feature_has_many_values(spark, monkeypatch):
+    from cohortlens.operators import splits
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
+    assert [len(c) for c in splits.value_cuts(rows, ["a", "b"])] == [999, 2]
+    assert [len(c) for c in splits.share_cuts(rows, ["a", "b"], 8)] == [7, 2]
+    monkeypatch.setattr(splits, "VALUES", 100)
+    monkeypatch.setattr(splits, "FINE", 50)
+    assert [len(c) for c in splits.value_cuts(rows, ["a", "b"])] == [49, 2]
+    assert np.array_equal(splits.equal_shares(np.ones(9), 2), [2, 5])
