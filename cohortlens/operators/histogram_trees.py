@@ -20,6 +20,9 @@ A pass over few rows is all scheduling. Up to ``ONE_TASK_BYTES`` of binned rows
 holds them, asks itself the same questions and returns the trees; since sums are exact, they are the same trees. It keeps
 the node of each row, so that a question moves rows down by the newest level only.
 
+With ``newton`` off, trees are those of plain gradient boosting: a node's hessian is its weight, so that splits are those of the
+largest decrease of variance and leaves the mean gradient.
+
 With ``patience``, a share of the rows, by a hash of their key, is kept out of the histograms; their loss is summed in
 the first pass of each round, and rounds behind the best one are dropped once the loss has not improved for so long.
 """
@@ -75,6 +78,9 @@ class Growth:
     patience: int | None = None
     tolerance: float = 0.0
     seed: int = 42
+    newton: bool = True
+    first_rate: float | None = None  # of the first round, if not learning_rate
+    link: float = 1.0  # the log odds are so many times the sum of the trees
 
 
 @dataclass(frozen=True)
@@ -137,6 +143,7 @@ class BoostedTrees:
     features: tuple[str, ...]
     base: float
     losses: tuple[float, ...] = ()  # of the validation rows before each round, and after the last one
+    link: float = 1.0
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         missing, total = ~np.isfinite(x), np.full(len(x), self.base)
@@ -150,7 +157,7 @@ class BoostedTrees:
 
         @F.pandas_udf("double")
         def probability(columns: pd.DataFrame) -> pd.Series:
-            return pd.Series(1 / (1 + np.exp(-shared.value.margins(columns.to_numpy(float)))))
+            return pd.Series(_probability(shared.value.link * shared.value.margins(columns.to_numpy(float))))
 
         return df.withColumn(out, probability(F.struct(*(F.col(f"`{f}`").cast("double").alias(f) for f in self.features))))
 
@@ -219,6 +226,7 @@ class _Rows:
     step: float
     base: float
     n_rows: int
+    link: float = 1.0
 
     @property
     def size(self) -> int:
@@ -252,7 +260,7 @@ def _bin_rows(train: DataFrame, features: Sequence[str], label: str, key: str, w
     if not 0 < positive < total:
         raise ValueError("training rows hold one class only")
     p = positive / total if growth.base_score is None else growth.base_score
-    base = math.log(p / (1 - p))
+    base = math.log(p / (1 - p)) / growth.link
 
     def binned(batch):
         x = np.empty((batch.num_rows, len(cuts)), kind)
@@ -289,7 +297,7 @@ def _bin_rows(train: DataFrame, features: Sequence[str], label: str, key: str, w
         table = stage(rows.mapInArrow(run, _BLOCKS))
     # |gradient| and hessian are at most the weight: all sums stay below 2 ** 52 steps
     step = 2.0 ** (math.ceil(math.log2(total)) - 51)
-    return _Rows(table, None, cuts, kind, missing, step, base, n)
+    return _Rows(table, None, cuts, kind, missing, step, base, n, growth.link)
 
 
 def _margin(x: np.ndarray, start: np.ndarray, trees: Sequence[Tree], missing: int) -> np.ndarray:
@@ -310,6 +318,7 @@ class _Question:
     seed: int
     row_share: float
     loss: bool
+    newton: bool = True
 
     def answer(self, rows: _Rows, arrays: Sequence[np.ndarray], p: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         """The numbers for one block, flat, those of the held-out rows last. ``at``: the node of each row, if known."""
@@ -329,7 +338,8 @@ class _Question:
         slot = np.where(drawn, slot_of[at], -1)
         keep = np.flatnonzero(slot >= 0)
         often = times[keep]
-        g, h = np.rint(w[keep] * (p[keep] - y[keep]) / step) * often, np.rint(w[keep] * p[keep] * (1 - p[keep]) / step) * often
+        g = np.rint(w[keep] * (p[keep] - y[keep]) / step) * often
+        h = np.rint((w[keep] * p[keep] * (1 - p[keep]) if self.newton else w[keep]) / step) * often
         total = np.zeros((len(self.columns), 3, cells))
         for j, f in enumerate(self.columns):
             cell = slot[keep] * bins + x[keep, f]
@@ -359,7 +369,7 @@ class _Passes:
             total = None
             for block in blocks:
                 arrays = rows.arrays(block)
-                part = question.answer(rows, arrays, _probability(_margin(arrays[0], arrays[-1], recent, rows.missing)))
+                part = question.answer(rows, arrays, _probability(rows.link * _margin(arrays[0], arrays[-1], recent, rows.missing)))
                 total = part if total is None else total + part
             return [] if total is None else [total]
 
@@ -382,7 +392,7 @@ class _Held:
         self.rows = rows
         self.arrays = [np.concatenate(parts) for parts in zip(*map(rows.arrays, blocks))]
         self.gaps = self.arrays[0] == rows.missing
-        self.p = _probability(self.arrays[-1])
+        self.p = _probability(rows.link * self.arrays[-1])
         self.at: np.ndarray | None = None
 
     def ask(self, question: _Question) -> tuple[np.ndarray, np.ndarray]:
@@ -395,7 +405,7 @@ class _Held:
     def add(self, tree: Tree, last: bool) -> None:
         at = tree.leaf(self.arrays[0], tree.low, self.gaps, np.zeros(len(self.p), np.int64))
         self.arrays[-1] = self.arrays[-1] + tree.value[at]
-        self.p = _probability(self.arrays[-1])
+        self.p = _probability(self.rows.link * self.arrays[-1])
 
 
 # --- splits -------------------------------------------------------------------------------
@@ -545,7 +555,7 @@ def fit_boosted(train: DataFrame, features: Sequence[str], label: str = "label",
         trees, losses = _boost(rows, growth, _Passes(rows))
         rows.blocks.unpersist()
     unstage(rows.table)
-    return BoostedTrees(tuple(trees), tuple(features), rows.base, tuple(losses))
+    return BoostedTrees(tuple(trees), tuple(features), rows.base, tuple(losses), growth.link)
 
 
 def _boost(rows: _Rows, growth: Growth, source: _Passes | _Held) -> tuple[list[Tree], list[float]]:
@@ -565,7 +575,9 @@ def _boost(rows: _Rows, growth: Growth, source: _Passes | _Held) -> tuple[list[T
             best = len(losses) - 1
         return len(losses) - 1 - best >= growth.patience
 
+    every = growth
     for round_no in range(growth.rounds):
+        growth = replace(every, learning_rate=every.first_rate) if round_no == 0 and every.first_rate is not None else every
         columns = _features_of(round_no, len(rows.cuts), growth)
         grower = _Grower(rows, scaled, columns)
         per_pass = max(1, PASS_CELLS // (len(columns) * (rows.missing + 1)))
@@ -575,7 +587,7 @@ def _boost(rows: _Rows, growth: Growth, source: _Passes | _Held) -> tuple[list[T
                 part = asked[i:i + per_pass] if growth.shape != "symmetric" else asked
                 loss = growth.patience is not None and part[0] == 0
                 sums, held = source.ask(_Question(_unscaled(grower, growth).tree(False), tuple(part), columns,
-                                                  growth.seed + round_no, growth.row_share, loss))
+                                                  growth.seed + round_no, growth.row_share, loss, growth.newton))
                 if loss:
                     stopped = worse(held)
                 grower.take(part, sums)
@@ -585,7 +597,7 @@ def _boost(rows: _Rows, growth: Growth, source: _Passes | _Held) -> tuple[list[T
             break
         tree = _unscaled(grower, growth).tree()
         trees.append(tree)
-        if tree.depth == 0 and growth.row_share >= 1 and growth.feature_share >= 1:
+        if tree.depth == 0 and growth.row_share >= 1 and growth.feature_share >= 1 and growth.newton:
             break  # no split is worth it, nor will it be in later rounds
         source.add(tree, round_no + 1 == growth.rounds)
     else:

@@ -2,7 +2,7 @@
 
 XGBoost, LightGBM, HGB and CatBoost are the growth rules of ``histogram_trees`` (level-wise, leaf-wise
 and symmetric trees, second order, with penalties and early stopping), extra trees that of
-``extra_trees``; GBC maps to MLlib's GBT, RF and DT to its forest and tree. Parameters without a
+``extra_trees``; GBC is the rule of MLlib's GBT there; RF and DT are MLlib's forest and tree. Parameters without a
 counterpart (solvers, tolerance) are dropped and listed in ``Learner.dropped``. Cost-sensitive training is one weight column for every family that takes
 weights; naive Bayes, KNN, LDA and the perceptron train unweighted.
 """
@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassificationModel,
+    DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -30,6 +30,7 @@ from cohortlens.operators.histogram_trees import Growth, fit_boosted
 from cohortlens.operators.linear import fit_calibrated_ridge, fit_discriminant
 from cohortlens.operators.metrics import balanced_weights, positive_weight
 from cohortlens.operators.neighbors import knn_join, neighbor_vote
+from cohortlens.operators.splits import share_cuts
 
 MAX_DEPTH = 30  # the deepest tree MLlib grows
 WEIGHT = "_weight"
@@ -184,13 +185,16 @@ def _histogram_trees(learner: Learner, train: DataFrame, weight: str | None):
     return fit_boosted(train, learner.features, learner.label, learner.key, growth_of(learner.family, learner.params), weight)
 
 
-def _gradient_boosting(learner: Learner, train: DataFrame, weight: str | None) -> VectorScore:
+def _gradient_boosting(learner: Learner, train: DataFrame, weight: str | None):
+    """MLlib's GBT as a growth rule: half the log odds are added up, from targets of -1 and 1 in the first round and four times
+    the gap to the probability in the others."""
     p = learner.params
-    estimator = GBTClassifier(
-        maxIter=int(p.get("n_estimators", 100)), stepSize=float(p.get("learning_rate", 0.1)), maxDepth=_depth(p, 3),
-        minInstancesPerNode=max(1, int(p.get("min_samples_leaf", 1))), subsamplingRate=float(p.get("subsample", 1.0)),
-        maxBins=64, maxMemoryInMB=512, cacheNodeIds=False, seed=int(p.get("random_state", K.SEED)))
-    return _vector_fit(learner, train, weight, estimator)
+    rate = float(p.get("learning_rate", 0.1))
+    growth = Growth(rounds=int(p.get("n_estimators", 100)), learning_rate=4 * rate, first_rate=2.0, newton=False, link=2.0, base_score=0.5,
+                    max_depth=_depth(p, 3), reg_lambda=0.0, min_rows=max(1, int(p.get("min_samples_leaf", 1))),
+                    row_share=float(p.get("subsample", 1.0)), seed=int(p.get("random_state", K.SEED)))
+    cuts = dict(zip(learner.features, share_cuts(train, learner.features, 64, weight)))
+    return fit_boosted(train, learner.features, learner.label, learner.key, growth, weight, cuts)
 
 
 def _forest(learner: Learner, train: DataFrame, weight: str | None) -> VectorScore:

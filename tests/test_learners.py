@@ -164,6 +164,18 @@ def test_adaboost_takes_the_stumps_of_mllib(split):
         fit_adaboost(train.withColumn("a", F.when(F.col("entity_id") > 5, F.col("a"))), FEATURES)
 
 
+def test_gradient_boosting_is_that_of_mllib(split):
+    from pyspark.ml.classification import GBTClassifier
+
+    from cohortlens.operators.learners import Learner, _vector_fit
+    train, target = split
+    learner = make_learner("GBC", {"n_estimators": 6, "max_depth": 3, "learning_rate": 0.2}, FEATURES)
+    weighted, weight = learner._weighted(train)
+    want = _vector_fit(Learner("GBC", {}, FEATURES), weighted, weight, GBTClassifier(maxIter=6, stepSize=0.2, maxDepth=3, maxBins=64, seed=42))
+    scores = [m.score(target).toPandas().sort_values("entity_id").p.to_numpy() for m in (learner.fit(train), want)]
+    assert np.allclose(*scores, atol=1e-9) and np.ptp(scores[0]) > 0.2
+
+
 def test_cuts_are_bounded_where_a_feature_has_many_values(spark, monkeypatch):
     from cohortlens.operators import splits
     rows = spark.range(1000).select(F.col("id").cast("double").alias("a"), (F.col("id") % 3).cast("double").alias("b"))
