@@ -74,3 +74,20 @@ def test_bootstrap_trees_differ_and_repeat(cohort):
     assert all(np.array_equal(a.cut, b.cut) and np.array_equal(a.rows, b.rows) for a, b in zip(first.trees, again.trees))
     with pytest.raises(ValueError, match="no training rows"):
         fit(cohort.limit(0))
+
+
+def same_trees(first, second):
+    return all(np.array_equal(a.cut, b.cut) and np.array_equal(a.value, b.value) and np.array_equal(a.rows, b.rows)
+               for a, b in zip(first.trees, second.trees, strict=True))
+
+
+def test_equal_rows_are_one_row_and_trees_grow_in_tasks(cohort, monkeypatch):
+    rows = cohort.withColumns({c: F.round(c) for c in FEATURES})
+    rows = rows.unionByName(rows.withColumn("entity_id", F.col("entity_id") + 1000))
+    held, kept = [], extra_trees._grown_in_tasks
+    monkeypatch.setattr(extra_trees, "_grown_in_tasks", lambda table, *args: held.append(table.agg(F.sum(F.length("n"))).first()[0] // 8) or kept(table, *args))
+    fit = lambda: fit_extra_trees(rows, FEATURES, n_trees=5, max_depth=4, max_features=None)
+    first = fit()
+    assert first.trees[0].rows[0] == 1600 and held[0] == rows.select("label", *FEATURES).distinct().count() < 1600
+    monkeypatch.setattr(extra_trees, "TASK_BYTES", -1)
+    assert same_trees(first, fit()) and len(held) == 1
