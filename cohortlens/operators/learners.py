@@ -1,8 +1,8 @@
 """Registry of learners: a family name and its parameters give something with fit and score.
 
 XGBoost, LightGBM, HGB and CatBoost are the growth rules of ``histogram_trees`` (level-wise, leaf-wise
-and symmetric trees, second order, with penalties and early stopping), extra trees that of
-``extra_trees``; GBC is the rule of MLlib's GBT there; RF and DT are MLlib's forest and tree. Parameters without a
+and symmetric trees, second order, with penalties and early stopping), GBC that of MLlib's GBT there; ET and RF are the
+forests of ``extra_trees``, DT is MLlib's tree. Parameters without a
 counterpart (solvers, tolerance) are dropped and listed in ``Learner.dropped``. Cost-sensitive training is one weight column for every family that takes
 weights; naive Bayes, KNN, LDA and the perceptron train unweighted.
 """
@@ -14,8 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml.classification import (
-    DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassificationModel,
-    MultilayerPerceptronClassifier, RandomForestClassifier,
+    DecisionTreeClassifier, LogisticRegression, MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from cohortlens import constants as K
 from cohortlens.operators.bayes import fit_bernoulli_nb, fit_gaussian_nb
 from cohortlens.operators.boosting import fit_adaboost
-from cohortlens.operators.extra_trees import fit_extra_trees
+from cohortlens.operators.extra_trees import fit_extra_trees, fit_random_forest
 from cohortlens.operators.histogram_trees import Growth, fit_boosted
 from cohortlens.operators.linear import fit_calibrated_ridge, fit_discriminant
 from cohortlens.operators.metrics import balanced_weights, positive_weight
@@ -197,16 +196,12 @@ def _gradient_boosting(learner: Learner, train: DataFrame, weight: str | None):
     return fit_boosted(train, learner.features, learner.label, learner.key, growth, weight, cuts)
 
 
-def _forest(learner: Learner, train: DataFrame, weight: str | None) -> VectorScore:
+def _forest(learner: Learner, train: DataFrame, weight: str | None):
     p = learner.params
-    subset = p.get("max_features", "sqrt")
-    estimator = RandomForestClassifier(
-        numTrees=int(p.get("n_estimators", 100)), maxDepth=_depth(p, MAX_DEPTH),
-        minInstancesPerNode=max(1, int(p.get("min_samples_leaf", 1))),
-        featureSubsetStrategy=str(subset), bootstrap=bool(p.get("bootstrap", True)),
-        maxMemoryInMB=512, seed=int(p.get("random_state", K.SEED)),
-    )
-    return _vector_fit(learner, train, weight, estimator)
+    return fit_random_forest(
+        train, learner.features, learner.label, learner.key, int(p.get("n_estimators", 100)), _depth(p, MAX_DEPTH),
+        max(1, int(p.get("min_samples_leaf", 1))), p.get("max_features", "sqrt"), bool(p.get("bootstrap", True)), weight,
+        int(p.get("random_state", K.SEED)))
 
 
 def _extra_trees(learner: Learner, train: DataFrame, weight: str | None):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.operators import attribution, extra_trees
-from cohortlens.operators.extra_trees import _uniform, fit_extra_trees
+from cohortlens.operators.extra_trees import _uniform, fit_extra_trees, fit_random_forest
 
 FEATURES = ["a", "b", "c"]
 
@@ -87,7 +87,29 @@ def test_equal_rows_are_one_row_and_trees_grow_in_tasks(cohort, monkeypatch):
     held, kept = [], extra_trees._grown_in_tasks
     monkeypatch.setattr(extra_trees, "_grown_in_tasks", lambda table, *args: held.append(table.agg(F.sum(F.length("n"))).first()[0] // 8) or kept(table, *args))
     fit = lambda: fit_extra_trees(rows, FEATURES, n_trees=5, max_depth=4, max_features=None)
-    first = fit()
+    forest = lambda: fit_random_forest(rows, FEATURES, n_trees=5, max_depth=4, bootstrap=False)
+    first, second = fit(), forest()
     assert first.trees[0].rows[0] == 1600 and held[0] == rows.select("label", *FEATURES).distinct().count() < 1600
     monkeypatch.setattr(extra_trees, "TASK_BYTES", -1)
-    assert same_trees(first, fit()) and len(held) == 1
+    assert same_trees(first, fit()) and same_trees(second, forest()) and len(held) == 2
+
+
+def test_a_forest_of_one_whole_tree_is_the_tree_of_mllib(cohort):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    from cohortlens.operators.learners import Learner, _vector_fit
+    weighted = cohort.withColumn("w", F.when(F.col("label") == 1, 2.5).otherwise(0.5))
+    got = fit_random_forest(weighted, FEATURES, n_trees=1, max_depth=5, min_leaf=3, max_features="all", bootstrap=False, weight="w")
+    want = _vector_fit(Learner("DT", {}, FEATURES), weighted, "w", DecisionTreeClassifier(maxDepth=5, minInstancesPerNode=3))
+    scores = [model.score(weighted).select("entity_id", "p").toPandas().sort_values("entity_id").p.to_numpy() for model in (got, want)]
+    assert np.allclose(*scores, atol=1e-9) and np.ptp(scores[0]) > 0.5
+
+
+def test_random_forest_draws_rows_alike_in_any_order(cohort):
+    rows = cohort.withColumns({c: F.round(c) for c in FEATURES})
+    fit = lambda df: fit_random_forest(df, FEATURES, n_trees=3, max_depth=6)
+    first = fit(rows)
+    assert same_trees(first, fit(rows.repartition(5))) and first.trees[0].rows[0] != first.trees[1].rows[0]
+    assert 700 < first.trees[0].rows[0] < 900  # 800 rows, drawn about once each
+    with pytest.raises(ValueError, match="1 rows miss a value"):
+        fit(rows.withColumn("a", F.when(F.col("entity_id") > 0, F.col("a"))))
