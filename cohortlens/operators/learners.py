@@ -146,6 +146,14 @@ def _vector_fit(learner: Learner, train: DataFrame, weight: str | None, estimato
     return VectorScore(estimator.fit(kept), tuple(learner.features))
 
 
+def _refuse_unlabelled(train: DataFrame, label: str) -> None:
+    """Families that follow MLlib's refuse a missing label as MLlib does."""
+    y = F.col(f"`{label}`").cast("double")
+    bad = train.agg(F.count_if(y.isNull() | F.isnan(y))).first()[0]
+    if bad:
+        raise ValueError(f"{bad} training rows have no {label}")
+
+
 def _depth(params: Mapping, default: int) -> int:
     depth = params.get("max_depth", default)
     depth = MAX_DEPTH if depth is None or depth < 0 else depth
@@ -187,6 +195,7 @@ def _histogram_trees(learner: Learner, train: DataFrame, weight: str | None):
 def _gradient_boosting(learner: Learner, train: DataFrame, weight: str | None):
     """MLlib's GBT as a growth rule: half the log odds are added up, from targets of -1 and 1 in the first round and four times
     the gap to the probability in the others."""
+    _refuse_unlabelled(train, learner.label)
     p = learner.params
     rate = float(p.get("learning_rate", 0.1))
     growth = Growth(rounds=int(p.get("n_estimators", 100)), learning_rate=4 * rate, first_rate=2.0, newton=False, link=2.0, base_score=0.5,
@@ -197,6 +206,7 @@ def _gradient_boosting(learner: Learner, train: DataFrame, weight: str | None):
 
 
 def _forest(learner: Learner, train: DataFrame, weight: str | None):
+    _refuse_unlabelled(train, learner.label)
     p = learner.params
     return fit_random_forest(
         train, learner.features, learner.label, learner.key, int(p.get("n_estimators", 100)), _depth(p, MAX_DEPTH),
@@ -240,6 +250,7 @@ def _perceptron(learner: Learner, train: DataFrame, weight: str | None) -> Vecto
 
 
 def _adaboost(learner: Learner, train: DataFrame, weight: str | None):
+    _refuse_unlabelled(train, learner.label)
     p = learner.params
     return fit_adaboost(train, learner.features, learner.label, int(p.get("n_estimators", 50)),
                         float(p.get("learning_rate", 1.0)), weight, int(p.get("random_state", K.SEED)))

@@ -185,3 +185,10 @@ def test_cuts_are_bounded_where_a_feature_has_many_values(spark, monkeypatch):
     monkeypatch.setattr(splits, "FINE", 50)
     assert [len(c) for c in splits.value_cuts(rows, ["a", "b"])] == [49, 2]
     assert np.array_equal(splits.equal_shares(np.ones(9), 2), [2, 5])
+
+
+@pytest.mark.parametrize("family", ["GBC", "RF", "AdaBoost"])
+def test_missing_labels_raise(split, family):
+    holed = split[0].withColumn("label", F.when(F.col("entity_id") % 50 != 0, F.col("label")))
+    with pytest.raises(ValueError, match="rows have no label"):
+        make_learner(family, PARAMS[family], FEATURES).fit(holed)
