@@ -33,6 +33,7 @@ import heapq
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -54,6 +55,10 @@ VALIDATION_SHARE = 0.1
 DIRECT_CELLS = 1 << 18
 #: Binned rows of up to this size are boosted by one task, more by a pass over all tasks for each set of nodes.
 ONE_TASK_BYTES = 64 << 20
+#: A tree with up to so many different splits is a table of its leaves by their outcomes.
+FEW_SPLITS = 8
+#: Rows scored at a time, so that they stay in the cache from tree to tree.
+SCORED_ROWS = 8192
 
 
 @dataclass(frozen=True)
@@ -103,6 +108,12 @@ class Tree:
     def leaf(self, x: np.ndarray, cuts: np.ndarray, missing: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
         """Node of each row of ``x``; ``cuts`` are of the same kind as ``x`` (values or bins). ``at``: nodes of this tree that
         the rows have reached already."""
+        if at is None and self.outcomes is not None:
+            splits, leaves = self.outcomes
+            code = np.zeros(len(x), np.uint8)
+            for bit, node in enumerate(splits):
+                code |= self._goes_left(x, cuts, missing, node).view(np.uint8) << bit
+            return leaves[code]
         if at is not None:
             at = at.copy()
             while len(rows := np.flatnonzero(self.left[at] != at)):
@@ -118,6 +129,27 @@ class Tree:
             at = np.where(left, self.left[at], self.right[at])
         return at
 
+    def _goes_left(self, x: np.ndarray, cuts: np.ndarray, missing: np.ndarray, node: int) -> np.ndarray:
+        f = self.feature[node]
+        left, gap = x[:, f] <= cuts[node], missing[:, f]
+        return left | gap if self.missing_left[node] else left & ~gap
+
+    @cached_property
+    def outcomes(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """A node for each different split, and the leaf by the bits of their outcomes (1: left); None for many splits."""
+        inner = np.flatnonzero(self.left != np.arange(len(self.left)))
+        kinds = {(int(self.feature[i]), float(self.cut[i]), bool(self.missing_left[i])): int(i) for i in inner}
+        if not kinds or len(kinds) > FEW_SPLITS:
+            return None
+        bit, number = np.zeros(len(self.left), np.int64), {kind: b for b, kind in enumerate(kinds)}
+        for i in inner:
+            bit[i] = number[(int(self.feature[i]), float(self.cut[i]), bool(self.missing_left[i]))]
+        codes = np.arange(1 << len(kinds))
+        at = np.zeros(len(codes), np.int64)
+        for _ in range(self.depth):
+            at = np.where(codes >> bit[at] & 1, self.left[at], self.right[at])
+        return np.array(list(kinds.values())), at
+
     def paths(self) -> list[tuple[float, list[tuple[int, float, float, float, bool]]]]:
         """Every leaf as (value, [(feature, low, high, share of the hessian that follows, whether missing follows)])."""
         out, todo = [], [(0, {})]
@@ -146,9 +178,12 @@ class BoostedTrees:
     link: float = 1.0
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        missing, total = ~np.isfinite(x), np.full(len(x), self.base)
-        for tree in self.trees:
-            total += tree.value[tree.leaf(x, tree.cut, missing)]
+        total = np.full(len(x), self.base)
+        for start in range(0, len(x), SCORED_ROWS):
+            part, own = np.asfortranarray(x[start:start + SCORED_ROWS]), total[start:start + SCORED_ROWS]
+            missing = ~np.isfinite(part)
+            for tree in self.trees:
+                own += tree.value[tree.leaf(part, tree.cut, missing)]
         return total
 
     def score(self, df: DataFrame, out: str = "p") -> DataFrame:
@@ -320,37 +355,50 @@ class _Question:
     loss: bool
     newton: bool = True
 
-    def answer(self, rows: _Rows, arrays: Sequence[np.ndarray], p: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-        """The numbers for one block, flat, those of the held-out rows last. ``at``: the node of each row, if known."""
-        (x, y, w, u, held, times, _), step, bins = arrays, rows.step, rows.missing + 1
-        cells, limit, held_loss = len(self.nodes) * bins, int(self.row_share * 2**31), np.zeros(3)
-        if self.loss and held.any():
-            each = -w * np.where(y > 0.5, np.log(np.maximum(p, 1e-15)), np.log(np.maximum(1 - p, 1e-15)))
-            often = times[held]
-            held_loss += [(np.rint(each[held] / (64 * step)) * often).sum(), (np.rint(w[held] / step) * often).sum(), often.sum()]
-        drawn = ~held
+    def answer(self, rows: _Rows, arrays: Sequence[np.ndarray], p: np.ndarray) -> np.ndarray:
+        """The numbers for one block, flat, those of the held-out rows last."""
+        x, y, w, u, held, times, _ = arrays
+        at = self.growing.leaf(x, self.growing.low, x == rows.missing)
+        keep = ~held
+        sums = self.tally(rows, x[keep], u[keep], at[keep], *_slopes(y[keep], w[keep], times[keep], p[keep], rows.step, self.newton))
+        return np.append(sums, _loss(y[held], w[held], times[held], p[held], rows.step) if self.loss else np.zeros(3))
+
+    def tally(self, rows: _Rows, x: np.ndarray, u: np.ndarray, at: np.ndarray, *values: np.ndarray) -> np.ndarray:
+        """Gradient, hessian and number (``values`` of each row) by (column, what, node and bin), flat. ``at``: the rows' nodes."""
+        bins = rows.missing + 1
+        cells, limit = len(self.nodes) * bins, int(self.row_share * 2**31)
+        first_cell = np.full(len(self.growing.value), -1)
+        first_cell[list(self.nodes)] = np.arange(len(self.nodes)) * bins
+        first = first_cell[at]
         if limit < 2**31:  # the low half of the hash, scattered anew each round
-            drawn &= ((u ^ (self.seed * 0x9E3779B1)) * 0x5851F42D & 0xFFFFFFFF) >> 1 < limit
-        slot_of = np.full(len(self.growing.value), -1)
-        slot_of[list(self.nodes)] = np.arange(len(self.nodes))
-        if at is None:
-            at = self.growing.leaf(x, self.growing.low, x == rows.missing)
-        slot = np.where(drawn, slot_of[at], -1)
-        keep = np.flatnonzero(slot >= 0)
-        often = times[keep]
-        g = np.rint(w[keep] * (p[keep] - y[keep]) / step) * often
-        h = np.rint((w[keep] * p[keep] * (1 - p[keep]) if self.newton else w[keep]) / step) * often
+            first[((u ^ (self.seed * 0x9E3779B1)) * 0x5851F42D & 0xFFFFFFFF) >> 1 >= limit] = -1
+        keep = slice(None)
+        if len(first) and first.min() < 0:
+            keep = np.flatnonzero(first >= 0)
+            first, values = first[keep], [v[keep] for v in values]
         total = np.zeros((len(self.columns), 3, cells))
         for j, f in enumerate(self.columns):
-            cell = slot[keep] * bins + x[keep, f]
-            total[j] = [np.bincount(cell, v, cells) for v in (g, h, often)]
-        return np.append(total.ravel(), held_loss)
+            cell = first + x[:, f][keep]
+            total[j] = [np.bincount(cell, v, cells) for v in values]
+        return total.ravel()
 
     def shaped(self, rows: _Rows, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sums by (slot, feature, bin), and those of the held-out rows."""
         return found[:-3].reshape(len(self.columns), 3, len(self.nodes), rows.missing + 1).transpose(1, 2, 0, 3), found[-3:]
 
 
+def _slopes(y: np.ndarray, w: np.ndarray, times: np.ndarray, p: np.ndarray, step: float, newton: bool) -> tuple[np.ndarray, ...]:
+    """Gradient, hessian (both in steps) and number of each row."""
+    g = np.rint(w * (p - y) / step) * times
+    return g, np.rint((w * p * (1 - p) if newton else w) / step) * times, times.astype(float)
+
+
+def _loss(y: np.ndarray, w: np.ndarray, times: np.ndarray, p: np.ndarray, step: float) -> np.ndarray:
+    """Loss, weight and number of the rows."""
+    each = -w * np.where(y > 0.5, np.log(np.maximum(p, 1e-15)), np.log(np.maximum(1 - p, 1e-15)))
+    return np.array([(np.rint(each / (64 * step)) * times).sum(), (np.rint(w / step) * times).sum(), times.sum()], float)
+
+
 def _probability(margin: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-margin))
 
@@ -386,26 +434,59 @@ class _Passes:
 
 
 class _Held:
-    """Questions answered from rows that this task holds."""
+    """Questions answered from rows that this task holds, those held out apart from the others."""
 
     def __init__(self, rows: _Rows, blocks):
         self.rows = rows
-        self.arrays = [np.concatenate(parts) for parts in zip(*map(rows.arrays, blocks))]
-        self.gaps = self.arrays[0] == rows.missing
-        self.p = _probability(rows.link * self.arrays[-1])
-        self.at: np.ndarray | None = None
+        x, y, w, u, held, times, start = (np.concatenate(parts) for parts in zip(*map(rows.arrays, blocks)))
+        self.train, self.out = (_Part(rows, *(a[own] for a in (x, y, w, u, times, start))) for own in (~held, held))
 
     def ask(self, question: _Question) -> tuple[np.ndarray, np.ndarray]:
-        tree = question.growing
-        if len(tree.value) == 1 or self.at is None:  # a new tree; later questions of a tree only add nodes to it
-            self.at = np.zeros(len(self.p), np.int64)
-        self.at = tree.leaf(self.arrays[0], tree.low, self.gaps, self.at)
-        return question.shaped(self.rows, question.answer(self.rows, self.arrays, self.p, self.at))
+        self.train.move(question.growing)
+        found = question.tally(self.rows, self.train.x, self.train.u, self.train.at, *self.train.slopes(question.newton))
+        return question.shaped(self.rows, np.append(found, self.out.loss() if question.loss else np.zeros(3)))
 
     def add(self, tree: Tree, last: bool) -> None:
-        at = tree.leaf(self.arrays[0], tree.low, self.gaps, np.zeros(len(self.p), np.int64))
-        self.arrays[-1] = self.arrays[-1] + tree.value[at]
-        self.p = _probability(self.rows.link * self.arrays[-1])
+        self.train.add(tree)
+        self.out.add(tree)
+
+
+class _Part:
+    """Rows by columns, their log odds so far and their nodes in the tree that grows."""
+
+    def __init__(self, rows: _Rows, x, y, w, u, times, margin):
+        self.rows, self.x, self.y, self.w, self.u, self.times, self.margin = rows, np.asfortranarray(x), y, w, u, times, margin
+        self.gaps = self.x == rows.missing
+        self.p = _probability(rows.link * margin)
+        self.at, self.left_behind = np.zeros(len(y), np.int64), np.zeros(1, bool)
+        self.known: tuple[np.ndarray, ...] | None = None
+
+    def slopes(self, newton: bool) -> tuple[np.ndarray, ...]:
+        """They change with the log odds only."""
+        if self.known is None:
+            self.known = _slopes(self.y, self.w, self.times, self.p, self.rows.step, newton)
+        return self.known
+
+    def loss(self) -> np.ndarray:
+        return _loss(self.y, self.w, self.times, self.p, self.rows.step)
+
+    def move(self, tree: Tree) -> None:
+        """To the leaves of a tree that has only grown since the last call, or is a new one (a root)."""
+        n = len(tree.value)
+        if n == 1:
+            self.at, self.left_behind = np.zeros(len(self.y), np.int64), np.zeros(1, bool)
+        inner = tree.left != np.arange(n)
+        new = np.flatnonzero(inner & ~np.append(self.left_behind, np.zeros(n - len(self.left_behind), bool)))
+        if len({(tree.feature[i], tree.low[i], tree.missing_left[i]) for i in new}) == 1 and not inner[[tree.left[new], tree.right[new]]].any():
+            goes = tree._goes_left(self.x, tree.low, self.gaps, new[0])  # one split for all of them
+            self.at = np.append(tree.right, tree.left)[self.at + n * goes]
+        elif len(new):
+            self.at = tree.leaf(self.x, tree.low, self.gaps, self.at)
+        self.left_behind = inner
+
+    def add(self, tree: Tree) -> None:
+        self.margin = self.margin + tree.value[tree.leaf(self.x, tree.low, self.gaps)]
+        self.p, self.known = _probability(self.rows.link * self.margin), None
 
 
 # --- splits -------------------------------------------------------------------------------

@@ -212,3 +212,24 @@ def test_families_differ_in_growth():
     assert (hgb.rounds, hgb.reg_lambda, hgb.patience, growth_of("HGB", {}).patience) == (50, 1.5, 10, None)
     assert growth_of("CatBoost", {"iterations": 7, "depth": 4}) == Growth(rounds=7, shape="symmetric", max_depth=4, reg_lambda=3.0, learning_rate=0.03, patience=20)
     assert make_learner("XGBoost", {"reg_lambda": 1.0, "tree_method": "hist"}, FEATURES).dropped == ("tree_method",)
+
+
+def test_few_splits_are_one_lookup_and_slopes_are_computed_once_a_round(frame, monkeypatch):
+    df, rng = frame[0], np.random.default_rng(8)
+    calls, slopes = [], ht._slopes
+    growth = Growth(rounds=6, max_depth=5, shape="symmetric", learning_rate=0.5, min_rows=8, patience=50)
+    packed, bin_rows = [], ht._bin_rows
+    monkeypatch.setattr(ht, "_bin_rows", lambda *a: packed.append(bin_rows(*a)) or packed[-1])
+    monkeypatch.setattr(ht, "unstage", lambda _: None)
+    model = fit_boosted(df, FEATURES, growth=growth, weight="w")
+    monkeypatch.setattr(ht, "_slopes", lambda *a: calls.append(1) or slopes(*a))
+    trees, losses = ht._boost(packed[0], growth, ht._Held(packed[0], [tuple(r) for r in packed[0].table.collect()]))
+    assert tuple(losses) == model.losses and len(calls) == growth.rounds + 1  # a question per level before
+    x = rng.normal(size=(500, 3))
+    x[rng.random((500, 3)) < 0.2] = np.nan
+    x[::50, 1] = -np.inf
+    for tree in model.trees:
+        assert len(tree.outcomes[0]) <= 5
+        walked = tree.leaf(x, tree.cut, ~np.isfinite(x), np.zeros(len(x), np.int64))
+        assert np.array_equal(tree.leaf(x, tree.cut, ~np.isfinite(x)), walked)
+    assert fit_boosted(df, FEATURES, growth=Growth(rounds=1, max_depth=8), weight="w").trees[0].outcomes is None
