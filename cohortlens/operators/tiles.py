@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of coordinates in a tile of points, and queries in a tile of queries.
-TILE_BYTES = 32 << 20
+TILE_BYTES = 16 << 20
 TILE_QUERIES = 8192
-#: Distances computed at a time.
-BLOCK_PAIRS = 1 << 22
+#: Distances computed at a time; a few arrays of this size are held at once.
+BLOCK_PAIRS = 1 << 20
 #: Of these, so many at a time where they are added up feature by feature.
 CACHED_PAIRS = 1 << 16
 #: Coordinates below this are compared in single precision first.
@@ -81,7 +81,10 @@ def nearest(x: np.ndarray, y: np.ndarray, k: int, p: int, x_ban: np.ndarray | No
         part = x[start:start + size]
         if p == 2:
             xx = np.einsum("ij,ij->i", part, part)
-            near = xx[:, None] + yy - 2.0 * (part @ y.T)
+            near = part @ y.T
+            near *= -2.0
+            near += yy
+            near += xx[:, None]
             # rounding of the three sums of d products each, on both sides of a comparison
             slack = 8 * (d + 4) * np.finfo(float).eps * (xx + yy.max(initial=0.0))
         else:
@@ -118,11 +121,12 @@ def search_tiles(asked: DataFrame, points: DataFrame, n_asked: int, n_points: in
         if q.empty or c.empty:
             return pd.DataFrame(columns=schema.names)
         c = c.sort_values("neighbor", kind="stable", ignore_index=True)
+        x, y = np.stack(q.pop("_x").to_numpy()), np.stack(c.pop("_x").to_numpy())
         bans = None, None
         if c["_ban"].notna().any():
             codes, _ = pd.factorize(pd.concat([q["_ban"], c["_ban"]]))  # missing values are -1 and ban nothing
             bans = np.where(codes[:len(q)] < 0, -2, codes[:len(q)]), codes[len(q):]
-        row, col, raw = nearest(np.stack(q["_x"].to_numpy()), np.stack(c["_x"].to_numpy()), k, p, *bans)
+        row, col, raw = nearest(x, y, k, p, *bans)
         out = {key: q[key].to_numpy()[row], "neighbor": c["neighbor"].to_numpy()[col], "raw": raw}
         return pd.DataFrame(out | {n: c[n].to_numpy()[col] for n in payload})[schema.names]
 

@@ -187,3 +187,18 @@ def test_rows_at_the_same_place_ask_for_neighbours_once(folded, monkeypatch):
         train, valid = data.split(fold)
         slow = neighbors.neighbor_vote(join(valid, train, ["a", "b"], 7, payload=["label"]), 7).collect()
         assert {r["entity_id"]: got[r["entity_id"]] for r in slow} == pytest.approx({r["entity_id"]: r["p"] for r in slow})
+
+
+def test_a_tile_is_searched_in_bounded_memory():
+    import tracemalloc
+
+    from cohortlens.operators import tiles
+
+    assert tiles.TILE_BYTES <= 16 << 20
+    x, y = np.random.default_rng(4).normal(size=(128, 8)), np.random.default_rng(5).normal(size=(32768, 8))
+    tracemalloc.start()
+    row, col, _ = tiles.nearest(x, y, 3, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20  # before: several arrays of 32 MB
+    assert len(row) == 3 * 128 and set(col[row == 7]) == set(np.argsort(((x[7] - y) ** 2).sum(axis=1))[:3])
