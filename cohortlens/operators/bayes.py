@@ -40,17 +40,19 @@ LEAST_SMOOTHING = 1e-9
 
 
 def fit_gaussian_nb(df: DataFrame, features: Sequence[str], candidates: Mapping[int, float] | None = None,
-                    fold: str = "fold", label: str = "label", standardise: bool = False) -> BayesModel:
+                    fold: str = "fold", label: str = "label", standardise: bool = False,
+                    stats: Mapping[int, Mapping[tuple, Moments]] | None = None) -> BayesModel:
     """``candidates`` map trial ids to ``var_smoothing``: that share of the largest feature
     variance is added to each variance. Missing values count as the training mean.
 
     ``standardise`` fits as on features z-scored with the training statistics of each fold.
     Densities do not change under scaling, so only the smoothing does: it becomes a share of
     each feature's own variance (of 1 for a constant feature, which scaling leaves as it is).
+    ``stats`` are the moments per left-out fold, label and feature, where they are known.
     """
     rows = []
-    for left_out, stats in fold_moments(df, features, fold, label).items():
-        own = {(y, f): stats.get((y, f), Moments()) for y in (0, 1) for f in features}
+    for left_out, found in (stats or fold_moments(df, features, fold, label)).items():
+        own = {(y, f): found.get((y, f), Moments()) for y in (0, 1) for f in features}
         seen = [own[(y, features[0])].rows for y in (0, 1)]
         if not sum(seen):
             continue  # the only fold there is
@@ -84,25 +86,27 @@ def fit_gaussian_nb(df: DataFrame, features: Sequence[str], candidates: Mapping[
 
 def fit_bernoulli_nb(df: DataFrame, features: Sequence[str],
                      candidates: Mapping[int, tuple[float, float]] | None = None,
-                     fold: str = "fold", label: str = "label", standardise: bool = False) -> BayesModel:
+                     fold: str = "fold", label: str = "label", standardise: bool = False,
+                     stats: Mapping[int, Mapping[tuple, Moments]] | None = None, times: str | None = None) -> BayesModel:
     """``candidates`` map trial ids to (alpha, binarize cut).
 
     With ``standardise`` the cut is on z-scores with the training statistics of each fold, so
     every fold has its own cut on the raw value and its training rows are counted at it;
-    missing values count as the training mean.
+    missing values count as the training mean. ``stats`` are the moments per left-out fold and
+    feature, where they are known; ``times`` names how often a row of ``df`` counts.
     """
     candidates = candidates or {0: (1.0, 0.0)}
     cuts = sorted({float(cut) for _, cut in candidates.values()})
     source = df.where(F.col(fold).isNotNull())
     if standardise:
-        stats = fold_moments(df, features, fold)
+        stats = stats or fold_moments(df, features, fold)
         raw = {(left_out, f, c): m[(f,)].mean + c * m[(f,)].filled_std
                for left_out, m in stats.items() for f in features for c in cuts}
         fill = {left_out: {f: m[(f,)].mean for f in features} for left_out, m in stats.items()}
-        counts = _counts_per_fold(source, features, raw, fill, fold, label)
+        counts = _counts_per_fold(source, features, raw, fill, fold, label, times)
     else:
         fill = None
-        counts = _counts_once(source, features, cuts, fold, label)
+        counts = _counts_once(source, features, cuts, fold, label, times)
         raw = {(left_out, f, c): c for left_out in counts for f in features for c in cuts}
     rows = []
     for left_out, found in counts.items():
@@ -129,11 +133,12 @@ def fit_bernoulli_nb(df: DataFrame, features: Sequence[str],
     return BayesModel(rows, schema, tuple(features), log_ratio)
 
 
-def _counts_once(source: DataFrame, features: Sequence[str], cuts: Sequence[float], fold: str, label: str) -> dict:
+def _counts_once(source: DataFrame, features: Sequence[str], cuts: Sequence[float], fold: str, label: str,
+                 times: str | None = None) -> dict:
     """{left out fold: {(label, feature, cut): (rows, rows above)}} from one count per fold."""
     own: dict[int, dict] = defaultdict(dict)
     total: dict[tuple, tuple[int, int]] = defaultdict(lambda: (0, 0))
-    for in_fold, found in _histograms(source, dict.fromkeys(features, list(cuts)), fold, label).items():
+    for in_fold, found in _histograms(source, dict.fromkeys(features, list(cuts)), fold, label, times).items():
         for (y, feature), (above, missing) in found.items():
             for cut, ones in zip(cuts, above[1:]):
                 key, n = (y, feature, cut), above[0] + missing
@@ -147,13 +152,13 @@ def _counts_once(source: DataFrame, features: Sequence[str], cuts: Sequence[floa
 
 
 def _counts_per_fold(source: DataFrame, features: Sequence[str], raw: Mapping, fill: Mapping, fold: str,
-                     label: str) -> dict:
+                     label: str, times: str | None = None) -> dict:
     """The same where each left-out fold has its own raw cut."""
     places: dict[str, set[float]] = defaultdict(set)
     for (_, feature, _), at in raw.items():
         places[feature].add(at)
     cuts = {f: sorted(places[f]) for f in features}
-    found = _histograms(source, cuts, fold, label)
+    found = _histograms(source, cuts, fold, label, times)
     out: dict[int, dict] = defaultdict(dict)
     for (left_out, feature, cut), at in raw.items():
         place = bisect_left(cuts[feature], at) + 1
@@ -167,16 +172,16 @@ def _counts_per_fold(source: DataFrame, features: Sequence[str], raw: Mapping, f
     return out
 
 
-def _histograms(source: DataFrame, cuts: Mapping[str, list[float]], fold: str, label: str) -> dict:
+def _histograms(source: DataFrame, cuts: Mapping[str, list[float]], fold: str, label: str, times: str | None = None) -> dict:
     """{fold: {(label, feature): (above, missing)}} for ascending ``cuts`` of each feature: ``above[0]`` rows
     with a value, ``above[i + 1]`` of them beyond cut ``i``. A value is counted once, for all cuts; features
     x cuts numbers are broadcast, and one count for each interval between cuts reaches the driver."""
     table = source.sparkSession.createDataFrame(list(cuts.items()), "feature string, cuts array<double>")
     passed = _passed(F.col("value"), F.col("cuts"), max(map(len, cuts.values())))
     counted = (
-        long_form(source, [fold, label], list(cuts)).join(F.broadcast(table), "feature")
+        long_form(source, [fold, label, *([times] if times else [])], list(cuts)).join(F.broadcast(table), "feature")
         .groupBy(fold, label, "feature", F.when(F.col("value").isNotNull(), passed).alias("passed"))
-        .agg(F.count(F.lit(1)).alias("n")).collect()
+        .agg((F.sum(times) if times else F.count(F.lit(1))).alias("n")).collect()
     )
     own: dict[int, dict] = defaultdict(dict)
     for r in counted:

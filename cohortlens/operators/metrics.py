@@ -92,8 +92,13 @@ RATE_COLUMNS = (
 )
 
 
+def rows_where(condition: Column, times: str | None = None) -> Column:
+    """How many rows meet the condition; ``times`` names how often a row counts."""
+    return F.count_if(condition) if times is None else F.sum(F.when(condition, F.col(times)).otherwise(F.lit(0)))
+
+
 def auc(scores: DataFrame, by: Sequence[str], score: str = "p", label: str = "label",
-        cuts: Sequence[float] | None = None) -> DataFrame:
+        cuts: Sequence[float] | None = None, times: str | None = None) -> DataFrame:
     """Area under the ROC curve per group; 0.5 where one class is absent.
 
     Equal scores are counted together first; score ranges are ranked alone and their totals
@@ -103,7 +108,7 @@ def auc(scores: DataFrame, by: Sequence[str], score: str = "p", label: str = "la
     if cuts is None:
         cuts = range_cuts(scores, score)
     counted = scores.groupBy(*by, score).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+        rows_where(F.col(label) == 1, times).alias("pos"), rows_where(F.col(label) == 0, times).alias("neg"))
     cut = with_bucket(counted, score, cuts)
     inside = Window.partitionBy(*by, "_bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.withColumn("_below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))

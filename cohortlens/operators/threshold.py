@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from cohortlens import constants as K
 from cohortlens.functions.scalars import BASE_GRID, double_array
-from cohortlens.operators.metrics import auc, rates
+from cohortlens.operators.metrics import auc, rates, rows_where
 
 SCORE_OF = {"acc": "acc", "f1": "f1", "pre": "weighted_score", "gmean": "gmean", "auc": "auc"}
 
 
 def score_histogram(scores: DataFrame, by: Sequence[str], grid: Sequence[float], score: str = "p",
-                    label: str = "label") -> DataFrame:
-    """Positives and negatives per (group, k). NaN and NULL scores are an error, not a class."""
+                    label: str = "label", times: str | None = None) -> DataFrame:
+    """Positives and negatives per (group, k). NaN and NULL scores are an error, not a class. ``times``: how often a row counts."""
     # the Bucketizer is left-closed; on -p with negated cuts a score on a grid point stays below it
     splits = [float("-inf"), *[-g for g in reversed(grid)], float("inf")]
     checked = F.when(F.col(score).isNull() | F.isnan(score), F.raise_error(F.lit("score is missing")).cast("double"))
@@ -31,7 +31,7 @@ def score_histogram(scores: DataFrame, by: Sequence[str], grid: Sequence[float],
     bucketed = Bucketizer(splits=splits, inputCol="_neg", outputCol="_b").transform(negated)
     k = (F.lit(len(grid)) - F.col("_b")).cast("int")
     return bucketed.groupBy(*by, k.alias("k")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+        rows_where(F.col(label) == 1, times).alias("pos"), rows_where(F.col(label) == 0, times).alias("neg"))
 
 
 def threshold_curve(histogram: DataFrame, by: Sequence[str], n: int, dense: bool = True) -> DataFrame:
@@ -60,7 +60,7 @@ def threshold_curve(histogram: DataFrame, by: Sequence[str], n: int, dense: bool
 def threshold_sweep(
     scores: DataFrame, by: Sequence[str], grid: Sequence[float] = BASE_GRID, objective: str = "gmean",
     min_recall: float | None = None, score: str = "p", label: str = "label",
-    w_specificity: float = K.WEIGHT_SPECIFICITY, w_recall: float = K.WEIGHT_RECALL,
+    w_specificity: float = K.WEIGHT_SPECIFICITY, w_recall: float = K.WEIGHT_RECALL, times: str | None = None,
 ) -> DataFrame:
     """Best threshold per group: (by, i, threshold, tp, fp, tn, fn, recall, specificity, score).
 
@@ -77,10 +77,10 @@ def threshold_sweep(
         grid = []
     points = sorted({*grid, K.FALLBACK_THRESHOLD})
     extra = points.index(K.FALLBACK_THRESHOLD) if K.FALLBACK_THRESHOLD not in grid else -1
-    curve = threshold_curve(score_histogram(scores, by, points, score, label), by, len(points))
+    curve = threshold_curve(score_histogram(scores, by, points, score, label, times), by, len(points))
     rated = rates(curve, w_specificity, w_recall)
     if objective == "auc":
-        rated = rated.join(auc(scores, by, score, label), by) if by else _attach_auc(rated, scores, score, label)
+        rated = rated.join(auc(scores, by, score, label, times=times), by) if by else _attach_auc(rated, scores, score, label, times)
     rated = rated.withColumn("score", F.col(SCORE_OF[objective]))
     usable = f"i <> {extra}"
     if objective == "pre" and min_recall is None:
@@ -100,8 +100,8 @@ def threshold_sweep(
         "i", F.expr(f"CAST({grid_index} AS INT)"))
 
 
-def _attach_auc(rated: DataFrame, scores: DataFrame, score: str, label: str) -> DataFrame:
-    area = auc(scores, [], score, label).first()["auc"]
+def _attach_auc(rated: DataFrame, scores: DataFrame, score: str, label: str, times: str | None = None) -> DataFrame:
+    area = auc(scores, [], score, label, times=times).first()["auc"]
     return rated.withColumn("auc", F.lit(float(area)))
 
 
@@ -113,7 +113,8 @@ def penalised(sweep: DataFrame, lam: float = K.PENALTY_BASE, min_recall: float =
 
 
 def carry_threshold(learned: DataFrame, scores: DataFrame, by: Sequence[str],
-                    grid: Sequence[float] = BASE_GRID, score: str = "p", label: str = "label") -> DataFrame:
+                    grid: Sequence[float] = BASE_GRID, score: str = "p", label: str = "label",
+                    times: str | None = None) -> DataFrame:
     """Confusion counts of new scores at thresholds learned elsewhere, one threshold per group.
 
     Both sides of the join are curves (a few hundred rows per group); the scores themselves
@@ -121,7 +122,7 @@ def carry_threshold(learned: DataFrame, scores: DataFrame, by: Sequence[str],
     """
     by = list(by)
     points = sorted({*grid, K.FALLBACK_THRESHOLD})
-    curve = threshold_curve(score_histogram(scores, by, points, score, label), by, len(points))
+    curve = threshold_curve(score_histogram(scores, by, points, score, label, times), by, len(points))
     values = F.element_at(double_array(points), F.col("i") + 1)
     wanted = learned.select(*by, "threshold")
     return curve.withColumn("threshold", values).drop("i").join(wanted, [*by, "threshold"])

@@ -17,7 +17,7 @@ from cohortlens.operators.metrics import auc, metric_record
 from cohortlens.operators.preprocess import FULL
 from cohortlens.operators.threshold import carry_threshold, penalised, threshold_sweep
 from cohortlens.plans.candidates import draw, draw_near
-from cohortlens.plans.validation import ONE_PASS, FoldedData, oof_candidates, target_one_pass
+from cohortlens.plans.validation import ONE_PASS, TIMES, FoldedData, oof_candidates, scores_counted, target_one_pass  # noqa: F401
 from cohortlens.session import stage
 from cohortlens.sources.cohorts import union_by_name
 from cohortlens.sources.trials import TRIALS_SCHEMA, rank_trials, select_trials
@@ -32,9 +32,9 @@ class Goal:
     lam: float = K.PENALTY_BASE
     constrained: bool = False
 
-    def rate(self, scores: DataFrame, by: Sequence[str]) -> DataFrame:
+    def rate(self, scores: DataFrame, by: Sequence[str], times: str | None = None) -> DataFrame:
         floor = self.min_recall if self.constrained else None
-        swept = threshold_sweep(scores, by, BASE_GRID, self.objective, floor)
+        swept = threshold_sweep(scores, by, BASE_GRID, self.objective, floor, times=times)
         return penalised(swept, self.lam, self.min_recall)
 
 
@@ -46,6 +46,10 @@ FUSION_GOAL = Goal(lam=K.PENALTY_FUSION, constrained=True)
 FIT_ERRORS = (ValueError, ArithmeticError, IllegalArgumentException, SparkRuntimeException)
 
 
+#: Families whose candidates are rated on equal rows as one.
+COUNTED = ("GNB", "BNB")
+
+
 def _learner(data: FoldedData, family: str, params: Mapping):
     return make_learner(family, params, data.features, label=data.label, key=data.key,
                         cost_sensitive=params.get("class_weight", "balanced") is not None)
@@ -76,8 +80,9 @@ def rate_candidates(data: FoldedData, family: str, candidates: Mapping[int, Mapp
     while batches:
         some = batches.pop(0)
         try:
-            scores = oof_candidates(data, family, some, workers)
-            rated |= {r["trial_id"]: r for r in goal.rate(scores, ["trial_id"]).collect()}  # one row per trial
+            counted = family in COUNTED and data.plain
+            scores = scores_counted(data, family, some) if counted else oof_candidates(data, family, some, workers)
+            rated |= {r["trial_id"]: r for r in goal.rate(scores, ["trial_id"], TIMES if counted else None).collect()}  # one row per trial
         except FIT_ERRORS as problem:  # a trial that cannot be fitted is recorded, not rated as 0
             if len(some) > 1:
                 batches = [{t: p} for t, p in some.items()] + batches  # which of them it was
@@ -125,10 +130,11 @@ def evaluate_on_target(data: FoldedData, family: str, trials: DataFrame, candida
     first = {t: candidates[t] for t in dict.fromkeys(alike.values())}
     train, target = data.split(FULL)
     train = stage(train) if data.resample else train
+    counted = False
     if not first:
         scored = [target.select(data.label, F.lit(0.0).alias("p"), F.lit(0).alias("trial_id")).limit(0)]
-    elif family in ("GNB", "BNB") and data.plain:  # one scan of statistics, one scoring pass
-        scored = [target_one_pass(data, family, first).select(data.label, "p", "trial_id")]
+    elif counted := family in COUNTED and data.plain:  # one scan of statistics, one scoring pass
+        scored = [scores_counted(data, family, first, target=True)]
     else:
         scored = [_learner(data, family, p).fit(train).score(target).select(data.label, "p", F.lit(t).alias("trial_id"))
                   for t, p in first.items()]
@@ -136,8 +142,9 @@ def evaluate_on_target(data: FoldedData, family: str, trials: DataFrame, candida
     of = data.df.sparkSession.createDataFrame([(f, t) for t, f in alike.items()], "_fit int, trial_id int")
     scores = fitted.join(F.broadcast(of), "_fit").drop("_fit")  # at most ``top`` rows
     learned = trials.where(F.col("rank") < top).select("trial_id", "threshold")
-    counts = carry_threshold(learned, scores, ["trial_id"], label=data.label)
-    record = metric_record(counts, auc(scores, ["trial_id"], label=data.label), ["trial_id"], extra=["threshold"])
+    times = TIMES if counted else None
+    counts = carry_threshold(learned, scores, ["trial_id"], label=data.label, times=times)
+    record = metric_record(counts, auc(scores, ["trial_id"], label=data.label, times=times), ["trial_id"], extra=["threshold"])
     names = F.concat(F.lit(f"{family}_Top"), F.col("rank") + 1)
     return trials.select("model_type", "trial_id", "rank", "value", "params", names.alias("model_id")).join(
         record, "trial_id")

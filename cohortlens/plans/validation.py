@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from copy import copy
+from functools import cached_property
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from cohortlens.session import stage
 from cohortlens.sources.cohorts import union_by_name
 
 ONE_PASS = ("GNB", "BNB", "KNN")  # families whose candidates share one scan or one join
+TIMES = "_times"  # how many rows a row of ``FoldedData.counted`` stands for
 RESAMPLERS = {"regular": smote, "borderline": borderline_smote}
 
 
@@ -63,6 +65,20 @@ class FoldedData:
             train = with_synthetic(train, made, self.key)
         return train, valid
 
+    @cached_property
+    def label_stats(self) -> Mapping[int, dict[tuple, Moments]]:
+        """Training statistics per left-out fold, label and feature."""
+        return fold_moments(self.df, self.features, self.fold, self.label)
+
+    @cached_property
+    def counted(self) -> DataFrame:
+        """Rows that agree in fold, label and all features as one row with their number, staged. A model without
+        the key gives them the same score, so many candidates are rated on these."""
+        spark = self.df.sparkSession
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        merged = self.df.groupBy(self.fold, self.label, *self.features).agg(F.count(F.lit(1)).alias(TIMES))
+        return stage(merged.repartition(tasks))  # few rows, but each is scored once per candidate
+
     def keys(self) -> list[str]:
         return [self.key, self.label, self.fold]
 
@@ -107,12 +123,14 @@ def oof_scores(data: FoldedData, learner: Learner, target: bool = False, workers
     return union_by_name(in_parallel(data.df.sparkSession, one, left_out, workers))
 
 
-def _fit_bayes(data: FoldedData, family: str, candidates: Mapping[int, Mapping]) -> BayesModel:
+def _fit_bayes(data: FoldedData, family: str, candidates: Mapping[int, Mapping], counted: bool = False) -> BayesModel:
     if family == "GNB":
         smoothing = {t: float(p.get("var_smoothing", 1e-9)) for t, p in candidates.items()}
-        return fit_gaussian_nb(data.df, data.features, smoothing, data.fold, data.label, data.scale)
+        return fit_gaussian_nb(data.df, data.features, smoothing, data.fold, data.label, data.scale, data.label_stats)
     settings = {t: (float(p.get("alpha", 1.0)), float(p.get("binarize", 0.0))) for t, p in candidates.items()}
-    return fit_bernoulli_nb(data.df, data.features, settings, data.fold, data.label, data.scale)
+    rows, times = (data.counted, TIMES) if counted else (data.df, None)
+    return fit_bernoulli_nb(rows, data.features, settings, data.fold, data.label, data.scale,
+                            None if data.past_only else data.stats, times)
 
 
 def score_closed_form(data: FoldedData, family: str, params: Mapping) -> DataFrame | None:
@@ -134,6 +152,13 @@ def score_closed_form(data: FoldedData, family: str, params: Mapping) -> DataFra
     return joined.withColumn("p", sigmoid(margin)).drop("_w", "_b")
 
 
+def scores_counted(data: FoldedData, family: str, candidates: Mapping[int, Mapping], target: bool = False) -> DataFrame:
+    """Scores (label, trial_id, p, number of rows) by naive Bayes of all candidates: out-of-fold, or of the target rows."""
+    fold = F.col(data.fold)
+    rows = data.counted.where(fold.isNull() if target else fold >= 0)
+    return _fit_bayes(data, family, candidates, True).score(rows, data.fold).select(data.label, "trial_id", "p", TIMES)
+
+
 def target_one_pass(data: FoldedData, family: str, candidates: Mapping[int, Mapping]) -> DataFrame:
     """Scores of the target rows by naive Bayes models of all source rows, with their trial_id."""
     target = data.df.where(F.col(data.fold).isNull())

@@ -76,3 +76,21 @@ def test_target_scores_in_one_pass_equal_single_fits(folded):
             want = search._learner(data, family, params).fit(train).score(target).toPandas().set_index("entity_id").p
             mine = got[got.trial_id == t].set_index("entity_id").p
             assert mine.to_dict() == pytest.approx(want.to_dict(), abs=1e-9)
+
+
+@pytest.mark.parametrize("family,candidates", [("GNB", {0: {"var_smoothing": 1e-9}, 3: {"var_smoothing": 0.1}}),
+                                               ("BNB", {0: {"alpha": 1.0, "binarize": 0.2}, 3: {"alpha": 50.0, "binarize": 0.9}})])
+def test_naive_bayes_is_rated_on_equal_rows_as_one(spark, family, candidates):
+    rows = [(i, (i * 7 % 11 < 4) * 1, None if i % 40 == 39 else i % 8, float(i * 3 % 5), None if i % 9 == 0 else float(i % 2) + (i * 7 % 11 < 4))
+            for i in range(800)]
+    data = FoldedData(spark.createDataFrame(rows, "entity_id long, label int, fold int, a double, b double"), ["a", "b"])
+    assert data.counted.count() < 400 and data.counted.agg({"_times": "sum"}).first()[0] == 800
+    trials = {r["trial_id"]: r for r in search.rate_candidates(data, family, candidates).collect()}
+    plain = {r["trial_id"]: r for r in search.BASE_GOAL.rate(search.oof_candidates(data, family, candidates), ["trial_id"]).collect()}
+    assert {t: (r["value"], r["threshold"]) for t, r in trials.items()} == {t: (r["value"], r["threshold"]) for t, r in plain.items()}
+    ranked = search.rank_trials(search.rate_candidates(data, family, candidates).drop("rank"))
+    report = {r["trial_id"]: r for r in search.evaluate_on_target(data, family, ranked, candidates).collect()}
+    target = search.target_one_pass(data, family, candidates)
+    areas = {r["trial_id"]: round(r["auc"], 4) for r in search.auc(target, ["trial_id"]).collect()}
+    assert {t: r["auc"] for t, r in report.items()} == areas
+    assert all(r["tp"] + r["fn"] + r["fp"] + r["tn"] == 20 for r in report.values())
