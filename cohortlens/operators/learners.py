@@ -18,6 +18,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,14 @@ from cohortlens.operators.histogram_trees import Growth, fit_boosted
 from cohortlens.operators.linear import fit_calibrated_ridge, fit_discriminant
 from cohortlens.operators.metrics import balanced_weights, positive_weight
 from cohortlens.operators.neighbors import knn_join, neighbor_vote
+from cohortlens.operators.perceptron import fit_perceptron
 from cohortlens.operators.splits import share_cuts
 
 MAX_DEPTH = 30  # the deepest tree MLlib grows
 WEIGHT = "_weight"
 UNWEIGHTED = ("GNB", "BNB", "KNN", "LDA", "MLP")
+#: Rows x hidden units of a perceptron up to which MLlib fits it; beyond, the same search costs less on arrays.
+MLLIB_CELLS = 1 << 24
 
 
 @dataclass
@@ -96,7 +100,7 @@ class VectorScore:
 
 
 #: Rows that a perceptron scores at a time, so that a layer stays in the cache.
-SCORED_ROWS = 2048
+SCORED_ROWS = 512
 
 
 @dataclass(frozen=True)
@@ -113,7 +117,8 @@ class Perceptron:
         at, last = 0, len(self.layers) - 2
         for i, (n_in, n_out) in enumerate(zip(self.layers, self.layers[1:])):
             end = at + n_in * n_out
-            x = x @ self.weights[at:end].reshape(n_in, n_out) + self.weights[end:end + n_out]
+            x = x @ self.weights[at:end].reshape(n_in, n_out)
+            x += self.weights[end:end + n_out]
             at = end + n_out
             if i < last:
                 x = expit(x)
@@ -122,8 +127,11 @@ class Perceptron:
 
 
 def expit(z: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
     with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
-        return 1.0 / (1.0 + np.exp(-z))
+        np.exp(np.negative(z, out=z), out=z)
+    z += 1.0
+    return np.reciprocal(z, out=z)
 
 
 @dataclass(frozen=True)
@@ -243,10 +251,17 @@ def _logistic(learner: Learner, train: DataFrame, weight: str | None) -> VectorS
 
 def _perceptron(learner: Learner, train: DataFrame, weight: str | None) -> VectorScore:
     p = learner.params
-    estimator = MultilayerPerceptronClassifier(
-        layers=[len(learner.features), int(p.get("hidden", 100)), 2], maxIter=int(p.get("max_iter", 200)),
-        seed=int(p.get("random_state", K.SEED)))
-    return _vector_fit(learner, train, None, estimator)
+    layers = [len(learner.features), int(p.get("hidden", 100)), 2]
+    estimator = MultilayerPerceptronClassifier(layers=layers, maxIter=int(p.get("max_iter", 200)), seed=int(p.get("random_state", K.SEED)))
+    if train.count() * layers[1] <= MLLIB_CELLS:
+        return _vector_fit(learner, train, None, estimator)
+    # no step over two rows gives MLlib's first weights by the seed, and a model of given weights
+    few = train.sparkSession.createDataFrame(
+        [(*[0.0] * layers[0], y) for y in (0.0, 1.0)], ", ".join(f"`{c}` double" for c in (*learner.features, learner.label)))
+    still = estimator.copy().setMaxIter(0)
+    start = _vector_fit(learner, few, None, still).model.weights.toArray()
+    found = fit_perceptron(train, learner.features, learner.label, layers[1], start, estimator.getMaxIter())
+    return _vector_fit(learner, few, None, still.setInitialWeights(Vectors.dense(found)))
 
 
 def _adaboost(learner: Learner, train: DataFrame, weight: str | None):
