@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
@@ -284,18 +285,19 @@ def _sampled_in_tasks(df: DataFrame, rule, features: Sequence[str], centres: Seq
     """The same draws and switches, each row's in the task that holds it; only its sums leave."""
     d, starts = len(features), np.array([[float(c[f]) for f in features] for _, c in centres])
     names = [f"_phi{i}" for i in range(d)]
-    draws = F.array(*(hash_uniform(str(seed), "centre", F.col(key), F.lit(i)) for i in range(len(half)))).alias("_u")
-    rows = df.select(key, F.array(*(F.col(f).cast("double") for f in features)).alias("_own"), draws)
+    draws = [hash_uniform(str(seed), "centre", F.col(key), F.lit(i)).alias(f"_u{i}") for i in range(len(half))]
+    rows = df.select(key, *(F.col(f).cast("double").alias(n) for f, n in zip(features, names)), *draws)
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
     shared = df.sparkSession.sparkContext.broadcast((rule, starts, edges, [list(o) for o in half]))
 
-    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored, origins, ends, orders = shared.value
         at_start = scored(origins)
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            own, u = (np.stack(batch[c].to_numpy()).astype(float) for c in ("_own", "_u"))
+            own, u = (np.column_stack([c.to_numpy(zero_copy_only=False) for c in part])
+                      for part in (batch.columns[1:1 + d], batch.columns[1 + d:]))
             if np.isnan(own).any():
                 raise ValueError(f"rows miss a value of {', '.join(features)}; impute them first")
             phi, whole = np.zeros(own.shape), scored(own)
@@ -309,7 +311,7 @@ def _sampled_in_tasks(df: DataFrame, rule, features: Sequence[str], centres: Seq
                         phi[:, f] += after - before
                         before = after
             phi /= 2 * len(orders)
-            yield pd.DataFrame({key: batch[key].to_numpy(), **{n: phi[:, i] for i, n in enumerate(names)}})
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, phi.T)], [key, *names])
 
-    wide = rows.mapInPandas(explain, schema).groupBy(key).agg(*(F.sum(n).alias(f) for n, f in zip(names, features)))
+    wide = rows.mapInArrow(explain, schema).groupBy(key).agg(*(F.sum(n).alias(f) for n, f in zip(names, features)))
     return wide.unpivot([key], features, "feature", "phi").withColumn("model_id", F.lit(model_id))

@@ -93,6 +93,18 @@ def test_perceptron_is_explained_in_tasks_as_by_a_table_of_variants(data, monkey
     assert twice.count() == 90
 
 
+def test_rows_reach_a_perceptron_as_columns_of_numbers(data, monkeypatch):
+    asked, plain = [], type(data.df).mapInArrow
+    monkeypatch.setattr(type(data.df), "mapInArrow", lambda self, *args: asked.append([t for _, t in self.dtypes[1:]]) or plain(self, *args))
+    rows = data.split(FULL)[1].limit(10)
+    model = make_learner("MLP", {"hidden": 4, "max_iter": 5}, FEATURES).fit(data.split(FULL)[0])
+    assert attribution.sampled_attribution(rows, model, FEATURES, [(1.0, {f: 0.0 for f in FEATURES})], 4).count() == 30
+    assert asked == [["double"] * 5]  # three features and a draw for each permutation and its reverse
+    x = np.random.default_rng(4).normal(size=(1100, 3))
+    kept, score = x.copy(), model.in_arrays()
+    assert np.allclose(score(x)[700:], score(x[700:]), rtol=0, atol=1e-14) and np.array_equal(x, kept)
+
+
 def test_linear_and_sampled_attribution(data):
     rows = data.df.where("fold IS NULL")
     model = LinearScore({"a": 2.0, "b": -1.0, "c": 0.0}, 0.5)
